@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op3_packing
 from .simhash import op9_simhash
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op9_simhash": op9_simhash,
 }
 
