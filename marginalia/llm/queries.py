@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .packing import op3_packing
 from .simhash import op9_simhash
+from .wavelet import op8_wavelet
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op8_wavelet": op8_wavelet,
     "op9_simhash": op9_simhash,
 }
 
