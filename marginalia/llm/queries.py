@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .packing import op3_packing
 from .simhash import op9_simhash
+from .toxicity import op6_toxicity
 from .wavelet import op8_wavelet
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op6_toxicity": op6_toxicity,
     "op8_wavelet": op8_wavelet,
     "op9_simhash": op9_simhash,
 }
