@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .decontamination import op1_decontamination
 from .packing import op3_packing
+from .pii import op2_pii
 from .simhash import op9_simhash
 from .toxicity import op6_toxicity
 from .wavelet import op8_wavelet
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op6_toxicity": op6_toxicity,
     "op8_wavelet": op8_wavelet,
