@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op1_decontamination
 from .packing import op3_packing
 from .pii import op2_pii
+from .quality import OP10_SQL, op10_quality
 from .simhash import op9_simhash
 from .toxicity import op6_toxicity
 from .wavelet import op8_wavelet
@@ -16,6 +17,9 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op8_wavelet": op8_wavelet,
     "op9_simhash": op9_simhash,
+    "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_quality": OP10_SQL,
+}
