@@ -1,7 +1,7 @@
 """Quality rules whose thresholds follow each language and source.
 
-Every text gets a few counts; from them come four measures: symbols, repeated words and repeated lines per ten thousand,
-and the mean length of a word in hundredths.  Their distributions are kept as mergeable sketches: counts by
+Every text gets a few counts; from them come five measures: symbols, ASCII marks, repeated words and repeated lines per ten
+thousand (of lines plus two, as one of three says little), and the mean length of a word in hundredths.  Their distributions are kept as mergeable sketches: counts by
 bucket, whose width is at most a 32nd of the value (exact below 64).  Sketches add up in any order to the same
 counts, so a source that holds a third of all rows is merged from the tasks' partial sketches, and the sketch of a language is the
 sum of its sources'.  A document fails a rule where its measure lies beyond the quartiles
@@ -26,15 +26,17 @@ from .words import _BYTE_BASE, _BYTE_VALUES, SPACE, U64, Words, _span_hash, _sum
 WINDOW = 3
 LEAST_WORDS = 50
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", dtype=np.uint8))
+MARKS = byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 NEWLINE = byte_set((0x0A, 0x0A))
 SPREAD = 3
 ENOUGH = 50
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks")
 #: measure: SQL from the counts, floor of the upper bound
 MEASURES = {
     "symbols": ("10000 * n_symbols div n_words", 1000),
+    "marks": ("10000 * n_marks div n_words", 8000),
     "repeats": ("10000 * n_repeat_words div n_words", 2500),
-    "lines": ("10000 * n_dup_lines div n_lines", 3000),
+    "lines": ("10000 * n_dup_lines div (n_lines + 2)", 3000),
     "length": ("100 * word_chars div n_words", 0),
 }
 
@@ -63,6 +65,7 @@ def counts_of(texts: pa.Array) -> dict[str, np.ndarray]:
     out = {"n_words": words.counts}
     out["word_chars"] = _per_text(~SPACE[buf] & ((buf & 0xC0) != 0x80), offsets)
     out["n_symbols"] = _per_text(SYMBOLS[buf], offsets)
+    out["n_marks"] = _per_text(MARKS[buf], offsets)
     lines = Words(buf, offsets, NEWLINE)
     filled = np.searchsorted(words.start, lines.end) > np.searchsorted(words.start, lines.start)
     start, end, text = lines.start[filled], lines.end[filled], lines.text_of_word()[filled]
@@ -149,11 +152,12 @@ line AS (SELECT r, l FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FR
 dup AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n FROM line GROUP BY r),
 c AS (
   SELECT w.r, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
-    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+    length(regexp_replace(text, '[^!-/:-@\[-`{-~]', '', 'g'))::BIGINT AS n_marks
   FROM w LEFT JOIN dup ON w.r = dup.r LEFT JOIN rep ON w.r = rep.r),
 m AS (
-  SELECT r, lang, source, unnest(['symbols', 'repeats', 'lines', 'length']) AS measure,
-    unnest([10000 * n_symbols // n_words, 10000 * n_repeat_words // n_words, 10000 * n_dup_lines // n_lines, 100 * word_chars // n_words]) AS v
+  SELECT r, lang, source, unnest(['symbols', 'marks', 'repeats', 'lines', 'length']) AS measure,
+    unnest([10000 * n_symbols // n_words, 10000 * n_marks // n_words, 10000 * n_repeat_words // n_words, 10000 * n_dup_lines // (n_lines + 2), 100 * word_chars // n_words]) AS v
   FROM c WHERE n_words > 0),
 b AS (SELECT *, CASE WHEN s = 0 THEN v ELSE s * 32 + (v >> s) END AS bucket FROM (SELECT *, greatest(0, length(bin(v)) - 6)::INT AS s FROM m)),
 k AS (
@@ -175,7 +179,7 @@ pick AS (
   FROM q o JOIN q l ON l.level = 1 AND l.lang = o.lang AND l.measure = o.measure JOIN q g ON g.level = 2 AND g.measure = o.measure WHERE o.level = 0),
 t AS (
   SELECT lang, source, measure,
-    greatest(q3 + 3 * (q3 - q1), CASE measure WHEN 'symbols' THEN 1000 WHEN 'repeats' THEN 2500 WHEN 'lines' THEN 3000 ELSE q2 * 3 // 2 END) AS hi,
+    greatest(q3 + 3 * (q3 - q1), CASE measure WHEN 'symbols' THEN 1000 WHEN 'marks' THEN 8000 WHEN 'repeats' THEN 2500 WHEN 'lines' THEN 3000 ELSE q2 * 3 // 2 END) AS hi,
     CASE WHEN measure = 'length' THEN least(q1 - 3 * (q3 - q1), q2 // 2) ELSE -1 END AS lo
   FROM pick),
 bad AS (SELECT DISTINCT r FROM m JOIN t USING (lang, source, measure) WHERE v > hi OR v < lo)
