@@ -7,6 +7,7 @@ from .packing import op3_packing
 from .pii import op2_pii
 from .quality import OP10_SQL, op10_quality
 from .simhash import op9_simhash
+from .substrings import OP4_SQL, op4_substrings
 from .toxicity import op6_toxicity
 from .wavelet import op8_wavelet
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
     "op3_packing": op3_packing,
+    "op4_substrings": op4_substrings,
     "op6_toxicity": op6_toxicity,
     "op8_wavelet": op8_wavelet,
     "op9_simhash": op9_simhash,
@@ -21,5 +23,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_substrings": OP4_SQL,
     "op10_quality": OP10_SQL,
 }
