@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .compaction import OP5_SQL, op5_compaction
 from .decontamination import op1_decontamination
+from .licenses import OP7_SQL, op7_licenses
 from .packing import op3_packing
 from .pii import op2_pii
 from .quality import OP10_SQL, op10_quality
@@ -16,7 +18,9 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op4_substrings": op4_substrings,
+    "op5_compaction": op5_compaction,
     "op6_toxicity": op6_toxicity,
+    "op7_licenses": op7_licenses,
     "op8_wavelet": op8_wavelet,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
@@ -24,5 +28,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_substrings": OP4_SQL,
+    "op5_compaction": OP5_SQL,
+    "op7_licenses": OP7_SQL,
     "op10_quality": OP10_SQL,
 }
