@@ -45,10 +45,10 @@ def pieces_of(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAP
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches):
-        encode = encoder(public_path(vocabulary)).encode
+        encode = encoder(public_path(vocabulary), END_ID).encode
         for batch in batches:
             for i, j in slices(batch.column(1), SLICE_BYTES):
-                ids, offsets = encode(batch.column(1).slice(i, j - i), END_ID)
+                ids, offsets = encode(batch.column(1).slice(i, j - i))
                 total = np.diff(offsets)
                 n = -(-total // capacity)
                 doc = np.repeat(np.arange(j - i), n)

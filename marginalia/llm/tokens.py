@@ -1,9 +1,9 @@
 """Token ids of texts by the tokenizers library.
 
-Both pre-tokenizers in use end a piece wherever white space follows something else, and keep no
-state across that place.  So a text is cut there, and its ids are those of its chunks in a row.
-Each distinct chunk is encoded once a worker; texts that hold white space beyond ASCII, where
-this cut could fall inside a piece, are encoded whole.
+The pre-tokenizers in use end a piece wherever white space follows something else and wherever an
+ASCII letter meets an ASCII mark or digit (but behind an apostrophe), and keep no state across these places.  So a
+text is cut there, and its ids are those of its chunks in a row.  Each distinct chunk is encoded once a
+worker; texts with characters for which this does not hold are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,98 +15,117 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .words import SPACE, buffer_of
+from .words import LOWER, SPACE, buffer_of, byte_set
 
-#: White space of the pre-tokenizers' patterns beyond ASCII.
-WIDE_SPACE = "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+#: White space of the pre-tokenizers' patterns beyond ASCII, and marks that a normalizer may join with the letter before.
+WHOLE = "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{300}-\\x{36F}]"
+LETTER = byte_set((0x41, 0x5A), (0x61, 0x7A))
+MARK = byte_set((0x21, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+#: Marks behind which a letter may belong to the same piece.
+APOSTROPHE = byte_set((0x27, 0x27))
 #: Distinct chunks that a worker remembers; beyond that it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Chunks given to the library in one call.
 CALL = 20_000
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 12 << 20
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """The ids of chunk k are ids[ends[k]:ends[k + 1]]; chunk 0 is the end of a text."""
+
+    def __init__(self, path: str, end: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.end = end
+        # White space before a piece and the case of ASCII letters matter only if the library keeps them.
+        same = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (" Az", "az")]
+        self.plain = same[0] == same[1]
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, dtype=np.uint32)
-        self.ends = np.zeros(1 << 18, dtype=np.int64)
+        self.used = 1
+        self.ids = np.full(1 << 20, self.end, dtype=np.uint32)
+        self.ends = np.zeros(1 << 18, dtype=np.int32)
+        self.ends[1] = 1
 
     def _learn(self, chunks: list[str]) -> None:
         for at in range(0, len(chunks), CALL):
             part = chunks[at : at + CALL]
             made = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             counts = np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(part))
-            n = len(self.known)
-            used = int(self.ends[n - 1]) if n else 0
-            while used + len(made.ids) > len(self.ids):
+            n = len(self.known) + 1
+            while self.used + len(made.ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + len(part) > len(self.ends):
+            while n + len(part) >= len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.ids[used : used + len(made.ids)] = made.ids
-            self.ends[n : n + len(part)] = used + np.cumsum(counts)
+            self.ids[self.used : self.used + len(made.ids)] = made.ids
+            self.ends[n + 1 : n + 1 + len(part)] = self.used + np.cumsum(counts)
+            self.used += len(made.ids)
             self.known.update(zip(part, range(n, n + len(part)), strict=True))
 
-    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, with the id `end` after each, and their offsets; nulls are empty."""
-        texts = pc.fill_null(texts, "")
-        wide = np.asarray(pc.match_substring_regex(texts, WIDE_SPACE))
+    def _chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all texts and where each text's start."""
         buf, offsets = buffer_of(texts)
-        inside = ~SPACE[buf]
-        cut = np.zeros(len(buf) + 1, dtype=bool)
-        cut[1:-1] = inside[:-1] & ~inside[1:] if len(buf) else False
+        n = len(buf)
+        space, letter, mark = SPACE[buf], LETTER[buf], MARK[buf]
+        cut = np.zeros(n + 1, dtype=bool)
+        if n:
+            cut[1:-1] = (~space[:-1] & space[1:]) | (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:] & ~APOSTROPHE[buf[:-1]])
+            if self.plain:
+                cut[1:-1] |= space[:-1] & ~space[1:]
         cut[offsets] = True
         cut[-1] = False
         at = np.flatnonzero(cut)
         first = np.searchsorted(at, offsets)
-        bounds = np.append(at, len(buf)).astype(np.int32)
-        chunks = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(buf)))
-        if wide.any():
-            plain = np.repeat(~wide, np.diff(first))
-            chunks = pc.if_else(pa.array(plain), chunks, pa.scalar(None, pa.string()))
+        if self.plain:
+            buf = LOWER[buf]
+            kept = ~space[at]
+            ends = np.append(at[1:], n)
+            keep = np.zeros(len(at) + 1, dtype=np.int64)
+            np.cumsum(kept, out=keep[1:])
+            first = keep[first]
+            # Chunks of white space have no ids: the bytes of the others are moved together.
+            buf = buf[~space]
+            bounds = np.append(0, np.cumsum((ends - at)[kept])).astype(np.int32)
+        else:
+            bounds = np.append(at, n).astype(np.int32)
+        return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(buf))), first
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, with the end id after each, and their offsets; nulls are empty."""
+        texts = pc.fill_null(texts, "")
+        whole = np.asarray(pc.match_substring_regex(texts, WHOLE))
+        odd = texts.filter(pa.array(whole)).to_pylist()
+        if odd:
+            texts = pc.if_else(pa.array(whole), "", texts)
+        chunks, first = self._chunks(texts)
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) + len(distinct) > REMEMBERED:
             self._forget()
-        self._learn([c for c in distinct if c not in self.known])
         known = self.known
-        place = np.fromiter((known[c] for c in distinct), dtype=np.int64, count=len(distinct))
-        # One more chunk after each text, for its end.
-        starts = np.append(np.where(place > 0, self.ends[place - 1], 0), 0)
-        sizes = np.append(self.ends[place] - starts[:-1], 0)
-        codes = np.asarray(coded.indices.fill_null(len(distinct)), dtype=np.int64)
-        size = sizes[codes]
-        total = np.zeros(len(codes) + 1, dtype=np.int64)
-        np.cumsum(size, out=total[1:])
-        ids = self.ids[np.repeat(starts[codes] - total[:-1], size) + np.arange(total[-1])]
-        out_offsets = total[first]
-        ids = np.insert(ids, out_offsets[1:], end) if len(texts) else ids
-        out_offsets = out_offsets + np.arange(len(out_offsets))
-        if wide.any():
-            parts, lengths = [], []
-            for d in range(len(texts)):
-                own = ids[out_offsets[d] : out_offsets[d + 1]]
-                if wide[d]:
-                    own = np.array([*self.tokenizer.encode(texts[d].as_py(), add_special_tokens=False).ids, end], dtype=np.uint32)
-                parts.append(own)
-                lengths.append(len(own))
-            ids = np.concatenate(parts)
-            out_offsets = np.concatenate([[0], np.cumsum(lengths)])
-        return ids.astype(np.uint32, copy=False), out_offsets
+        self._learn([c for c in distinct if c not in known])
+        place = np.fromiter(map(known.__getitem__, distinct), dtype=np.int32, count=len(distinct))
+        codes = np.insert(place[np.asarray(coded.indices)], first[1:], 0)
+        first = first + np.arange(len(first))
+        lists = pa.ListArray.from_arrays(pa.array(self.ends[: len(known) + 2]), pa.array(self.ids[: self.used])).take(pa.array(codes))
+        ids, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets).astype(np.int64)[first]
+        if odd:
+            parts = [ids[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            for d, text in zip(np.flatnonzero(whole), odd, strict=True):
+                parts[d] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end], dtype=np.uint32)
+            ids, offsets = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+        return ids, offsets
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, end: int) -> Encoder:
+    return Encoder(path, end)
 
 
 def public_path(name: str) -> str:

@@ -32,7 +32,7 @@ from .words import slices
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text of a shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 #: Bits of a block of the rank directory.
 BLOCK = 512
 MAGIC = b"WMATRIX1"
@@ -187,11 +187,11 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, sha
     dealt = docs.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches):
-        encode = encoder(public_path(vocabulary)).encode
+        encode = encoder(public_path(vocabulary), END_ID).encode
         ids, counts, names, nulls = [], [], [], []
         for batch in batches:
             for i, j in slices(batch.column(1), SLICE_BYTES):
-                made, offsets = encode(batch.column(1).slice(i, j - i), END_ID)
+                made, offsets = encode(batch.column(1).slice(i, j - i))
                 ids.append(made.astype(np.uint16) if made.max() < 1 << 16 else made)
                 counts.append(np.diff(offsets))
                 name = batch.column(0).slice(i, j - i)
