@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import markdown, retrieval
+
 FLAGSHIP = "bm25_top_k"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+_PARTS = (retrieval, markdown)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
