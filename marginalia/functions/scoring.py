@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def token_count(text_tokens: Column, query_tokens: Column) -> Column:
@@ -31,7 +32,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(n > 0, _common(a, b) / n).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The matching-blocks ratio of two strings (difflib); 0 where one is null."""
     from difflib import SequenceMatcher

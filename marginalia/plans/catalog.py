@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import markdown, retrieval
+from . import library, markdown, quality, retrieval
 
 FLAGSHIP = "bm25_top_k"
-_PARTS = (retrieval, markdown)
+_PARTS = (retrieval, markdown, library, quality)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
