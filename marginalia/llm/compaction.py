@@ -140,15 +140,18 @@ class ShardStore:
             self._fs.delete(self._path("manifests", f"{v:08d}.json"), False)
 
 
-def arrivals_of(docs: DataFrame, n: int = ARRIVALS, column: str = "arrival_number") -> DataFrame:
-    """docs as n arrivals by doc_id; a null doc_id arrives with the first."""
+def arrivals_of(docs: DataFrame, column: str, n: int = ARRIVALS) -> DataFrame:
+    """docs as n arrivals by doc_id, numbered in a new column; a null doc_id arrives with the first."""
     return docs.withColumn(column, F.coalesce(F.pmod("doc_id", F.lit(n)), F.lit(0)).cast("int"))
 
 
 def compacted(docs: DataFrame) -> ShardStore:
     """A store of docs that came in ARRIVALS arrivals, compacted."""
     store = ShardStore(docs.sparkSession, fresh_dir(docs.sparkSession, "store"), docs.schema)
-    store.append(arrivals_of(docs), "arrival_number")
+    column = "arrival"
+    while column in {c.lower() for c in docs.columns}:
+        column += "_"
+    store.append(arrivals_of(docs, column), column)
     store.compact()
     return store
 

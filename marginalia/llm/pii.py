@@ -43,7 +43,7 @@ PATTERN = re.compile(
     (?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
   | (?P<secret>(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9]))
-  | (?P<card>(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))
+  | (?P<card>(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]))
   | (?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|(?<![0-9A-Za-z])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]))
   | (?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))
   | (?P<ip>(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9]))
@@ -131,7 +131,10 @@ def _iban(text, turn):
     plain = text.replace(" ", "")
     country, check, body = plain[:2], plain[2:4], plain[4:]
     if not 15 <= len(plain) <= 34 or _iban_check(country, body) != check:
-        return None
+        # What follows in capitals may be another word.
+        head, _, rest = text.rpartition(" ")
+        made = _iban(head, turn) if head else None
+        return made and f"{made} {rest}"
     body = _mixed(body, turn)
     return _refill(text, country + _iban_check(country, body) + body)
 

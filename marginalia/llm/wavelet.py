@@ -162,8 +162,8 @@ def from_bytes(data) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray]
     for name, kind, size in header["sections"]:
         found[name] = np.frombuffer(data, dtype=kind, count=size, offset=at)
         at += found[name].nbytes
-    planes = header["planes"]
-    matrix = WaveletMatrix(header["n"], found["bits"].reshape(planes, -1), found["ranks"].reshape(planes, -1), found["alphabet"])
+    bits, ranks = (found[k].reshape(header["planes"], -1) if header["planes"] else found[k].reshape(0, 0) for k in ("bits", "ranks"))
+    matrix = WaveletMatrix(header["n"], bits, ranks, found["alphabet"])
     return matrix, found["doc_ids"], found["doc_null"].astype(bool), found["starts"]
 
 

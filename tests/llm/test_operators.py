@@ -1,0 +1,370 @@
+"""Each operator on odd rows, against brute force, and on empty tables."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from marginalia.llm import compaction, decontamination, licenses, packing, pii, quality, simhash, substrings, toxicity, wavelet
+from marginalia.llm.components import connected_components
+from marginalia.llm.tokens import public_path
+
+from .helpers import PASSAGE, components, empty_docs, fingerprint, odd_docs, odd_rows, prose, removed
+
+
+def collected(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (5, 4), (4, 6), (7, 7)] + [(100, i) for i in range(101, 160)] + [(i, i + 1) for i in range(200, 260)]
+    got = dict(collected(connected_components(spark.createDataFrame(edges, "a long, b long"))))
+    assert (got[3], got[6], got[159], got[260], 7 in got) == (1, 4, 100, 200, False)
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 1: decontamination
+
+
+def test_decontamination_finds_exact_and_edited(spark):
+    item = prose(40, 21)
+    edited = item.split()
+    for i in (5, 14, 23, 31):
+        edited[i] = "other"
+    del edited[18]
+    rows = [(1, prose(50, 30) + " " + re.sub("[a-z]", lambda m: m.group().upper(), item) + " " + prose(50, 31)), (2, prose(80, 32) + " " + " ".join(edited)), (3, prose(200, 33)), (None, item), (5, None), (6, ""), (2, " ".join(edited))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, "too short"), (None, None), (9, prose(30, 40))], "item_id long, text string")
+    got = decontamination.contamination(docs, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in got) == [(0, 7), (1, 7), (2, 7), (2, 7)]
+    exact = next(r for r in got if r["doc_id"] == 1)
+    n = len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", prose(50, 30).lower()))
+    m = len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", item.lower()))
+    assert (exact["score"], exact["first_word"], exact["last_word"]) == (1.0, n, n + m - 1)
+    kept = decontamination.without_contaminated(docs, bench)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 6]
+
+
+def test_seeds_of_an_item_in_many_documents(spark):
+    item = prose(30, 22)
+    docs = spark.createDataFrame([(i, prose(20, i) + " " + item) for i in range(60)] + [(100, prose(60, 500))], "doc_id long, text string")
+    got = decontamination.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(60))
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK", 2)
+    items = [(i, prose(30, 60 + i)) for i in range(5)]
+    docs = spark.createDataFrame([(i, prose(20, i) + " " + t) for i, t in items], "doc_id long, text string")
+    got = decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(i, i) for i in range(5)]
+
+
+def test_smith_waterman_against_a_table():
+    def plain(a, b):
+        h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+        return max(map(max, h))
+
+    rng = np.random.default_rng(3)
+    pairs = [(rng.integers(1, 5, rng.integers(1, 12)).astype(np.uint64), rng.integers(1, 5, rng.integers(1, 20)).astype(np.uint64)) for _ in range(150)]
+    assert decontamination.align(pairs)[0].tolist() == [plain(a.tolist(), b.tolist()) for a, b in pairs]
+
+
+# 2: personal data
+
+
+def test_permutation_is_one():
+    for size in (1, 2, 10, 26, 999):
+        made = [pii.permute(i, size, b"k", "x") for i in range(size)]
+        assert sorted(made) == list(range(size))
+        assert [pii.permute(v, size, b"k", "x", back=True) for v in made] == list(range(size))
+
+
+def test_pseudonyms_keep_formats_and_links():
+    text = "a.B7@ex.org 4111 1111 1111 1111 4111111111111111 10.0.0.1 (555) 123-4567 555-123-4567 2024-02-29 29/02/2024 02/29/2024 GB82 WEST 1234 5698 7654 32 123-45-6789"
+    made, found = pii.pseudonymize(text, b"k")
+    assert found == {"email": 1, "card": 2, "ip": 1, "phone": 2, "date": 3, "iban": 1, "ssn": 1}
+    assert re.sub(r"\d", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", made))) == re.sub(r"\d", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", text)))
+    assert pii.reveal(made, b"k") == text and made != text
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", made).group().replace(" ", "")
+    assert card in made.split() and pii._luhn(card[:-1]) == card[-1]
+    iso, dmy, mdy = re.findall(r"\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}", made)
+    assert iso.split("-") == [dmy.split("/")[2], dmy.split("/")[1], dmy.split("/")[0]] == [mdy.split("/")[2], mdy.split("/")[0], mdy.split("/")[1]]
+    untouched = "1234567890123456 2023-02-30 999.1.1.1 version 2.0. 000-12-3456 4.0. GB83 WEST 1234 5698 7654 32"
+    assert pii.pseudonymize(untouched, b"k") == (untouched, {})
+
+
+def test_pii_on_odd_rows(spark):
+    docs = odd_docs(spark)
+    got = pii.with_pseudonyms(docs, b"k")
+    assert got.columns == docs.columns
+    before, after = (sorted(map(repr, collected(d.select("doc_id", "text").where("text is null or text not like 'mail%'")))) for d in (docs, got))
+    assert before == after
+    row = pii.with_pseudonyms(docs, b"k", counted=True).where("doc_id = 12").first()
+    assert (row["n_email"], row["n_card"], row["n_ip"], row["n_phone"], row["n_date"]) == (1, 1, 1, 1, 1)
+    assert pii.with_pseudonyms(empty_docs(spark), b"k").count() == 0
+
+
+# 3: packing
+
+
+def test_packing_on_odd_rows(spark):
+    got = packing.pack_documents(odd_docs(spark), with_ids=True).collect()
+    tok = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    want = Counter((r[0], tuple([*tok.encode(r[1] or "", add_special_tokens=False).ids, 0])) for r in odd_rows())
+    by_sequence, pieces = {}, Counter()
+    for r in got:
+        assert r["length"] == len(r["ids"]) <= 2048 and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces[r["doc_id"], r["piece"], r["start"], tuple(r["ids"])] += 1
+    for own in by_sequence.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    made = Counter()
+    for (doc, ids), n in want.items():
+        first = len(ids) - 2048 * (-(-len(ids) // 2048) - 1)
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            made[doc, k, a, ids[a:b]] += n
+    assert pieces == made
+    assert packing.pack_documents(empty_docs(spark)).count() == 0
+
+
+def test_plan_is_tight_and_whole():
+    rng = np.random.default_rng(2)
+    for counts in ({100: 1}, {1: 5000}, {2048: 3, 700: 5}, {1025: 4, 1023: 4, 683: 7, 682: 9}, dict(Counter(rng.integers(1, 2049, 5000).tolist())), dict(Counter((rng.gamma(2, 300, 20000).astype(int) % 2048 + 1).tolist()))):
+        filled, large, items = {}, Counter(), Counter()
+        for size, rank, n, each, first, at in packing.plan(counts):
+            for j in range(n):
+                s, o = first + j // each, at + j % each * size
+                filled.setdefault(s, []).append((o, size))
+                large[s] += 3 * size > 2048
+                items[size, rank + j] += 1
+        assert set(items.values()) == {1} and Counter(s for s, _ in items) == Counter(counts)
+        for own in filled.values():
+            at = 0
+            for o, size in sorted(own):
+                assert o == at
+                at += size
+            assert at <= 2048
+        assert max(large.values(), default=0) <= 2
+        if len(counts) > 100:
+            assert len(filled) <= 1.02 * sum(s * n for s, n in counts.items()) / 2048 + max(large.values())
+
+
+# 4: repeated passages
+
+
+def test_substrings_against_brute_force(spark):
+    rows = odd_rows()
+    want = Counter((r[0], *w) for r, w in zip(rows, removed([r[1] for r in rows]), strict=True))
+    got = substrings.deduplicate(odd_docs(spark))
+    assert Counter(collected(got.select("doc_id", "n_words", "n_removed", "kept_sha256"))) == want
+    assert substrings.deduplicate(empty_docs(spark)).count() == 0
+
+
+def test_substrings_at_every_alignment(spark):
+    """Passages of just 35 words at all shifts are found, those of 34 are not."""
+    texts = []
+    for k in range(25):
+        p = prose(35, 700 + k)
+        texts += [prose(k, 800 + k) + " " + p + " " + prose(9, 900 + k), prose(40 - k, 950 + k) + " " + p]
+        q = prose(34, 1000 + k)
+        texts += [prose(k + 3, 1100 + k) + " " + q + " x" + str(k), q + " y" + str(k) + " " + prose(20, 1200 + k)]
+    texts += [PASSAGE + " mid " + PASSAGE, "r " * 60]
+    got = substrings.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7), with_text=True)
+    have = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()}
+    assert [have[i] for i in range(len(texts))] == removed(texts)
+
+
+# 5: compaction
+
+
+def test_compaction_keeps_rows_and_commits_whole(spark, tmp_path):
+    docs = odd_docs(spark)
+    store = compaction.compacted(docs)
+    assert sorted(map(repr, collected(store.read().select(docs.columns)))) == sorted(map(repr, collected(docs)))
+    assert max(Counter(r.tier for r in store.runs()).values()) < compaction.FAN
+    before = store.runs()
+    other = compaction.ShardStore(spark, store.folder, docs.schema)
+    version = other.commit(before)
+    assert store.versions()[-1] == version and store.runs() == before
+    store.versions = lambda: other.versions()[:-1]  # as a writer that has not seen it
+    with pytest.raises(compaction.Conflict):
+        store.commit(before)
+    assert compaction.compacted(empty_docs(spark)).read().count() == 0
+
+
+# 6: toxicity
+
+
+def _toxic_tables(spark, n=240):
+    rows = [(i, prose(40, 5000 + i) + (" vile rotten" if i % 4 == 0 else "") + " " + prose(20, 9000 + i), "en" if i % 2 else "de") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(n)] + [(0, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+
+
+def test_toxicity_learns_and_leaves_held_out_rows(spark, monkeypatch):
+    docs, labels = _toxic_tables(spark)
+    sample = toxicity.labelled_sample(docs, labels)
+    texts = {r["text"]: r["doc_id"] for r in docs.collect()}
+    assert sample and all(zlib.crc32(str(texts[t]).encode()) % 3 != 1 for t, _, _ in sample)
+    got = toxicity.toxicity(docs, labels).collect()
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    right = sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held)
+    assert right >= 0.95 * len(held) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+
+
+def test_toxicity_on_odd_rows(spark):
+    docs, labels = _toxic_tables(spark)
+    model = toxicity.fit(docs, labels)
+    odd = odd_docs(spark)
+    scored = toxicity.with_score(odd.drop("score"), model)
+    assert scored.count() == len(odd_rows()) and scored.where("score is null").count() == 0
+    kept = toxicity.without_toxic(odd, labels.where("doc_id > 1000"))
+    assert kept.columns == odd.columns and kept.count() == len(odd_rows())  # no labels: nothing is learnt, nothing rejected
+    assert toxicity.toxicity(empty_docs(spark), labels).count() == 0
+
+
+# 7: licenses
+
+
+def test_licenses(spark):
+    texts = {
+        1: "Licensed under CC BY-NC 4.0. All rights reserved. GNU General Public License",
+        2: "cc\nby cc-by CC  BY ccby cc, by",
+        3: "Released under the MIT License. all rights  not reserved",
+        4: "licensed, under the Apache license in version 2.0",
+        5: "KK cc byé general public",
+        6: None,
+        7: "",
+        None: "all rights reserved " * 500,
+    }
+    docs = spark.createDataFrame(list(texts.items()) + [(1, texts[1])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.licenses(docs).collect()}
+    assert licenses.licenses(docs).count() == len(texts) + 1
+    r = got[1]
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) == (14, 3, 2, 11, "cc-by,gpl,reserved", "cc-by,cc-by-nc,gpl,reserved", 1.0)
+    assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"]) == (4, 0, 7)
+    assert (got[3]["base_labels"], got[3]["labels"]) == ("", "mit")
+    assert (got[4]["labels"], got[4]["score"] < 1) == ("apache", True)
+    assert (got[5]["n_base"], got[6]["n_words"], got[7]["labels"]) == (0, 0, "")
+    assert (got[None]["n_base"], got[None]["last_word"]) == (500, 1497)
+    assert licenses.licenses(odd_docs(spark)).count() == len(odd_rows())
+    assert licenses.licenses(empty_docs(spark)).count() == 0
+
+
+# 8: wavelet shards
+
+
+def test_wavelet_answers():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 511, 512, 513, 3000):
+        ids = (rng.integers(0, 200, n) ** 2).astype(np.uint32)
+        m, *_ = wavelet.from_bytes(wavelet.to_bytes(wavelet.WaveletMatrix.build(ids), np.zeros(0), np.zeros(0), np.zeros(1)))
+        assert np.array_equal(m.decode(), ids) and m.count(3) == 0 and m.select(3, 0) == -1
+        for i in range(0, n, 61):
+            t = int(ids[i])
+            k = m.rank(t, i)
+            assert (m.access(i), k, m.select(t, k), m.count(t)) == (t, (ids[:i] == t).sum(), i, (ids == t).sum())
+
+
+def test_wavelet_shards_on_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(wavelet, "SHARD_BYTES", 50_000)
+    got = sorted(collected(wavelet.token_shards(odd_docs(spark))), key=lambda r: r[1])
+    tok = Tokenizer.from_file(public_path("word_bpe_49k.json"))
+    tok.encode_special_tokens = True
+    want = Counter()
+    for doc, text, *_ in odd_rows():
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want[doc, len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert Counter((d, n, c) for d, _, n, c in got) == want
+    at = 0
+    for _, start, n, _ in got:
+        assert start == at
+        at += n
+    order = [-1 if d is None else d for d, *_ in got]
+    assert order == sorted(order)
+    assert wavelet.token_shards(empty_docs(spark)).count() == 0
+
+
+# 9: SimHash
+
+
+def test_simhash_on_odd_rows(spark):
+    rows = odd_rows()
+    fps = [fingerprint(r[1]) for r in rows]
+    comp = components(fps)
+    low = {}
+    for r, c in zip(rows, comp, strict=True):
+        low[c] = min((x for x in (low.get(c), r[0]) if x is not None), default=None)
+    want = Counter((r[0], f"{f:016x}", low[c]) for r, f, c in zip(rows, fps, comp, strict=True))
+    got = simhash.near_duplicates(odd_docs(spark))
+    assert Counter(collected(got.select("doc_id", "fingerprint", "component_id"))) == want
+    kept = simhash.one_of_each_group(odd_docs(spark))
+    assert kept.columns == odd_docs(spark).columns and kept.count() == len(set(comp))
+    assert simhash.near_duplicates(empty_docs(spark)).count() == 0
+    assert simhash.one_of_each_group(empty_docs(spark)).count() == 0
+
+
+def test_simhash_links_are_exact_in_tiles(spark, monkeypatch):
+    """Chains and dense groups of fingerprints, in cells that are cut into small tiles."""
+    monkeypatch.setattr(simhash, "TILE", 8)
+    rng = np.random.default_rng(4)
+    fps = set()
+    for _ in range(12):
+        centre = int(rng.integers(0, 2**63)) * 2
+        for _ in range(40):
+            fps.add(centre ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 5))))
+            centre ^= 1 << int(rng.integers(0, 64)) if rng.random() < 0.2 else 0
+    fps = sorted(fps)
+    comp = components(fps)
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    rows = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    got = {r["fp"]: r["component_id"] for r in simhash.groups(rows).collect()}
+    low = {}
+    for i, c in enumerate(comp):
+        low.setdefault(c, i)
+    assert [got[f] for f in signed] == [low[c] for c in comp]
+
+
+# 10: quality
+
+
+def test_quality_counts(spark):
+    docs = spark.createDataFrame([(1, "a b c a b c a\n#x\n\n#x\n $", "en", "s"), (2, None, None, None), (3, "é" * 3, "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    r = got[1]
+    assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) == (10, 12, 3, 1, 7, True, False)
+    assert (got[2]["n_words"], got[3]["word_chars"]) == (0, 3)
+
+
+def test_quality_keeps_clean_and_drops_noise(spark):
+    rows = [(i, prose(100, 3000 + i), "en", f"s{i % 2}") for i in range(200)] + [(1000 + i, " ".join(w + "%%%" for w in prose(80, 4000 + i).split()), "en", "s0") for i in range(5)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(5))
+    assert quality.quality(odd_docs(spark)).count() == len(odd_rows())
+    assert quality.quality(empty_docs(spark)).count() == 0
+
+
+def test_quartiles_are_within_a_bucket(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    values = (rng.lognormal(5, 1.5, 4000)).astype(int)
+    df = spark.createDataFrame([("en", "s", *[int(v)] * len(quality.MEASURES)) for v in values], "lang_key string, source_key string, " + ", ".join(f"{m} long" for m in quality.MEASURES))
+    row = quality.quartiles(quality.sketches(df), "lang_key", "source_key").where(F.col("measure") == "symbols").first()
+    for k in (1, 2, 3):
+        true = sorted(values)[-(-len(values) * k // 4) - 1]
+        assert row[f"q{k}"] <= true <= row[f"q{k}"] * (1 + 1 / 31) + 1
