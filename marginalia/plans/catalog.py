@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import library, markdown, quality, retrieval, streams
+from . import library, markdown, quality, retrieval, streams, taxonomy
 
 FLAGSHIP = "bm25_top_k"
-_PARTS = (retrieval, markdown, library, quality, streams)
+_PARTS = (retrieval, markdown, library, quality, taxonomy, streams)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
