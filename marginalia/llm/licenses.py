@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import documents
+from .storage import cut, documents
 
 #: The phrases whose places are counted, and their labels.
 BASE = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
@@ -79,7 +79,7 @@ def spans(voted: DataFrame) -> DataFrame:
 def licenses(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     docs = docs.select("doc_id", "text")
-    voted = votes(docs)
+    voted = cut(votes(docs))  # read twice below
     whole = voted.where(F.col("is_base") & (F.size("ts") == F.col("grams"))).select("a", "b", "label", F.lit(1.0).alias("share"), F.col("diagonal").alias("start"))
     near = spans(voted.where("not is_base")).select("a", "b", "label", "share", F.lit(None).cast("int").alias("start"))
     found = whole.union(near).groupBy("a", "b").agg(
