@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring, text
+from ..functions import text
 
 
 def segments(answers: DataFrame, key: str = "answer_id", body: str = "text") -> DataFrame:
@@ -63,4 +63,34 @@ def focus_score(body: Column, title: Column, phrases: list[str]) -> Column:
     return F.least(total, F.lit(18.0))
 
 
-__all__ = ["best_blocks", "claim_groups", "focus_score", "hit_level", "level_summary", "overview", "scoring", "segments"]
+def atoms(blocks: DataFrame, doc: str = "doc_id", most: int = 10) -> DataFrame:
+    """Sentences of blocks as atoms with an id and their citation numbers; at most `most` a block."""
+    out = blocks.select(doc, "block_id", "order_index", F.posexplode(F.slice(text.sentences("text"), 1, most)).alias("n", "sentence"))
+    return out.select(doc, "block_id", "order_index", F.concat_ws("#", "block_id", "n").alias("atom_id"), "sentence", text.inline_citations("sentence").alias("refs"))
+
+
+def section_map(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The first sentence under each heading path of a document, in order."""
+    found = blocks.select(doc, "heading_path", "order_index", F.get(text.sentences("text"), F.lit(0)).alias("sentence")).where("sentence is not null")
+    first = found.groupBy(doc, "heading_path").agg(F.min_by("sentence", "order_index").alias("sentence"), F.min("order_index").alias("order_index"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy("order_index")))
+
+
+def richer(a: Column, b: Column, by: int = 12) -> Column:
+    """Of two values the first, unless it is empty or the second is longer by `by` characters."""
+    return F.when(F.coalesce(a, F.lit("")) == "", b).when(F.length(b) >= F.length(a) + by, b).otherwise(a)
+
+
+def with_task(files: DataFrame, tasks: DataFrame) -> DataFrame:
+    """files: path, name.  tasks: path, name, state, at.  The last task of each file: by path, else by name."""
+    by_path = tasks.where("path is not null").groupBy(F.col("path").alias("_p")).agg(F.max_by("state", "at").alias("by_path"))
+    by_name = tasks.groupBy(F.col("name").alias("_n")).agg(F.max_by("state", "at").alias("by_name"))
+    out = files.join(by_path, F.col("path") == F.col("_p"), "left").join(by_name, F.col("name") == F.col("_n"), "left")
+    return out.withColumn("state", F.coalesce("by_path", "by_name", F.lit("idle"))).drop("_p", "_n", "by_path", "by_name")
+
+
+def strict_identity(hits: DataFrame, *by: str) -> DataFrame:
+    """hits: block_id, anchor_id, heading.  Candidates, those with all identities, and what the others lack."""
+    missing = F.concat_ws("+", *[F.when(F.coalesce(F.col(c), F.lit("")) == "", c) for c in ("block_id", "anchor_id", "heading")])
+    out = hits.withColumn("missing", missing)
+    return out.groupBy(*by).agg(F.count("*").alias("candidates"), F.count_if(F.col("missing") == "").alias("strict"), F.array_join(F.sort_array(F.collect_set(F.nullif("missing", F.lit("")))), ",").alias("reasons"))
