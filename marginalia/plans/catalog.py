@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cleanup, evidence, library, markdown, quality, retrieval, streams, taxonomy
+from . import answers, cleanup, evidence, library, markdown, quality, retrieval, streams, taxonomy
 
 FLAGSHIP = "bm25_top_k"
-_PARTS = (retrieval, markdown, library, quality, evidence, cleanup, taxonomy, streams)
+_PARTS = (retrieval, markdown, library, quality, evidence, answers, cleanup, taxonomy, streams)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
