@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .storage import cut, documents
 from .tokens import SLICE_BYTES, encoder, public_path
-from .words import slices
+from .words import bounded, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -63,8 +63,10 @@ def pieces_of(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAP
                 if with_ids:
                     made.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)).astype(np.int32)), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(made, names=[f.name for f in fields])
+        encoder.cache_clear()  # the worker goes on to other tasks
+        pa.default_memory_pool().release_unused()
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
+    return bounded(docs.select("doc_id", "text")).mapInArrow(run, T.StructType(fields))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -24,11 +24,11 @@ MARK = byte_set((0x21, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 #: Marks behind which a letter may belong to the same piece.
 APOSTROPHE = byte_set((0x27, 0x27))
 #: Distinct chunks that a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Chunks given to the library in one call.
 CALL = 20_000
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 
 class Encoder:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .storage import cut, documents, fresh_dir
 from .tokens import SLICE_BYTES, encoder, public_path
-from .words import slices
+from .words import bounded, slices
 
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
@@ -205,7 +205,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, sha
         _put(folder, f"shard-{shard:06d}.wm", to_bytes(WaveletMatrix.build(ids), np.concatenate(names), np.concatenate(nulls), starts))
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(counts)], pa.int64()), pa.array([len(ids)], pa.int64())], names=["shard", "n_docs", "n_tokens"])
 
-    shards = cut(dealt.mapInArrow(run, "shard long, n_docs long, n_tokens long"))
+    shards = cut(bounded(dealt).mapInArrow(run, "shard long, n_docs long, n_tokens long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

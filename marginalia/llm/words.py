@@ -15,8 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Bytes of text that are worked on at a time; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that are worked on at a time; a longer text is a slice of its own.  Two workers of an executor share some hundred MB.
+SLICE_BYTES = 2 << 20
+
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = "16m"
 
 U64 = np.uint64
 _BYTE_BASE = 0x9E3779B97F4A7C15
@@ -165,6 +168,12 @@ def words_of(column: pa.Array, separators: np.ndarray = SPACE, lower: bool = Fal
     return Words(*buffer_of(column, lower), separators)
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, with the batches that go to Python workers bounded in bytes."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
+
 def per_slice(docs: DataFrame, column: str, work: Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
     """Applies `work` to slices of the Arrow batches of docs; it gets the slice and its text column."""
 
@@ -176,8 +185,9 @@ def per_slice(docs: DataFrame, column: str, work: Callable[[pa.RecordBatch, pa.A
                 out = work(part, texts.slice(i, j - i))
                 if out is not None:
                     yield out
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def with_columns(docs: DataFrame, column: str, work: Callable[[pa.RecordBatch, pa.Array], dict[str, pa.Array]], new: dict[str, T.DataType]) -> DataFrame:
