@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import documents, fresh_dir
-from .words import _WORD_BASE, U64, Words, _span_hash, _sums, as_long, mix, slices, with_columns, words_of
+from .storage import documents, written
+from .words import _WORD_BASE, U64, Words, _span_hash, _sums, as_long, bounded, mix, slices, with_columns, words_of
 
 LENGTH = 35
 PERIOD = 21
@@ -61,22 +61,24 @@ class _Task:
         use = times[text] < 2
         text, place, hash_, check = text[use], place[use], hash_[use], check[use]
         order = np.argsort(hash_, kind="stable")
-        text, place, hash_, check = text[order], place[order], hash_[order], check[order]
-        same = (hash_[1:] == hash_[:-1]) & (check[1:] == check[:-1])
-        again = np.append(False, same)
-        twice = again | np.append(same, False) | (times[text] == 1)
+        same = (hash_[order[1:]] == hash_[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
+        again, twice = np.zeros(len(order), dtype=bool), times[text] == 1
+        again[order[1:]] = same
+        twice[order[1:]] |= same
+        twice[order[:-1]] |= same
         known = np.isin(hash_, self.told)
         kind = np.where(twice | known, np.where(again | known, SETTLED, TELLS), ASKS)
         self.told = np.union1d(self.told, hash_[kind == TELLS])
         doc = keys[text]
+        # The rows stay in the order of the documents, in which a shuffle's blocks compress better.
         key = np.where(kind == SETTLED, mix(doc + place.astype(np.uint64)), hash_)
         tag = (check >> U64(32) << U64(32)) | (place.astype(np.uint64) << U64(2)) | kind.astype(np.uint64)
         return pa.RecordBatch.from_arrays([pa.array(as_long(key)), pa.array(as_long(doc)), pa.array(as_long(tag))], names=["key", "doc", "tag"])
 
 
-def _hashed(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the windows of k words from each place on."""
-    return tuple(_span_hash(_sums(mix(hashes + U64(s)) if s else hashes, _WORD_BASE), at, at + k, _WORD_BASE) for s in (0, 0x5851F42D4C957F2D))
+def _hash(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the windows of k words from each place on."""
+    return _span_hash(_sums(hashes, _WORD_BASE), at, at + k, _WORD_BASE)
 
 
 def _anchors(batches):
@@ -90,7 +92,7 @@ def _anchors(batches):
             last = words.counts[text] - ANCHOR
             at = np.flatnonzero(np.isin(place % PERIOD, COVER) & (place <= last) & (words.counts[text] >= LENGTH))
             if len(at):
-                yield task.rows(doc_keys(words, hashes), text[at], place[at], *_hashed(hashes, at, ANCHOR))
+                yield task.rows(doc_keys(words, hashes), text[at], place[at], _hash(hashes, at, ANCHOR), np.zeros(len(at), dtype=np.uint64))  # a false anchor costs work only
 
 
 def _windows(batches):
@@ -111,7 +113,7 @@ def _windows(batches):
             place = np.arange(len(words)) - words.first[text]
             at = np.flatnonzero((np.cumsum(change)[:-1] > 0) & (place <= words.counts[text] - LENGTH))
             if len(at):
-                yield task.rows(doc_keys(words, hashes), text[at], place[at], *_hashed(hashes, at, LENGTH))
+                yield task.rows(doc_keys(words, hashes), text[at], place[at], _hash(hashes, at, LENGTH), _hash(mix(hashes + U64(0x5851F42D4C957F2D)), at, LENGTH))
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -145,16 +147,13 @@ def _kept(places, words: Words, d: int, data: bytes, start: np.ndarray, end: np.
 
 def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (and the kept words as text)."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    anchors = _repeated(docs.select("text").where(F.length("text") > 2 * (LENGTH - 1)).mapInArrow(_anchors, _ROW))
+    long = docs.select("text").where(F.length("text") > 2 * (LENGTH - 1))
+    anchors = written(_repeated(bounded(long).mapInArrow(_anchors, _ROW)), "anchors")
     judged = with_columns(docs, "text", _judge, {"doc": T.LongType(), "n_words": T.LongType(), "sha": T.StringType()})
-    judged = judged.join(anchors, "doc", "left")
-    folder = fresh_dir(spark, "passages")
     kept_text = F.col("text") if with_text else F.when(F.col("places").isNotNull(), F.col("text"))
-    judged.select("doc_id", "doc", "n_words", "sha", kept_text.alias("text"), "places").write.parquet(folder)
-    judged = spark.read.schema(T.StructType([docs.schema["doc_id"], T.StructField("doc", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("text", T.StringType()), T.StructField("places", T.ArrayType(T.IntegerType()))])).parquet(folder)
-    repeats = _repeated(judged.where("places is not null").select("text", "places").mapInArrow(_windows, _ROW))
+    judged = written(judged.join(anchors, "doc", "left").select("doc_id", "doc", "n_words", "sha", kept_text.alias("text"), "places"), "judged")
+    repeats = written(_repeated(bounded(judged.where("places is not null").select("text", "places")).mapInArrow(_windows, _ROW)), "repeats")
     fields = [docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + ([T.StructField("text", T.StringType())] if with_text else [])
 
     def finish(batches):
@@ -175,7 +174,7 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(made, names=[f.name for f in fields])
 
     found = judged.drop("places").join(repeats, "doc", "left").select("doc_id", "text", "n_words", "sha", F.transform("places", lambda x: x.cast("long")).alias("places"))
-    return found.mapInArrow(finish, T.StructType(fields))
+    return bounded(found).mapInArrow(finish, T.StructType(fields))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
