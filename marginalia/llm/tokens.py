@@ -34,13 +34,13 @@ SLICE_BYTES = 6 << 20
 class Encoder:
     """The ids of chunk k are ids[ends[k]:ends[k + 1]]; chunk 0 is the end of a text."""
 
-    def __init__(self, path: str, end: int):
+    def __init__(self, path: str, end: int, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end = end
+        self.end, self.remembered = end, remembered
         # White space before a piece and the case of ASCII letters matter only if the library keeps them.
         same = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (" Az", "az")]
         self.plain = same[0] == same[1]
@@ -106,7 +106,7 @@ class Encoder:
         chunks, first = self._chunks(texts)
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > REMEMBERED:
+        if len(self.known) + len(distinct) > self.remembered:
             self._forget()
         known = self.known
         self._learn([c for c in distinct if c not in known])
@@ -124,8 +124,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, end: int) -> Encoder:
-    return Encoder(path, end)
+def encoder(path: str, end: int, remembered: int = REMEMBERED) -> Encoder:
+    return Encoder(path, end, remembered)
 
 
 def public_path(name: str) -> str:

@@ -26,13 +26,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import cut, documents, fresh_dir
-from .tokens import SLICE_BYTES, encoder, public_path
+from .tokens import encoder, public_path
 from .words import bounded, slices
 
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text of a shard.
 SHARD_BYTES = 16 << 20
+#: Bytes of text that are encoded at a time, and distinct chunks that a worker remembers.
+SLICE_BYTES = 12 << 20
+REMEMBERED = 1_000_000
 #: Bits of a block of the rank directory.
 BLOCK = 512
 MAGIC = b"WMATRIX1"
@@ -187,7 +190,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, sha
     dealt = docs.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches):
-        encode = encoder(public_path(vocabulary), END_ID).encode
+        encode = encoder(public_path(vocabulary), END_ID, REMEMBERED).encode
         ids, counts, names, nulls = [], [], [], []
         for batch in batches:
             for i, j in slices(batch.column(1), SLICE_BYTES):
