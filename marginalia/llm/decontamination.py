@@ -1,16 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, and Smith-Waterman scores them.
+"""Benchmark decontamination: rare words of test items lead to documents, and Smith-Waterman scores them.
 
-The words of all texts are lower-cased runs of letters and digits.  The n-grams of SEED words of each
-item are counted over all documents, and the rarer half of an item's n-grams are its seeds (a share, not a fixed count:
-an item that stands in a third of all documents keeps seeds too).  A document is a candidate where at least
-two seeds of an item (one, if it has but one) fall on nearby diagonals; there the item is aligned with
-the document's words (match 2, mismatch -1, gap -1), and the share of the best possible score is the result.
-Edited and paraphrased copies keep enough seeds and a high share.
+The words of all texts are lower-cased runs of letters and digits.  An item is aligned with the document's
+words (match 2, mismatch -1, gap -1), and the share of the best possible score is the result.  A share of at least THRESHOLD
+needs that share of the item's n words matched, and all of these within (3 - 2 * THRESHOLD) * n words of the document.  So of the
+n - h + k rarest words of an item (h: the least number of matches), at least k stand in that span, whatever the edits are:
+where they do, the item is aligned, and no pair at the threshold is missed.  How often a word stands in
+the corpus only decides which words are looked up, not what is found.
 
 The test items are a stated query set: they are taken in blocks of BLOCK items, each block in
 one pass over all documents, so that what a task holds is bounded however large the test table is.
 
-An item of fewer than SEED words has no n-gram and is never found; null texts are empty; a null item_id or doc_id stays null in
+An item of fewer than LEAST words says too little and is never found; null texts are empty; a null item_id or doc_id stays null in
 the result; repeated rows of documents are results of their own, and repeated items count once; empty tables give an empty result; other columns are not read.
 """
 
@@ -25,72 +25,71 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import documents
-from .words import PUNCTUATION, Words, as_long, per_slice, window_hash, with_columns, words_of
+from .words import PUNCTUATION, Words, as_long, per_slice, with_columns, words_of
 
-SEED = 3
+LEAST = 3
 BLOCK = 10_000
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Alignments that are computed together.
+#: The share of an item's needed matches that its rare words must show before it is aligned.
+SHOWN = 0.25
+#: Alignments that are computed together, and the words of all their windows.
 TOGETHER = 256
+CELLS = 1 << 19
+#: Rare words found in a stretch of documents at a time.
+HITS = 2_000_000
 
 
 @dataclass
 class Items:
-    """A block of test items: their word hashes, and seeds as (hash, item, place) sorted by hash."""
+    """A block of test items: their word hashes, and their rare words as (hash, item) sorted by hash; needed of them must stand within span words."""
 
     ids: list
     words: list[np.ndarray]
     hash: np.ndarray
     item: np.ndarray
-    place: np.ndarray
     needed: np.ndarray
-
-
-def _grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the n-grams."""
-    start = words.windows(SEED)
-    return window_hash(words.hashes(), start, SEED) if len(words) else np.zeros(0, dtype=np.uint64), start
+    span: np.ndarray
 
 
 def items_of(rows: list[tuple[object, str | None]]) -> Items:
-    """All n-grams of the items; seeds() chooses among them."""
+    """All words of the items; seeds() chooses among them."""
     words = words_of(pa.array([t or "" for _, t in rows], pa.string()), PUNCTUATION, lower=True)
-    hashes, (grams, start) = words.hashes(), _grams(words)
-    item = words.text_of_word()[start]
-    order = np.argsort(grams, kind="stable")
+    hashes = words.hashes() if len(words) else np.zeros(0, dtype=np.uint64)
     own = [hashes[i:j] for i, j in zip(words.first[:-1], words.first[1:], strict=True)]
-    return Items([i for i, _ in rows], own, grams[order], item[order], (start - words.first[item])[order], np.ones(len(rows), dtype=np.int64))
+    span = np.floor(words.counts * (3 - 2 * THRESHOLD)).astype(np.int64)
+    return Items([i for i, _ in rows], own, hashes, words.text_of_word(), np.ones(len(rows), dtype=np.int64), span)
 
 
 def counts(docs: DataFrame, items: Items) -> dict[int, int]:
-    """For each n-gram of the items (a bounded block), the documents of the corpus that hold it."""
+    """How often each word of the items (a bounded block) stands in the corpus."""
     shared = docs.sparkSession.sparkContext.broadcast(np.unique(items.hash))
 
     def run(_, texts):
-        words = words_of(texts, PUNCTUATION, lower=True)
-        grams, start = _grams(words)
-        known = shared.value
-        at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
-        hit = known[at] == grams if len(known) else np.zeros(len(grams), dtype=bool)
-        pairs = np.unique(np.stack([words.text_of_word()[start[hit]], at[hit]]), axis=1)
-        found, n = np.unique(pairs[1], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(as_long(known[found])), pa.array(n)], names=["gram", "n"]) if len(found) else None
+        known, words = shared.value, words_of(texts, PUNCTUATION, lower=True)
+        if not len(known) or not len(words):
+            return None
+        hashes = words.hashes()
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        n = np.bincount(at[known[at] == hashes], minlength=len(known))
+        found = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(as_long(known[found])), pa.array(n[found])], names=["word", "n"])
 
-    made = per_slice(docs.select("text"), "text", run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"] & (2**64 - 1): r["n"] for r in made.collect()}
+    made = per_slice(docs.select("text"), "text", run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {r["word"] & (2**64 - 1): r["n"] for r in made.collect()}
 
 
 def seeds(items: Items, frequency: dict[int, int]) -> Items:
-    """The rarer half of each item's n-grams."""
+    """The rarest words of each item, as many as the needed number of matches leaves no way around."""
+    sizes = np.array([len(w) for w in items.words], dtype=np.int64)
+    least = np.ceil(sizes * THRESHOLD).astype(np.int64)
+    needed = np.maximum(1, np.floor(least * SHOWN).astype(np.int64))
     often = np.array([frequency.get(int(h), 0) for h in items.hash], dtype=np.int64)
-    order = np.lexsort((items.place, items.hash, often, items.item))
-    n = np.bincount(items.item, minlength=len(items.ids))
-    rank = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
-    kept = np.sort(order[rank < -(-np.repeat(n, n) // 2)])
-    distinct = np.unique(np.stack([items.item[kept].astype(np.uint64), items.hash[kept]]), axis=1)[0].astype(np.int64)
-    needed = np.minimum(2, np.bincount(distinct, minlength=len(items.ids)))
-    return Items(items.ids, items.words, items.hash[kept], items.item[kept], items.place[kept], needed)
+    order = np.lexsort((items.hash, often, items.item))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = order[(rank < np.repeat(sizes - least + needed, sizes)) & np.repeat(sizes >= LEAST, sizes)]
+    pairs = np.unique(np.stack([items.hash[kept], items.item[kept].astype(np.uint64)]), axis=1)
+    return Items(items.ids, items.words, pairs[0], pairs[1].astype(np.int64), needed, items.span)
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,35 +125,22 @@ def matches(words: Words, items: Items) -> list[tuple[int, int, float, int, int]
     """(text, item, share, first word, last word) of the best alignment of each text and item at or above THRESHOLD."""
     if not len(items.hash) or not len(words):
         return []
-    grams, start = _grams(words)
-    lo = np.searchsorted(items.hash, grams, side="left")
-    n = np.searchsorted(items.hash, grams, side="right") - lo
-    seed = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(start, n)
-    text, item = words.text_of_word()[at], items.item[seed]
-    diagonal = at - items.place[seed]
-    order = np.lexsort((diagonal, item, text))
-    text, item, diagonal, seed = text[order], item[order], diagonal[order], seed[order]
-    sizes = np.array([len(w) for w in items.words])
-    slack = sizes[item] // 2 + 4
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[1:])
-    bounds = np.append(np.flatnonzero(new), len(order))
     hashes = words.hashes()
-    jobs = []
-    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        t, k = int(text[i]), int(item[i])
-        if j - i < items.needed[k] or len(set(items.hash[seed[i:j]].tolist())) < items.needed[k]:
-            continue
-        a = max(int(words.first[t]), int(diagonal[i]) - int(slack[i]))
-        b = min(int(words.first[t + 1]), int(diagonal[j - 1]) + int(sizes[k]) + int(slack[i]))
-        jobs.append((t, k, a, b))
+    lo = np.searchsorted(items.hash, hashes)
+    hit = np.flatnonzero(items.hash[np.minimum(lo, len(items.hash) - 1)] == hashes)
+    lo = lo[hit]
+    n = np.searchsorted(items.hash, hashes[hit], side="right") - lo
+    jobs = _windows(words, items, hit, lo, n)
     jobs.sort(key=lambda x: x[3] - x[2])
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for c in range(0, len(jobs), TOGETHER):
+    c = 0
+    while c < len(jobs):
         part = jobs[c : c + TOGETHER]
+        while len(part) > 1 and len(part) * (part[-1][3] - part[-1][2]) > CELLS:
+            part = part[: len(part) // 2]
+        c += len(part)
         score, end = align([(items.words[k], hashes[a:b]) for _, k, a, b in part])
-        share = score / (MATCH * sizes[[k for _, k, _, _ in part]])
+        share = score / (MATCH * np.array([len(items.words[k]) for _, k, _, _ in part]))
         good = [x for x in range(len(part)) if share[x] >= THRESHOLD]
         if good:
             # The first word: the alignment of the reversed words that ends there.
@@ -162,11 +148,43 @@ def matches(words: Words, items: Items) -> list[tuple[int, int, float, int, int]
             for x, length in zip(good, back.tolist(), strict=True):
                 t, k, a, _ = part[x]
                 last = a + int(end[x]) - int(words.first[t])
-                if (t, k) not in found or share[x] > found[t, k][0]:
-                    found[t, k] = (float(share[x]), last - length, last - 1)
+                new = (float(share[x]), last - length, last - 1)
+                if (t, k) not in found or (-new[0], new[1]) < (-found[t, k][0], found[t, k][1]):
+                    found[t, k] = new
     return [(t, k, *v) for (t, k), v in sorted(found.items())]
 
 
+def _windows(words: Words, items: Items, hit: np.ndarray, lo: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, item, first, end) of the stretches of words that may hold an item; word hit[i] is that of n[i] items from lo[i]."""
+    jobs, widest = [], int(items.span.max())
+    total = np.cumsum(n)
+    cuts = np.flatnonzero(np.diff(total // HITS, prepend=0)) if len(total) else []
+    for i, j in zip([0, *cuts], [*cuts, len(hit)], strict=True):
+        if i == j:
+            continue
+        # Cut stretches overlap by the widest span, so that each span is whole in one of them.
+        j = int(np.searchsorted(hit, hit[j - 1] + widest, side="right"))
+        m = n[i:j]
+        item = items.item[np.repeat(lo[i:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+        at = np.repeat(hit[i:j], m)
+        key = (np.searchsorted(words.first, at, side="right") - 1) * len(items.ids) + item
+        order = np.argsort(key, kind="stable")
+        key, item, at = key[order], item[order], at[order]
+        last = np.arange(len(at)) + items.needed[item] - 1
+        near = np.flatnonzero(last < len(at))
+        near = near[(key[last[near]] == key[near]) & (at[last[near]] - at[near] < items.span[item[near]])]
+        last, key, item = at[last[near]], key[near], item[near]
+        text = key // len(items.ids)
+        a = np.maximum(words.first[text], last - items.span[item] + 1)
+        b = np.minimum(words.first[text + 1], at[near] + items.span[item])
+        new = np.ones(len(near), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (a[1:] > b[:-1])
+        first = np.flatnonzero(new)
+        end = np.append(first[1:], len(near)) - 1 if len(first) else first
+        jobs += zip(text[first].tolist(), item[first].tolist(), a[first].tolist(), b[end].tolist(), strict=True)
+    return jobs
+
+
 def blocks(benchmark: DataFrame) -> list[DataFrame]:
     """The distinct items in blocks of about BLOCK."""
     items = benchmark.select("item_id", "text").distinct()
