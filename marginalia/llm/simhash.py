@@ -173,12 +173,12 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """rows: doc_id and fp, already cut.  Returns (fp, component_id) for each fingerprint, the component's smallest doc_id."""
+    """rows: doc_id and fp, already cut.  Returns (fp, root, component_id) for each fingerprint: the component's smallest fingerprint and doc_id."""
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     linked = connected_components(links(classes.select("fp")))
     rooted = classes.join(linked, classes.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "component_id")
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -193,7 +193,8 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     rows = cut(with_fingerprint(docs.select("doc_id", "text"), "fp").select("doc_id", "fp"))
     first = groups(rows)
     kept = packed.join(first, "fp").where("row.doc_id <=> component_id")
-    return kept.groupBy("component_id").agg(F.first("row").alias("row")).select("row.*")
+    # By the root, as groups without any doc_id, or with the same one, are different groups.
+    return kept.groupBy("root").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

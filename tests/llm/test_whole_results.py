@@ -4,10 +4,10 @@ import random
 
 import pytest
 
-from marginalia.llm import decontamination
+from marginalia.llm import decontamination, simhash
 from marginalia.llm.words import PUNCTUATION, words_of
 
-from .helpers import prose
+from .helpers import components, fingerprint, prose
 
 
 def best_share(item, text):
@@ -58,3 +58,11 @@ def _words(text):
 
     found = words_of(pa.array([text]), PUNCTUATION, lower=True)
     return [bytes(found.buf[a:b]) for a, b in zip(found.start, found.end, strict=True)]
+
+
+def test_groups_without_an_id_or_with_the_same_one_stay_apart(spark):
+    rows = [(None, prose(90, 60 + i)) for i in range(5)] + [(None, prose(90, 60)), (4, prose(90, 80)), (4, prose(90, 81)), (9, prose(90, 81)), (None, prose(150, 70)), (7, prose(150, 70))]
+    comp = components([fingerprint(t) for _, t in rows])
+    assert len(set(comp)) == 8
+    kept = [tuple(r) for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, [*rows[:5], *rows[6:8], rows[10]]))
