@@ -3,12 +3,14 @@
 The pre-tokenizers in use end a piece wherever white space follows something else and wherever an
 ASCII letter meets an ASCII mark or digit (but behind an apostrophe), and keep no state across these places.  So a
 text is cut there, and its ids are those of its chunks in a row.  Each distinct chunk is encoded once a
-worker; texts with characters for which this does not hold are encoded whole.
+worker; texts with characters for which this does not hold, or with a string of the vocabulary's added
+tokens (such as <|endoftext|>, an id of its own), are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -32,14 +34,18 @@ SLICE_BYTES = 6 << 20
 
 
 class Encoder:
-    """The ids of chunk k are ids[ends[k]:ends[k + 1]]; chunk 0 is the end of a text."""
+    """The ids of chunk k are ids[ends[k]:ends[k + 1]]; chunk 0 is the end of a text.
 
-    def __init__(self, path: str, end: int, remembered: int = REMEMBERED):
+    With added, strings of added tokens get the ids of these, as the library does it by default; without, those of plain text."""
+
+    def __init__(self, path: str, end: int, remembered: int = REMEMBERED, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        strings = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.whole = "|".join([WHOLE, *(f"(?i:{x})" for x in strings)])
         self.end, self.remembered = end, remembered
         # White space before a piece and the case of ASCII letters matter only if the library keeps them.
         same = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (" Az", "az")]
@@ -99,7 +105,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, with the end id after each, and their offsets; nulls are empty."""
         texts = pc.fill_null(texts, "")
-        whole = np.asarray(pc.match_substring_regex(texts, WHOLE))
+        whole = np.asarray(pc.match_substring_regex(texts, self.whole))
         odd = texts.filter(pa.array(whole)).to_pylist()
         if odd:
             texts = pc.if_else(pa.array(whole), "", texts)
@@ -125,7 +131,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, end: int, remembered: int = REMEMBERED) -> Encoder:
-    return Encoder(path, end, remembered)
+    return Encoder(path, end, remembered, added=True)
 
 
 def public_path(name: str) -> str:

@@ -1,10 +1,14 @@
 """Results that must be whole: pairs at the threshold, groups without ids, ids of texts with added tokens."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-from marginalia.llm import decontamination, simhash
+from marginalia.llm import decontamination, packing, simhash, wavelet
+from marginalia.llm.tokens import encoder, public_path
 from marginalia.llm.words import PUNCTUATION, words_of
 
 from .helpers import components, fingerprint, prose
@@ -66,3 +70,23 @@ def test_groups_without_an_id_or_with_the_same_one_stay_apart(spark):
     assert len(set(comp)) == 8
     kept = [tuple(r) for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     assert sorted(map(repr, kept)) == sorted(map(repr, [*rows[:5], *rows[6:8], rows[10]]))
+
+
+ADDED = ["a b<|endoftext|> c", "<|endoftext|>", "x <|startoftext|>y'<|endoftext|>s", "A <|ENDOFTEXT|> b", "<|endoftext", "it's <|endoftext|><|endoftext|>\n  end", "plain words, here", None, "é\u00a0<|endoftext|>z"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_have_the_ids_of_the_unchanged_library(name):
+    import pyarrow as pa
+
+    plain = Tokenizer.from_file(public_path(name))
+    ids, offsets = encoder(public_path(name), 7).encode(pa.array(ADDED, pa.string()))
+    assert [ids[i:j].tolist() for i, j in zip(offsets[:-1], offsets[1:], strict=True)] == [[*plain.encode(t or "", add_special_tokens=False).ids, 7] for t in ADDED]
+
+
+def test_queries_with_added_tokens(spark):
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string").repartition(2)
+    for name, end, made in (("byte_bpe_50k.json", 0, packing.pack_documents(docs)), ("word_bpe_49k.json", 1, wavelet.token_shards(docs))):
+        plain = Tokenizer.from_file(public_path(name))
+        want = {d: zlib.crc32(np.array([*plain.encode(t or "", add_special_tokens=False).ids, end], "<u4").tobytes()) for d, t in enumerate(ADDED)}
+        assert {r["doc_id"]: r["ids_crc32"] for r in made.collect()} == want
