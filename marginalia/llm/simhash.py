@@ -5,10 +5,12 @@ linked if their fingerprints differ in at most RADIUS bits, and the components o
 the groups.  The links are exact: with the bits cut into RADIUS + 2 blocks, two linked
 fingerprints agree in at least two blocks, so each fingerprint goes to one cell for each pair of
 blocks (the values of both), and cells are compared whole.  Only distinct fingerprints are
-compared, so a group of copies of any size is one row.  A cell of more than TILE fingerprints is
-cut into tiles by population count; a pair of tiles becomes a task of its own, and pairs whose
-population counts differ beyond the radius are left out, as they can't hold a link.  Within a
-tile, numpy xors and counts bits, and only a spanning forest of the links is kept.
+compared, so a group of copies of any size is one row.
+
+Every cell of three or more is compared in tiles: its fingerprints are sorted by population count, strips of STRIP are xored with those that
+are left and their bits counted, and what lies beyond the radius of a strip in population count is skipped, as it can't hold a link; only
+a spanning forest of the links is kept.  A cell of more than TILE fingerprints is dealt out as tiles of its
+population counts, a pair of tiles a task, and pairs whose population counts differ beyond the radius are never made.
 
 Nulls and texts without words have the fingerprint zero, linked like any other; a null doc_id
 stays and is never the smallest of its group unless all are null; repeated rows stay; an empty
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .storage import cut, documents
+from .storage import cut, documents, written
 from .words import as_long, with_columns, words_of
 
 SHINGLE = 4
@@ -37,6 +39,8 @@ RADIUS = 4
 TILE = 4096
 #: Rows of a tile that are compared at a time.
 STRIP = 64
+#: A component of more than one in HOT of all fingerprints is not dealt out by its root.
+HOT = 1000
 
 
 def fingerprints_of(texts: pa.Array) -> np.ndarray:
@@ -173,12 +177,18 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """rows: doc_id and fp, already cut.  Returns (fp, root, component_id) for each fingerprint: the component's smallest fingerprint and doc_id."""
+    """rows: doc_id and fp, already cut.  Returns (fp, root, component_id) for each fingerprint: the component's smallest fingerprint and doc_id.
+
+    A component with more than one in HOT of all fingerprints is hot: there are fewer than HOT of them however large the table is, so they
+    are broadcast, and their fingerprints never meet in one task."""
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     linked = connected_components(links(classes.select("fp")))
-    rooted = classes.join(linked, classes.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+    rooted = cut(classes.join(linked, classes.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"))
+    smallest = cut(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")))
+    total = smallest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(smallest.where(F.col("n") * HOT > total).select("root", "component_id"))  # fewer than HOT rows
+    out = [rooted.join(hot, "root"), rooted.join(hot, "root", "left_anti").join(smallest, "root")]
+    return out[0].select("fp", "root", "component_id").union(out[1].select("fp", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -188,13 +198,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group, that with the smallest doc_id; of equal doc_ids any one."""
-    packed = with_fingerprint(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text")), "fp").select("row", "fp")
-    rows = cut(with_fingerprint(docs.select("doc_id", "text"), "fp").select("doc_id", "fp"))
-    first = groups(rows)
-    kept = packed.join(first, "fp").where("row.doc_id <=> component_id")
-    # By the root, as groups without any doc_id, or with the same one, are different groups.
-    return kept.groupBy("root").agg(F.first("row").alias("row")).select("row.*")
+    """docs with one row of each group: that with the smallest doc_id (a null one last), of equal doc_ids that with the smaller hash of the
+    whole row.  The rows are written once with their fingerprints and a number; the choice is made among numbers, and the texts
+    are shuffled once."""
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*hashed).alias("hash"), F.col("text").alias("text"))
+    # The number is fixed by the table that is written, so a task that runs again can't change it.
+    table = written(with_fingerprint(packed, "fp").select("row", "hash", "fp", F.monotonically_increasing_id().alias("number")), "fingerprints")
+    rows = cut(table.select(F.col("row.doc_id").alias("doc_id"), "hash", "fp", "number"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "number")
+    first = rows.groupBy("fp").agg(F.min(order).alias("first")).join(groups(rows), "fp")
+    chosen = first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.number").alias("number"))
+    return table.join(chosen, "number").select("row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
