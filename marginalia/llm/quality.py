@@ -1,12 +1,17 @@
 """Quality rules whose thresholds follow each language and source.
 
-Every text gets a few counts; from them come five measures: symbols, ASCII marks, repeated words and repeated lines per ten
-thousand (of lines plus two, as one of three says little), and the mean length of a word in hundredths.  Their distributions are kept as mergeable sketches: counts by
+Every text gets a few counts; from them come five measures: symbols, ASCII marks and repeated words per ten thousand words, repeated lines
+per ten thousand lines, and the mean length of a word in hundredths (short texts say little, so their shares are drawn towards that of a text
+of a hundred words more, or ten lines more).  Their distributions are kept as mergeable sketches: counts by
 bucket, whose width is at most a 32nd of the value (exact below 64).  Sketches add up in any order to the same
 counts, so a source that holds a third of all rows is merged from the tasks' partial sketches, and the sketch of a language is the
-sum of its sources'.  A document fails a rule where its measure lies beyond the quartiles
-by SPREAD times their distance, and beyond a floor under which nothing is wrong in itself.  A
-source with fewer than ENOUGH documents in a language uses the language's sketch, such a language that of all documents.
+sum of its sources'.  All documents are in the sketches, apart by whether the base rules reject them; the bounds come from those that pass.
+
+A measure's upper bound lies `stretch` times the distance of two quantiles of its own group (MEASURES) beyond the higher one, for the
+length of words a lower bound likewise below the lower one; no value is fixed.  Where a
+group's quantiles nearly coincide, the distance is a 32nd of its median and one, so that equal texts don't reject all others; guarded() tells how
+often (in none of the 80 groups of the test tables).  A source with fewer than ENOUGH documents in a language uses the language's sketch,
+such a language that of all documents.
 
 Null texts have no words; a null language or source counts as the empty one; a null doc_id and repeated rows stay; an empty table
 gives an empty result; other columns are not read.
@@ -28,17 +33,19 @@ LEAST_WORDS = 50
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", dtype=np.uint8))
 MARKS = byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 NEWLINE = byte_set((0x0A, 0x0A))
-SPREAD = 3
-ENOUGH = 50
+ENOUGH = 200
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks")
-#: measure: SQL from the counts, floor of the upper bound
+#: measure: SQL from the counts, the two quantiles in hundredths, and how many times their distance the bounds lie beyond them
 MEASURES = {
-    "symbols": ("10000 * n_symbols div n_words", 1000),
-    "marks": ("10000 * n_marks div n_words", 8000),
-    "repeats": ("10000 * n_repeat_words div n_words", 2500),
-    "lines": ("10000 * n_dup_lines div (n_lines + 2)", 3000),
-    "length": ("100 * word_chars div n_words", 0),
+    "symbols": ("10000 * (n_symbols + 1) div (n_words + 100)", 25, 75, 8),
+    "marks": ("10000 * n_marks div n_words", 25, 75, 5),
+    "repeats": ("10000 * n_repeat_words div (n_words + 100)", 50, 99, 1),
+    "lines": ("10000 * n_dup_lines div (n_lines + 10)", 50, 99, 1),
+    "length": ("100 * word_chars div n_words", 25, 75, 6),
 }
+#: Measures that have a lower bound too.
+TWO_SIDED = ("length",)
+LEVELS = (25, 50, 75, 99)
 
 
 def _per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -87,43 +94,63 @@ def with_counts(docs: DataFrame) -> DataFrame:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """lang_key, source_key, measure, bucket, n: the sketches, by language and source."""
-    long = measured.select("lang_key", "source_key", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("x")).select("lang_key", "source_key", "x.*")
+    """lang_key, source_key, base_failed, measure, bucket, n: the sketches, by language and source."""
+    keys = ["lang_key", "source_key", "base_failed"]
+    long = measured.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("x")).select(*keys, "x.*")
     long = long.where("v is not null").withColumn("shift", F.expr("greatest(0, length(bin(v)) - 6)"))
-    return long.withColumn("bucket", F.expr("shift * 32 + shiftright(v, shift)")).groupBy("lang_key", "source_key", "measure", "bucket").agg(F.count("*").alias("n"))
+    return long.withColumn("bucket", F.expr("shift * 32 + shiftright(v, shift)")).groupBy(*keys, "measure", "bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """keys, measure, rows, q1, q2, q3 (the lower ends of their buckets)."""
+def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """keys, measure, rows and q<level> for each of LEVELS (the lower ends of their buckets)."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     own = Window.partitionBy(*keys, "measure")
     merged = merged.withColumn("below", F.sum("n").over(own.orderBy("bucket"))).withColumn("rows", F.sum("n").over(own))
     low = F.expr("case when bucket < 64 then bucket else shiftleft(bucket - (bucket div 32 - 1) * 32, cast(bucket div 32 - 1 as int)) end")
     merged = merged.withColumn("low", low)
-    return merged.groupBy(*keys, "measure").agg(F.first("rows").alias("rows"), *[F.min(F.when(F.col("below") * 4 >= F.col("rows") * k, F.col("low"))).alias(f"q{k}") for k in (1, 2, 3)])
+    return merged.groupBy(*keys, "measure").agg(F.first("rows").alias("rows"), *[F.min(F.when(F.col("below") * 100 >= F.col("rows") * k, F.col("low"))).alias(f"q{k}") for k in LEVELS])
 
 
-def thresholds(measured: DataFrame) -> DataFrame:
-    """lang_key, source_key and, for each measure, the bounds <measure>_lo and <measure>_hi."""
+def bounds(measured: DataFrame) -> DataFrame:
+    """lang_key, source_key, measure, lo, hi, and guarded: whether the least distance stands in for that of the quantiles."""
     sketch = cut(sketches(measured))
-    levels = [quartiles(sketch, "lang_key", "source_key"), quartiles(sketch, "lang_key"), quartiles(sketch)]
-    q = levels[0].select("lang_key", "source_key", "measure", F.struct("rows", "q1", "q2", "q3").alias("own"))
-    q = q.join(levels[1].select("lang_key", "measure", F.struct("rows", "q1", "q2", "q3").alias("lang")), ["lang_key", "measure"])
-    q = q.join(F.broadcast(levels[2].select("measure", F.struct("rows", "q1", "q2", "q3").alias("every"))), "measure")  # a row a measure
+    fine = sketch.where("not base_failed")
+    kept = F.struct("rows", *[f"q{k}" for k in LEVELS])
+    q = sketch.select("lang_key", "source_key", "measure").distinct()
+    q = q.join(quantiles(fine, "lang_key", "source_key").select("lang_key", "source_key", "measure", kept.alias("own")), ["lang_key", "source_key", "measure"], "left")
+    q = q.join(quantiles(fine, "lang_key").select("lang_key", "measure", kept.alias("lang")), ["lang_key", "measure"], "left")
+    q = q.join(F.broadcast(quantiles(fine).select("measure", kept.alias("every"))), "measure")  # a row a measure
     q = q.select("lang_key", "source_key", "measure", F.when(F.col("own.rows") >= ENOUGH, F.col("own")).when(F.col("lang.rows") >= ENOUGH, F.col("lang")).otherwise(F.col("every")).alias("q"))
-    q = q.select("lang_key", "source_key", "measure", "q.*")
-    spread = F.col("q3") - F.col("q1")
-    floor = F.create_map(*[x for m, (_, f) in MEASURES.items() for x in (F.lit(m), F.lit(f))])
-    q = q.withColumn("hi", F.greatest(F.col("q3") + SPREAD * spread, floor[F.col("measure")], F.when(F.col("measure") == "length", F.expr("q2 * 3 div 2"))))
-    q = q.withColumn("lo", F.when(F.col("measure") == "length", F.least(F.col("q1") - SPREAD * spread, F.expr("q2 div 2"))).otherwise(F.lit(-1)))
-    return q.groupBy("lang_key", "source_key").agg(*[F.max(F.when(F.col("measure") == m, F.col(b))).alias(f"{m}_{b}") for m in MEASURES for b in ("lo", "hi")])
+    of = lambda at: F.create_map(*[x for m, spec in MEASURES.items() for x in (F.lit(m), at(spec))])[F.col("measure")]
+    low, high = (of(lambda spec, i=i: F.col(f"q.q{spec[i]}")) for i in (1, 2))
+    distance, least = high - low, F.expr("q.q50 div 32 + 1")
+    beyond = of(lambda spec: F.lit(spec[3])) * F.greatest(distance, least)
+    lo = F.when(F.col("measure").isin(*TWO_SIDED), low - beyond).otherwise(F.lit(-1))
+    return q.select("lang_key", "source_key", "measure", lo.alias("lo"), (high + beyond).alias("hi"), (distance < least).alias("guarded"))
+
+
+def thresholds(measured: DataFrame) -> DataFrame:
+    """lang_key, source_key and, for each measure, the bounds <measure>_lo and <measure>_hi."""
+    return bounds(measured).groupBy("lang_key", "source_key").agg(*[F.max(F.when(F.col("measure") == m, F.col(b))).alias(f"{m}_{b}") for m in MEASURES for b in ("lo", "hi")])
+
+
+def measures(counted: DataFrame) -> DataFrame:
+    """counted: lang, source and the COUNTS.  Adds base_failed, the keys and the MEASURES (null without words)."""
+    base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    keys = {"base_failed": base, "lang_key": F.coalesce("lang", F.lit("")), "source_key": F.coalesce("source", F.lit(""))}
+    return counted.withColumns(keys | {m: F.when(F.col("n_words") > 0, F.expr(spec[0])) for m, spec in MEASURES.items()})
+
+
+def guarded(docs: DataFrame) -> DataFrame:
+    """Per measure: groups, and groups whose bounds rest on the least distance."""
+    counted = cut(with_counts(docs.select("text", "lang", "source")).drop("text"))
+    return bounds(measures(counted)).groupBy("measure").agg(F.count("*").alias("groups"), F.count_if("guarded").alias("guarded"))
 
 
 def verdicts(counted: DataFrame) -> DataFrame:
     """counted: lang, source and the COUNTS, already cut.  Adds base_failed and kept."""
-    base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    measured = counted.withColumns({"lang_key": F.coalesce("lang", F.lit("")), "source_key": F.coalesce("source", F.lit(""))} | {m: F.when(F.col("n_words") > 0, F.expr(sql)) for m, (sql, _) in MEASURES.items()})
-    joined = measured.join(thresholds(measured), ["lang_key", "source_key"], "left").withColumn("base_failed", base)
+    measured = measures(counted)
+    joined = measured.join(thresholds(measured), ["lang_key", "source_key"], "left")
     fine = F.lit(True)
     for m in MEASURES:
         fine = fine & F.coalesce(F.col(m).between(F.col(f"{m}_lo"), F.col(f"{m}_hi")), F.lit(True))
@@ -155,11 +182,12 @@ c AS (
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
     length(regexp_replace(text, '[^!-/:-@\[-`{-~]', '', 'g'))::BIGINT AS n_marks
   FROM w LEFT JOIN dup ON w.r = dup.r LEFT JOIN rep ON w.r = rep.r),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
 m AS (
-  SELECT r, lang, source, unnest(['symbols', 'marks', 'repeats', 'lines', 'length']) AS measure,
-    unnest([10000 * n_symbols // n_words, 10000 * n_marks // n_words, 10000 * n_repeat_words // n_words, 10000 * n_dup_lines // (n_lines + 2), 100 * word_chars // n_words]) AS v
-  FROM c WHERE n_words > 0),
-b AS (SELECT *, CASE WHEN s = 0 THEN v ELSE s * 32 + (v >> s) END AS bucket FROM (SELECT *, greatest(0, length(bin(v)) - 6)::INT AS s FROM m)),
+  SELECT r, lang, source, base_failed, unnest(['symbols', 'marks', 'repeats', 'lines', 'length']) AS measure,
+    unnest([10000 * (n_symbols + 1) // (n_words + 100), 10000 * n_marks // n_words, 10000 * n_repeat_words // (n_words + 100), 10000 * n_dup_lines // (n_lines + 10), 100 * word_chars // n_words]) AS v
+  FROM v WHERE n_words > 0),
+b AS (SELECT *, CASE WHEN s = 0 THEN v ELSE s * 32 + (v >> s) END AS bucket FROM (SELECT *, greatest(0, length(bin(v)) - 6)::INT AS s FROM m WHERE NOT base_failed)),
 k AS (
   SELECT 0 AS level, lang, source, measure, bucket, count(*) AS n FROM b GROUP BY ALL
   UNION ALL SELECT 1, lang, '', measure, bucket, count(*) FROM b GROUP BY ALL
@@ -169,20 +197,18 @@ cum AS (
     CASE WHEN bucket < 64 THEN bucket ELSE (bucket - (bucket // 32 - 1) * 32) << (bucket // 32 - 1)::INT END AS low
   FROM k),
 q AS (
-  SELECT level, lang, source, measure, any_value(total) AS total, min(low) FILTER (WHERE below * 4 >= total) AS q1, min(low) FILTER (WHERE below * 4 >= total * 2) AS q2, min(low) FILTER (WHERE below * 4 >= total * 3) AS q3
+  SELECT level, lang, source, measure, any_value(total) AS total,
+    min(low) FILTER (WHERE below * 100 >= total * CASE WHEN measure IN ('repeats', 'lines') THEN 50 ELSE 25 END) AS a, min(low) FILTER (WHERE below * 100 >= total * 50) AS mid,
+    min(low) FILTER (WHERE below * 100 >= total * CASE WHEN measure IN ('repeats', 'lines') THEN 99 ELSE 75 END) AS b
   FROM cum GROUP BY level, lang, source, measure),
 pick AS (
-  SELECT o.lang, o.source, o.measure,
-    CASE WHEN o.total >= 50 THEN o.q1 WHEN l.total >= 50 THEN l.q1 ELSE g.q1 END AS q1,
-    CASE WHEN o.total >= 50 THEN o.q2 WHEN l.total >= 50 THEN l.q2 ELSE g.q2 END AS q2,
-    CASE WHEN o.total >= 50 THEN o.q3 WHEN l.total >= 50 THEN l.q3 ELSE g.q3 END AS q3
-  FROM q o JOIN q l ON l.level = 1 AND l.lang = o.lang AND l.measure = o.measure JOIN q g ON g.level = 2 AND g.measure = o.measure WHERE o.level = 0),
+  SELECT o.lang, o.source, o.measure, CASE WHEN own.total >= 200 THEN own WHEN l.total >= 200 THEN l ELSE g END AS q
+  FROM (SELECT DISTINCT lang, source, measure FROM m) o LEFT JOIN q own ON own.level = 0 AND own.lang = o.lang AND own.source = o.source AND own.measure = o.measure
+    LEFT JOIN q l ON l.level = 1 AND l.lang = o.lang AND l.measure = o.measure JOIN q g ON g.level = 2 AND g.measure = o.measure),
 t AS (
-  SELECT lang, source, measure,
-    greatest(q3 + 3 * (q3 - q1), CASE measure WHEN 'symbols' THEN 1000 WHEN 'marks' THEN 8000 WHEN 'repeats' THEN 2500 WHEN 'lines' THEN 3000 ELSE q2 * 3 // 2 END) AS hi,
-    CASE WHEN measure = 'length' THEN least(q1 - 3 * (q3 - q1), q2 // 2) ELSE -1 END AS lo
-  FROM pick),
+  SELECT lang, source, measure, q.b + x AS hi, CASE WHEN measure = 'length' THEN q.a - x ELSE -1 END AS lo
+  FROM (SELECT *, CASE measure WHEN 'symbols' THEN 8 WHEN 'marks' THEN 5 WHEN 'length' THEN 6 ELSE 1 END * greatest(q.b - q.a, q.mid // 32 + 1) AS x FROM pick)),
 bad AS (SELECT DISTINCT r FROM m JOIN t USING (lang, source, measure) WHERE v > hi OR v < lo)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
-FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, r IN (SELECT r FROM bad) AS bad FROM c)
+FROM (SELECT *, r IN (SELECT r FROM bad) AS bad FROM v)
 """
