@@ -9,7 +9,7 @@ numbered by its own sorted alphabet, so that it has no more planes than that nee
 File: magic, header length (both 8 bytes), JSON header, then the sections it names, all little-endian: alphabet, doc_ids,
 doc_null, starts, the planes (packed bits, high bit first) and their ranks (ones before each block).
 
-Null and empty texts hold the end id alone.  A null doc_id sorts first; repeated rows stay, in the order of their
+Null and empty texts hold the end id alone.  doc_id must be of an integer type (anything else is a TypeError); a null one sorts first; repeated rows stay, in the order of their
 texts; an empty table gives an empty result; other columns are not read.
 """
 
@@ -31,8 +31,11 @@ from .words import bounded, slices
 
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of text of a shard.
+#: Bytes of text of a shard, and rows of one (a table of short or empty texts is split by rows).
 SHARD_BYTES = 16 << 20
+SHARD_ROWS = 200_000
+#: Shards whose counts are summed in one task.
+SHARDS_OF_A_SUM = 4096
 #: Bytes of text that are encoded at a time, and distinct chunks that a worker remembers.
 SLICE_BYTES = 12 << 20
 REMEMBERED = 1_000_000
@@ -184,9 +187,12 @@ def _put(folder: str, name: str, data: bytes) -> None:
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes shard-NNNNNN.wm files in ascending order of doc_id.  Returns per shard: shard, n_docs, n_tokens, start."""
+    kind = docs.schema["doc_id"].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"doc_id must be an integer, not {kind}")  # the files hold 64-bit ids
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // shard_bytes))
+    total, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    n = max(1, -(-total // shard_bytes), -(-rows // SHARD_ROWS))
     dealt = docs.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches):
@@ -209,8 +215,12 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, sha
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(counts)], pa.int64()), pa.array([len(ids)], pa.int64())], names=["shard", "n_docs", "n_tokens"])
 
     shards = cut(bounded(dealt).mapInArrow(run, "shard long, n_docs long, n_tokens long"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
-    return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    # Sums before each shard: within blocks of shards, and of the blocks before (a row a block).
+    shards = shards.withColumn("block", F.expr(f"shard div {SHARDS_OF_A_SUM}"))
+    within = F.sum("n_tokens").over(Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = shards.groupBy("block").agg(F.sum("n_tokens").alias("n")).select("block", F.coalesce(before, F.lit(0)).alias("before"))
+    return shards.withColumn("within", F.coalesce(within, F.lit(0))).join(blocks, "block").select("shard", "n_docs", "n_tokens", (F.col("before") + F.col("within")).alias("start"))
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
