@@ -7,10 +7,11 @@ n - h + k rarest words of an item (h: the least number of matches), at least k s
 where they do, the item is aligned, and no pair at the threshold is missed.  How often a word stands in
 the corpus only decides which words are looked up, not what is found.
 
-The test items are a stated query set: they are taken in blocks of BLOCK items, each block in
-one pass over all documents, so that what a task holds is bounded however large the test table is.
+The test items are a stated query set: they are taken in blocks of BLOCK items and BLOCK_BYTES of text at most (a longer item is a
+block of its own), each block in two passes over all documents, so that what a task holds is bounded however large the test table is.
 
-An item of fewer than LEAST words says too little and is never found; null texts are empty; a null item_id or doc_id stays null in
+An item of fewer than LEAST words is found only where all its words stand in a row (one of its words would be half of it); it is
+reported like any other, but removes no document, as it says too little.  Items without words are never found; null texts are empty; a null item_id or doc_id stays null in
 the result; repeated rows of documents are results of their own, and repeated items count once; empty tables give an empty result; other columns are not read.
 """
 
@@ -29,6 +30,7 @@ from .words import PUNCTUATION, Words, as_long, per_slice, with_columns, words_o
 
 LEAST = 3
 BLOCK = 10_000
+BLOCK_BYTES = 8 << 20
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: The share of an item's needed matches that its rare words must show before it is aligned.
@@ -87,7 +89,9 @@ def seeds(items: Items, frequency: dict[int, int]) -> Items:
     often = np.array([frequency.get(int(h), 0) for h in items.hash], dtype=np.int64)
     order = np.lexsort((items.hash, often, items.item))
     rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    kept = order[(rank < np.repeat(sizes - least + needed, sizes)) & np.repeat(sizes >= LEAST, sizes)]
+    # An item of fewer than LEAST words is needed whole: its rarest word leads to it.
+    looked_up = np.where(sizes < LEAST, 1, sizes - least + needed)
+    kept = order[rank < np.repeat(looked_up, sizes)]
     pairs = np.unique(np.stack([items.hash[kept], items.item[kept].astype(np.uint64)]), axis=1)
     return Items(items.ids, items.words, pairs[0], pairs[1].astype(np.int64), needed, items.span)
 
@@ -141,7 +145,7 @@ def matches(words: Words, items: Items) -> list[tuple[int, int, float, int, int]
         c += len(part)
         score, end = align([(items.words[k], hashes[a:b]) for _, k, a, b in part])
         share = score / (MATCH * np.array([len(items.words[k]) for _, k, _, _ in part]))
-        good = [x for x in range(len(part)) if share[x] >= THRESHOLD]
+        good = [x for x in range(len(part)) if share[x] >= (THRESHOLD if len(items.words[part[x][1]]) >= LEAST else 1)]
         if good:
             # The first word: the alignment of the reversed words that ends there.
             _, back = align([(items.words[part[x][1]][::-1], hashes[part[x][2] : part[x][2] + int(end[x])][::-1]) for x in good])
@@ -186,9 +190,10 @@ def _windows(words: Words, items: Items, hit: np.ndarray, lo: np.ndarray, n: np.
 
 
 def blocks(benchmark: DataFrame) -> list[DataFrame]:
-    """The distinct items in blocks of about BLOCK."""
+    """The distinct items in blocks of about BLOCK items and BLOCK_BYTES."""
     items = benchmark.select("item_id", "text").distinct()
-    n = -(-items.count() // BLOCK)
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(-(-rows // BLOCK), -(-size // BLOCK_BYTES))
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
@@ -222,14 +227,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows in which a test item was found."""
+    """docs without the rows in which a test item of LEAST words or more was found."""
     spark, columns = docs.sparkSession, docs.columns
     for block in blocks(benchmark):
         shared = spark.sparkContext.broadcast(_prepared(docs, block))
 
         def run(_, texts, shared=shared):
             hit = np.zeros(len(texts), dtype=bool)
-            hit[[m[0] for m in matches(words_of(texts, PUNCTUATION, lower=True), shared.value)]] = True
+            found = matches(words_of(texts, PUNCTUATION, lower=True), shared.value)
+            hit[[t for t, k, *_ in found if len(shared.value.words[k]) >= LEAST]] = True
             return {"hit": pa.array(hit)}
 
         packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text").alias("text"))
