@@ -1,22 +1,34 @@
 """Pseudonyms for personal data: validated values are permuted within their own format by a keyed Feistel network.
 
-Kinds: e-mail addresses (the local part, by letter and digit), phone numbers of ten digits, card numbers (13 to 19
-digits with a right Luhn digit), IPv4 addresses, IBANs (mod 97), US social security numbers, calendar dates, and
-hexadecimal secrets (32 to 64 digits of both letters and numerals).  A value is read into a number
-below the size of its format, permuted there (a pseudonym is again valid: check digits are
+Kinds and what is checked of them:
+
+- email: the local part is permuted by letter and digit, the domain stays;
+- card: 13 to 19 digits with a right Luhn digit;
+- iban: length and mod 97;
+- ssn: US social security numbers, without the areas and groups that are never given out;
+- phone: ten digits in groups of 3, 3 and 4, with or without a country code, and international numbers with a plus and 8 to 15 digits; the
+  country code stays, the others are permuted.  There is no check digit, and area codes are not looked up;
+- ip: IPv4 addresses with numbers up to 255;
+- date: real days, in numbers (also before the time of a timestamp) or with an English month in full or of three letters; the
+  century stays.  Times of day and dates in words of other languages are left as they are;
+- secret: 32 to 64 hexadecimal digits of both letters and numerals, and keys with one of the PREFIXES.  Other secrets have no
+  form to know them by and are left.
+
+A value is read into a number below the size of its format, permuted there (a pseudonym is again valid: check digits are
 computed anew, dates stay dates), and written with the separators, length and letter case it had.  The permutation depends on the
-key and the kind alone, so that equal values get equal pseudonyms in all documents, however they are written, and
+key and the kind alone, so that equal values get equal pseudonyms in all documents, however they are separated, and
 different values different ones; with the key, reveal() undoes it.
 
-Null texts stay null, empty ones empty; repeated rows are treated alike; an empty table gives an empty result; all
-other columns stay as they are.
+The time is linear in the length of a text, also in one word of megabytes.  Null texts stay null, empty ones empty; repeated rows are treated alike; an empty table gives an empty result; all
+other columns stay as they are (with counts, columns of the names of the counts are replaced).
 """
 
 from __future__ import annotations
 
 import re
+from calendar import monthrange
 from collections.abc import Callable
-from datetime import date, timedelta
+from datetime import date
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -36,18 +48,30 @@ EXAMPLE_KEY = b"marginalia example key"
 
 KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "date", "secret")
 #: Texts without any of these hold no value of any kind.
-HINT = r"[0-9]{2}|@|[0-9]\.[0-9]|[0-9a-fA-F]{32}|[0-9]/[0-9]"
+HINT = r"[0-9]{2}|@|[0-9]\.[0-9]|[0-9a-fA-F]{32}|[0-9]/[0-9]|AKIA|ASIA|gh[oprsu]_|github_pat_|glpat-|[rs]k[_-]|xox|AIza"
+#: Month names, the prefixes of keys of widespread services, and country codes of one and two digits (all others have three).
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+#: May is the same in full and short, and counts as the full one.
+SHORT_MONTHS = tuple(m[:3] for m in MONTHS if m != "May")
+PREFIXES = ("AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "rk_live_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "AIza")
+COUNTRY_1 = ("1", "7")
+COUNTRY_2 = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
 
 PATTERN = re.compile(
-    r"""
-    (?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
-  | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-  | (?P<secret>(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9]))
-  | (?P<card>(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]))
-  | (?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|(?<![0-9A-Za-z])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]))
-  | (?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))
-  | (?P<ip>(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9]))
-  | (?P<date>(?<![0-9A-Za-z/.-])(?:[0-9]{4}([-/.])[0-9]{2}\9[0-9]{2}|[0-9]{1,2}([-/.])[0-9]{1,2}\10[0-9]{4})(?![0-9A-Za-z]|[/.-][0-9]))
+    rf"""
+    (?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{{2,}})
+  | (?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))
+  | (?P<secret>(?<![A-Za-z0-9])[0-9A-Fa-f]{{32,64}}(?![A-Za-z0-9])|(?<![A-Za-z0-9_-])(?:{"|".join(PREFIXES)})[A-Za-z0-9_-]{{16,250}}(?![A-Za-z0-9_-]))
+  | (?P<card>(?<![0-9A-Za-z])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?![0-9A-Za-z]))
+  | (?P<phone>(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{3}}\)[ ]?|(?<![0-9A-Za-z])[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9A-Za-z])
+      |(?<![0-9A-Za-z+])\+[1-9][0-9]{{0,14}}(?:[ .-]?\(?[0-9]{{1,6}}\)?){{0,6}}(?![0-9A-Za-z]|[/.:-][0-9]))
+  | (?P<ssn>(?<![0-9A-Za-z-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z-]))
+  | (?P<ip>(?<![0-9A-Za-z.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![0-9A-Za-z]|\.[0-9]))
+  | (?P<date>(?<![0-9A-Za-z/.-])(?:[0-9]{{4}}([-/.])[0-9]{{2}}\9[0-9]{{2}}|[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\10[0-9]{{4}})(?:(?=T[0-9]{{2}}:?[0-9]{{2}})|(?![0-9A-Za-z]|[/.-][0-9]))
+      |(?<![0-9A-Za-z])(?:[0-9]{{1,2}}\ (?:{"|".join(MONTHS + SHORT_MONTHS)}),?\ [0-9]{{4}}|(?:{"|".join(MONTHS + SHORT_MONTHS)})\ [0-9]{{1,2}},?\ [0-9]{{4}})(?![0-9A-Za-z]))
     """,
     re.VERBOSE | re.ASCII,
 )
@@ -152,7 +176,17 @@ def _ssn(text, turn):
 
 def _phone(text, turn):
     digits = re.sub(r"\D", "", text)
-    return _refill(text, digits[:-10] + str(turn(int(digits[-10:]), 10**10)).zfill(10))
+    own = 10
+    if text.startswith("+"):
+        code = 1 if digits.startswith(COUNTRY_1) else 2 if digits.startswith(COUNTRY_2) else 3
+        own = len(digits) - code
+        if len(digits) > 15:  # what follows in digits may be another number
+            head = re.match(r"(.*[0-9)])([ .-].*)", text)
+            made = _phone(head[1], turn) if head else None
+            return made and made + head[2]
+        if len(digits) < 8:
+            return None
+    return _refill(text, digits[:-own] + str(turn(int(digits[-own:]), 10**own)).zfill(own))
 
 
 #: The first number and the count of those with one, two and three digits in an address.
@@ -175,21 +209,39 @@ def _ip(text, turn):
     return ".".join(reversed(out))
 
 
-@lru_cache(maxsize=1)
-def _days() -> tuple[dict[tuple, list[date]], dict[date, int]]:
-    """The dates of two centuries by what their spelling can show: whether the day can be a month, and which parts have one digit."""
-    classes: dict[tuple, list[date]] = {}
-    place = {}
-    day = date(1900, 1, 1)
-    while day.year < 2100:
-        own = classes.setdefault((day.day > 12, day.day > 9, day.month > 9), [])
-        place[day] = len(own)
-        own.append(day)
-        day += timedelta(days=1)
-    return classes, place
+@lru_cache(maxsize=None)
+def _days(kind: tuple[bool, bool, bool], months: tuple[int, ...]) -> list[tuple[int, int]]:
+    """The (month, day) pairs of a leap year in some months whose spelling shows the same: whether the day can be a month, and which parts have one digit."""
+    return [(m, d) for m in months for d in range(1, monthrange(2000, m)[1] + 1) if (d > 12, d > 9, m > 9) == kind]
+
+
+def _moved(year: int, month: int, day: int, turn, months: tuple[int, ...] = tuple(range(1, 13)), named: bool = False) -> tuple[int, int, int] | None:
+    """The pseudonym of a day: another of the same century and spelling (`named`: the month is a word, so its digits don't matter)."""
+    try:
+        date(year, month, day)
+    except ValueError:
+        return None
+    kind = (day > 12, day > 9, month > 9)
+    own = [x for k in (False, True) for x in _days((*kind[:2], k), months)] if named else _days(kind, months)
+    century, value = year // 100, own.index((month, day)) * 100 + year % 100
+    while True:  # 29 February of a year that has none is permuted again
+        value = turn(value, 100 * len(own))
+        (month, day), year = own[value // 100], century * 100 + value % 100
+        if year and day <= monthrange(year, month)[1]:
+            return year, month, day
 
 
 def _date(text, turn):
+    word = re.search("[A-Za-z]+", text)
+    if word:
+        names = MONTHS if word.group() in MONTHS else SHORT_MONTHS
+        months = tuple(k for k, m in enumerate(MONTHS, 1) if (m in names or m[:3] in names) and (names is MONTHS or m != "May"))
+        day, year = re.findall("[0-9]+", text)
+        made = _moved(int(year), months[names.index(word.group())], int(day), lambda v, n: turn(v, n, f"{len(months)}"), months, named=True)
+        if made is None:
+            return None
+        out = text.replace(word.group(), "\0").replace(year, "\1").replace(day, str(made[2]).zfill(len(day)), 1)
+        return out.replace("\0", names[months.index(made[1])]).replace("\1", str(made[0]).zfill(4))
     mark = next(c for c in text if not c.isdigit())
     parts = text.split(mark)
     year_first = len(parts[0]) == 4
@@ -197,31 +249,49 @@ def _date(text, turn):
     swapped = not year_first and month > 12
     if swapped:  # month before day
         month, day = day, month
-    classes, place = _days()
-    try:
-        found = date(year, month, day)
-        own = classes[found.day > 12, found.day > 9, found.month > 9]
-        made = own[turn(place[found], len(own))]
-    except (ValueError, KeyError):
+    made = _moved(year, month, day, turn)
+    if made is None:
         return None
-    order = (made.year, made.month, made.day) if year_first else (made.month, made.day, made.year) if swapped else (made.day, made.month, made.year)
+    order = made if year_first else (made[1], made[2], made[0]) if swapped else (made[2], made[1], made[0])
     return mark.join(str(v).zfill(len(p)) for v, p in zip(order, parts, strict=True))
 
 
 def _secret(text, turn):
+    prefix = next((p for p in sorted(PREFIXES, key=len, reverse=True) if text.startswith(p)), "")
+    if prefix:
+        return prefix + _by_class(text[len(prefix) :], turn, (26, "abcdefghijklmnopqrstuvwxyz"))
     if not re.search("[0-9]", text) or not re.search("[A-Fa-f]", text):
         return None
+    if text not in (text.lower(), text.upper()):
+        return _by_class(text, turn, (6, "abcdef"))
     made = f"{turn(int(text, 16), 16 ** len(text)):0{len(text)}x}"
     return made.upper() if text.upper() == text else made
 
 
+def _by_class(text: str, turn, letters: tuple[int, str]) -> str:
+    """Digits stay digits, and letters letters of their case; marks stay."""
+    n, alphabet = letters
+    size, value = 1, 0
+    for c in text:
+        if c.isalnum():
+            base = 10 if c.isdigit() else n
+            size, value = size * base, value * base + (int(c) if c.isdigit() else alphabet.index(c.lower()))
+    value, out = turn(value, size), []
+    for c in reversed(text):
+        if c.isalnum():
+            value, r = divmod(value, 10 if c.isdigit() else n)
+            c = str(r) if c.isdigit() else alphabet[r].upper() if c.isupper() else alphabet[r]
+        out.append(c)
+    return "".join(reversed(out))
+
+
 _WRITE = {"email": _email, "card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date, "secret": _secret}
 
 
 def _changed(text: str, key: bytes, back: bool, found: dict[str, int]) -> str:
     def put(match: re.Match) -> str:
         kind = match.lastgroup
-        made = _WRITE[kind](match.group(), lambda value, size: permute(value, size, key, kind, back))
+        made = _WRITE[kind](match.group(), lambda value, size, form="": permute(value, size, key, kind + form, back))
         if made is None:
             return match.group()
         found[kind] = found.get(kind, 0) + 1
