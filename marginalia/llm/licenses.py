@@ -1,88 +1,90 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
-The rolling 2-grams of a document's words are joined by hash (and by their words, so that a collision of
-hashes can't vote) to the places of the license templates, a fixed small table.  A gram at place p that stands at place t of a
-template votes for the diagonal p - t.  A diagonal with all votes of a template is that phrase word for
-word; for the longer templates neighbouring diagonals (at most NEAR apart: a word was left out or put in) are merged, and a
-span with at least SHARE of the votes, not much longer than the template, gives its label too.
-
-Documents meet their votes by two 64-bit hashes of doc_id and text, so that repeated rows get the same result each.  Null texts have
-no words; a null doc_id stays; an empty table gives an empty result; other columns are not read.
+The rolling word grams of a document are joined by hash (and by their words, so that a collision of hashes can't vote) to the
+places of the license templates, a fixed small table: 2-grams for the base phrases, 3-grams for the templates, which are whole texts and
+single sentences of public licenses.  Before they are exploded, a document's grams are narrowed to those that stand in a
+template at all.  A gram at place p that stands at place t of a template votes for the diagonal p - t.
+
+A diagonal with all votes of a base phrase is that phrase word for word.  For the templates neighbouring diagonals are merged (words were left out
+or put in): into bands of BAND diagonals, in two series that are shifted by half a band, so that a copy that drifts by up to half a band lies whole in
+one and no merge drifts further.  A band is verified in the order of the document: votes that go on in the template are
+counted, others not.  With at least SHARE of the template's grams the document gets its label.
+
+Null texts have no words; a null doc_id stays; repeated rows get a result each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import BASE, phrases
 from .storage import cut, documents
 
-#: The phrases whose places are counted, and their labels.
-BASE = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
-#: Sentences of public licenses, and their labels.
-TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-]
-K = 2
-NEAR = 2
-SHARE = 0.75
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of a gram of the base phrases and of the templates.
+K_BASE, K = 2, 3
+BAND = 8
+SHARE = 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: All ASCII characters that are no letters or digits: they separate words.
+_MARKS = "".join(map(chr, (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))))
 
 
-def template_grams(spark: SparkSession) -> DataFrame:
-    """template, label, is_base, grams (their number), t and gram: a row a place."""
+def _grams() -> list[tuple[int, str, bool, int, int, str]]:
     rows = []
-    for n, (label, phrase) in enumerate(BASE + TEMPLATES):
-        words = phrase.split()
-        rows += [(n, label, n < len(BASE), len(words) - K + 1, t, " ".join(words[t : t + K])) for t in range(len(words) - K + 1)]
-    return spark.createDataFrame(rows, "template int, label string, is_base boolean, grams int, t int, template_gram string")
+    for n, (label, phrase) in enumerate(phrases()):
+        words, k = phrase.split(), K_BASE if n < len(BASE) else K
+        grams = len(words) - k + 1
+        rows += [(n, label, n < len(BASE), grams, t, " ".join(words[t : t + k])) for t in range(grams)]
+    return rows
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    """doc_id, the hashes a and b, and the words."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("a"), F.xxhash64(text, F.lit("b"), "doc_id").alias("b"), F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0)).alias("words"))
-
-
-def votes(docs: DataFrame) -> DataFrame:
-    """a, b, template, label, is_base, grams, diagonal, and the template places ts that voted for it."""
-    spark = docs.sparkSession
-    i = F.when(F.size("words") >= K, F.sequence(F.lit(1), F.size("words") - (K - 1))).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(i, lambda x: F.concat_ws(" ", *[F.element_at("words", x + o) for o in range(K)]))
-    rolled = with_words(docs).select("a", "b", F.posexplode(grams).alias("p", "gram"))
-    fixed = F.broadcast(template_grams(spark).withColumn("h", F.xxhash64("template_gram")))  # a fixed table
+def template_grams(spark: SparkSession) -> DataFrame:
+    """template, label, is_base, grams (their number), t and template_gram: a row a place."""
+    return spark.createDataFrame(_grams(), "template int, label string, is_base boolean, grams int, t int, template_gram string")
+
+
+def with_grams(docs: DataFrame) -> DataFrame:
+    """number (of the row), doc_id, n_words, and found: the places p and the grams that stand in a base phrase or a template."""
+    known = {is_base: sorted({g for *_, b, _, _, g in _grams() if b == is_base}) for is_base in (True, False)}
+    first = sorted({g.split()[0] for own in known.values() for g in own})
+    text = F.translate(F.coalesce("text", F.lit("")), _UPPER + _MARKS, _LOWER + " " * len(_MARKS))
+    words = docs.select("doc_id", F.array_remove(F.split(text, " "), "").alias("words"))
+    after = lambda i, o: F.get("words", i + o)
+    gram = lambda x, i: F.struct(i.alias("p"), F.concat_ws(" ", x, after(i, 1)).alias("two"), F.concat_ws(" ", x, after(i, 1), after(i, 2)).alias("three"))
+    begun = F.filter(F.transform("words", lambda x, i: F.when(x.isin(*first), gram(x, i))), lambda y: y.isNotNull())
+    found = F.filter(begun, lambda y: y["two"].isin(*known[True]) | y["three"].isin(*known[False]))
+    return words.select(F.monotonically_increasing_id().alias("number"), "doc_id", F.size("words").cast("long").alias("n_words"), found.alias("found"))
+
+
+def votes(found: DataFrame) -> DataFrame:
+    """number, template, label, is_base, grams, diagonal, and the template places ts that voted for it."""
+    fixed = F.broadcast(template_grams(found.sparkSession).withColumn("h", F.xxhash64("template_gram")))  # a fixed table
+    rolled = found.select("number", F.explode("found").alias("g")).select("number", "g.p", F.explode(F.array("g.two", "g.three")).alias("gram"))
     hits = rolled.withColumn("h", F.xxhash64("gram")).join(fixed, "h").where("gram = template_gram")
-    return hits.groupBy("a", "b", "template", "label", "is_base", "grams", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"))
+    return hits.groupBy("number", "template", "label", "is_base", "grams", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"))
 
 
 def spans(voted: DataFrame) -> DataFrame:
-    """a, b, label, share, first and last word of the merged diagonals that pass."""
-    own = Window.partitionBy("a", "b", "template").orderBy("diagonal")
-    new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(own) > NEAR, F.lit(True))
-    runs = voted.withColumn("run", F.sum(new.cast("int")).over(own))
-    first = F.col("diagonal") + F.array_min("ts")
-    last = F.col("diagonal") + F.array_max("ts") + K - 1
-    merged = runs.groupBy("a", "b", "template", "label", "grams", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("n"), F.min(first).alias("first"), F.max(last).alias("last"))
-    share = F.col("n") / F.col("grams")
-    return merged.where((share >= SHARE) & (F.col("last") - F.col("first") + 1 <= 1.5 * (F.col("grams") + K - 1))).select("a", "b", "label", share.alias("share"), "first", "last")
+    """number, label, share, first and last word of the bands that pass."""
+    series = F.explode(F.array(F.lit(0), F.lit(BAND // 2))).alias("shift")
+    bands = voted.select("*", series).withColumn("band", F.floor((F.col("diagonal") + F.col("shift")) / BAND))
+    places = F.transform("ts", lambda t: F.struct((F.col("diagonal") + t).alias("p"), t.alias("t")))
+    merged = bands.groupBy("number", "template", "label", "grams", "shift", "band").agg(F.array_sort(F.flatten(F.collect_list(places))).alias("votes"))  # at most BAND times the grams
+    merged = merged.where(F.size("votes") >= SHARE * F.col("grams"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("t"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    step = lambda s, v: F.when(v["t"] > s["t"], F.struct((s["n"] + 1).alias("n"), v["t"].alias("t"), F.coalesce(s["first"], v["p"]).alias("first"), v["p"].alias("last"))).otherwise(s)
+    verified = merged.withColumn("run", F.aggregate("votes", start, step)).withColumn("share", F.col("run.n") / F.col("grams"))
+    return verified.where(F.col("share") >= SHARE).select("number", "label", "share", F.col("run.first").alias("first"), (F.col("run.last") + (K - 1)).alias("last"))
 
 
 def licenses(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    docs = docs.select("doc_id", "text")
-    voted = cut(votes(docs))  # read twice below
-    whole = voted.where(F.col("is_base") & (F.size("ts") == F.col("grams"))).select("a", "b", "label", F.lit(1.0).alias("share"), F.col("diagonal").alias("start"))
-    near = spans(voted.where("not is_base")).select("a", "b", "label", "share", F.lit(None).cast("int").alias("start"))
-    found = whole.union(near).groupBy("a", "b").agg(
+    rows = cut(with_grams(docs.select("doc_id", "text")))  # texts are read once; the numbers are fixed by it
+    voted = cut(votes(rows))
+    whole = voted.where(F.col("is_base") & (F.size("ts") == F.col("grams"))).select("number", "label", F.lit(1.0).alias("share"), F.col("diagonal").alias("start"))
+    near = spans(voted.where("not is_base")).select("number", "label", "share", F.lit(None).cast("int").alias("start"))
+    found = whole.union(near).groupBy("number").agg(
         F.count("start").alias("n_base"),
         F.min("start").cast("long").alias("first_word"),
         F.max("start").cast("long").alias("last_word"),
@@ -90,32 +92,35 @@ def licenses(docs: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("share").alias("score"),
     )
-    rows = with_words(docs).select("doc_id", "a", "b", F.size("words").cast("long").alias("n_words"))
     none = {"n_base": 0, "base_labels": "", "labels": "", "score": 0.0}
-    return rows.join(found, ["a", "b"], "left").fillna(none).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return rows.select("number", "doc_id", "n_words").join(found, "number", "left").fillna(none).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(documents(spark, sf_dir, "doc_id", "text"))
 
 
-_VALUES = ", ".join(f"({n}, '{label}', {'true' if n < len(BASE) else 'false'}, '{phrase}')" for n, (label, phrase) in enumerate(BASE + TEMPLATES))
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_VALUES = ", ".join(f"({n}, '{label}', {'true' if n < len(BASE) else 'false'}, '{phrase}')" for n, (label, phrase) in enumerate(phrases()))
 OP7_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}') AS ws FROM documents),
 v(template, label, is_base, phrase) AS (VALUES {_VALUES}),
 tw AS (SELECT *, string_split(phrase, ' ') AS ws FROM v),
-t AS (SELECT template, label, is_base, grams, t, ws[t + 1] || ' ' || ws[t + 2] AS gram FROM (SELECT *, len(ws) - 1 AS grams, unnest(range(0, len(ws) - 1)) AS t FROM tw)),
-g AS (SELECT r, p, ws[p + 1] || ' ' || ws[p + 2] AS gram FROM (SELECT r, ws, unnest(range(0, len(ws) - 1)) AS p FROM d WHERE len(ws) > 1)),
-vote AS (SELECT r, template, label, is_base, grams, p - t AS diagonal, t FROM g JOIN t USING (gram)),
-base AS (SELECT r, label, diagonal FROM vote WHERE is_base GROUP BY r, template, label, grams, diagonal HAVING count(*) = grams),
-diag AS (SELECT DISTINCT r, template, diagonal FROM vote WHERE NOT is_base),
-run AS (SELECT r, template, diagonal, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS run
-  FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {NEAR} THEN 0 ELSE 1 END AS new FROM diag)),
+t2 AS (SELECT template, label, len(ws) - 1 AS grams, unnest(range(0, len(ws) - 1)) AS t, ws FROM tw WHERE is_base),
+t3 AS (SELECT template, label, len(ws) - 2 AS grams, unnest(range(0, len(ws) - 2)) AS t, ws FROM tw WHERE NOT is_base),
+g2 AS (SELECT r, p, ws[p + 1] || ' ' || ws[p + 2] AS gram FROM (SELECT r, ws, unnest(range(0, len(ws) - 1)) AS p FROM d WHERE len(ws) > 1)),
+g3 AS (SELECT r, p, ws[p + 1] || ' ' || ws[p + 2] || ' ' || ws[p + 3] AS gram FROM (SELECT r, ws, unnest(range(0, len(ws) - 2)) AS p FROM d WHERE len(ws) > 2)),
+base AS (
+  SELECT r, label, p - t AS diagonal FROM g2 JOIN (SELECT *, ws[t + 1] || ' ' || ws[t + 2] AS gram FROM t2) USING (gram)
+  GROUP BY r, template, label, grams, p - t HAVING count(*) = grams),
+vote AS (SELECT r, template, label, grams, p, t, p - t AS diagonal FROM g3 JOIN (SELECT *, ws[t + 1] || ' ' || ws[t + 2] || ' ' || ws[t + 3] AS gram FROM t3) USING (gram)),
+band AS (SELECT *, floor((diagonal + shift) / {BAND}) AS band FROM vote, (VALUES (0), ({BAND // 2})) s(shift)),
+forth AS (
+  SELECT r, template, label, grams, shift, band, t > coalesce(max(t) OVER (PARTITION BY r, template, shift, band ORDER BY p, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS goes_on FROM band),
 near AS (
-  SELECT r, label, count(DISTINCT t) / any_value(grams)::DOUBLE AS share
-  FROM vote JOIN run USING (r, template, diagonal) GROUP BY r, template, label, run
-  HAVING count(DISTINCT t) / any_value(grams)::DOUBLE >= {SHARE} AND max(diagonal + t) + {K - 1} - min(diagonal + t) + 1 <= 1.5 * (any_value(grams) + {K - 1})),
+  SELECT r, label, count(*) FILTER (WHERE goes_on) / any_value(grams)::DOUBLE AS share FROM forth
+  GROUP BY r, template, label, shift, band HAVING count(*) FILTER (WHERE goes_on) / any_value(grams)::DOUBLE >= {SHARE}),
 lab AS (SELECT r, label, 1.0::DOUBLE AS share FROM base UNION ALL SELECT r, label, share FROM near),
 l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM lab GROUP BY r),
 b AS (SELECT r, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r)
