@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from marginalia.llm import pii
 
-from .helpers import SCHEMA, components, empty_docs, fingerprint, odd_rows, prose
+from .helpers import SCHEMA, components, empty_docs, fingerprint, odd_docs, odd_rows, prose
 
 
 def _tables(spark, folder):
@@ -48,6 +48,27 @@ def test_each_stage(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == len(a4)
 
 
+def test_stages_on_odd_rows_with_clashing_columns(spark, tmp_path):
+    """Null, repeated and shared doc_ids, null texts, and columns of the names that the stages use inside."""
+    sf = str(tmp_path / "sf")
+    _tables(spark, sf)
+    docs = odd_docs(spark)
+    more = [(None, prose(90, 60 + i), "en", "s", 1) for i in range(4)] + [(20, prose(90, 80), "en", "s", 1), (20, prose(90, 81), "en", "s", 1)] + [(21, prose(90, 82), "en", "s", 1)] * 3
+    docs = docs.unionByName(spark.createDataFrame(more, SCHEMA).selectExpr("*", *[f"'own' as `{c}`" for c in docs.columns[5:]]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [tuple(r) for r in docs.collect()]
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns
+        rows = [tuple(r) for r in after.collect()]
+        if name == "simhash":
+            comp = components([fingerprint(r[1]) for r in before])
+            assert len(rows) == len(set(comp)) and not Counter(rows) - Counter(before)
+        else:
+            assert len(rows) == len(before)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert Counter(r[0] for r in pieces.where("piece = 0").select("doc_id").collect()) == Counter(r[0] for r in before)
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     sf = str(tmp_path / "sf")
     _tables(spark, sf)
