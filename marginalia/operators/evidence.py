@@ -55,14 +55,6 @@ def overview(blocks: DataFrame, doc: str = "doc_id", n: int = 3) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), "order_index"))).where(F.col("place") <= n)
 
 
-def focus_score(body: Column, title: Column, phrases: list[str]) -> Column:
-    """How much a document is about some phrases: 5.2 for each in the title, 4.1 in the body, 18 at most."""
-    total = F.lit(0.0)
-    for p in phrases:
-        total = total + F.when(text.contains_phrase(text.suggestion_text(title), F.lit(p)), 5.2).otherwise(0.0) + F.when(text.contains_phrase(text.suggestion_text(body), F.lit(p)), 4.1).otherwise(0.0)
-    return F.least(total, F.lit(18.0))
-
-
 def atoms(blocks: DataFrame, doc: str = "doc_id", most: int = 10) -> DataFrame:
     """Sentences of blocks as atoms with an id and their citation numbers; at most `most` a block."""
     out = blocks.select(doc, "block_id", "order_index", F.posexplode(F.slice(text.sentences("text"), 1, most)).alias("n", "sentence"))

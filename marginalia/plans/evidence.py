@@ -47,15 +47,6 @@ a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, heading_pa
 SELECT doc_id, block_id, score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, order_index) AS place FROM b) WHERE place <= 3"""
 
 
-def focus_scores(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    return d.select("doc_id", F.round(V.focus_score(F.col("t"), F.split("t", "\n")[0], ["the", "in the", "und", "de la", "tion"]), 4).alias("focus"))
-
-
-_PHRASES = ["the", "in the", "und", "de la", "tion"]
-FOCUS_SQL = "WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS b, ' ' || trim(regexp_replace(lower(string_split(coalesce(text, ''), chr(10))[1]), '[^a-z0-9]+', ' ', 'g')) || ' ' AS h FROM documents) SELECT doc_id, round(least(" + " + ".join(f"CASE WHEN contains(h, ' {p} ') THEN 5.2 ELSE 0 END + CASE WHEN contains(b, ' {p} ') THEN 4.1 ELSE 0 END" for p in _PHRASES) + ", 18.0)::DOUBLE, 4) AS focus FROM d"
-
-
 def _hits(spark, sf):
     e = table(spark, sf, "events")
     return e.select("event_type", F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("p_"), "event_id")).alias("block_id"), F.when(F.col("event_id") % 4 == 1, F.lit("a")).alias("anchor_id"), F.when(F.col("event_id") % 5 > 0, F.lit("H")).otherwise("").alias("heading"), (F.col("value") / 100).alias("score"))
@@ -102,5 +93,5 @@ def richer_titles(spark, sf):
 
 RICHER_SQL = "SELECT doc_id, CASE WHEN coalesce(l[1], '') = '' THEN l[2] WHEN length(l[2]) >= length(l[1]) + 12 THEN l[2] ELSE l[1] END AS title FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)"
 
-QUERIES = {f.__name__: f for f in (evidence_atoms, section_map, overview_snippets, focus_scores, hit_levels, strict_identity, file_tasks, richer_titles)}
-ORACLE_SQL = {"evidence_atoms": ATOM_SQL, "section_map": MAP_SQL, "overview_snippets": OVERVIEW_SQL, "focus_scores": FOCUS_SQL, "hit_levels": LEVEL_SQL, "strict_identity": STRICT_SQL, "file_tasks": TASK_SQL, "richer_titles": RICHER_SQL}
+QUERIES = {f.__name__: f for f in (evidence_atoms, section_map, overview_snippets, hit_levels, strict_identity, file_tasks, richer_titles)}
+ORACLE_SQL = {"evidence_atoms": ATOM_SQL, "section_map": MAP_SQL, "overview_snippets": OVERVIEW_SQL, "hit_levels": LEVEL_SQL, "strict_identity": STRICT_SQL, "file_tasks": TASK_SQL, "richer_titles": RICHER_SQL}
