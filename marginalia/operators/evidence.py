@@ -16,18 +16,6 @@ def segments(answers: DataFrame, key: str = "answer_id", body: str = "text") ->
     return kept.withColumn("seg_no", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).drop("pos")
 
 
-def best_blocks(segment: DataFrame, blocks: DataFrame, doc: str = "doc_id", floor: float = 0.22, k: int = 1) -> DataFrame:
-    """segment: doc, seg_no, segment.  blocks: doc, block_id, order_index, text.  The best blocks of its own document for each
-    segment: they are joined by their common words, so that pairs without one are never made."""
-    words = lambda df, c: F.explode(F.array_distinct(text.match_tokens(c)))
-    left = segment.withColumn("word", words(segment, "segment")).withColumn("n", F.size(F.array_distinct(text.match_tokens("segment"))))
-    right = blocks.select(doc, "block_id", "order_index", words(blocks, "text").alias("word"), F.size(F.array_distinct(text.match_tokens("text"))).alias("m"))
-    common = left.join(right, [doc, "word"]).groupBy(doc, "seg_no", "block_id", "order_index", "n", "m").agg(F.count("*").alias("common"))
-    scored = common.withColumn("score", F.round(F.col("common") / F.sqrt(F.col("n").cast("double") * F.col("m")), 6)).where(F.col("score") >= floor)
-    place = F.row_number().over(Window.partitionBy(doc, "seg_no").orderBy(F.desc("score"), "order_index"))
-    return scored.withColumn("place", place).where(F.col("place") <= k).select(doc, "seg_no", "block_id", "score", "place")
-
-
 def hit_level(block_id: Column, anchor_id: Column, heading: Column, score: Column) -> Column:
     return F.when(anchor_id.isNotNull() & (score >= 0.9), "exact").when(block_id.isNotNull(), "block").when(F.coalesce(heading, F.lit("")) != "", "heading").otherwise("none")
 

@@ -22,6 +22,26 @@ def synthetic_lines(docs: DataFrame) -> DataFrame:
     return raw.select("doc_id", "pos", F.when(F.pmod("pos", F.lit(7)) == 0, F.concat(F.lit("# "), "line")).when(F.pmod("pos", F.lit(3)) == 0, F.concat(F.lit("## "), "line")).otherwise(body).alias("line"))
 
 
+def rich_lines(docs: DataFrame) -> DataFrame:
+    """Markdown made from prose like synthetic_lines(), with equations, figures and captions, tables, quotes, lists and mentions at fixed places."""
+    raw = lines(docs.select("doc_id", F.col("text").alias("md")))
+    k, at = F.pmod("pos", F.lit(9)) + 1, F.pmod("pos", F.lit(20))
+    forms = {
+        2: F.concat(F.lit("$$ E_{"), k, F.lit("} = \\sum "), F.substring("line", 1, 12), F.lit(" \\tag{"), k, F.lit("} $$")),
+        4: F.concat(F.lit("![fig](assets/f"), k, F.lit(".png)")),
+        5: F.concat(F.lit("**Figure "), k, F.lit(".** "), "line"),
+        8: F.concat(F.lit("| "), "line", F.lit(" | "), k, F.lit(" |")),
+        10: F.concat(F.lit("> "), "line"),
+        11: F.concat(F.lit("- "), "line"),
+        13: F.concat(F.lit("eq. ("), k, F.lit(") says "), "line"),
+        16: F.concat(F.lit("see Fig. "), k, F.lit(" "), "line"),
+    }
+    body = F.when(F.pmod("pos", F.lit(7)) == 0, F.concat(F.lit("# "), "line")).when(F.pmod("pos", F.lit(3)) == 0, F.concat(F.lit("## "), "line"))
+    for n, form in forms.items():
+        body = body.when(at == n, form)
+    return raw.select("doc_id", "pos", body.otherwise(F.col("line")).alias("line"))
+
+
 def with_heading_path(md: DataFrame, levels: int = 3) -> DataFrame:
     """md: doc_id, pos, line.  Adds level (0: body) and heading_path, the titles of the headings above a line."""
     level = F.length(F.regexp_extract("line", "^(#{1,6})\\s", 1))

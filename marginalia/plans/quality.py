@@ -149,21 +149,6 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY answer_id ORDER BY seg_no)::BIGINT A
 SELECT answer_id, grp, kind, count(*) AS segments, min(seg_no)::INT AS lead FROM r GROUP BY ALL"""
 
 
-def evidence_blocks(spark, sf):
-    """The first line of each document against its later lines."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "text"))
-    first = lines.where("pos = 0").select("doc_id", F.lit(1).alias("seg_no"), F.col("text").alias("segment"))
-    blocks = lines.where("pos > 0").select("doc_id", F.concat(F.lit("b"), F.col("pos").cast("string")).alias("block_id"), F.col("pos").alias("order_index"), "text")
-    return V.best_blocks(first, blocks).select("doc_id", "block_id", "score")
-
-
-EVIDENCE_SQL = """WITH l AS (SELECT row_number() OVER () AS r, doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-w AS (SELECT doc_id, pos, list_distinct(regexp_extract_all(lower(t), '[a-z0-9]{2,}')) AS ws FROM l),
-p AS (SELECT a.doc_id, b.pos, len(list_intersect(a.ws, b.ws)) AS c, len(a.ws) AS n, len(b.ws) AS m FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.pos = 0 AND b.pos > 0),
-s AS (SELECT doc_id, pos, round(c / sqrt(n::DOUBLE * m), 6) AS score FROM p WHERE c > 0)
-SELECT doc_id, 'b' || pos AS block_id, score FROM s WHERE score >= 0.22 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) = 1"""
-
-
 def name_similarity(spark, sf):
     """Similarity of consecutive customer names (needs the sequence ratio)."""
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
@@ -181,12 +166,12 @@ KEYS_SQL = """SELECT doc_id, trim(regexp_replace(lower(h), '[\\s_]+', ' ', 'g'))
  coalesce(array_to_string(list_transform(regexp_extract_all(h, '[A-Za-z]+'), lambda w: upper(substr(w, 1, 1))), ''), '') AS initials, list_extract(regexp_extract_all(h, '(19\\d{2}|20\\d{2})', 1), -1)::INT AS year,
  CASE WHEN length(i) = 8 THEN substr(i, 1, 4) || '-' || substr(i, 5, 4) END AS issn FROM (SELECT doc_id, h, regexp_replace(upper(h), '[^0-9X]', '', 'g') AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS h FROM documents))"""
 
-QUERIES = {f.__name__: f for f in (answer_summary, failure_reasons, evaluation_kpis, stage_percentiles, ring_buffer, gate_report, regression_report, queue_progress, prompt_classes, noise_flags, ranking_pages, event_properties, answer_segments, evidence_blocks, name_similarity, text_keys)}
+QUERIES = {f.__name__: f for f in (answer_summary, failure_reasons, evaluation_kpis, stage_percentiles, ring_buffer, gate_report, regression_report, queue_progress, prompt_classes, noise_flags, ranking_pages, event_properties, answer_segments, name_similarity, text_keys)}
 ORACLE_SQL = {
     "answer_summary": SUMMARY_SQL, "failure_reasons": REASONS_SQL, "evaluation_kpis": KPI_SQL,
     "stage_percentiles": "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM events WHERE value >= 0 GROUP BY 1",
     "ring_buffer": f"WITH {EVENTS} SELECT event_id, intent, depth, char_count FROM ev ORDER BY ts DESC, event_id DESC LIMIT 800",
     "gate_report": GATE_SQL, "regression_report": REGRESSION_SQL, "queue_progress": QUEUE_SQL, "prompt_classes": PROMPT_SQL, "noise_flags": NOISE_SQL, "ranking_pages": PAGES_SQL,
     "event_properties": "SELECT event_id, coalesce(len(json_keys(props)), 0)::INT AS keys, sha1(coalesce(props, '{}')) AS sha1 FROM events",
-    "answer_segments": SEGMENT_SQL, "evidence_blocks": EVIDENCE_SQL, "text_keys": KEYS_SQL,
+    "answer_segments": SEGMENT_SQL, "text_keys": KEYS_SQL,
 }
