@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
+from .prompts import is_promising_reference
 
 
 def entries(md: DataFrame) -> DataFrame:
@@ -55,22 +56,89 @@ def audit(refs: DataFrame) -> DataFrame:
     return out.withColumn("repair_score", 3 * F.col("missing_doi") + 2 * F.col("empty_title") + F.col("blank_match") + 2 * F.col("unresolved"))
 
 
-def best_match(refs: DataFrame, rows: DataFrame, floor: float = 0.63) -> DataFrame:
-    """refs: ref_id, clean, doi, year, author.  rows: row_id, text, doi, year, author.  The best row for each reference: by equal DOI, else
-    by similarity of texts among rows that share the first author or a year and a title word (a blocked join), from `floor` on."""
-    by_doi = refs.join(rows.select(F.col("row_id").alias("row_id"), F.col("doi").alias("row_doi")), F.col("doi") == F.col("row_doi")).select("ref_id", "row_id", F.lit(1.0).alias("score"))
-    rest = refs.join(by_doi.select("ref_id"), "ref_id", "left_anti")
-    block = lambda df, c: F.explode(F.array_distinct(F.filter(text.match_tokens(c), lambda t: F.length(t) >= 6)))
-    left = rest.withColumn("block", block(rest, "clean"))
-    right = rows.select("row_id", F.col("text").alias("row_text"), F.col("year").alias("row_year"), F.col("author").alias("row_author")).withColumn("block", block(rows, "row_text"))
-    # Blocks that many rows share say little; pairs need two common ones.
-    pairs = left.join(right, "block").groupBy("ref_id", "row_id").agg(F.count("*").alias("common"), *[F.first(c).alias(c) for c in ("clean", "year", "author", "row_text", "row_year", "row_author")]).where("common >= 2")
-    similar = scoring.blended_similarity(F.lower("clean"), F.lower("row_text"), text.match_tokens("clean"), text.match_tokens("row_text"), 0.72)
-    gap = F.abs(F.col("year") - F.col("row_year"))
-    score = similar + F.when(gap == 0, 0.14).when(gap == 1, 0.05).when(gap > 1, -0.08).otherwise(0.0) + F.when(F.col("author") == F.col("row_author"), 0.10).when(F.col("row_author").isNotNull(), -0.04).otherwise(0.0)
-    scored = pairs.withColumn("score", F.round(scoring.clamp(score, 0, 1), 6)).where(F.col("score") >= floor)
-    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("score"), "row_id"))).where("place = 1")
-    return by_doi.unionByName(best.select("ref_id", "row_id", "score"))
+#: Bonuses of equal and near years and of equal authors, maluses of others, and the floors of a match by content and by number.
+STRICT = {"year": 0.14, "near": 0.05, "other_year": 0.08, "author": 0.10, "other_author": 0.04, "doi": 0.03}
+LENIENT = {"year": 0.10, "near": 0.04, "other_year": 0.0, "author": 0.08, "other_author": 0.0, "doi": 0.02}
+CONTENT_FLOOR, NUMBER_FLOOR = 0.63, 0.56
+
+
+def row_score(raw: Column, row_text: Column, row_doi: Column, row_year: Column, row_author: Column, weights: dict[str, float]) -> Column:
+    """How well a row of a source's reference list fits a raw entry: 1 for the same DOI, else similarity of texts with year, author and DOI; null for a row without text."""
+    a, b = text.title_key(raw), text.title_key(row_text)
+    words = lambda x: F.array_remove(F.split(x, " "), "")
+    similar = F.when((a != "") & (b != ""), 0.68 * scoring.sequence_ratio(a, b) + 0.32 * scoring.jaccard(F.array_distinct(words(a)), F.array_distinct(words(b)))).otherwise(0.0)
+    year, own = row_year.try_cast("int"), text.last_year(raw)
+    gap = F.abs(year - own)
+    by_year = F.when(own.isNull(), 0.0).when(gap == 0, weights["year"]).when(gap <= 1, weights["near"]).otherwise(-weights["other_year"])
+    author = text.first_author(text.clean_reference(raw))
+    by_author = F.when(F.coalesce(author, F.lit("")) == "", 0.0).when(F.lower(row_author).contains(author), weights["author"]).otherwise(-weights["other_author"])
+    score = similar + by_year + by_author + F.when(F.coalesce(row_doi, F.lit("")) != "", weights["doi"]).otherwise(0.0)
+    return F.when(F.lower(row_doi) == text.doi_like(raw), 1.0).when(F.coalesce(row_text, F.lit("")) != "", scoring.clamp(score, 0, 1))
+
+
+def order_rules(refs: DataFrame, rows: DataFrame) -> DataFrame:
+    """refs: doc_id, num, raw.  rows: doc_id, pos (from 1), text, doi, year, author.  Per document: exact, prefix and loose, whether its entries may be
+    mapped to the rows by their numbers.  The numbers count only if a sample of up to eight of them fits; with fewer than four, or fewer than three that
+    say anything, they do."""
+    lengths = rows.groupBy("doc_id").agg(F.max("pos").alias("rows"))
+    own = refs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("num")).alias("nums")).join(lengths, "doc_id")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("num")) - 1
+    there = refs.join(lengths, "doc_id").where((F.col("num") <= F.col("rows")) & (F.trim("raw") != "")).withColumns({"i": place, "n": F.count("*").over(Window.partitionBy("doc_id"))})
+    half = F.floor(F.col("n") / 2)
+    sampled = there.where((F.col("n") >= 4) & (F.col("i").isin(0, 1, 2) | F.col("i").isin(half, half - 1, F.col("n") - 1, F.col("n") - 2, F.col("n") - 3)))
+    listed = rows.select(F.col("doc_id").alias("_doc"), "pos", F.col("text").alias("row_text"), "doi", "year", "author")
+    scored = sampled.join(listed, (F.col("doc_id") == F.col("_doc")) & (F.col("num") == F.col("pos")))
+    tells = (F.regexp_count(F.regexp_replace("row_text", text.DOI, " "), F.lit("[A-Za-z\\x{4e00}-\\x{9fff}]{2,}")) >= 4) | ((F.coalesce("doi", F.lit("")) != "") & text.doi_like("raw").isNotNull())
+    scored = scored.where(tells).withColumn("score", row_score(F.col("raw"), F.col("row_text"), F.col("doi"), F.col("year"), F.col("author"), STRICT)).where("score is not null")
+    fits = scored.groupBy("doc_id").agg(F.count("*").alias("k"), F.count_if(F.col("score") >= 0.66).alias("strong"), F.count_if(F.col("score") >= 0.56).alias("ok"), F.avg("score").alias("mean"))
+    enough = (F.col("ok") >= F.greatest(F.lit(3), F.ceil(F.col("k") * 0.60 - 0.001))) & (F.col("strong") >= F.greatest(F.lit(2), F.ceil(F.col("k") * 0.30 - 0.001))) & (F.col("mean") >= 0.58)
+    aligned = fits.select("doc_id", ((F.col("k") < 3) | enough).alias("aligned"))
+    out = own.join(aligned, "doc_id", "left").withColumn("aligned", F.coalesce("aligned", F.lit(True)))
+    first = F.least("rows", "n")
+    run = lambda m: F.slice(F.col("nums"), 1, m) == F.sequence(F.lit(1), m)
+    inside = F.size(F.filter("nums", lambda x: x.between(1, F.col("rows")))) / F.col("n")
+    return out.select("doc_id", "rows", (F.col("aligned") & (F.col("n") == F.col("rows")) & run(F.col("n").cast("int"))).alias("exact"), (F.col("aligned") & run(first.cast("int"))).alias("prefix"), (F.col("aligned") & (F.col("n") >= 8) & (inside >= 0.75)).alias("loose"))
+
+
+def match_rows(refs: DataFrame, rows: DataFrame) -> DataFrame:
+    """refs and rows as in order_rules().  doc_id, num, pos, method and score of the row that each entry is mapped to: by order, by number (from
+    NUMBER_FLOOR on), by number loosely, or by content, an equal DOI or the best score from CONTENT_FLOOR on, the first of equals.
+
+    What is left for content is compared with all rows of its own document.  Their number is bounded: without_outliers() leaves at most 500 entries, and a list of
+    references is as long; documents are never compared with one another."""
+    rules = order_rules(refs, rows)
+    listed = rows.select(F.col("doc_id").alias("_doc"), "pos", F.col("text").alias("row_text"), "doi", "year", "author")
+    at = refs.join(rules, "doc_id").join(listed, (F.col("doc_id") == F.col("_doc")) & (F.col("num") == F.col("pos")), "left")
+    fields = [F.col(c) for c in ("raw", "row_text", "doi", "year", "author")]
+    at = at.withColumn("score", F.round(row_score(*fields, LENIENT), 6))
+    ordered = F.col("exact") | (F.col("prefix") & (F.col("num") <= F.col("rows")))
+    method = F.when(F.col("pos").isNull(), None).when(ordered, "order").when(F.col("score") >= NUMBER_FLOOR, "number").when(F.col("loose"), "loose")
+    at = at.withColumn("method", method)
+    rest = at.where("method is null").select("doc_id", "num", "raw").join(listed, F.col("doc_id") == F.col("_doc"))
+    rest = rest.withColumn("score", F.round(row_score(*fields, STRICT), 6)).where(F.col("score") >= CONTENT_FLOOR)
+    first = F.row_number().over(Window.partitionBy("doc_id", "num").orderBy(F.desc("score"), "pos"))
+    found = rest.withColumn("_n", first).where("_n = 1").withColumn("method", F.lit("content"))
+    columns = ["doc_id", "num", "pos", "method", "score"]
+    return at.where("method is not null").select(columns).unionByName(found.select(columns))
+
+
+def enrichment(refs: DataFrame) -> DataFrame:
+    """refs: doc_id, raw, doi, title, authors, resolved.  Per document, of the entries that look like references: those without DOI or record, and of the
+    others those without title or authors."""
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    missing = empty("doi") & ~F.col("resolved")
+    fit = is_promising_reference("raw")
+    return refs.groupBy("doc_id").agg(F.count_if(fit & missing).alias("unresolved"), F.count_if(fit & ~missing & (empty("title") | empty("authors"))).alias("sparse"))
+
+
+def index_statistics(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """docs: doc_id, reused.  refs: doc_id, doi, resolved, method.  One row of counters of an index build."""
+    return docs.agg(F.count("*").alias("docs_total"), F.count_if(~F.col("reused")).alias("docs_updated"), F.count_if("reused").alias("docs_reused")).crossJoin(
+        F.broadcast(refs.agg(  # one row
+            F.count("*").alias("refs_total"), F.count_if(F.coalesce("doi", F.lit("")) != "").alias("refs_with_doi"), F.count_if("resolved").alias("refs_resolved"),
+            F.count_if(F.col("method").isNotNull()).alias("refs_mapped"),
+        ))
+    )
 
 
 def merged(base: DataFrame, extra: DataFrame, key: str, fields: list[str]) -> DataFrame:

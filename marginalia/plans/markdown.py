@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import indices as I
 from ..operators import markdown as M
 from ..operators import references as X
 from .common import table
@@ -98,18 +100,23 @@ n AS (SELECT DISTINCT doc_id, pos, unnest(range(lo, hi + 1)) AS num FROM r WHERE
 SELECT doc_id, num::INT AS num, count(*) AS lines FROM n GROUP BY ALL"""
 
 
+def _items(spark, sf):
+    """doc_id, num and text: five to eight references a document, dealt from all benchmark items; number 3 is left out in every fifth document."""
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    total = F.broadcast(items.agg(F.count("*").alias("total")))  # one row
+    own = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(5) + F.pmod("doc_id", F.lit(4)).cast("int"))).alias("num")).crossJoin(total)
+    own = own.where("not (num = 3 and doc_id % 5 = 0)").withColumn("item_id", F.pmod(F.col("doc_id") * 7 + F.col("num") * 13, F.col("total")))
+    return own.join(items, "item_id").select("doc_id", "num", "text")
+
+
 def _with_tail(spark, sf):
-    """Documents with a references tail made of benchmark items; number 3 is left out in every fifth document."""
-    docs = table(spark, sf, "documents").select("doc_id")
-    items = F.broadcast(table(spark, sf, "benchmark").where("item_id < 8"))  # eight rows at most
-    own = docs.join(items, F.col("item_id") < 5 + F.pmod("doc_id", F.lit(4))).where("not (item_id = 2 and doc_id % 5 = 0)")
-    # Line breaks within an item are continuation lines.
-    tail = own.select("doc_id", F.posexplode(F.split(F.concat(F.lit("["), F.col("item_id") + 1, F.lit("] "), "text"), "\n")).alias("o", "line"), "item_id")
-    tail = tail.select("doc_id", (10_001 + F.col("item_id") * 1000 + F.col("o")).cast("int").alias("pos"), "line")
-    return tail.union(docs.select("doc_id", F.lit(10_000), F.lit("## References")))
+    """The references of each document behind their heading; line breaks within an item are continuation lines."""
+    tail = _items(spark, sf).select("doc_id", F.posexplode(F.split(F.concat(F.lit("["), "num", F.lit("] "), "text"), "\n")).alias("o", "line"), "num")
+    tail = tail.select("doc_id", (10_001 + F.col("num") * 1000 + F.col("o")).cast("int").alias("pos"), "line")
+    return tail.union(table(spark, sf, "documents").select("doc_id", F.lit(10_000), F.lit("## References")))
 
 
-TAIL = "it AS (SELECT doc_id, item_id + 1 AS num, text FROM (SELECT doc_id FROM documents) d JOIN benchmark b ON b.item_id < 5 + d.doc_id % 4 AND b.item_id < 8 WHERE NOT (item_id = 2 AND doc_id % 5 = 0))"
+TAIL = """it AS (SELECT doc_id, num, text FROM (SELECT doc_id, unnest(range(1, (6 + doc_id % 4)::BIGINT)) AS num FROM documents) d JOIN benchmark b ON b.item_id = (d.doc_id * 7 + d.num * 13) % (SELECT count(*) FROM benchmark) WHERE NOT (num = 3 AND doc_id % 5 = 0))"""
 
 
 def reference_entries(spark, sf):
@@ -129,8 +136,23 @@ SELECT doc_id, ref_count, first_num::INT AS first_num, last_num::INT AS last_num
 
 
 def reference_parse(spark, sf):
-    """Parsed fields of the entries: SQL can express them, the confidences are rounded."""
-    return X.parsed(X.entries(_with_tail(spark, sf))).select("doc_id", "num", "year", "author", "confidence")
+    """Parsed fields of the entries, and the titles of their year-first forms."""
+    e = X.entries(_with_tail(spark, sf))
+    dated = F.concat(F.lit("Doe J. (2019) "), F.array_join(F.slice(F.split(text.clean_reference("raw"), "[ .]+"), 1, 6), " "), F.lit(". Venue. doi 10.1000/"), F.col("num").cast("string"))
+    p = X.parsed(e.withColumn("raw", F.when(F.col("num") % 2 == 0, dated).otherwise(F.col("raw"))))
+    return p.select("doc_id", "num", "year", "author", "doi", I.fallback_title("raw").alias("title"), "confidence")
+
+
+_REF = "trim(regexp_replace(regexp_replace(regexp_replace({0}, '^\\s*(\\[\\d+\\]|\\d+\\.)\\s*', ''), 'https?://\\S+', '', 'g'), '\\s+', ' ', 'g'))[1:360]"
+PARSE_SQL = f"""WITH {TAIL}, e AS (SELECT doc_id, num, '[' || num || '] ' || array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), ' ') AS raw FROM it),
+d AS (SELECT doc_id, num, CASE WHEN num % 2 = 0 THEN 'Doe J. (2019) ' || array_to_string(regexp_split_to_array({_REF.format("raw")}, '[ .]+')[1:6], ' ') || '. Venue. doi 10.1000/' || num ELSE raw END AS raw FROM e),
+p AS (SELECT *, regexp_extract_all(string_split({_REF.format("raw")}, ',')[1], '[A-Za-z]+') AS ws, len(regexp_extract_all(raw, '[A-Za-z]+')) AS words, nullif(regexp_replace(lower(regexp_extract(raw, '10\\.\\d{{4,9}}/[^\\s"<>]+')), '[.,;:)\\]}}]+$', ''), '') AS doi,
+  list_extract(regexp_extract_all(raw, '(19\\d{{2}}|20\\d{{2}})', 1), -1)::INT AS year, trim(regexp_extract(raw, '\\((?:19|20)\\d{{2}}\\)\\s*([^.]{{6,260}})\\.', 1), ' .;:,') AS ti FROM d),
+t AS (SELECT *, length(ti) BETWEEN 8 AND 260 AND len(list_filter(regexp_split_to_array(ti, '\\s+'), lambda w: w <> '')) BETWEEN 2 AND 32 AND NOT regexp_matches(lower(ti), '^(?:in:|in |proceedings|abstracts of|workshop|conference)') AND NOT regexp_matches(lower(ti), '\\b(?:pp?|vol|no)\\.?\\s*\\d')
+  AND NOT regexp_matches(lower(ti), '\\b\\d+\\(\\d+\\)\\s*:\\s*\\d') AND NOT (len(regexp_split_to_array(ti, '\\s+')) <= 8 AND regexp_matches(lower(ti), 'ieee|acm|springer|wiley|press|university|journal|transactions|proceedings|conference|workshop')) AND len(regexp_extract_all(ti, '[A-Za-z\\x{{4e00}}-\\x{{9fff}}]{{2,}}')) >= 2 AS ok FROM p)
+SELECT doc_id, num::INT AS num, year, lower(list_filter(ws, lambda w: length(w) = list_max(list_transform(ws, lambda v: length(v))))[1]) AS author, doi, CASE WHEN ti <> '' AND ok THEN ti ELSE '' END AS title,
+ round(least(greatest(0.50 + CASE WHEN length(raw) >= 40 THEN 0.16 ELSE 0 END + CASE WHEN words >= 8 THEN 0.12 ELSE 0 END + CASE WHEN regexp_matches(raw, '(19|20)\\d{{2}}') THEN 0.08 ELSE 0 END + CASE WHEN regexp_matches(raw, '10\\.\\d{{4,9}}/') THEN 0.09 ELSE 0 END
+  + CASE WHEN len(regexp_extract_all(raw, '\\.')) >= 2 OR len(regexp_extract_all(raw, ',')) >= 3 THEN 0.06 ELSE 0 END - CASE WHEN regexp_matches(raw, '(\\.\\.\\.|-|,)\\s*$') THEN 0.28 ELSE 0 END - CASE WHEN length(raw) < 18 THEN 0.18 ELSE 0 END, 0.05), 0.99)::DOUBLE, 4) AS confidence FROM t"""
 
 
 def citation_validation(spark, sf):
@@ -146,12 +168,45 @@ n AS (SELECT DISTINCT doc_id, pos, unnest(range(lo, hi + 1)) AS num FROM r WHERE
 SELECT n.doc_id, count(*) AS cited, count(it.num) AS kept, count(*) - count(it.num) AS dropped FROM n LEFT JOIN it ON it.doc_id = n.doc_id AND it.num = n.num GROUP BY 1"""
 
 
+def _source_rows(spark, sf):
+    """The reference list of each document's own source: in order, one place on, or backwards, some with fewer words and another year."""
+    it = _items(spark, sf).withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("num"))
+    kind = F.pmod("doc_id", F.lit(3))
+    it = it.withColumn("place", place).withColumn("pos", F.when(kind == 0, F.col("place")).when(kind == 1, F.pmod("place", "n") + 1).otherwise(F.col("n") - F.col("place") + 1).cast("int"))
+    words = F.split(F.regexp_replace("text", "\\s+", " "), " ")
+    cut = F.when(F.pmod(F.col("doc_id") + F.col("num"), F.lit(4)) == 0, F.slice(words, 4, 100)).otherwise(words)
+    return it.select("doc_id", "pos", F.array_join(cut, " ").alias("text"), F.when(F.pmod("num", F.lit(4)) == 1, F.concat(F.lit("10.1000/"), F.col("num").cast("string"))).otherwise("").alias("doi"), F.when(F.pmod("num", F.lit(3)) == 0, "2019").otherwise("").alias("year"), F.array_join(F.slice(words, 1, 2), " ").alias("author"))
+
+
 def reference_match(spark, sf):
-    """Entries of a few documents matched with the benchmark rows by similarity (needs the sequence ratio)."""
-    refs = X.parsed(X.entries(_with_tail(spark, sf))).select(F.concat_ws(":", "doc_id", "num").alias("ref_id"), "clean", "doi", "year", "author").dropDuplicates(["clean"])
-    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("row_id"), F.regexp_replace("text", "\\s+", " ").alias("text"))
-    rows = rows.select("row_id", "text", text.doi_like("text").alias("doi"), text.last_year("text").alias("year"), text.first_author("text").alias("author"))
-    return X.best_match(refs, rows).groupBy("row_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("best"))
+    """Entries of all documents mapped to the rows of their source's list (needs the sequence ratio)."""
+    entry = X.without_outliers(X.entries(_with_tail(spark, sf)))
+    return X.match_rows(entry.select("doc_id", "num", F.when(F.col("num") % 4 == 1, F.concat("raw", F.lit(" 10.1000/"), F.col("num").cast("string"))).otherwise(F.col("raw")).alias("raw")), _source_rows(spark, sf))
+
+
+def reference_enrichment(spark, sf):
+    """What the entries of each document still lack."""
+    e = X.parsed(X.entries(_with_tail(spark, sf)).withColumn("raw", F.concat(F.substring("raw", 1, 300), F.lit(" 2015"))))
+    refs = e.select("doc_id", "raw", F.when(F.col("num") % 3 == 0, "10.1/x").otherwise("").alias("doi"), F.when(F.col("num") % 2 == 0, F.col("clean")).otherwise("").alias("title"), F.when(F.col("num") < 4, F.col("author")).otherwise(" ").alias("authors"), (F.col("num") % 5 == 0).alias("resolved"))
+    return X.enrichment(refs)
+
+
+ENRICH_SQL = f"""WITH {TAIL}, e AS (SELECT doc_id, num, substr('[' || num || '] ' || array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), ' '), 1, 300) || ' 2015' AS raw FROM it),
+p AS (SELECT *, length(raw) BETWEEN 24 AND 420 AND regexp_matches(raw, '(19|20)\\d{{2}}') AND len(regexp_extract_all(raw, '[A-Za-z]{{3,}}')) >= 4 AS fit, num % 3 <> 0 AND num % 5 <> 0 AS missing, regexp_matches(string_split(regexp_replace(raw, '^\\[\\d+\\]\\s*', ''), ',')[1], '[A-Za-z]') AS named FROM e)
+SELECT doc_id, count(*) FILTER (WHERE fit AND missing) AS unresolved, count(*) FILTER (WHERE fit AND NOT missing AND (num % 2 = 1 OR num >= 4 OR NOT named)) AS sparse FROM p GROUP BY 1"""
+
+
+def index_statistics(spark, sf):
+    """Counters of an index build in which every third document is taken over."""
+    e = X.parsed(X.entries(_with_tail(spark, sf)))
+    docs = table(spark, sf, "documents").select("doc_id", (F.pmod("doc_id", F.lit(3)) == 0).alias("reused"))
+    return X.index_statistics(docs, e.select("doc_id", F.when(F.col("num") % 4 == 0, "10.1/x").otherwise(F.col("doi")).alias("doi"), (F.col("num") % 2 == 0).alias("resolved"), F.when(F.col("num") < 5, "order").alias("method")))
+
+
+STATISTICS_SQL = f"""WITH {TAIL}, r AS (SELECT num, num % 4 = 0 OR regexp_matches(text, '10\\.\\d{{4,9}}/') AS d FROM it)
+SELECT (SELECT count(*) FROM documents) AS docs_total, (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0) AS docs_updated, (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) AS docs_reused,
+ count(*) AS refs_total, count(*) FILTER (WHERE d) AS refs_with_doi, count(*) FILTER (WHERE num % 2 = 0) AS refs_resolved, count(*) FILTER (WHERE num < 5) AS refs_mapped FROM r"""
 
 
 def reference_audit(spark, sf):
@@ -163,5 +218,5 @@ AUDIT_SQL = f"""WITH {TAIL}, r AS (SELECT doc_id, num % 2 = 0 AND text IS NOT NU
 c AS (SELECT doc_id, count(*) AS refs, count(*) AS missing_doi, count(*) FILTER (WHERE NOT has_title) AS empty_title, count(*) FILTER (WHERE m = '') AS blank_match, count(*) FILTER (WHERE m = 'unresolved') AS unresolved FROM r GROUP BY 1)
 SELECT *, 3 * missing_doi + 2 * empty_title + blank_match + 2 * unresolved AS repair_score FROM c"""
 
-QUERIES = {"heading_paths": heading_paths, "block_ids": block_ids, "heading_context": heading_context, "chunks_with_overlap": chunked, "repeated_lines": repeated_lines, "markdown_quality": markdown_quality, "cited_numbers": cited_numbers, "reference_entries": reference_entries, "reference_catalog": reference_catalog, "reference_parse": reference_parse, "citation_validation": citation_validation, "reference_match": reference_match, "reference_audit": reference_audit}
-ORACLE_SQL = {"heading_paths": HEADING_SQL, "block_ids": BLOCK_SQL, "heading_context": CONTEXT_SQL, "repeated_lines": REPEATED_SQL, "markdown_quality": QUALITY_SQL, "cited_numbers": CITED_SQL, "reference_entries": ENTRIES_SQL, "reference_catalog": CATALOG_SQL, "citation_validation": VALID_SQL, "reference_audit": AUDIT_SQL}
+QUERIES = {"heading_paths": heading_paths, "block_ids": block_ids, "heading_context": heading_context, "chunks_with_overlap": chunked, "repeated_lines": repeated_lines, "markdown_quality": markdown_quality, "cited_numbers": cited_numbers, "reference_entries": reference_entries, "reference_catalog": reference_catalog, "reference_parse": reference_parse, "citation_validation": citation_validation, "reference_match": reference_match, "reference_enrichment": reference_enrichment, "index_statistics": index_statistics, "reference_audit": reference_audit}
+ORACLE_SQL = {"heading_paths": HEADING_SQL, "block_ids": BLOCK_SQL, "heading_context": CONTEXT_SQL, "repeated_lines": REPEATED_SQL, "markdown_quality": QUALITY_SQL, "cited_numbers": CITED_SQL, "reference_entries": ENTRIES_SQL, "reference_catalog": CATALOG_SQL, "citation_validation": VALID_SQL, "reference_audit": AUDIT_SQL, "reference_parse": PARSE_SQL, "reference_enrichment": ENRICH_SQL, "index_statistics": STATISTICS_SQL}
