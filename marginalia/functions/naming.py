@@ -102,7 +102,7 @@ def summary(x: Column | str, sentences: int = 3, most: int = 520) -> Column:
     """The first sentences (of 18 characters or more) of an abstract that fit; what is left of the room, if 30 or more, takes part of the next."""
     s = F.regexp_replace(F.regexp_replace(F.coalesce(_c(x), F.lit("")), "<[^>]+>", " "), "\\[[0-9,\\-\\s]{1,24}\\]", " ")
     s = F.regexp_replace(F.trim(F.regexp_replace(s, "\\s+", " ")), "(?i)^(?:abstract|摘要)\\s*[:：-]?\\s*", "")
-    parts = F.filter(F.transform(F.split(F.regexp_replace(s, "([。！？!?.])\\s+", "$1\x01"), "\x01"), F.trim), lambda p: F.length(p) >= 18)
+    parts = F.filter(F.transform(F.split(F.regexp_replace(s, "([。！？!?.])\\s+", "$1\x01"), "\x01"), lambda v: F.trim(v)), lambda p: F.length(p) >= 18)
     cut = lambda t, n: F.concat(F.regexp_replace(F.substr(t, F.lit(1), n), "[ ,;:]+$", ""), F.lit("..."))
     state = F.struct(F.array().cast("array<string>").alias("picked"), F.lit(0).alias("total"), F.lit(False).alias("full"))
 

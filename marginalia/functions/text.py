@@ -66,7 +66,7 @@ def prompt_locale(x: Column | str) -> Column:
 
 
 def heading_parts(x: Column | str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), " / "), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), " / "), lambda v: F.trim(v)), lambda p: p != "")
 
 
 def top_heading(x: Column | str) -> Column:
@@ -182,7 +182,7 @@ def join_hyphenated(lines: Column) -> Column:
 def sentences(x: Column | str) -> Column:
     """Sentences of at least 12 characters."""
     marked = F.regexp_replace(F.coalesce(_c(x), F.lit("")), "([.!?])\\s+", "$1\n")
-    return F.filter(F.transform(F.split(marked, "\n"), F.trim), lambda s: F.length(s) >= 12)
+    return F.filter(F.transform(F.split(marked, "\n"), lambda v: F.trim(v)), lambda s: F.length(s) >= 12)
 
 
 def norm_path(x: Column | str) -> Column:

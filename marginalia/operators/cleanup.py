@@ -82,29 +82,202 @@ def reflowed(x: pd.Series) -> pd.Series:
     return x.map(lambda t: t if t is None else _reflow(t))
 
 
+#: What the analyzer looks for: headings that are formulas or captions, metadata lines, and lines that look like references.
+FORMULA_HEADING = "^\\s*[A-Z]?\\s*\\d+\\s*[a-z]|^\\s*\\d+\\s*[a-z]+\\s*[+\\-]"
+SHORT_FORMULA = "\\d+.*[a-z]|[a-z].*\\d+"
+CAPTION = "(?:Fig\\.|Figure|Table|Algorithm)\\s*(?:\\d+|[IVXLC]+)"
+METADATA = "(?i)^(?:ACM Trans\\.|Publication date:|PDF Download|Total Citations:|RESEARCH-ARTICLE|Latest updates:)"
+SOURCE_WORDS = "(?i)\\b(?:doi|http|arxiv|vol\\.|pp\\.|pages?)\\b"
+
+
 def issues(md: DataFrame) -> DataFrame:
-    """md: doc_id, pos, line, level.  What an editor would mark: skipped levels, empty headings, repeated headings, overlong lines, unclosed fences and formulas."""
+    """md: doc_id, pos, line.  What an editor would mark, with the line it is about (from 1): doc_id, category, severity, issue, line_no."""
     own = Window.partitionBy("doc_id").orderBy("pos")
-    heads = md.where("level > 0").withColumn("title", F.trim(F.regexp_replace("line", "^#+", ""))).withColumn("last", F.lag("level").over(own))
-    same = Window.partitionBy("doc_id", "title").orderBy("pos")
+    so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    md = md.select("doc_id", (F.col("pos") + 1).cast("int").alias("line_no"), "pos", "line")
 
-    def found(df: DataFrame, category: str, severity: str) -> DataFrame:
-        return df.select("doc_id", F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.col("pos").cast("int").alias("pos"))
+    def found(df: DataFrame, category: str, severity: str, issue: str, line_no="line_no") -> DataFrame:
+        return df.select("doc_id", F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(issue).alias("issue"), F.col(line_no).alias("line_no"))
 
+    heads = md.select("*", F.length(F.regexp_extract("line", "^(#{1,6})\\s+.+$", 1)).alias("level"), F.trim(F.regexp_extract("line", "^#{1,6}\\s+(.+)$", 1)).alias("title")).where("level > 0")
+    section = F.col("title").rlike("^\\d+(?:\\.\\d+)*\\.?\\s+[A-Z][A-Za-z]")
+    formula = F.col("title").rlike(FORMULA_HEADING + "|^\\s*[a-z]\\s*\\d+") | ((F.length("title") <= 10) & F.col("title").rlike(SHORT_FORMULA) & ~F.col("title").rlike("[A-Z]{2,}"))
+    heads = heads.withColumn("formula", ~section & formula)
+    good = heads.where("not formula").withColumn("above", F.lag("level").over(own))
+    words = F.size(F.split(F.trim("title"), "\\s+"))
     parts = [
-        found(heads.where(F.col("level") > F.coalesce("last", F.lit(0)) + 1), "skipped_level", "warning"),
-        found(heads.where("title = ''"), "empty_heading", "error"),
-        found(heads.withColumn("n", F.row_number().over(same)).where("n > 1 and title <> ''"), "repeated_heading", "info"),
-        found(md.where(F.length("line") > 2000), "long_line", "info"),
+        found(heads.where("formula"), "heading", "error", "formula_heading"),
+        found(good.where(F.col("level") > F.coalesce("above", F.lit(0)) + 1), "heading", "warning", "skipped_level"),
+        found(good.where(F.length("title") > 100), "heading", "info", "long_heading"),
+        found(good.where(words > 15), "heading", "warning", "body_text_heading"),
+        found(good.where(F.col("title").rlike("(?i)^\\s*" + CAPTION)), "heading", "error", "caption_heading"),
+    ]
+    ones = good.groupBy("doc_id").agg(F.count_if(F.col("level") == 1).alias("n"), F.lit(1).alias("line_no"))
+    parts += [found(ones.where("n = 0"), "structure", "info", "no_title"), found(ones.where("n > 5"), "structure", "warning", "many_titles")]
+
+    # Formulas: lines of $$ alone open and close blocks in turn.
+    mark = F.col("line").rlike("^\\s*\\$\\$\\s*$")
+    fenced = md.withColumn("mark", mark).withColumn("marks", F.sum(F.col("mark").cast("int")).over(so_far))
+    blocks = fenced.where("mark").withColumn("opened", F.lag("line_no").over(own)).where("marks % 2 = 0")
+    inside = (F.col("marks") % 2 == 1) & ~F.col("mark")
+    inline = fenced.where(~F.col("mark") & ~inside & F.col("line").rlike("\\$[^$]+\\$") & (F.regexp_count("line", F.lit("\\$")) % 2 == 1))
+    misread = md.select("doc_id", "line_no", F.trim(F.regexp_replace("line", "^#+\\s+", "")).alias("t")).where(md.line.rlike("^#+\\s+"))
+    misread = misread.where(F.col("t").rlike(FORMULA_HEADING) | ((F.length("t") <= 15) & F.col("t").rlike(SHORT_FORMULA) & F.col("t").contains("=")))
+    size = md.groupBy("doc_id").agg(F.count("*").alias("lines"), F.lit(1).alias("line_no"))
+    closed = blocks.groupBy("doc_id").agg(F.count("*").alias("formulas"))
+    parts += [
+        found(blocks.where("line_no - opened < 2"), "formula", "warning", "short_formula", "opened"),
+        found(inline, "formula", "error", "open_inline"),
+        found(misread.groupBy("doc_id").agg(F.min("line_no").alias("line_no")), "formula", "error", "formulas_as_headings"),
+        found(size.where("lines > 50").join(closed, "doc_id", "left_anti"), "formula", "info", "no_formulas"),
+    ]
+
+    # Tables: runs of lines that start with a bar; one that reaches the end of the text is not judged.
+    t = F.trim("line")
+    bar = t.startswith("|") & (F.regexp_count(t, F.lit("\\|")) >= 2)
+    rows = md.withColumn("bar", bar).withColumn("run", F.sum(F.when(~F.col("bar"), 1).otherwise(0)).over(so_far)).withColumn("last", F.max("line_no").over(Window.partitionBy("doc_id")))
+    tables = rows.where("bar").groupBy("doc_id", "run").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"), F.max("line_no").alias("end"), F.first("last").alias("last"), F.countDistinct(F.size(F.split("line", "\\|"))).alias("widths")).where("end < last")
+    parts += [found(tables.where("n < 2"), "table", "warning", "one_row_table"), found(tables.where("n > 1 and widths > 1"), "table", "error", "uneven_table")]
+
+    # References: lines with a year behind the last heading of that name.
+    start = F.max(F.when(F.col("line").rlike("(?i)^#+\\s*REFERENCES?\\s*$"), F.col("line_no"))).over(Window.partitionBy("doc_id"))
+    first = F.min(F.when(F.col("line").rlike("(?i)^#+\\s*REFERENCES?\\s*$"), F.col("line_no"))).over(Window.partitionBy("doc_id"))
+    tail = md.withColumns({"start": start, "begun": first}).where("line_no >= begun")
+    cited = (F.col("line_no") > F.col("begun")) & ~F.col("line").rlike("(?i)^#+\\s*REFERENCES?\\s*$") & F.col("line").rlike("\\b(?:19|20)\\d{2}\\b") & (F.col("line").rlike(SOURCE_WORDS) | ((F.length(F.trim("line")) > 30) & F.col("line").contains(",")))
+    parts.append(found(tail.groupBy("doc_id").agg(F.count_if(cited).alias("n"), F.max("start").alias("line_no")).where("n < 5"), "reference", "warning", "few_references"))
+    parts.append(found(md.where(F.col("line").rlike(METADATA)), "noise", "warning", "metadata"))
+
+    # Captions: in italics, or plain; an image wants one within three lines.
+    italic, plain = F.col("line").rlike("(?i)^\\s*\\*.*?" + CAPTION), F.col("line").rlike("(?i)^\\s*" + CAPTION)
+    image = F.col("line").rlike("!\\[.*?\\]\\(.*?\\)")
+    pictured = md.select("*", (italic | plain).alias("caption"), image.alias("image"))
+    near = F.max(F.col("caption").cast("int")).over(own.rowsBetween(0, 3))
+    pictured = pictured.withColumn("near", near)
+    totals = pictured.groupBy("doc_id").agg(F.min(F.when(F.col("image"), F.col("line_no"))).alias("line_no"), F.count_if("caption").alias("n"))
+    parts += [
+        found(md.where(~italic & plain), "caption", "info", "plain_caption"),
+        found(pictured.where("image and near = 0"), "caption", "warning", "image_without_caption"),
+        found(totals.where("line_no is not null and n = 0"), "caption", "warning", "no_captions"),
     ]
-    fences = md.groupBy("doc_id").agg(F.count_if(F.col("line").rlike("^\\s*```")).alias("fences"), F.sum(F.regexp_count("line", F.lit("\\$\\$"))).alias("formulas"), F.max("pos").alias("pos"))
-    parts += [found(fences.where("fences % 2 = 1"), "open_fence", "error"), found(fences.where("formulas % 2 = 1"), "open_formula", "error")]
+
+    # Paragraphs: runs of text lines that a blank line ends; headings, tables and fences within don't count.
+    blank = F.trim("line") == ""
+    text_line = ~blank & ~t.startswith("#") & ~t.startswith("|") & ~t.startswith("```")
+    runs = md.withColumn("para", F.sum(blank.cast("int")).over(so_far)).withColumn("text_line", text_line).withColumn("blanks", F.sum(blank.cast("int")).over(Window.partitionBy("doc_id")))
+    long = runs.where("text_line and para < blanks").groupBy("doc_id", "para").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
+    parts.append(found(long.where("n > 20"), "structure", "info", "long_paragraph"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def issue_report(found: DataFrame) -> DataFrame:
+    """Issues by category: how many of each severity, and the first lines."""
+    severities = [F.count_if(F.col("severity") == s).alias(s) for s in ("error", "warning", "info")]
+    return found.groupBy("doc_id", "category").agg(F.count("*").alias("n"), *severities, F.min("line_no").alias("first_line"), F.array_join(F.sort_array(F.collect_set("issue")), ",").alias("issues"))
+
+
+def toc_parts(line: Column | str) -> Column:
+    """A run of contents entries in one line, apart at their section numbers; a line with fewer than two, or without a page number at its end, is whole."""
+    s = F.trim(F.regexp_replace(_c(line), "\\s+", " "))
+    parts = F.filter(F.transform(F.split(F.regexp_replace(s, "(^|[^0-9])(\\d+\\.\\d+(?:\\.\\d+)*)", "$1\x01$2"), "\x01"), lambda v: F.trim(v)), lambda p: p.rlike("^\\d+\\.\\d+"))
+    return F.when(s == "", F.array().cast("array<string>")).when((F.size(parts) >= 2) & s.rlike("\\b\\d{1,4}\\s*$"), parts).otherwise(F.array(s))
+
+
+def without_page_number(heading: Column | str) -> Column:
+    """A numbered heading without the page number (up to 500) behind it."""
+    t = F.trim(F.regexp_replace(_c(heading), "\\s+", " "))
+    page = F.regexp_extract(t, "^\\d+(?:\\.\\d+)*\\s+.+?\\s+(\\d{1,3})\\s*$", 1)
+    return F.when((page != "") & (page.try_cast("int") <= 500), F.rtrim(F.regexp_extract(t, "^(\\d+(?:\\.\\d+)*\\s+.+?)\\s+\\d{1,3}\\s*$", 1))).otherwise(t)
+
+
+def _columns(line: Column) -> Column:
+    return F.filter(F.transform(F.split(F.trim(line), "\\t+|\\s{2,}"), lambda v: F.trim(v)), lambda c: c != "")
+
+
+def is_code(lines: Column) -> Column:
+    """Three lines or more with at least three points for arrows, keywords and indented lines."""
+    x = F.array_join(lines, "\n")
+    points = F.when(x.rlike("->|<-|:="), 2).otherwise(0) + F.when(x.rlike("(?mi)^\\s*(?:while|for|if|function)\\b"), 2).otherwise(0) + F.when(x.rlike("(?mi)\\bend (?:if|for|while|function)\\b"), 1).otherwise(0) + F.when(x.rlike("(?mi)\\breturn\\b"), 1).otherwise(0)
+    indented = F.size(F.filter(lines, lambda v: v.rlike("^ {2,}"))) >= F.greatest(F.lit(2), F.floor(F.size(lines) / 3))
+    return (F.size(lines) >= 3) & (points + F.when(indented, 1).otherwise(0) >= 3)
+
+
+def is_table(lines: Column) -> Column:
+    """Three lines or more of which two have bars, three have three columns, or three of these hold two numbers."""
+    bars = F.size(F.filter(lines, lambda v: v.contains("|"))) >= 2
+    rich = F.size(F.filter(lines, lambda v: F.size(_columns(v)) >= 3)) >= 3
+    return (F.size(lines) >= 3) & (bars | rich)
+
+
+def is_contents(lines: Column) -> Column:
+    """Two of the first twenty lines have a section number and end with a page number."""
+    one = lambda v: F.trim(v).rlike("(?:^|[^0-9])\\d+\\.\\d+(?:[^0-9]|$)") & F.trim(v).rlike("\\b\\d{1,4}\\s*$")
+    return (F.size(lines) >= 2) & (F.size(F.filter(F.slice(lines, 1, 20), one)) >= 2)
+
+
+def table_quality(rows: DataFrame, *by: str) -> DataFrame:
+    """rows: by, pos, cells (an array without the outer bars), the header first and a rule second.  Per table: width, body rows, shares of filled
+    slots, of sparse rows, of cells of one character and of long phrases, a score, and whether it is a table in earnest."""
+    own = Window.partitionBy(*by).orderBy("pos")
+    number = F.row_number().over(own)
+    width = F.first(F.size("cells")).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    r = rows.withColumns({"n": number, "width": width})
+    filled = F.filter("cells", lambda c: c != "")
+    count = lambda p: F.size(F.filter(filled, p))
+    r = r.select(
+        *by, "n", "width", F.size("cells").alias("size"), F.size(filled).alias("filled"), count(lambda c: c.rlike("(?i)^[+-]?(?:\\d+(?:\\.\\d+)?|\\.\\d+)(?:%|e[+-]?\\d+)?$")).alias("numbers"), count(lambda c: F.length(c) <= 1).alias("tiny"),
+        count(lambda c: c.rlike("^[A-Za-z]{1,2}$")).alias("tiny_words"), count(lambda c: F.regexp_count(c, F.lit("[A-Za-z]{2,}")) >= 8).alias("phrases"), count(lambda c: c != "---").alias("shown"),
+    )
+    body = lambda v: F.sum(F.when(F.col("n") > 2, v).otherwise(0))
+    out = r.groupBy(*by).agg(
+        F.first("width").alias("width"), F.greatest(F.count("*") - 2, F.lit(0)).alias("body_rows"), body(F.col("filled")).alias("cells"), body(F.col("numbers")).alias("numbers"), body(F.col("tiny")).alias("tiny"), body(F.col("tiny_words")).alias("tiny_words"), body(F.col("phrases")).alias("phrases"),
+        body(F.when(F.col("filled") <= F.greatest(F.lit(1), F.floor(F.col("width") / 3)), 1).otherwise(0)).alias("sparse"), body(F.when(F.col("size") != F.col("width"), 1).otherwise(0)).alias("uneven"), F.sum("shown").alias("shown"),
+    )
+    n, lines = F.greatest(F.col("cells"), F.lit(1)), F.col("body_rows") + 2
+    share = {"fill": F.col("cells") / F.greatest(F.col("body_rows") * F.col("width"), F.lit(1)), "sparse_share": F.col("sparse") / F.greatest(F.col("body_rows"), F.lit(1)), "tiny_share": F.col("tiny") / n, "word_share": F.col("tiny_words") / n, "phrase_share": F.col("phrases") / n}
+    out = out.withColumns(share).withColumn("score", F.when(F.col("body_rows") > 0, F.col("width") * F.col("body_rows") + 0.08 * F.col("shown")).otherwise(0.0))
+    sane = F.col("width").between(2, 18) & (F.col("body_rows") > 0) & (F.col("uneven") == 0) & (F.col("cells") > 0) & (F.col("fill") >= 0.36) & (F.col("sparse_share") <= 0.34) & ((F.col("numbers") > 0) | (lines < 5)) & (F.col("tiny_share") <= 0.35)
+    sane = sane & (F.col("word_share") <= 0.22) & ~((lines > 12) & (F.col("word_share") > 0.10)) & ~((F.col("width") >= 5) & (F.col("word_share") > 0.14))
+    sane = sane & (F.col("phrase_share") <= 0.55) & ~((F.col("phrase_share") > 0.38) & (F.col("numbers") / n < 0.12))
+    return out.withColumn("sane", sane).select(*by, "width", "body_rows", *[F.round(c, 6).alias(c) for c in share], F.round("score", 4).alias("score"), "sane")
+
+
+def body_size(spans: DataFrame, *by: str) -> DataFrame:
+    """spans: size.  The most frequent font size to a tenth, the first seen of equals (the smallest pos); 10 without spans."""
+    n = spans.withColumn("size", F.round("size", 1)).groupBy(*by, "size").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    return n.groupBy(*by).agg(F.max_by("size", F.struct("n", -F.col("pos"))).alias("body_size"))
+
+
+#: Lines of a converter's log.
+STEP = "^\\s*\\[Page\\s+(\\d+)\\]\\s+Step\\s+(\\d+)\\s+\\(([^)]+)\\):\\s+(\\d+(?:\\.\\d+)?)s(?:,\\s*(.*))?$"
+TOTAL = "^\\s*\\[Page\\s+(\\d+)\\]\\s+TOTAL:\\s+(\\d+(?:\\.\\d+)?)s\\s*$"
+CROP = "(?i)^\\[VISION_DIRECT\\]\\[(REFS|LAYOUT)\\]\\s+page\\s+(\\d+)(?::\\s+(?:column|structured crop) mode enabled|\\s+crop\\s+\\d+/\\d+.*?\\s+done\\s+\\((\\d+(?:\\.\\d+)?)s,)"
+
+
+def log_metrics(log: DataFrame, by: str = "run") -> DataFrame:
+    """log: by, line.  Per run: timed pages with mean, median and 90th percentile of their seconds and of the vision step, pages of references and crops, and retries."""
+    get = lambda p, k: F.nullif(F.regexp_extract("line", p, k), F.lit(""))
+    rows = log.select(
+        by, "line", F.coalesce(get(STEP, 1), get(TOTAL, 1), get(CROP, 2)).cast("int").alias("page"), get(STEP, 2).cast("int").alias("step"), get(STEP, 3).alias("label"), F.round(get(STEP, 4).cast("double"), 4).alias("seconds"),
+        get(STEP, 5).rlike("(?:^|,\\s*)references=1\\b").alias("refs"), F.round(get(TOTAL, 2).cast("double"), 4).alias("total"), F.upper(get(CROP, 1)).alias("crop"), get(CROP, 3).cast("double").alias("crop_s"),
+    )
+    vision = (F.col("step") == 6) & (F.lower("label") == "vision convert")
+    pages = rows.where("page is not null").groupBy(by, "page").agg(
+        F.last("total", ignorenulls=True).alias("total"), F.last(F.when(vision, F.col("seconds")), ignorenulls=True).alias("vision"), F.coalesce(F.bool_or(F.when(F.col("step") == 1, F.col("refs"))), F.lit(False)).alias("refs"),
+        F.coalesce(F.bool_or(F.col("crop") == "REFS"), F.lit(False)).alias("refs_column"), F.coalesce(F.bool_or(F.col("crop") == "LAYOUT"), F.lit(False)).alias("layout"),
+    )
+    stats = lambda c: [F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(f"{c}_avg"), F.round(F.coalesce(F.percentile(c, 0.5), F.lit(0.0)), 4).alias(f"{c}_p50"), F.round(F.coalesce(F.percentile(c, 0.9), F.lit(0.0)), 4).alias(f"{c}_p90")]
+    page = pages.groupBy(by).agg(F.count("*").alias("pages"), F.count("total").alias("timed"), *stats("total"), F.count("vision").alias("vision_pages"), *stats("vision"), F.count_if("refs").alias("refs_pages"), F.count_if("refs_column").alias("refs_column_pages"), F.count_if("layout").alias("layout_pages"))
+    count = lambda p: F.count_if(F.col("line").rlike(p))
+    calls = rows.groupBy(by).agg(
+        F.count(F.when(F.col("crop") == "REFS", F.col("crop_s"))).alias("refs_crops"), F.round(F.coalesce(F.avg(F.when(F.col("crop") == "REFS", F.col("crop_s"))), F.lit(0.0)), 4).alias("refs_crop_avg"),
+        count("\\[VISION_DIRECT\\] VL empty on page.*, retry ").alias("empty_retries"), count("\\[VISION_DIRECT\\] fragmented math detected on page").alias("math_retries"), count("falling back to extraction pipeline|using extraction fallback").alias("fallbacks"),
+    )
+    return calls.join(page, by, "left")
+
+
 def unused_assets(assets: DataFrame, md: DataFrame, doc: str = "doc_id") -> DataFrame:
     """assets: doc, name.  Those that no image link of their document names."""
     links = md.select(doc, F.explode(F.regexp_extract_all("line", F.lit("!\\[[^\\]]*\\]\\(([^)]*)\\)"), F.lit(1))).alias("target")).select(doc, F.element_at(F.split("target", "/"), -1).alias("name"))
