@@ -72,8 +72,8 @@ def suggestions(phrases: DataFrame, signals: DataFrame, tags: DataFrame, floor:
 
 def duplicates(files: DataFrame, key: str = "sha1") -> DataFrame:
     """Members of groups of equal keys, with the group's size and first path."""
-    own = Window.partitionBy(key)
-    return files.withColumn("copies", F.count("*").over(own)).withColumn("first_path", F.min("path").over(own)).where("copies > 1")
+    groups = files.groupBy(key).agg(F.count("*").alias("copies"), F.min("path").alias("first_path")).where("copies > 1")
+    return files.join(groups, key)
 
 
 def missing_outputs(stems: DataFrame, done: DataFrame, key: str = "stem") -> DataFrame:

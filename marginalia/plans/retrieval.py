@@ -35,14 +35,14 @@ scored{s} AS (
 
 
 def bm25_top_k(spark, sf):
-    return R.top_k(R.bm25(table(spark, sf, "documents"), _asked(spark)), 10).select("query_id", "doc_id", "score", "rank")
+    return R.top_k(R.bm25(R.corpus(table(spark, sf, "documents")), _asked(spark)), 10).select("query_id", "doc_id", "score", "rank")
 
 
 BM25_SQL = f"WITH {_bm25_sql(ASKED)} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM scored) WHERE rank <= 10 AND best > 0"
 
 
 def term_statistics(spark, sf):
-    docs = R.with_tokens(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = R.corpus(table(spark, sf, "documents"))
     return R.term_statistics(docs, "doc_id").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -50,7 +50,7 @@ TERM_SQL = f"WITH {_bm25_sql(ASKED)} SELECT term, df, round(idf, 6) AS idf FROM
 
 
 def translated_choice(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = R.corpus(table(spark, sf, "documents"))
     first, second = (R.bm25(docs, _asked(spark, rows)) for rows in (ASKED, SECOND))
     return R.top_k(R.choose_translation(first, second), 6).select("query_id", "doc_id", "score")
 
@@ -63,9 +63,9 @@ SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q
 
 
 def evidence_groups(spark, sf):
-    """Hits grouped by source with up to two distinct snippets."""
+    """Hits grouped by source with up to two distinct snippets (the first 80 characters, as a display shows them)."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    hits = R.bm25(docs, _asked(spark)).join(docs.select("doc_id", "source", F.substring("text", 1, 80).alias("snippet")), "doc_id").withColumnRenamed("doc_id", "ordinal")
+    hits = R.bm25(R.corpus(docs), _asked(spark)).join(docs.select("doc_id", "source", F.substring("text", 1, 80).alias("snippet")), "doc_id").withColumnRenamed("doc_id", "ordinal")
     return R.group_by_source(hits, 5).select("query_id", "source", "score", "hits", "snippet_1", "snippet_2", "rank")
 
 
@@ -93,14 +93,11 @@ SELECT * FROM r WHERE reason IS NOT NULL"""
 
 def context_budget(spark, sf):
     """Documents of each source in order of size that fit a budget of characters."""
-    docs = table(spark, sf, "documents").select(F.col("source").alias("query_id"), "doc_id", "text")
-    from pyspark.sql import Window
+    docs = table(spark, sf, "documents").select(F.col("source").alias("query_id"), "doc_id", "text", F.struct(F.length("text"), "doc_id").alias("rank"))
+    return R.within_budget(docs).select("query_id", "doc_id", F.length("text").alias("chars"), "used")
 
-    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.length("text"), "doc_id")))
-    return R.within_budget(ranked).select("query_id", "doc_id", "rank", "used")
 
-
-BUDGET_SQL = """SELECT query_id, doc_id, rank, used FROM (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS used
+BUDGET_SQL = """SELECT query_id, doc_id, length(text)::INT AS chars, used FROM (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS used
  FROM (SELECT source AS query_id, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY length(text), doc_id) AS rank FROM documents)) WHERE used <= 12000"""
 
 

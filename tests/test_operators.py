@@ -27,6 +27,24 @@ def test_citation_set(spark):
     assert one(spark, text.citation_set("t"), t="1, 3-5,3, 9-40, x") == [1, 3, 4, 5]
 
 
+def test_parts_are_trimmed_of_spaces_alone(spark):
+    assert one(spark, text.sentences("t"), t="0 the first sentence 0.  1 the second sentence 1") == ["0 the first sentence 0.", "1 the second sentence 1"]
+    assert one(spark, text.heading_parts("t"), t=" 0 Intro 0 / 1 Setup 1 ") == ["0 Intro 0", "1 Setup 1"]
+
+
+def test_top_k_is_limited_before_the_shuffle(spark):
+    hits = spark.range(1000).selectExpr("concat('q', id % 3) as query_id", "id as doc_id", "cast(id % 50 as double) as score")
+    top = R.top_k(hits, 4)
+    assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
+    assert sorted((r["score"], r["doc_id"]) for r in top.where("query_id = 'q0'").collect()) == sorted([(49.0, 99), (49.0, 249), (49.0, 399), (49.0, 549)])
+
+
+def test_budget_with_empty_rows(spark):
+    rows = [("q", i, t) for i, t in enumerate(["", "a" * 6, "", "b" * 4, "", "c", ""])] + [("r", 1, "x" * 20), ("s", 1, ""), ("s", 2, None)]
+    got = {(r["query_id"], r["rank"]): r["used"] for r in R.within_budget(spark.createDataFrame(rows, "query_id string, rank int, text string"), 10).collect()}
+    assert got == {("q", 0): 0, ("q", 1): 6, ("q", 2): 6, ("q", 3): 10, ("q", 4): 10, ("s", 1): 0, ("s", 2): 0}
+
+
 def test_doi_and_year(spark):
     assert one(spark, text.doi_like("t"), t="see 10.1000/ABC.5). 2019") == "10.1000/abc.5"
     assert one(spark, text.doi_like("t"), t="arXiv:2101.00001 (2021)") == "10.48550/arxiv.2101.00001"
@@ -41,7 +59,7 @@ def test_sequence_ratio(spark):
 def test_bm25_ties_and_empty(spark):
     docs = spark.createDataFrame([(1, "x y"), (2, "x y"), (3, "z"), (4, None), (5, "w"), (6, "v")], "doc_id long, text string")
     asked = spark.createDataFrame([("a", "x x"), ("b", "nothing"), ("c", "")], "query_id string, query string")
-    top = R.top_k(R.bm25(docs, asked), 5).collect()
+    top = R.top_k(R.bm25(R.corpus(docs), asked), 5).collect()
     assert [(r["query_id"], r["doc_id"], r["rank"]) for r in sorted(top, key=lambda r: r["rank"])] == [("a", 1, 1), ("a", 2, 2)]
 
 
