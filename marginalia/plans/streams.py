@@ -21,13 +21,21 @@ def stream_latest(spark, sf):
 
 
 def stream_task_states(spark, sf):
-    rows = S.drained(S.task_states(S.source(spark, sf)), "update")
-    return rows.groupBy("user_id").agg(F.max_by(F.struct("task", "status", "done", "rejected"), "batch").alias("s")).select("user_id", "s.*")
+    return S.task_states(S.source(spark, sf), S.shared_dir(spark))
 
 
+#: Whether a task is running is decided by the last click, purchase or error before an event.
+TASK_SQL = """WITH d AS (SELECT *, CASE WHEN event_type = 'click' THEN 1 WHEN event_type IN ('purchase', 'error') THEN 0 END AS decides FROM events),
+r AS (SELECT *, coalesce(last_value(decides IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS running FROM d),
+p AS (SELECT *, sum((event_type = 'click' AND running = 0)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM r), q AS (SELECT *, max(part) OVER (PARTITION BY user_id) AS parts FROM p),
+s AS (SELECT user_id, max({'t': ts, 'i': event_id}) FILTER (WHERE event_type = 'click' AND running = 0) AS task, count(*) FILTER (WHERE event_type NOT IN ('click', 'purchase', 'error') AND running = 1 AND part = parts) AS done,
+  max(event_type) FILTER (WHERE event_type IN ('purchase', 'error') AND running = 1 AND part = parts) AS ended, count(*) FILTER (WHERE (event_type = 'click') = (running = 1)) AS rejected FROM q GROUP BY 1)
+SELECT user_id, coalesce(task.i, -1) AS task, CASE WHEN task IS NULL THEN 'idle' WHEN ended = 'purchase' THEN 'done' WHEN ended = 'error' THEN 'cancelled' ELSE 'running' END AS status, done, rejected FROM s"""
+
 QUERIES = {f.__name__: f for f in (stream_window_counts, stream_distinct, stream_latest, stream_task_states)}
 ORACLE_SQL = {
     "stream_window_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "stream_task_states": TASK_SQL,
     "stream_distinct": "SELECT DISTINCT event_id, user_id, event_type FROM events",
     "stream_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 }

@@ -115,15 +115,71 @@ def test_json_in_text(spark):
     assert [r[0] and r[0]["a"] for r in df.select(S.json_in_text("t", "a int")).collect()] == [1, None, None]
 
 
-def test_task_states_match_a_fold(spark):
-    sf = "/root/testdata/sf0.001"
-    from marginalia.plans.streams import stream_task_states
+def _files(spark, folder, parts):
+    """The events of the smallest tables as files of a stream, in order of time."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows = sorted(events.collect(), key=lambda r: (r["ts"], r["event_id"]))
+    cut = [len(rows) * k // parts for k in range(parts + 1)]
 
-    got = {r["user_id"]: (r["task"], r["status"], r["done"], r["rejected"]) for r in stream_task_states(spark, sf).collect()}
+    def write(k):
+        spark.createDataFrame(rows[cut[k] : cut[k + 1]], events.schema).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+
+    return rows, write
+
+
+def _folded(rows):
     want = {}
-    for r in spark.read.parquet(f"{sf}/events.parquet").orderBy("ts", "event_id").collect():
+    for r in rows:
         want[r["user_id"]] = E.step(want.get(r["user_id"], (-1, "idle", 0, 0)), r["event_id"], r["event_type"])
-    assert got == want
+    return want
+
+
+def test_task_states_go_on_from_a_checkpoint(spark, tmp_path):
+    """The stream is stopped between files and started again; a batch that failed half-way is run again."""
+    rows, write = _files(spark, tmp_path / "in", 3)
+    folder = f"file://{tmp_path}/state"
+    for k in range(3):
+        write(k)
+        got = {r["user_id"]: (r["task"], r["status"], r["done"], r["rejected"]) for r in E.task_states(E.source(spark, str(tmp_path / "in")), folder).collect()}
+        assert got == _folded(rows[: len(rows) * (k + 1) // 3])
+    import shutil
+
+    shutil.rmtree(tmp_path / "state" / "checkpoint" / "commits")  # as if no batch had been committed
+    again = {r["user_id"]: (r["task"], r["status"], r["done"], r["rejected"]) for r in E.task_states(E.source(spark, str(tmp_path / "in")), folder).collect()}
+    assert again == _folded(rows)
+
+
+def test_one_hot_user_is_a_row_a_slice(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(1, i, r.choice(["click", "view", "purchase", "error", "signup"]), 60 * i) for i in range(3000)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, event_type string, t long").selectExpr("user_id", "event_id", "event_type", "timestamp_seconds(t) as ts")
+    assert E.slices(events).count() == 50
+    got = E.advanced(spark.createDataFrame([], E.STATE), events).first()
+    want = (-1, "idle", 0, 0)
+    for _, i, kind, _ in rows:
+        want = E.step(want, i, kind)
+    assert (got["task"], got["status"], got["done"], got["rejected"]) == want
+
+
+def test_windows_and_duplicates_go_on_from_a_checkpoint(spark, tmp_path):
+    rows, write = _files(spark, tmp_path / "in", 2)
+    out, check = f"{tmp_path}/out", f"{tmp_path}/check"
+
+    def run(stream, name):
+        stream.writeStream.format("parquet").option("path", f"{out}/{name}").option("checkpointLocation", f"{check}/{name}").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+        return spark.read.parquet(f"{out}/{name}").collect()
+
+    for k in range(2):
+        write(k)
+        if k:  # the first file once more, under another name
+            spark.read.parquet(f"{tmp_path}/in/events.parquet").limit(50).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events.parquet")
+        distinct = run(E.distinct_events(E.source(spark, str(tmp_path / "in"))), "distinct")
+        windows = run(E.window_counts(E.source(spark, str(tmp_path / "in")), late="1 hour"), "windows")
+    assert sorted(r["event_id"] for r in distinct) == sorted(r["event_id"] for r in rows)
+    # Windows behind the watermark are written once.
+    assert len({(r["start"], r["event_type"]) for r in windows}) == len(windows) > 0
 
 
 def test_pages_budget(spark):
