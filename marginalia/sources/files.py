@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import norm_path, stem
+from .shared import cut, delete
 
 CHUNK_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("doc_id", T.StringType()), T.StructField("chunk_idx", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("heading_path", T.StringType())])
 
@@ -48,13 +49,78 @@ def main_file(files: DataFrame) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, folder: str) -> None:
-    """JSON lines, a folder a document; a document written again replaces its own folder only."""
-    ids = chunks.withColumn("id", F.concat_ws(":", "doc_id", "chunk_idx"))
-    ids.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("doc_id").json(folder)
+    """JSON lines with an id for each chunk, in as many files as there are tasks."""
+    chunks.withColumn("id", F.concat_ws(":", "doc_id", "chunk_idx")).write.json(folder)
 
 
-def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(CHUNK_SCHEMA).json(folder)
+def read_chunks(spark: SparkSession, store: str) -> DataFrame:
+    """The chunks of a store as its last index has them: of each document those of the version that the index names, none of vanished ones."""
+    index = read_index_version(spark, store)
+    made = spark.read.schema(T.StructType([*CHUNK_SCHEMA, T.StructField("version", T.IntegerType())])).json(f"{store}/chunks")
+    return made.join(index.select("doc_id", "version"), ["doc_id", "version"], "left_semi").drop("version")
+
+
+INDEX_SCHEMA = "doc_id string, path string, sha1 string, chunks long, version int"
+
+
+def _versions(spark: SparkSession, store: str) -> list[int]:
+    """The committed versions of a store's index."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/versions")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(p.getName()[1:]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def read_index_version(spark: SparkSession, store: str) -> DataFrame:
+    have = _versions(spark, store)
+    return spark.read.schema(INDEX_SCHEMA).parquet(f"{store}/versions/v{have[-1]}") if have else spark.createDataFrame([], INDEX_SCHEMA)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of an evaluation run; lines that are no JSON give rows of nulls, which are left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
+
+
+SUITE_SCHEMA = "name string, papers array<struct<id: string, path: string, cases: array<struct<id: string, prompt: string, family: string, tags: array<string>>>>>"
+
+
+def suite_cases(spark: SparkSession, path: str) -> DataFrame:
+    """The cases of suite manifests (JSON of papers with cases), a row each: suite, paper_id, paper_path, case_id, prompt, family, tags."""
+    suites = spark.read.schema(SUITE_SCHEMA).option("multiLine", True).json(path)
+    papers = suites.select(F.col("name").alias("suite"), F.explode("papers").alias("p"))
+    cases = papers.select("suite", F.col("p.id").alias("paper_id"), F.col("p.path").alias("paper_path"), F.explode("p.cases").alias("c"))
+    return cases.select("suite", "paper_id", "paper_path", F.col("c.id").alias("case_id"), F.coalesce("c.prompt", F.lit("")).alias("prompt"), F.coalesce("c.family", F.lit("")).alias("family"), F.coalesce("c.tags", F.array().cast("array<string>")).alias("tags"))
+
+
+def store_uploads(uploads: DataFrame, folder: str) -> DataFrame:
+    """uploads: name, content.  Adds the contents that the folder lacks, each once, named by their SHA-1.  Returns name, sha1 and size of all uploads."""
+    spark = uploads.sparkSession
+    named = uploads.select("name", "content", F.sha1("content").alias("sha1"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    known = spark.read.parquet(folder).select("sha1") if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else spark.createDataFrame([], "sha1 string")
+    new = named.groupBy("sha1").agg(F.first("content").alias("content")).join(known, "sha1", "left_anti")
+    new.write.mode("append").parquet(folder)
+    return named.select("name", "sha1", F.octet_length("content").alias("size"))
+
+
+#: Buckets of the tables of structured indices; a document's rows of each are in one.
+INDEX_BUCKETS = 256
+
+
+def write_indices(indices: dict[str, DataFrame], folder: str) -> None:
+    """Structured indices as a table each, in folders of buckets of doc_id."""
+    for name, df in indices.items():
+        df.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(INDEX_BUCKETS)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
+
+
+def read_index(spark: SparkSession, folder: str, name: str, doc_id: object) -> DataFrame:
+    """The rows of one document; only its bucket is read."""
+    bucket = F.pmod(F.xxhash64(F.lit(str(doc_id))), F.lit(INDEX_BUCKETS)).cast("int")
+    return spark.read.parquet(f"{folder}/{name}").where((F.col("bucket") == bucket) & (F.col("doc_id").cast("string") == str(doc_id))).drop("bucket")
 
 
 def tolerant_json(column: str, schema: str):
@@ -86,33 +152,36 @@ def vanished(index: DataFrame, docs: DataFrame) -> DataFrame:
     return index.join(docs.select("doc_id"), "doc_id", "left_anti")
 
 
-def next_index(index: DataFrame, docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """The index after an ingest: doc_id, path, sha1, chunks.  counts: doc_id, chunks of the documents written now."""
-    now = docs.select("doc_id", "path", "sha1").join(counts, "doc_id", "left")
-    old = index.select("doc_id", F.col("chunks").alias("_chunks"))
-    return now.join(old, "doc_id", "left").select("doc_id", "path", "sha1", F.coalesce("chunks", "_chunks", F.lit(0)).alias("chunks"))
+def next_index(index: DataFrame, docs: DataFrame, counts: DataFrame, version: int) -> DataFrame:
+    """The index after an ingest.  counts: doc_id, chunks of the documents written as this version; the others keep theirs."""
+    now = docs.select("doc_id", "path", "sha1").join(counts.select("doc_id", F.col("chunks").alias("_new")), "doc_id", "left")
+    old = index.select("doc_id", "sha1", F.col("chunks").alias("_old"), F.col("version").alias("_version"))
+    joined = now.join(old, ["doc_id", "sha1"], "left")
+    fresh = F.col("_version").isNull()
+    return joined.select("doc_id", "path", "sha1", F.when(fresh, F.coalesce("_new", F.lit(0).cast("long"))).otherwise(F.col("_old")).alias("chunks"), F.when(fresh, version).otherwise(F.col("_version")).alias("version"))
 
 
 def ingest(spark: SparkSession, root: str, store: str, size: int = 1400, overlap: int = 200) -> dict[str, int]:
-    """Scans, skips unchanged documents, chunks and writes the others, drops vanished ones from the index.  Returns counters."""
+    """Scans a tree, skips unchanged documents, chunks the others and drops vanished ones.  Returns counters.
+
+    The tree is hashed once, and read once more for the changed documents.  Chunks of a version are written beside those before, and take effect with the
+    version's index, which is committed last: a run that dies leaves the last version in force, and the next one writes over its files."""
     from ..operators.markdown import chunks, lines, with_heading_path
 
-    docs = markdown(spark, root)
-    empty = spark.createDataFrame([], "doc_id string, path string, sha1 string, chunks long")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/versions")
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
-    index = spark.read.schema(empty.schema).parquet(f"{store}/versions/v{versions[-1]}") if versions else empty
-    fresh = changed(docs, index)
-    made = chunks(with_heading_path(lines(fresh)), size, overlap)
-    n = fresh.count()
+    version = (_versions(spark, store) or [0])[-1] + 1
+    index = read_index_version(spark, store)
+    docs = cut(markdown(spark, root).select("path", "doc_id", "sha1"))
+    fresh = cut(changed(docs, index))
+    n, total, gone = fresh.count(), docs.count(), vanished(index, docs).count()
+    counts = spark.createDataFrame([], "doc_id string, chunks long")
     if n:
-        write_chunks(made, f"{store}/chunks")
-    counts = read_chunks(spark, f"{store}/chunks").join(fresh.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("chunks")) if n else spark.createDataFrame([], "doc_id string, chunks long")
-    gone = vanished(index, docs).count()
-    after = next_index(index, docs, counts)
-    after.write.parquet(f"{store}/versions/v{(versions or [0])[-1] + 1}")
-    return {"documents": docs.count(), "written": n, "vanished": gone}
+        texts = markdown(spark, root).join(fresh.select("path"), "path", "left_semi")
+        folder = f"{store}/chunks/version={version}"
+        delete(spark, folder)
+        write_chunks(chunks(with_heading_path(lines(texts)), size, overlap), folder)
+        counts = spark.read.schema(CHUNK_SCHEMA).json(folder).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    next_index(index, docs, counts, version).write.mode("overwrite").parquet(f"{store}/versions/v{version}")
+    return {"documents": total, "written": n, "vanished": gone}
 
 
 def ordinal(chunks: DataFrame) -> DataFrame:

@@ -90,18 +90,51 @@ def test_path_suffix(spark):
 
 
 def test_ingest_is_incremental(spark, tmp_path):
-    root, store = tmp_path / "md", tmp_path / "store"
+    root, store = tmp_path / "md", str(tmp_path / "store")
     (root / "temp").mkdir(parents=True)
     (root / "a.md").write_text("# A\n" + "text " * 40)
     (root / "b.md").write_text("# B\nshort")
     (root / "temp" / "c.md").write_text("# C")
-    assert S.ingest(spark, str(root), str(store)) == {"documents": 2, "written": 2, "vanished": 0}
-    assert S.ingest(spark, str(root), str(store)) == {"documents": 2, "written": 0, "vanished": 0}
+    texts = lambda: sorted(r["text"].split("\n")[-1].strip() for r in S.read_chunks(spark, store).collect())
+    first = ("text " * 40).strip()
+    assert S.ingest(spark, str(root), store) == {"documents": 2, "written": 2, "vanished": 0}
+    assert S.ingest(spark, str(root), store) == {"documents": 2, "written": 0, "vanished": 0} and texts() == ["short", first]
     (root / "b.md").write_text("# B\nchanged")
-    assert S.ingest(spark, str(root), str(store)) == {"documents": 2, "written": 1, "vanished": 0}
+    assert S.ingest(spark, str(root), store) == {"documents": 2, "written": 1, "vanished": 0} and texts() == ["changed", first]
     (root / "a.md").unlink()
-    assert S.ingest(spark, str(root), str(store))["vanished"] == 1
-    assert S.read_chunks(spark, str(store / "chunks")).where("text like '%changed%'").count() == 1
+    # A run that died before its commit left chunks and an index without its mark.
+    (tmp_path / "store" / "chunks" / "version=4").mkdir()
+    (tmp_path / "store" / "chunks" / "version=4" / "part-0.json").write_text('{"doc_id": "x", "chunk_idx": 0, "text": "dead"}')
+    (tmp_path / "store" / "versions" / "v4").mkdir()
+    assert texts() == ["changed", first]
+    assert S.ingest(spark, str(root), store)["vanished"] == 1 and texts() == ["changed"]
+    assert S.read_index_version(spark, store).select("chunks", "version").collect() == [(1, 3)]
+    (root / "a.md").write_text("# A\nback")
+    assert S.ingest(spark, str(root), store)["written"] == 1 and texts() == ["back", "changed"]
+
+
+def test_suites_uploads_and_lines_of_json(spark, tmp_path):
+    (tmp_path / "suite.json").write_text('{"name": "s", "papers": [{"id": "p", "path": "x.md",\n "cases": [{"id": "c1", "prompt": "why", "tags": ["t"]}, {"id": "c2"}]}, {"id": "q", "cases": []}]}')
+    assert [tuple(r) for r in S.suite_cases(spark, str(tmp_path / "suite.json")).orderBy("case_id").collect()] == [("s", "p", "x.md", "c1", "why", "", ["t"]), ("s", "p", "x.md", "c2", "", "", [])]
+    up = spark.createDataFrame([("a", bytearray(b"one")), ("b", bytearray(b"one")), ("c", bytearray(b"two"))], "name string, content binary")
+    for _ in range(2):
+        got = {r["name"]: r["sha1"] for r in S.store_uploads(up, str(tmp_path / "up")).collect()}
+        assert spark.read.parquet(str(tmp_path / "up")).count() == 2 and got["a"] == got["b"] == "fe05bcdcdc4928012781a5f1a2a77cbb5398e106"
+    S.write_jsonl(spark.range(3), str(tmp_path / "rows"))
+    (tmp_path / "rows" / "more.json").write_text("no json\n")
+    assert S.read_jsonl(spark, str(tmp_path / "rows"), "id long").count() == 3
+
+
+def test_index_tables_are_read_by_bucket(spark, tmp_path):
+    from marginalia.operators import indices as I
+
+    docs = spark.createDataFrame([(d, "\n".join(f"line {d} {k} of words here" for k in range(30))) for d in range(6)], "doc_id long, text string")
+    blocks = M.blocks(M.with_heading_path(M.rich_lines(docs)))
+    S.write_indices({"anchors": I.anchors(blocks), "equations": I.equations(blocks), "figures": I.figures(blocks)}, str(tmp_path / "ix"))
+    one = S.read_index(spark, str(tmp_path / "ix"), "anchors", 3)
+    assert one.count() == blocks.where("doc_id = 3").count() and one.where("doc_id <> 3").count() == 0
+    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString()
+    assert S.read_index(spark, str(tmp_path / "ix"), "equations", 3).count() == I.equations(blocks).where("doc_id = 3").count() > 0
 
 
 def test_bounded_reads(spark):
