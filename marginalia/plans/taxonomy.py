@@ -6,22 +6,21 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import taxonomy as X
-from .common import table
+from .common import PROMPTS, prompts, table
 
 _SECTIONS = ["Methods and models", "Results", "Introduction", "Discussion", "References", "Data"]
-_ASKS = ["how does the method work", "what results", "why and background", "limits", "list references", "hello"]
-
-
 def _lit_array(values):
     return F.array(*[F.lit(v) for v in values])
 
 
 def heading_choice(spark, sf):
-    """For each conversation turn the heading that suits it best among six."""
-    turns = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.element_at(_lit_array(_ASKS), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6)) + 1).cast("int")).alias("ask"))
-    heads = turns.select("id", "ask", F.posexplode(_lit_array(_SECTIONS)).alias("pos", "heading"))
+    """For each prompt the line, as a heading of some section, that suits it best in the document of the conversation's number."""
+    turns = prompts(spark, sf).select(F.col("conv_id").alias("doc_id"), F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("ask"))
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    section = F.element_at(_lit_array(_SECTIONS), (F.pmod("pos", F.lit(len(_SECTIONS))) + 1).cast("int"))
+    heads = lines.select("doc_id", "pos", F.concat(section, F.lit(": "), F.substring("line", 1, 30)).alias("heading"))
     bonus = X.heading_bonus(X.heading_intent("ask"), X.heading_kind("heading"))
-    scored = heads.withColumn("score", F.round(bonus + 3.0 - 0.25 * F.col("pos") + F.greatest(F.lit(0.0), (50 - F.abs(F.length("heading") - 38)) / 200), 6))
+    scored = turns.join(heads, "doc_id").withColumn("score", F.round(bonus + 3.0 - 0.25 * F.col("pos") + F.greatest(F.lit(0.0), (50 - F.abs(F.length("heading") - 38)) / 200), 6))
     return X.best_heading(scored, "id")
 
 
@@ -34,8 +33,9 @@ def _sql_ladder(rules, default, col):
 
 
 _BONUS = "CASE " + " ".join(f"WHEN intent = '{a}' AND kind = '{b}' THEN {w}" for (a, b), w in X.HEADING_WEIGHTS.items()) + " ELSE 0 END"
-HEADING_SQL = f"""WITH t AS (SELECT conv_id || ':' || turn AS id, {_sql_list(_ASKS)}[(conv_id + turn) % 6 + 1] AS ask FROM conversations),
-h AS (SELECT id, ask, unnest(range(0, 6)) AS pos, unnest({_sql_list(_SECTIONS)}) AS heading FROM t),
+HEADING_SQL = f"""WITH {PROMPTS}, t AS (SELECT conv_id AS doc_id, conv_id || ':' || turn AS id, text AS ask FROM pr),
+l AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+h AS (SELECT id, ask, pos, {_sql_list(_SECTIONS)}[pos % {len(_SECTIONS)} + 1] || ': ' || substr(line, 1, 30) AS heading FROM t JOIN l USING (doc_id)),
 k AS (SELECT *, {_sql_ladder(X._INTENTS, 'none', 'ask')} AS intent, {_sql_ladder(X._HEADINGS, 'other', 'heading')} AS kind FROM h),
 s AS (SELECT *, round(({_BONUS} + CASE WHEN kind = 'references' AND intent <> 'references' THEN -3.4 ELSE 0 END + 3.0 - 0.25 * pos + greatest(0, (50 - abs(length(heading) - 38)) / 200))::DOUBLE, 6) AS score FROM k)
 SELECT id, heading, score FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) = 1"""
