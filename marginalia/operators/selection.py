@@ -225,3 +225,53 @@ def messages(history: DataFrame, block: DataFrame, rules: str, by: str = "conv_i
     head = kept.select(by).distinct().select(by, F.lit(0).alias("n"), F.lit("system").alias("role"), F.lit(rules).alias("content"))
     rest = kept.select(by, F.row_number().over(Window.partitionBy(by).orderBy("turn")).alias("n"), "role", said.alias("content"))
     return head.unionByName(rest)
+
+
+#: Fixed values: (family, where, any of these words, weight) of a block of the bound document, and words that count where prompt and block share them.
+BLOCK_RULES = [
+    ("method", "heading", "method|implementation|algorithm|analysis", 7.0), ("method", "text", "phase correlation|image registration|algorithm|workflow|rvt", 3.5),
+    ("reproduce", "heading", "materials and methods|methods|setup|data acquisition|protocol|implementation", 6.0), ("reproduce", "text", "camera|laser|dwell time|exposure|acquisition|hardware", 3.2),
+    ("overview", "heading", "abstract|introduction|results|discussion|conclusion", 4.5), ("equation", "heading", "equation|formula|method|background", 5.0), ("equation", "raw", "\\\\tag\\{|\\$\\$|\\\\\\[|\\\\\\]|where |denotes|represents", 3.8),
+    ("figure_walkthrough", "heading", "figure|caption|panel|results", 5.0), ("figure_walkthrough", "text", "figure|fig\\.|panel|caption", 2.5),
+]
+SHARED_WORDS = {"hadamard": 12.0, "richardson": 8.0, "lucy": 8.0}
+#: Blocks behind the header of a box that belong to it.
+BOX_BLOCKS = 18
+
+
+def targeted_blocks(blocks: DataFrame, wanted: DataFrame, k: int = 4) -> DataFrame:
+    """blocks: doc_id, block_id, order_index, heading_path, line.  wanted: doc_id, prompt.  The k best blocks of a document for a prompt: what it asks for by section, box or figure counts most
+    (and alone, unless it looks for a citation), then common words and the rules of its family; each heading and text once."""
+    own = Window.partitionBy("doc_id").orderBy("order_index").rowsBetween(Window.unboundedPreceding, 0)
+    box = F.nullif(F.regexp_extract("line", "(?i)^\\W*box\\s*(\\d{1,2})\\b", 1), F.lit("")).cast("int")
+    rows = blocks.select("doc_id", "block_id", "order_index", F.col("heading_path").alias("heading"), F.trim("line").alias("text"), box.alias("own_box")).withColumn("head", F.last(F.when(F.col("own_box").isNotNull(), F.struct("order_index", F.col("own_box").alias("n"))), ignorenulls=True).over(own))
+    rows = rows.where("text <> ''").join(wanted, "doc_id").withColumn("_family", prompt_family("prompt"))
+    prompt, body, path, family = F.col("prompt"), F.col("text"), F.col("heading"), F.col("_family")
+    within = F.coalesce(F.array_contains(box_numbers("prompt"), F.col("head.n")) & (F.col("order_index") - F.col("head.order_index") <= BOX_BLOCKS), F.lit(False))
+    combined = F.concat_ws("\n", F.when(path != "", path), F.substring("text", 1, 800))
+    rows = rows.withColumns({"_box": within, "_fits": within | matches_targets(prompt, combined)})
+    figure = F.coalesce(text.figure_number("prompt") > 0, F.lit(False))
+    asks = (F.size(section_targets("prompt")) > 0) | (F.size(box_numbers("prompt")) > 0) | figure
+    rows = rows.where(~asks | (family == "citation_lookup") | F.col("_fits"))
+    surface = {"heading": F.lower(path), "text": F.lower(body), "raw": body}
+    cue = F.when(family == "citation_lookup", F.filter(cue_tokens("prompt"), lambda t: ~t.isin(*CITE_STOP))).otherwise(cue_tokens("prompt"))
+    terms = [
+        _if(F.col("_fits"), 32.0), _if(F.col("_box"), 14.0), F.least(F.lit(14.0), 2.0 * F.size(F.array_intersect(cue_tokens(combined), cue))),
+        *[_if((family == f) & surface[s].rlike(p), w) for f, s, p, w in BLOCK_RULES], *[_if(F.lower(prompt).contains(word) & F.lower(body).contains(word), w) for word, w in SHARED_WORDS.items()],
+        _if(family == "citation_lookup", _if(F.size(text.inline_citations(body)) > 0, 8.0) + citation_signal(prompt, path, body)),
+    ]
+    scored = rows.withColumn("score", F.round(reduce(add, terms), 6)).where("score > 0")
+    first = F.row_number().over(Window.partitionBy("doc_id", "prompt", F.sha1(F.concat_ws("\n", "heading", F.substring("text", 1, 1200)))).orderBy(F.desc("score"), "order_index"))
+    scored = scored.withColumn("_n", first).where("_n = 1")
+    place = F.row_number().over(Window.partitionBy("doc_id", "prompt").orderBy(F.desc("score"), "order_index"))
+    return scored.withColumn("place", place).where(F.col("place") <= k).select("doc_id", "prompt", "block_id", "heading", "text", "score", "place")
+
+
+def rescued(hits: DataFrame, deep: DataFrame, by: str = "query_id", k: int = 4) -> DataFrame:
+    """hits: by, block_id, score (of a targeted scan).  deep: by, block_id, score (of a deep read).  The k best of the scan for each query; where it found nothing, those of the deep read, whose
+    scores below 0.01 fall by a tenth from 1 on with their place."""
+    rank = lambda df: df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "block_id"))).where(F.col("place") <= k)
+    found = rank(hits.select(by, "block_id", "score")).withColumn("fallback", F.lit(False))
+    rest = rank(deep.select(by, "block_id", "score").join(hits.select(by).distinct(), by, "left_anti")).withColumn("fallback", F.lit(True))
+    rest = rest.withColumn("score", F.when(F.col("score") > 0, F.col("score")).otherwise(F.greatest(F.lit(0.01), 1.0 - (F.col("place") - 1) * 0.1)))
+    return found.unionByName(rest)

@@ -9,6 +9,7 @@ from ..operators import intents as N
 from ..operators import prompts as P
 from ..operators import selection as S
 from .common import PROMPTS, prompts, table
+from .indices import RICH, blocks
 
 #: Headings under which turns stand as hits, and words that they say.
 HEADS = ["Paper / Abstract", "Paper / Results and resolution", "Paper / Materials and Methods / Setup", "Discussion", "Paper / References", "Figure captions", ""]
@@ -187,5 +188,52 @@ kl AS (SELECT * FROM ke LEFT JOIN bl USING (conv_id) WHERE turn <= lt)
 SELECT DISTINCT conv_id, 0 AS n, 'system' AS role, sha1('Answer from the block.') AS sha1 FROM kl UNION ALL
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT, role, sha1(CASE WHEN turn = lt AND block IS NOT NULL THEN text || chr(10) || chr(10) || block ELSE text END) FROM kl"""
 
-QUERIES = {f.__name__: f for f in (answer_hits, support_atoms, critical_facts, prompt_messages)}
-ORACLE_SQL = {"answer_hits": ANSWER_SQL, "support_atoms": ATOM_SQL, "critical_facts": FACT_SQL, "prompt_messages": MESSAGE_SQL}
+def _wanted(spark, sf):
+    """A prompt a document, that of the conversation of its number, with a place or topic to look for."""
+    p = prompts(spark, sf).where("turn = 0")
+    return p.select(F.col("conv_id").alias("doc_id"), F.concat("text", _pick([" figure 3", " box 4", " method hadamard", " cite the results", " overview", ""], F.col("conv_id"))).alias("prompt"))
+
+
+def _rich(spark, sf):
+    """Blocks of documents, some with headings of sections and boxes."""
+    b = blocks(spark, sf)
+    n = F.col("order_index")
+    line = F.when(n % 11 == 3, F.concat(F.lit("Box "), F.pmod(n, F.lit(5)).cast("string"), F.lit(": "), F.col("line"))).when(n % 7 == 2, F.concat("line", F.lit(" camera hadamard workflow [3]"))).otherwise(F.col("line"))
+    return b.select("doc_id", "block_id", "order_index", F.concat(_pick(HEADS, n), F.lit(" / "), F.substring("heading_path", 1, 20)).alias("heading_path"), line.alias("line"))
+
+
+def targeted_blocks(spark, sf):
+    """The best blocks of each document for its prompt."""
+    return S.targeted_blocks(_rich(spark, sf), _wanted(spark, sf)).select("doc_id", "block_id", "score", "place")
+
+
+_BLOCK_SURFACE = {"heading": "lower(heading)", "text": "lower(text)", "raw": "text"}
+_BLOCK_RULES = " + ".join([f"CASE WHEN family = '{f}' AND regexp_matches({_BLOCK_SURFACE[s]}, '{p}') THEN {w} ELSE 0 END" for f, s, p, w in S.BLOCK_RULES] + [f"CASE WHEN contains(lower(prompt), '{x}') AND contains(lower(text), '{x}') THEN {w} ELSE 0 END" for x, w in S.SHARED_WORDS.items()])
+TARGETED = f"""{RICH}, {PROMPTS}, wq AS (SELECT conv_id AS doc_id, text || {_L([" figure 3", " box 4", " method hadamard", " cite the results", " overview", ""])}[conv_id % 6 + 1] AS prompt FROM pr WHERE turn = 0),
+rb AS (SELECT doc_id, block_id, order_index, {_L(HEADS)}[order_index % {len(HEADS)} + 1] || ' / ' || substr(heading_path, 1, 20) AS heading, trim(CASE WHEN order_index % 11 = 3 THEN 'Box ' || (order_index % 5) || ': ' || line WHEN order_index % 7 = 2 THEN line || ' camera hadamard workflow [3]' ELSE line END) AS text FROM bk),
+rc AS (SELECT *, nullif(regexp_extract(text, '(?i)^\\W*box\\s*(\\d{{1,2}})\\b', 1), '')::INT AS ob FROM rb), rd AS (SELECT *, last_value(CASE WHEN ob IS NOT NULL THEN order_index END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY order_index) AS hi, last_value(ob IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY order_index) AS hn FROM rc),
+t0 AS (SELECT *, {_FAMILY} AS family, heading || chr(10) || substr(text, 1, 800) AS cb, {_CITES("text")} AS cites, regexp_matches(prompt, '{A.REFERENCE_LIST}') AS listing, lower(CASE WHEN contains(heading, ' / ') THEN substr(heading, strpos(heading, ' / ') + 3) ELSE heading END) AS leaf, lower(trim(text)) AS bl, list_distinct({_cues("prompt")}) AS cq FROM rd JOIN wq USING (doc_id) WHERE text <> ''),
+t1 AS (SELECT *, list_filter(cq, lambda t: NOT list_contains({_STOPS}, t)) AS tp, coalesce(list_contains(list_transform({_boxes("prompt")}, lambda b: b::INT), hn) AND order_index - hi <= {S.BOX_BLOCKS}, false) AS bx FROM t0),
+t2 AS (SELECT *, bx OR {_on("cb")} AS fits, len({_targets("prompt")}) > 0 OR len({_boxes("prompt")}) > 0 OR {_figure("prompt")} > 0 AS asks, list_distinct(list_concat(tp, list_filter([CASE WHEN list_contains(tp, 'sampling') THEN 'sensing' END, CASE WHEN list_contains(tp, 'sensing') THEN 'sampling' END], lambda t: t IS NOT NULL))) AS topics FROM t1),
+t3 AS (SELECT *, len(list_filter(topics, lambda t: contains(bl, t))) AS it, len(list_filter(topics, lambda t: NOT contains(bl, t) AND contains(leaf, t))) AS ih, list_contains({_targets("heading")}, 'references') OR regexp_matches(trim(text), '(?i)^(?:references\\b|\\[\\d{{1,4}}\\])') AS lst FROM t2 WHERE NOT asks OR family = 'citation_lookup' OR fits),
+t4 AS (SELECT *, least(12, 3.2 * it) + least(2.4, 0.8 * ih) + CASE WHEN cites THEN CASE WHEN it = 0 THEN -6 WHEN it >= 2 THEN 10 ELSE 4 END ELSE 0 END + CASE WHEN regexp_matches(text, '{S.ATTRIBUTION}') THEN CASE WHEN cites THEN 8 ELSE 3 END ELSE 0 END + CASE WHEN lst THEN CASE WHEN listing THEN 2 ELSE -5 END ELSE 0 END AS signal FROM t3),
+t5 AS (SELECT *, round((CASE WHEN fits THEN 32 ELSE 0 END + CASE WHEN bx THEN 14 ELSE 0 END + least(14, 2.0 * len(list_intersect(list_distinct({_cues("cb")}), CASE WHEN family = 'citation_lookup' THEN tp ELSE cq END))) + {_BLOCK_RULES} + CASE WHEN family = 'citation_lookup' THEN CASE WHEN cites THEN 8 ELSE 0 END + signal ELSE 0 END)::DOUBLE, 6) AS score FROM t4),
+t6 AS (SELECT * FROM t5 WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, heading, substr(text, 1, 1200) ORDER BY score DESC, order_index) = 1)"""
+TARGET_SQL = f"WITH {TARGETED} SELECT doc_id, block_id, score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, order_index) AS place FROM t6) WHERE place <= 4"
+
+
+def rescued_hits(spark, sf):
+    """Targeted hits, and the longest blocks of the documents in which there are none."""
+    b, w = _rich(spark, sf), _wanted(spark, sf)
+    hits = S.targeted_blocks(b, w).where("score >= 40")
+    deep = b.join(w.select("doc_id"), "doc_id").select("doc_id", "block_id", F.when(F.length("line") > 60, F.length("line") / 100).otherwise(0.0).alias("score"))
+    return S.rescued(hits, deep, "doc_id", 3)
+
+
+RESCUE_SQL = f"""WITH {TARGETED}, h AS (SELECT doc_id, block_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, order_index) AS place FROM t6) WHERE place <= 4 AND score >= 40),
+d AS (SELECT doc_id, block_id, CASE WHEN length(rw) > 60 THEN length(rw) / 100 ELSE 0 END::DOUBLE AS score FROM (SELECT b.doc_id, block_id, CASE WHEN order_index % 11 = 3 THEN 'Box ' || (order_index % 5) || ': ' || line WHEN order_index % 7 = 2 THEN line || ' camera hadamard workflow [3]' ELSE line END AS rw FROM bk b JOIN wq USING (doc_id)) WHERE doc_id NOT IN (SELECT doc_id FROM h)),
+r AS (SELECT *, false AS fallback, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, block_id) AS place FROM h UNION ALL SELECT *, true, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, block_id) FROM d)
+SELECT doc_id, block_id, CASE WHEN NOT fallback OR score > 0 THEN score ELSE greatest(0.01, 1.0 - (place - 1) * 0.1) END AS score, place::INT AS place, fallback FROM r WHERE place <= 3"""
+
+QUERIES = {f.__name__: f for f in (answer_hits, support_atoms, critical_facts, prompt_messages, targeted_blocks, rescued_hits)}
+ORACLE_SQL = {"answer_hits": ANSWER_SQL, "support_atoms": ATOM_SQL, "critical_facts": FACT_SQL, "prompt_messages": MESSAGE_SQL, "targeted_blocks": TARGET_SQL, "rescued_hits": RESCUE_SQL}
