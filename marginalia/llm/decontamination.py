@@ -4,7 +4,9 @@ The words of all texts are lower-cased runs of letters and digits.  An item is a
 words (match 2, mismatch -1, gap -1), and the share of the best possible score is the result.  A share of at least THRESHOLD
 needs that share of the item's n words matched, and all of these within (3 - 2 * THRESHOLD) * n words of the document.  So of the
 n - h + k rarest words of an item (h: the least number of matches), at least k stand in that span, whatever the edits are:
-where they do, the item is aligned, and no pair at the threshold is missed.  How often a word stands in
+where they do, the stretch of words is looked at with all words of the item: at least h of its words must be the item's within that span, and h of them
+with each word counted no oftener than the item has it.  Where they
+are, the item is aligned, and no pair at the threshold is missed.  How often a word stands in
 the corpus only decides which words are looked up, not what is found.
 
 The test items are a stated query set: they are taken in blocks of BLOCK items and BLOCK_BYTES of text at most (a longer item is a
@@ -17,7 +19,7 @@ the result; repeated rows of documents are results of their own, and repeated it
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,9 @@ HITS = 2_000_000
 
 @dataclass
 class Items:
-    """A block of test items: their word hashes, and their rare words as (hash, item) sorted by hash; needed of them must stand within span words."""
+    """A block of test items: their word hashes, and their rare words as (hash, item) sorted by hash; needed of them, and least of all
+    words, must stand within span words.  known are the words of all items, and own the pairs of item and word, as item * len(known) + word, each of which
+    stands times in the item."""
 
     ids: list
     words: list[np.ndarray]
@@ -52,15 +56,22 @@ class Items:
     item: np.ndarray
     needed: np.ndarray
     span: np.ndarray
+    least: np.ndarray
+    known: np.ndarray
+    own: np.ndarray
+    times: np.ndarray
 
 
 def items_of(rows: list[tuple[object, str | None]]) -> Items:
     """All words of the items; seeds() chooses among them."""
     words = words_of(pa.array([t or "" for _, t in rows], pa.string()), PUNCTUATION, lower=True)
     hashes = words.hashes() if len(words) else np.zeros(0, dtype=np.uint64)
-    own = [hashes[i:j] for i, j in zip(words.first[:-1], words.first[1:], strict=True)]
+    each = [hashes[i:j] for i, j in zip(words.first[:-1], words.first[1:], strict=True)]
     span = np.floor(words.counts * (3 - 2 * THRESHOLD)).astype(np.int64)
-    return Items([i for i, _ in rows], own, hashes, words.text_of_word(), np.ones(len(rows), dtype=np.int64), span)
+    least = np.where(words.counts < LEAST, words.counts, np.ceil(words.counts * THRESHOLD)).astype(np.int64)
+    known, item = np.unique(hashes), words.text_of_word()
+    own, times = np.unique(item * len(known) + np.searchsorted(known, hashes), return_counts=True)
+    return Items([i for i, _ in rows], each, hashes, item, np.ones(len(rows), dtype=np.int64), span, least, known, own, times)
 
 
 def counts(docs: DataFrame, items: Items) -> dict[int, int]:
@@ -93,7 +104,7 @@ def seeds(items: Items, frequency: dict[int, int]) -> Items:
     looked_up = np.where(sizes < LEAST, 1, sizes - least + needed)
     kept = order[rank < np.repeat(looked_up, sizes)]
     pairs = np.unique(np.stack([items.hash[kept], items.item[kept].astype(np.uint64)]), axis=1)
-    return Items(items.ids, items.words, pairs[0], pairs[1].astype(np.int64), needed, items.span)
+    return replace(items, hash=pairs[0], item=pairs[1].astype(np.int64), needed=needed)
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +145,7 @@ def matches(words: Words, items: Items) -> list[tuple[int, int, float, int, int]
     hit = np.flatnonzero(items.hash[np.minimum(lo, len(items.hash) - 1)] == hashes)
     lo = lo[hit]
     n = np.searchsorted(items.hash, hashes[hit], side="right") - lo
-    jobs = _windows(words, items, hit, lo, n)
+    jobs = _likely(hashes, items, _windows(words, items, hit, lo, n))
     jobs.sort(key=lambda x: x[3] - x[2])
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     c = 0
@@ -189,6 +200,54 @@ def _windows(words: Words, items: Items, hit: np.ndarray, lo: np.ndarray, n: np.
     return jobs
 
 
+def _own_words(items: Items, number: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of stretches of words: (stretch, place, pair of item and word) of the words that are their item's.  number: of each word, -1 for those of no item."""
+    size = b - a
+    job = np.repeat(np.arange(len(size)), size)
+    at = np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    there = number[at] >= 0
+    job, at = job[there], at[there]
+    key = item[job] * len(items.known) + number[at]
+    pair = np.minimum(np.searchsorted(items.own, key), len(items.own) - 1)
+    there = items.own[pair] == key
+    return job[there], at[there], pair[there]
+
+
+def _likely(hashes: np.ndarray, items: Items, jobs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The parts of the stretches in which enough words are the item's within its span."""
+    if not jobs:
+        return []
+    number = np.minimum(np.searchsorted(items.known, hashes), len(items.known) - 1)
+    number[items.known[number] != hashes] = -1
+    every = np.array(jobs, dtype=np.int64).T
+    out = []
+    cuts = np.flatnonzero(np.diff(np.cumsum(every[3] - every[2]) // HITS, prepend=0))
+    for i, j in zip([0, *cuts], [*cuts, len(jobs)], strict=True):
+        if i == j:
+            continue
+        text, item, a, b = every[:, i:j]
+        job, at, _ = _own_words(items, number, item, a, b)
+        last = np.arange(len(at)) + items.least[item[job]] - 1
+        first = np.flatnonzero(last < len(at))
+        first = first[(job[last[first]] == job[first]) & (at[last[first]] - at[first] < items.span[item[job[first]]])]
+        if not len(first):
+            continue
+        last, job = at[last[first]], job[first]
+        lo = np.maximum(a[job], last - items.span[item[job]] + 1)
+        hi = np.minimum(b[job], at[first] + items.span[item[job]])
+        new = np.ones(len(first), dtype=bool)
+        new[1:] = (job[1:] != job[:-1]) | (lo[1:] > hi[:-1])
+        start = np.flatnonzero(new)
+        text, item, lo, hi = text[job[start]], item[job[start]], lo[start], hi[np.append(start[1:], len(new)) - 1]
+        # Each word counts no oftener than the item has it.
+        job, _, pair = _own_words(items, number, item, lo, hi)
+        both, count = np.unique(job * len(items.own) + pair, return_counts=True)
+        shared = np.bincount(both // len(items.own), weights=np.minimum(count, items.times[both % len(items.own)]), minlength=len(item))
+        kept = shared >= items.least[item]
+        out += zip(text[kept].tolist(), item[kept].tolist(), lo[kept].tolist(), hi[kept].tolist(), strict=True)
+    return out
+
+
 def blocks(benchmark: DataFrame) -> list[DataFrame]:
     """The distinct items in blocks of about BLOCK items and BLOCK_BYTES."""
     items = benchmark.select("item_id", "text").distinct()
