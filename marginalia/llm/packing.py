@@ -6,7 +6,7 @@ are large: from the longest on, each is matched with the longest large one that
 that no sequence gets more than two.  The rest, from the longest on, go to the fullest sequence
 that has room (best fit), and new sequences are opened only where nothing has room.  The plan is a short
 list of runs: so many pieces of one length, from a rank among that length on, go to consecutive
-sequences at one offset.  Spark ranks the pieces of each length (in parts of about PART_ROWS, as one length may hold
+sequences at one offset.  Spark ranks the pieces of each length (in parts, as one length may hold
 a large part of all pieces) and joins them with the runs.
 
 Null and empty texts are pieces of one id (the end id).  Repeated rows are packed each for itself; a null
@@ -31,8 +31,9 @@ from .words import bounded, slices
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces of one length that are ranked in one task; a length of more is ranked in as many parts as that takes.
+#: A length is ranked in parts: of at most so many pieces, and of at most one in PARTS of all pieces.
 PART_ROWS = 1_000_000
+PARTS = 1000
 
 _RUN = "length int, from_rank long, n long, each long, first_sequence long, at long"
 
@@ -129,7 +130,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = spark.createDataFrame(plan(counts, capacity), _RUN)
     # At most `capacity` rows, as the counts.
-    parts = F.broadcast(spark.createDataFrame([(k, -(-n // PART_ROWS)) for k, n in counts.items()], "length long, parts long"))
+    most = max(1, min(PART_ROWS, -(-sum(counts.values()) // PARTS)))
+    parts = F.broadcast(spark.createDataFrame([(k, -(-n // most)) for k, n in counts.items()], "length long, parts long"))
     salted = pieces.join(parts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "parts").cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
