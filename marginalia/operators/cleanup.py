@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import _c
+from ..functions.text import _c, citation_set
 
 #: Lines that carry no text of a paper, and typographic replacements.
 NOISE_LINES = "(?i)^\\s*#*\\s*(page \\d+( of \\d+)?|\\d{1,4}|downloaded (from|on).*|.*all rights reserved\\.?|copyright .*|https?://\\S+|doi:.*|arxiv:\\S+.*|received .*accepted .*)\\s*$"
@@ -172,6 +172,56 @@ def issues(md: DataFrame) -> DataFrame:
     return out
 
 
+COUNTED = (
+    "chars", "lines", "headings", "images", "captions", "table_blocks", "display_math", "inline_math", "reference_lines", "max_reference", "citations", "cited_numbers", "issues", "errors", "warnings",
+)
+
+
+def quality_summary(md: DataFrame) -> DataFrame:
+    """md: doc_id, pos, line.  A row of 23 counts a document: sizes, headings by level, images, captions, tables, formulas, references, citations of the body, and what the analyzer finds."""
+    own = Window.partitionBy("doc_id").orderBy("pos")
+    so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x, t = F.col("line"), F.trim("line")
+    level = F.length(F.regexp_extract(x, "^(#{1,6})\\s+.+$", 1))
+    listed = t.rlike("(?i)^#{1,6}\\s+References?\\s*$")
+    single, mark = t.rlike("^\\$\\$.+\\$\\$$"), t == "$$"
+    bar = t.startswith("|") & (F.regexp_count(t, F.lit("\\|")) >= 2)
+    rows = md.select("doc_id", "pos", "line", t.alias("t"), level.alias("level"), listed.alias("listed"), single.alias("single"), mark.alias("mark"), bar.alias("bar"))
+    rows = rows.withColumns({"marks": F.sum(F.col("mark").cast("int")).over(so_far), "gaps": F.sum((~F.col("bar")).cast("int")).over(so_far), "begun": F.min(F.when(F.col("listed"), F.col("pos"))).over(Window.partitionBy("doc_id"))})
+    body = F.col("begun").isNull() | (F.col("pos") < F.col("begun"))
+    plain = ~F.col("single") & ~F.col("mark") & (F.col("marks") % 2 == 0)
+    number = F.nullif(F.regexp_extract("line", "^\\[(\\d{1,4})\\]\\s+", 1), F.lit("")).cast("int")
+    marker = "\\[(\\d{1,4}(?:\\s*-\\s*\\d{1,4})?(?:\\s*,\\s*\\d{1,4}(?:\\s*-\\s*\\d{1,4})?)*)\\]"
+    tokens = F.when(body, F.regexp_extract_all("line", F.lit(marker), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    cited = F.flatten(F.transform(tokens, lambda m: citation_set(m, 200, 1000)))
+    rows = rows.withColumns({"number": F.when(F.col("pos") > F.col("begun"), number), "tokens": tokens, "cited": cited, "inline": F.when(plain, F.regexp_count("line", F.lit("(?<!\\$)\\$[^$]+?\\$(?!\\$)"))).otherwise(0)})
+    last = rows.groupBy("doc_id").agg(F.max(F.struct("pos", "line"))["line"].alias("last"))
+    n = F.count_if
+    out = rows.groupBy("doc_id").agg(
+        (F.sum(F.length("line") + 1) - 1).alias("chars"), F.count("*").alias("lines"), n(F.col("t") != "").alias("nonempty_lines"), n(F.col("level") > 0).alias("headings"), n(F.col("level") == 1).alias("h1"), n(F.col("level") == 2).alias("h2"), n(F.col("level") >= 3).alias("h3_plus"),
+        F.bool_or(F.col("line").rlike("(?i)^#{1,6}\\s+Abstract\\s*$")).alias("has_abstract"), F.sum(F.regexp_count("line", F.lit("!\\[[^\\]]*\\]\\([^)]+\\)"))).alias("images"), n(F.col("t").rlike("(?i)^(?:\\*\\*)?(?:Figure\\b|Fig\\.|Table\\b|Algorithm\\b)")).alias("captions"),
+        (n("single") + F.floor(n("mark") / 2)).alias("display_math"), F.sum("inline").alias("inline_math"), n("listed").alias("reference_headings"), F.count("number").alias("reference_lines"), F.coalesce(F.max("number"), F.lit(0)).alias("max_reference"),
+        F.sum(F.size("tokens")).alias("citations"), F.sum(F.size(F.filter("tokens", lambda m: m.contains("-")))).alias("citation_ranges"), F.size(F.array_distinct(F.flatten(F.collect_list("cited")))).alias("cited_numbers"),
+    )
+    runs = rows.where("bar").groupBy("doc_id", "gaps").agg(F.count("*").alias("n")).groupBy("doc_id").agg(n(F.col("n") >= 2).alias("table_blocks"))
+    found = issues(md).groupBy("doc_id").agg(F.count("*").alias("issues"), *[n(F.col("severity") == w).alias(f"{w}s") for w in ("error", "warning", "info")])
+    out = out.join(last, "doc_id").join(runs, "doc_id", "left").join(found, "doc_id", "left")
+    # A line break at the end of a text begins no line.
+    return out.withColumn("lines", F.col("lines") - F.when(F.coalesce("last", F.lit("")) == "", 1).otherwise(0)).drop("last").fillna(0)
+
+
+def compared(base: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Two quality summaries: what the candidate has more of each of COUNTED, and eight flags of what it lost."""
+    c = candidate.select("doc_id", *[F.col(m).alias(f"_{m}") for m in (*COUNTED, "has_abstract")])
+    b = lambda m: F.col(m)
+    now = lambda m: F.col(f"_{m}")
+    flags = {
+        "missing_abstract": b("has_abstract") & ~now("has_abstract"), "references_dropped": now("reference_lines") + 2 < b("reference_lines"), "reference_index_regressed": now("max_reference") + 1 < b("max_reference"), "tables_dropped": now("table_blocks") < b("table_blocks"),
+        "images_dropped": now("images") < b("images"), "display_math_dropped": now("display_math") < b("display_math"), "errors_increased": now("errors") > b("errors"), "warnings_increased": now("warnings") > b("warnings"),
+    }
+    return base.join(c, "doc_id").select("doc_id", *[(now(m) - b(m)).alias(m) for m in COUNTED], *[v.alias(k) for k, v in flags.items()])
+
+
 def issue_report(found: DataFrame) -> DataFrame:
     """Issues by category: how many of each severity, and the first lines."""
     severities = [F.count_if(F.col("severity") == s).alias(s) for s in ("error", "warning", "info")]

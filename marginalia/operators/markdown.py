@@ -128,20 +128,3 @@ def repeated_noise(page_lines: DataFrame, least: int = 3, share: float = 0.4) ->
     pages = page_lines.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
     seen = page_lines.where(F.trim("line") != "").groupBy("doc_id", "line").agg(F.countDistinct("page").alias("n"))
     return seen.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * share))).select("doc_id", "line", "n", "pages")
-
-
-def quality_summary(docs: DataFrame, key: str = "doc_id", text: str = "md") -> DataFrame:
-    """Counts by document: headings, formulas, images, tables, list items, links, code fences and characters."""
-    count = lambda pattern: F.regexp_count(F.col(text), F.lit(pattern))
-    return docs.select(
-        key,
-        count("(?m)^#{1,6} ").alias("headings"),
-        count("\\$\\$").alias("display_math"),
-        count("!\\[[^\\]]*\\]\\(").alias("images"),
-        count("(?m)^\\|").alias("table_rows"),
-        count("(?m)^[-*+] ").alias("list_items"),
-        count("https?://").alias("links"),
-        count("\\[\\d").alias("citations"),
-        F.length(text).alias("chars"),
-        F.size(F.split(F.col(text), "\n")).alias("lines"),
-    )

@@ -57,13 +57,6 @@ def gates(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     return joined.groupBy("scope").agg(F.bool_and(ok).alias("passed"), F.array_join(F.sort_array(F.collect_list(F.when(~ok, F.col("metric")))), ",").alias("failed"))
 
 
-def regressions(base: DataFrame, candidate: DataFrame, key: str, measures: list[str]) -> DataFrame:
-    """Differences of measures between two runs and whether any went down."""
-    c = candidate.select(F.col(key).alias("_key"), *[F.col(m).alias(f"_{m}") for m in measures])
-    joined = base.join(c, F.col(key) == F.col("_key"))
-    return joined.select(key, *[(F.col(f"_{m}") - F.col(m)).alias(f"{m}_delta") for m in measures], F.greatest(*[F.col(m) > F.col(f"_{m}") for m in measures]).alias("regressed"))
-
-
 def queue_progress(events: DataFrame) -> DataFrame:
     """events: ts, event_id, user_id, value.  Position, running maximum and share of each event in its queue."""
     own = Window.partitionBy("user_id").orderBy("ts", "event_id")

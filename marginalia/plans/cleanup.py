@@ -53,14 +53,14 @@ def _dirty(spark, sf):
     """Rich Markdown with the faults an editor would mark at fixed places."""
     md = M.rich_lines(table(spark, sf, "documents"))
     k = F.pmod("pos", F.lit(29))
-    forms = {1: "# 3 a + b = c", 6: "#### Figure 2", 8: "$$", 9: "x $a$ costs $5", 15: "$$", 17: "| one |", 19: "Publication date: 2019", 20: "*Table 4 in italics*", 22: "Figure IV plain", 23: "", 25: "## References", 26: "Doe, J., A long title of a paper, 2011, vol. 3"}
+    forms = {1: "# 3 a + b = c", 6: "#### Figure 2", 8: "$$", 16: "x $a$ costs $5", 12: "cited [3-5] and [2, 7]", 15: "$$", 17: "| one |", 18: "| two | 2 |", 19: "Publication date: 2019", 20: "*Table 4 in italics*", 22: "Figure IV plain", 23: "", 24: "## Abstract", 25: "## References", 27: "[12] A note", 26: "Doe, J., A long title of a paper, 2011, vol. 3"}
     line = None
     for n, form in forms.items():
         line = F.when(k == n, form) if line is None else line.when(k == n, form)
     return md.select("doc_id", "pos", line.otherwise(F.col("line")).alias("line"))
 
 
-_FORMS = " ".join(f"WHEN pos % 29 = {n} THEN '{form}'" for n, form in {1: "# 3 a + b = c", 6: "#### Figure 2", 8: "$$", 9: "x $a$ costs $5", 15: "$$", 17: "| one |", 19: "Publication date: 2019", 20: "*Table 4 in italics*", 22: "Figure IV plain", 23: "", 25: "## References", 26: "Doe, J., A long title of a paper, 2011, vol. 3"}.items())
+_FORMS = " ".join(f"WHEN pos % 29 = {n} THEN '{form}'" for n, form in {1: "# 3 a + b = c", 6: "#### Figure 2", 8: "$$", 16: "x $a$ costs $5", 12: "cited [3-5] and [2, 7]", 15: "$$", 17: "| one |", 18: "| two | 2 |", 19: "Publication date: 2019", 20: "*Table 4 in italics*", 22: "Figure IV plain", 23: "", 24: "## Abstract", 25: "## References", 27: "[12] A note", 26: "Doe, J., A long title of a paper, 2011, vol. 3"}.items())
 
 
 def analyzer_issues(spark, sf):
@@ -97,6 +97,42 @@ i AS ({" UNION ALL ".join([
 SELECT doc_id, category, count(*) AS n, count(*) FILTER (WHERE severity = 'error') AS error, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'info') AS info, min(line_no)::INT AS first_line, string_agg(DISTINCT issue, ',' ORDER BY issue) AS issues FROM i GROUP BY ALL"""
 
 
+def markdown_quality(spark, sf):
+    return C.quality_summary(_dirty(spark, sf))
+
+
+_CITE = "\\[(\\d{1,4}(?:\\s*-\\s*\\d{1,4})?(?:\\s*,\\s*\\d{1,4}(?:\\s*-\\s*\\d{1,4})?)*)\\]"
+_ISSUES = ISSUE_SQL[: ISSUE_SQL.rindex("SELECT doc_id, category, count(*)")].rstrip()
+
+
+def _summary_sql(issues: str) -> str:
+    """A WITH list that ends with the table s: the summary of the lines m that the given list makes."""
+    return f"""{issues}, x0 AS (SELECT *, trim(line) AS t, length(regexp_extract(line, '^(#{{1,6}})\\s+.+$', 1)) AS level, regexp_matches(trim(line), '(?i)^#{{1,6}}\\s+References?\\s*$') AS listed, regexp_matches(trim(line), '^\\$\\$.+\\$\\$$') AS single, trim(line) = '$$' AS mark, starts_with(trim(line), '|') AND len(regexp_extract_all(line, '\\|')) >= 2 AS bar FROM m),
+x1 AS (SELECT *, sum(mark::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS marks, sum((NOT bar)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS gaps, min(line_no) FILTER (WHERE listed) OVER (PARTITION BY doc_id) AS begun FROM x0),
+x2 AS (SELECT *, CASE WHEN line_no > begun THEN nullif(regexp_extract(line, '^\\[(\\d{{1,4}})\\]\\s+', 1), '')::INT END AS num, CASE WHEN begun IS NULL OR line_no < begun THEN regexp_extract_all(line, '{_CITE}', 1) ELSE [] END AS tk FROM x1),
+x3 AS (SELECT *, flatten(list_transform(tk, lambda m: flatten(list_transform(string_split(m, ','), lambda v: range(trim(string_split(v, '-')[1])::INT, trim(string_split(v, '-')[-1])::INT + 1))))) AS cited FROM x2),
+sm AS (SELECT doc_id, (sum(length(line) + 1) - 1)::BIGINT AS chars, count(*) - CASE WHEN arg_max(line, line_no) = '' THEN 1 ELSE 0 END AS lines, count(*) FILTER (WHERE t <> '') AS nonempty_lines, count(*) FILTER (WHERE level > 0) AS headings, count(*) FILTER (WHERE level = 1) AS h1, count(*) FILTER (WHERE level = 2) AS h2, count(*) FILTER (WHERE level >= 3) AS h3_plus,
+  bool_or(regexp_matches(line, '(?i)^#{{1,6}}\\s+Abstract\\s*$')) AS has_abstract, sum(len(regexp_extract_all(line, '!\\[[^\\]]*\\]\\([^)]+\\)')))::BIGINT AS images, count(*) FILTER (WHERE regexp_matches(t, '(?i)^(?:\\*\\*)?(?:Figure\\b|Fig\\.|Table\\b|Algorithm\\b)')) AS captions,
+  (count(*) FILTER (WHERE single) + count(*) FILTER (WHERE mark) // 2)::BIGINT AS display_math, coalesce(sum(len(regexp_extract_all(regexp_replace(line, '\\$\\$+', chr(2), 'g'), '\\$[^$\x02]+\\$'))) FILTER (WHERE NOT single AND NOT mark AND marks % 2 = 0), 0)::BIGINT AS inline_math, count(*) FILTER (WHERE listed) AS reference_headings, count(num) AS reference_lines, coalesce(max(num), 0) AS max_reference,
+  sum(len(tk))::BIGINT AS citations, sum(len(list_filter(tk, lambda v: contains(v, '-'))))::BIGINT AS citation_ranges, len(list_distinct(flatten(list(cited))))::INT AS cited_numbers FROM x3 GROUP BY 1),
+rn AS (SELECT doc_id, count(*) FILTER (WHERE n >= 2) AS table_blocks FROM (SELECT doc_id, gaps, count(*) AS n FROM x1 WHERE bar GROUP BY ALL) GROUP BY 1), ic AS (SELECT doc_id, count(*) AS issues, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos FROM i GROUP BY 1),
+s AS (SELECT sm.*, coalesce(table_blocks, 0) AS table_blocks, coalesce(issues, 0) AS issues, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(infos, 0) AS infos FROM sm LEFT JOIN rn USING (doc_id) LEFT JOIN ic USING (doc_id))"""
+
+
+MARKDOWN_SQL = _summary_sql(_ISSUES) + " SELECT * FROM s"
+
+
+def regression_report(spark, sf):
+    """What conversions lose when every seventh line is left out."""
+    md = _dirty(spark, sf)
+    return C.compared(C.quality_summary(md), C.quality_summary(md.where("(doc_id + pos) % 7 <> 3")))
+
+
+_FEWER = _ISSUES.replace("ELSE line END AS line FROM md),", "ELSE line END AS line FROM md WHERE (doc_id + pos) % 7 <> 3),", 1)
+REGRESSION_SQL = f"""SELECT b.doc_id, {", ".join(f"c.{m} - b.{m} AS {m}" for m in C.COUNTED)}, b.has_abstract AND NOT c.has_abstract AS missing_abstract, c.reference_lines + 2 < b.reference_lines AS references_dropped, c.max_reference + 1 < b.max_reference AS reference_index_regressed, c.table_blocks < b.table_blocks AS tables_dropped,
+ c.images < b.images AS images_dropped, c.display_math < b.display_math AS display_math_dropped, c.errors > b.errors AS errors_increased, c.warnings > b.warnings AS warnings_increased FROM ({MARKDOWN_SQL}) b JOIN ({_summary_sql(_FEWER)} SELECT * FROM s) c USING (doc_id)"""
+
+
 def block_classes(spark, sf):
     """Pages of ten lines, some with marks of code, tables and contents, by class; and headings and contents lines without page numbers."""
     raw = M.lines(table(spark, sf, "documents").select("doc_id", F.col("text").alias("md")))
@@ -200,8 +236,8 @@ def folded_text(spark, sf):
     return d.select("doc_id", F.sha1(C.folded("t")).alias("sha1"), F.length(C.compatible("t")).alias("compatible"))
 
 
-QUERIES = {f.__name__: f for f in (noise_lines, outline_levels, citation_forms, analyzer_issues, block_classes, table_grids, body_sizes, converter_metrics, unused_assets, reflowed_documents, folded_text)}
+QUERIES = {f.__name__: f for f in (noise_lines, outline_levels, citation_forms, analyzer_issues, markdown_quality, regression_report, block_classes, table_grids, body_sizes, converter_metrics, unused_assets, reflowed_documents, folded_text)}
 ORACLE_SQL = {
-    "noise_lines": NOISE_SQL, "outline_levels": LEVEL_SQL, "citation_forms": FORMS_SQL, "analyzer_issues": ISSUE_SQL, "unused_assets": ASSET_SQL, "block_classes": CLASS_SQL, "table_grids": GRID_SQL, "body_sizes": SIZE_SQL, "converter_metrics": METRIC_SQL,
+    "noise_lines": NOISE_SQL, "outline_levels": LEVEL_SQL, "citation_forms": FORMS_SQL, "analyzer_issues": ISSUE_SQL, "markdown_quality": MARKDOWN_SQL, "regression_report": REGRESSION_SQL, "unused_assets": ASSET_SQL, "block_classes": CLASS_SQL, "table_grids": GRID_SQL, "body_sizes": SIZE_SQL, "converter_metrics": METRIC_SQL,
     "folded_text": "SELECT doc_id, sha1('first \"quoted\" ' || coalesce(text, '')) AS sha1, length('first “quoted” ' || nfc_normalize(coalesce(text, '')))::INT AS compatible FROM documents",
 }

@@ -77,15 +77,6 @@ n AS (SELECT doc_id, line, count(DISTINCT page) AS n FROM p WHERE trim(line) <>
 SELECT doc_id, line, n, pages FROM n JOIN t USING (doc_id) WHERE n >= greatest(2, ceil(pages * 0.3))"""
 
 
-def markdown_quality(spark, sf):
-    return M.quality_summary(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("md")))
-
-
-QUALITY_SQL = """SELECT doc_id, len(regexp_extract_all(t, '(?m)^#{1,6} '))::INT AS headings, len(regexp_extract_all(t, '\\$\\$'))::INT AS display_math, len(regexp_extract_all(t, '!\\[[^\\]]*\\]\\('))::INT AS images,
- len(regexp_extract_all(t, '(?m)^\\|'))::INT AS table_rows, len(regexp_extract_all(t, '(?m)^[-*+] '))::INT AS list_items, len(regexp_extract_all(t, 'https?://'))::INT AS links, len(regexp_extract_all(t, '\\[\\d'))::INT AS citations,
- length(t)::INT AS chars, len(string_split(t, chr(10)))::INT AS lines FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
-
-
 def cited_numbers(spark, sf):
     """Distinct citation numbers of each document."""
     md = _md(spark, sf)
@@ -218,5 +209,5 @@ AUDIT_SQL = f"""WITH {TAIL}, r AS (SELECT doc_id, num % 2 = 0 AND text IS NOT NU
 c AS (SELECT doc_id, count(*) AS refs, count(*) AS missing_doi, count(*) FILTER (WHERE NOT has_title) AS empty_title, count(*) FILTER (WHERE m = '') AS blank_match, count(*) FILTER (WHERE m = 'unresolved') AS unresolved FROM r GROUP BY 1)
 SELECT *, 3 * missing_doi + 2 * empty_title + blank_match + 2 * unresolved AS repair_score FROM c"""
 
-QUERIES = {"heading_paths": heading_paths, "block_ids": block_ids, "heading_context": heading_context, "chunks_with_overlap": chunked, "repeated_lines": repeated_lines, "markdown_quality": markdown_quality, "cited_numbers": cited_numbers, "reference_entries": reference_entries, "reference_catalog": reference_catalog, "reference_parse": reference_parse, "citation_validation": citation_validation, "reference_match": reference_match, "reference_enrichment": reference_enrichment, "index_statistics": index_statistics, "reference_audit": reference_audit}
-ORACLE_SQL = {"heading_paths": HEADING_SQL, "block_ids": BLOCK_SQL, "heading_context": CONTEXT_SQL, "repeated_lines": REPEATED_SQL, "markdown_quality": QUALITY_SQL, "cited_numbers": CITED_SQL, "reference_entries": ENTRIES_SQL, "reference_catalog": CATALOG_SQL, "citation_validation": VALID_SQL, "reference_audit": AUDIT_SQL, "reference_parse": PARSE_SQL, "reference_enrichment": ENRICH_SQL, "index_statistics": STATISTICS_SQL}
+QUERIES = {"heading_paths": heading_paths, "block_ids": block_ids, "heading_context": heading_context, "chunks_with_overlap": chunked, "repeated_lines": repeated_lines, "cited_numbers": cited_numbers, "reference_entries": reference_entries, "reference_catalog": reference_catalog, "reference_parse": reference_parse, "citation_validation": citation_validation, "reference_match": reference_match, "reference_enrichment": reference_enrichment, "index_statistics": index_statistics, "reference_audit": reference_audit}
+ORACLE_SQL = {"heading_paths": HEADING_SQL, "block_ids": BLOCK_SQL, "heading_context": CONTEXT_SQL, "repeated_lines": REPEATED_SQL, "cited_numbers": CITED_SQL, "reference_entries": ENTRIES_SQL, "reference_catalog": CATALOG_SQL, "citation_validation": VALID_SQL, "reference_audit": AUDIT_SQL, "reference_parse": PARSE_SQL, "reference_enrichment": ENRICH_SQL, "index_statistics": STATISTICS_SQL}

@@ -67,17 +67,6 @@ t(metric, low, high) AS (VALUES ('minimum_ok', 0.5, NULL), ('evidence_ok', 0.6,
 SELECT scope, bool_and(ok) AS passed, coalesce(string_agg(CASE WHEN NOT ok THEN metric END, ',' ORDER BY metric), '') AS failed FROM j GROUP BY 1"""
 
 
-def regression_report(spark, sf):
-    """Mean values of the first against the second half of the events, by user."""
-    e = table(spark, sf, "events")
-    half = lambda k: e.where(F.pmod("event_id", F.lit(2)) == k).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max("value"), 3).alias("best"))
-    return Q.regressions(half(0), half(1), "user_id", ["n", "best"]).select("user_id", "n_delta", F.round("best_delta", 3).alias("best_delta"), "regressed")
-
-
-REGRESSION_SQL = """WITH a AS (SELECT user_id, count(*) AS n, round(max(value), 3) AS best FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, count(*) AS n, round(max(value), 3) AS best FROM events WHERE event_id % 2 = 1 GROUP BY 1)
-SELECT user_id, b.n - a.n AS n_delta, round(b.best - a.best, 3) AS best_delta, a.n > b.n OR a.best > b.best AS regressed FROM a JOIN b USING (user_id)"""
-
-
 def queue_progress(spark, sf):
     return Q.queue_progress(table(spark, sf, "events"))
 
@@ -166,12 +155,12 @@ KEYS_SQL = """SELECT doc_id, trim(regexp_replace(lower(h), '[\\s_]+', ' ', 'g'))
  coalesce(array_to_string(list_transform(regexp_extract_all(h, '[A-Za-z]+'), lambda w: upper(substr(w, 1, 1))), ''), '') AS initials, list_extract(regexp_extract_all(h, '(19\\d{2}|20\\d{2})', 1), -1)::INT AS year,
  CASE WHEN length(i) = 8 THEN substr(i, 1, 4) || '-' || substr(i, 5, 4) END AS issn FROM (SELECT doc_id, h, regexp_replace(upper(h), '[^0-9X]', '', 'g') AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS h FROM documents))"""
 
-QUERIES = {f.__name__: f for f in (answer_summary, failure_reasons, evaluation_kpis, stage_percentiles, ring_buffer, gate_report, regression_report, queue_progress, prompt_classes, noise_flags, ranking_pages, event_properties, answer_segments, name_similarity, text_keys)}
+QUERIES = {f.__name__: f for f in (answer_summary, failure_reasons, evaluation_kpis, stage_percentiles, ring_buffer, gate_report, queue_progress, prompt_classes, noise_flags, ranking_pages, event_properties, answer_segments, name_similarity, text_keys)}
 ORACLE_SQL = {
     "answer_summary": SUMMARY_SQL, "failure_reasons": REASONS_SQL, "evaluation_kpis": KPI_SQL,
     "stage_percentiles": "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM events WHERE value >= 0 GROUP BY 1",
     "ring_buffer": f"WITH {EVENTS} SELECT event_id, intent, depth, char_count FROM ev ORDER BY ts DESC, event_id DESC LIMIT 800",
-    "gate_report": GATE_SQL, "regression_report": REGRESSION_SQL, "queue_progress": QUEUE_SQL, "prompt_classes": PROMPT_SQL, "noise_flags": NOISE_SQL, "ranking_pages": PAGES_SQL,
+    "gate_report": GATE_SQL, "queue_progress": QUEUE_SQL, "prompt_classes": PROMPT_SQL, "noise_flags": NOISE_SQL, "ranking_pages": PAGES_SQL,
     "event_properties": "SELECT event_id, coalesce(len(json_keys(props)), 0)::INT AS keys, sha1(coalesce(props, '{}')) AS sha1 FROM events",
     "answer_segments": SEGMENT_SQL, "text_keys": KEYS_SQL,
 }
