@@ -13,17 +13,43 @@ from pyspark.sql import types as T
 from ..functions.text import _c, citation_set
 
 #: Lines that carry no text of a paper, and typographic replacements.
-NOISE_LINES = "(?i)^\\s*#*\\s*(page \\d+( of \\d+)?|\\d{1,4}|downloaded (from|on).*|.*all rights reserved\\.?|copyright .*|https?://\\S+|doi:.*|arxiv:\\S+.*|received .*accepted .*)\\s*$"
+NOISE_LINES = (
+    "^ACM Trans\\. Graph\\., Vol\\.", "^Publication date:\\s+", "^ACM Transactions on Graphics\\b", "^Latest updates:\\s*", "^Check for updates\\s*$", "^RESEARCH-ARTICLE\\b", "^PDF Download\\b", "^Total Citations:", "^Total Downloads:",
+    "^Citation in BibTeX format\\b", "^Open Access Support provided by:\\s*$", "^Contents lists available at\\s+ScienceDirect\\s*$", "^journal homepage:\\s+", "^A\\s+R\\s+T\\s+I\\s+C\\s+L\\s+E\\s+I\\s+N\\s+F\\s+O\\s*$", "^Article history\\s*$", "^Keywords:\\s*$",
+    "^Optics and Laser Technology\\s*$", "^Optics Express\\s*$", "^Vol\\.\\s*\\d+\\s*,\\s*No\\.\\s*\\d+\\s*\\|\\s*\\d+.*OPTICS EXPRESS.*$", "^[A-Z]\\.\\s*[A-Za-z\\-]+\\s+et al\\.\\s*$", "^[0-9():,;\\s]{8,}$", "^\\s*\\d+:\\d+\\s*$", "^\\s*-\\s*$",
+    "^\\s*REVIEW\\s+ARTICLE\\s*$", "^\\s*(?:NATURAL|NATURE)\\s+PHOTONICS\\s*$",
+)
+UNREADABLE = "(?i)\\((?:incomplete\\s+visible|partially\\s+visible|not\\s+fully\\s+visible)\\)|\\b(?:unreadable|illegible)\\b"
+RUNNING_PAGE = "(?i)\\bpage\\s+\\d+\\s+of\\s+\\d+\\b"
+RUNNING_SOURCE = "(?i)\\b(?:light:\\s*science\\s*&\\s*applications|optics express|natural photonics|nature photonics|advanced science news)\\b"
+RUNNING_VOLUME, RUNNING_AUTHORS = "\\(\\d{4}\\)\\s+\\d+[:\\s]\\d+", "\\b[A-Z][a-z]+\\s+and\\s+[A-Z][a-z]+\\b"
 REPLACED = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "“": '"', "”": '"', "‘": "'", "’": "'", "­": "", "​": ""}
 
 
 def is_noise_line(x: Column | str) -> Column:
-    return _c(x).rlike(NOISE_LINES)
+    """Boilerplate of publishers, with or without heading marks."""
+    plain = F.trim(F.regexp_replace(_c(x), "\\s+", " "))
+    bare = F.trim(F.regexp_replace(plain, "^#+\\s*", ""))
+    pattern = "|".join(NOISE_LINES)
+    return (plain != "") & (plain.rlike(pattern) | bare.rlike(pattern))
+
+
+def is_running_header(x: Column | str) -> Column:
+    """A page of pages beside a journal, a volume or a pair of authors."""
+    plain = F.trim(F.regexp_replace(_c(x), "\\s+", " "))
+    return plain.rlike(RUNNING_PAGE) & (plain.rlike(RUNNING_SOURCE) | plain.rlike(RUNNING_VOLUME) | plain.rlike(RUNNING_AUTHORS))
 
 
-def without_noise_lines(x: Column | str) -> Column:
-    """A text without noise lines."""
-    return F.array_join(F.filter(F.split(_c(x), "\n"), lambda line: ~is_noise_line(line)), "\n")
+def without_noise(md: DataFrame) -> DataFrame:
+    """md: doc_id, pos, line.  Lines without boilerplate and running headers, without what could not be read (outside of fences and formulas), and with one blank line for several."""
+    own = Window.partitionBy("doc_id").orderBy("pos")
+    so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fence, mark = F.col("line").rlike("^\\s*```"), F.trim("line") == "$$"
+    rows = md.withColumns({"_f": F.sum(fence.cast("int")).over(so_far), "_m": F.sum((mark & ~fence).cast("int")).over(so_far)})
+    outside = (F.col("_f") % 2 == 0) & (F.col("_m") % 2 == 0) & ~fence & ~mark
+    rows = rows.where(~(outside & F.col("line").rlike(UNREADABLE)) & ~is_noise_line("line") & ~is_running_header("line")).drop("_f", "_m")
+    blank = F.trim("line") == ""
+    return rows.withColumn("_before", F.lag(blank).over(own)).where(~(blank & F.coalesce("_before", F.lit(False)))).drop("_before")
 
 
 def numbered_level(x: Column | str) -> Column:

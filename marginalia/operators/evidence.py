@@ -43,10 +43,19 @@ def overview(blocks: DataFrame, doc: str = "doc_id", n: int = 3) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), "order_index"))).where(F.col("place") <= n)
 
 
+#: Blocks behind the header of a box to which its number is carried, under the same heading.
+BOX_BLOCKS = 20
+
+
 def atoms(blocks: DataFrame, doc: str = "doc_id", most: int = 10) -> DataFrame:
-    """Sentences of blocks as atoms with an id and their citation numbers; at most `most` a block."""
-    out = blocks.select(doc, "block_id", "order_index", F.posexplode(F.slice(text.sentences("text"), 1, most)).alias("n", "sentence"))
-    return out.select(doc, "block_id", "order_index", F.concat_ws("#", "block_id", "n").alias("atom_id"), "sentence", text.inline_citations("sentence").alias("refs"))
+    """Sentences of blocks as atoms with an id, their citation numbers, the figure they are about and the number of their box, which is carried on from its header; at most `most` a block."""
+    own = Window.partitionBy(doc).orderBy("order_index").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.nullif(F.regexp_extract("text", "(?i)^\\W*box\\s*(\\d{1,2})\\b", 1), F.lit("")).cast("int")
+    rows = blocks.withColumn("_box", F.last(F.when(number.isNotNull(), F.struct(number.alias("n"), "order_index", "heading_path")), ignorenulls=True).over(own))
+    carried = (F.col("order_index") - F.col("_box.order_index") <= BOX_BLOCKS) & (text.match_text("heading_path") == text.match_text("_box.heading_path"))
+    figure = text.figure_number(F.concat_ws("\n", "heading_path", F.substring("text", 1, 2400)))
+    out = rows.select(doc, "block_id", "order_index", F.when(carried, F.col("_box.n")).otherwise(0).alias("box"), F.coalesce(figure, F.lit(0)).alias("figure"), F.posexplode(F.slice(text.sentences("text"), 1, most)).alias("n", "sentence"))
+    return out.select(doc, "block_id", "order_index", F.concat_ws("#", "block_id", "n").alias("atom_id"), "sentence", text.inline_citations("sentence").alias("refs"), "figure", F.coalesce("box", F.lit(0)).alias("box"))
 
 
 def section_map(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -15,15 +15,27 @@ def _lines(spark, sf):
     return M.with_heading_path(M.synthetic_lines(table(spark, sf, "documents")))
 
 
-def noise_lines(spark, sf):
-    """Documents without noise lines: how many went and a hash of the rest."""
-    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    clean = C.without_noise_lines("t")
-    return d.select("doc_id", (F.size(F.split("t", "\n")) - F.size(F.filter(F.split("t", "\n"), lambda x: ~C.is_noise_line(x)))).alias("gone"), F.sha1(clean).alias("sha1"))
+NOISE = {1: "Publication date: May 2020", 2: "## RESEARCH-ARTICLE", 3: "139:2", 4: "Optics Express (2019) 12:3 Page 3 of 12", 6: "  ", 7: "", 8: "```", 9: "unreadable here", 10: "```", 12: "$$", 13: "illegible", 14: "$$", 16: "x (partially visible) y", 17: "-"}
 
 
-NOISE_SQL = f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), k AS (SELECT doc_id, l, list_filter(l, lambda x: NOT regexp_matches(x, '{C.NOISE_LINES}')) AS c FROM d)
-SELECT doc_id, (len(l) - len(c))::INT AS gone, sha1(coalesce(array_to_string(c, chr(10)), '')) AS sha1 FROM k"""
+def noise_lines(spark, sf):
+    """Documents with noise at fixed places and without it: their lines and a hash."""
+    raw = M.lines(table(spark, sf, "documents").select("doc_id", F.col("text").alias("md")))
+    line = None
+    for n, form in NOISE.items():
+        line = F.when(F.pmod("pos", F.lit(19)) == n, form) if line is None else line.when(F.pmod("pos", F.lit(19)) == n, form)
+    made = raw.select("doc_id", "pos", line.otherwise(F.col("line")).alias("line"))
+    return C.without_noise(made).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]), "\n")).alias("sha1"))
+
+
+_NOISE = "CASE pos % 19 " + " ".join(f"WHEN {n} THEN '{form}'" for n, form in NOISE.items()) + " ELSE line END"
+_PATTERN = "|".join(C.NOISE_LINES)
+NOISE_SQL = f"""WITH raw AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)), l AS (SELECT doc_id, pos, {_NOISE} AS line FROM raw),
+f AS (SELECT *, regexp_matches(line, '^\\s*```') AS fe, trim(line) = '$$' AS mk, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS p FROM l), g AS (SELECT *, sum(fe::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS nf, sum((mk AND NOT fe)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS nm, trim(regexp_replace(p, '^#+\\s*', '')) AS b FROM f),
+k AS (SELECT * FROM g WHERE NOT (nf % 2 = 0 AND nm % 2 = 0 AND NOT fe AND NOT mk AND regexp_matches(line, '{C.UNREADABLE}')) AND NOT (p <> '' AND (regexp_matches(p, '{_PATTERN}') OR regexp_matches(b, '{_PATTERN}')))
+  AND NOT (regexp_matches(p, '{C.RUNNING_PAGE}') AND (regexp_matches(p, '{C.RUNNING_SOURCE}') OR regexp_matches(p, '{C.RUNNING_VOLUME}') OR regexp_matches(p, '{C.RUNNING_AUTHORS}')))),
+o AS (SELECT *, lag(trim(line) = '') OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM k)
+SELECT doc_id, count(*) AS lines, sha1(string_agg(line, chr(10) ORDER BY pos)) AS sha1 FROM o WHERE NOT (trim(line) = '' AND coalesce(before, false)) GROUP BY 1"""
 
 
 def outline_levels(spark, sf):

@@ -18,15 +18,21 @@ _SENTENCES = "list_filter(list_transform(string_split(regexp_replace(line, '([.!
 
 
 def evidence_atoms(spark, sf):
-    a = V.atoms(_blocks(spark, sf).where("kind = 'paragraph'"))
-    return a.select("doc_id", "atom_id", F.sha1("sentence").alias("sha1"), F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"))
-
-
-ATOM_SQL = f"""WITH {PATHS}, {KIND_SQL},
-a AS (SELECT doc_id, block_id, unnest(range(0, len(ss))) AS n, unnest(ss) AS s FROM (SELECT doc_id, block_id, list_slice({_SENTENCES}, 1, 10) AS ss FROM bk WHERE kind = 'paragraph')),
-m AS (SELECT doc_id, block_id, n, s, regexp_extract_all(s, '\\[(\\d{{1,4}}(?:-\\d{{1,4}})?)\\]', 1) AS marks FROM a),
+    """Atoms of the paragraphs of documents; some blocks begin boxes, and some name a figure."""
+    b = _blocks(spark, sf).where("kind = 'paragraph'")
+    n = F.col("order_index")
+    b = b.withColumn("text", F.when(n % 9 == 2, F.concat(F.lit("Box "), (n % 4).cast("string"), F.lit(". "), F.col("text"))).when(n % 5 == 1, F.concat("text", F.lit(" See Fig. 3 there."))).otherwise(F.col("text")))
+    a = V.atoms(b)
+    return a.select("doc_id", "atom_id", F.sha1("sentence").alias("sha1"), F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"), "figure", "box")
+
+
+ATOM_SQL = f"""WITH {PATHS}, {KIND_SQL}, p0 AS (SELECT doc_id, block_id, order_index, heading_path, CASE WHEN order_index % 9 = 2 THEN 'Box ' || (order_index % 4) || '. ' || line WHEN order_index % 5 = 1 THEN line || ' See Fig. 3 there.' ELSE line END AS line FROM bk WHERE kind = 'paragraph'),
+p1 AS (SELECT *, nullif(regexp_extract(line, '(?i)^\\W*box\\s*(\\d{{1,2}})\\b', 1), '')::INT AS ob FROM p0), p2 AS (SELECT *, last_value(ob IGNORE NULLS) OVER w AS bn, last_value(CASE WHEN ob IS NOT NULL THEN order_index END IGNORE NULLS) OVER w AS bi, last_value(CASE WHEN ob IS NOT NULL THEN heading_path END IGNORE NULLS) OVER w AS bh FROM p1 WINDOW w AS (PARTITION BY doc_id ORDER BY order_index)),
+p3 AS (SELECT *, CASE WHEN order_index - bi <= {V.BOX_BLOCKS} AND trim(regexp_replace(lower(heading_path), '[\\s_]+', ' ', 'g')) = trim(regexp_replace(lower(bh), '[\\s_]+', ' ', 'g')) THEN bn ELSE 0 END AS box, coalesce(nullif(regexp_extract(heading_path || chr(10) || substr(line, 1, 2400), '(?i)fig(?:ure)?s?\\.?\\s*(\\d{{1,3}})', 1), '')::INT, 0) AS figure FROM p2),
+a AS (SELECT doc_id, block_id, figure, coalesce(box, 0) AS box, unnest(range(0, len(ss))) AS n, unnest(ss) AS s FROM (SELECT *, list_slice({_SENTENCES}, 1, 10) AS ss FROM p3)),
+m AS (SELECT *, regexp_extract_all(s, '\\[(\\d{{1,4}}(?:-\\d{{1,4}})?)\\]', 1) AS marks FROM a),
 r AS (SELECT *, list_distinct(flatten(list_transform(marks, lambda x: range(string_split(x, '-')[1]::INT, string_split(x, '-')[-1]::INT + 1)))) AS ns FROM m)
-SELECT doc_id, block_id || '#' || n AS atom_id, sha1(s) AS sha1, array_to_string(list_sort(ns), ',') AS refs FROM r"""
+SELECT doc_id, block_id || '#' || n AS atom_id, sha1(s) AS sha1, array_to_string(list_sort(ns), ',') AS refs, figure, box FROM r"""
 
 
 def section_map(spark, sf):
