@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, cleanup, evidence, extracts, indices, intents, library, markdown, naming, quality, reader, retrieval, selection, shelf, streams, taxonomy
+from . import answers, cards, cleanup, evidence, extracts, indices, intents, library, markdown, naming, quality, reader, retrieval, selection, shelf, streams, taxonomy
 
 FLAGSHIP = "bm25_top_k"
-_PARTS = (retrieval, markdown, library, naming, shelf, selection, extracts, reader, quality, evidence, indices, intents, answers, cleanup, taxonomy, streams)
+_PARTS = (retrieval, markdown, library, naming, shelf, selection, extracts, reader, cards, quality, evidence, indices, intents, answers, cleanup, taxonomy, streams)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
