@@ -275,3 +275,24 @@ def rescued(hits: DataFrame, deep: DataFrame, by: str = "query_id", k: int = 4)
     rest = rank(deep.select(by, "block_id", "score").join(hits.select(by).distinct(), by, "left_anti")).withColumn("fallback", F.lit(True))
     rest = rest.withColumn("score", F.when(F.col("score") > 0, F.col("score")).otherwise(F.greatest(F.lit(0.01), 1.0 - (F.col("place") - 1) * 0.1)))
     return found.unionByName(rest)
+
+
+#: What a summarising segment claims, and what a block says of it.
+NOVELTY = "(?i)\\b(?:first(?:\\s+to)?|novel|novelty|innovation|innovative|contributions?|we\\s+propose|introduc(?:e|es|ed|ing)|camera\\s+pose\\s+stamps?|transformation\\s+network)\\b|首次|首个|首创|创新点|创新|贡献|提出"
+RESULT = "(?i)\\b(?:extensive\\s+experiments?|experiments?\\s+demonstrate|high[- ]quality|novel[- ]view|outperform(?:s|ed|ing)?|surpass(?:es|ed|ing)?|superior|static(?:\\s+and)?\\s+dynamic|dynamic\\s+scenes?|static\\s+scenes?|multi-view\\s+consisten(?:t|cy))\\b|实验表明|高质量|新视角|优于|静态|动态|多视角一致"
+CONTRIBUTION_BLOCK = "(?i)\\b(?:first(?:\\s+to)?|novel|we\\s+propose|introduc(?:e|es|ed|ing)|main\\s+contributions?|camera\\s+pose\\s+stamps?|transformation\\s+network)\\b|首次|首个|创新|贡献|提出"
+RESULT_BLOCK = "(?i)\\b(?:extensive\\s+experiments?|experiments?\\s+demonstrate|high[- ]quality|novel[- ]view|outperform(?:s|ed|ing)?|surpass(?:es|ed|ing)?|superior|static(?:\\s+and)?\\s+dynamic|dynamic\\s+scenes?|static\\s+scenes?)\\b|实验表明|高质量|新视角|优于|静态|动态"
+DEFINITION_BLOCK = "(?i)\\bis\\s+defined\\s+as\\b|\\bdefined\\s+as\\b|\\bparameterized\\s+as\\b|\\bcan\\s+be\\s+calculated\\s+by\\b|\\balpha\\s+blending\\b|\\bjacobian\\b|\\bwhere\\b.{0,48}\\b(?:denotes?|represents?|stands?\\s+for)\\b|定义为|表示|记为|其中.{0,16}(?:表示|代表|对应)"
+LEAD_IN = "(?i)\\b(?:our\\s+main\\s+contributions?\\s+can\\s+be\\s+summarized\\s+as\\s+follows|main\\s+contributions?\\s+are\\s+as\\s+follows|contributions?\\s+are\\s+summarized\\s+as\\s+follows)\\b"
+EXPERIMENT_HEADING = "experiment|setup|results|ablation|evaluation|dataset|implementation|baseline|comparison"
+
+
+def summary_adjustment(segment: Column, block: Column, heading: Column, kind: Column) -> Column:
+    """What a block is worth for a segment that claims something new or a result; 0 for other segments."""
+    low = text.match_text(heading)
+    new, result = segment.rlike(NOVELTY), segment.rlike(RESULT)
+    definition, lead_in, item = block.rlike(DEFINITION_BLOCK), block.rlike(LEAD_IN), kind == "list_item"
+    for_new = _if(block.rlike(CONTRIBUTION_BLOCK), 0.72 + _if(item, 0.18) + F.when(low.contains("abstract"), 0.18).when(low.contains("introduction"), 0.10).otherwise(0.0)) + _if(definition, -0.88) + _if(lead_in, -0.14)
+    for_result = _if(block.rlike(RESULT_BLOCK), 0.58 + _if(item, 0.12) + F.when(low.rlike(EXPERIMENT_HEADING), 0.16).when(low.contains("abstract"), 0.08).otherwise(0.0)) + _if(definition, -0.46) + _if(lead_in, -0.10)
+    total = _if(kind == "heading", -0.22) + _if(kind == "equation", -0.36) + _if(new, for_new) + _if(result, for_result)
+    return F.when((new | result) & (block != ""), total).otherwise(0.0)

@@ -235,5 +235,24 @@ d AS (SELECT doc_id, block_id, CASE WHEN length(rw) > 60 THEN length(rw) / 100 E
 r AS (SELECT *, false AS fallback, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, block_id) AS place FROM h UNION ALL SELECT *, true, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, block_id) FROM d)
 SELECT doc_id, block_id, CASE WHEN NOT fallback OR score > 0 THEN score ELSE greatest(0.01, 1.0 - (place - 1) * 0.1) END AS score, place::INT AS place, fallback FROM r WHERE place <= 3"""
 
-QUERIES = {f.__name__: f for f in (answer_hits, support_atoms, critical_facts, prompt_messages, targeted_blocks, rescued_hits)}
-ORACLE_SQL = {"answer_hits": ANSWER_SQL, "support_atoms": ATOM_SQL, "critical_facts": FACT_SQL, "prompt_messages": MESSAGE_SQL, "targeted_blocks": TARGET_SQL, "rescued_hits": RESCUE_SQL}
+_CLAIMS = ["a novel method outperforms all", "extensive experiments demonstrate it", "we propose a network", "nothing of note"]
+_STATES = [" we propose this first", " where x denotes y", " our main contributions can be summarized as follows", " outperforms on static scenes", ""]
+
+
+def summary_adjustments(spark, sf):
+    """What the blocks of documents are worth for claims of something new or of a result."""
+    b = blocks(spark, sf)
+    n = F.col("doc_id") + F.col("order_index")
+    line = b.select("doc_id", "block_id", F.concat(_pick(_CLAIMS, n), F.lit(" "), F.substring("line", 1, 30)).alias("segment"), F.concat("line", _pick(_STATES, n)).alias("text"), _pick(HEADS, F.col("order_index")).alias("heading"), "kind")
+    return line.select("doc_id", "block_id", F.round(S.summary_adjustment(F.col("segment"), F.col("text"), F.col("heading"), F.col("kind")), 4).alias("adjustment"))
+
+
+_SAYS = lambda c, p, w: f"CASE WHEN regexp_matches({c}, '{p}') THEN {w} ELSE 0 END"
+SUMMARY_SQL = f"""WITH {RICH}, x AS (SELECT doc_id, block_id, kind, {_L(_CLAIMS)}[(doc_id + order_index) % {len(_CLAIMS)} + 1] || ' ' || substr(line, 1, 30) AS sg, line || {_L(_STATES)}[(doc_id + order_index) % {len(_STATES)} + 1] AS t, {_match(_L(HEADS) + f"[order_index % {len(HEADS)} + 1]")} AS h FROM bk),
+f AS (SELECT *, regexp_matches(sg, '{S.NOVELTY}') AS nw, regexp_matches(sg, '{S.RESULT}') AS rs FROM x)
+SELECT doc_id, block_id, round(CASE WHEN (nw OR rs) AND t <> '' THEN CASE kind WHEN 'heading' THEN -0.22 WHEN 'equation' THEN -0.36 ELSE 0 END
+ + CASE WHEN nw THEN {_SAYS("t", S.CONTRIBUTION_BLOCK, "0.72 + CASE WHEN kind = 'list_item' THEN 0.18 ELSE 0 END + CASE WHEN contains(h, 'abstract') THEN 0.18 WHEN contains(h, 'introduction') THEN 0.10 ELSE 0 END")} + {_SAYS("t", S.DEFINITION_BLOCK, -0.88)} + {_SAYS("t", S.LEAD_IN, -0.14)} ELSE 0 END
+ + CASE WHEN rs THEN {_SAYS("t", S.RESULT_BLOCK, f"0.58 + CASE WHEN kind = 'list_item' THEN 0.12 ELSE 0 END + CASE WHEN regexp_matches(h, '{S.EXPERIMENT_HEADING}') THEN 0.16 WHEN contains(h, 'abstract') THEN 0.08 ELSE 0 END")} + {_SAYS("t", S.DEFINITION_BLOCK, -0.46)} + {_SAYS("t", S.LEAD_IN, -0.10)} ELSE 0 END ELSE 0 END::DOUBLE, 4) AS adjustment FROM f"""
+
+QUERIES = {f.__name__: f for f in (answer_hits, support_atoms, critical_facts, prompt_messages, targeted_blocks, rescued_hits, summary_adjustments)}
+ORACLE_SQL = {"answer_hits": ANSWER_SQL, "support_atoms": ATOM_SQL, "critical_facts": FACT_SQL, "prompt_messages": MESSAGE_SQL, "targeted_blocks": TARGET_SQL, "rescued_hits": RESCUE_SQL, "summary_adjustments": SUMMARY_SQL}
