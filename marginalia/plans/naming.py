@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import naming as N
+from ..operators import references as X
 from .common import table
 
 #: Forms around a document's first words, by which its name, venue and answer get their shape.
@@ -76,5 +77,32 @@ SELECT doc_id, sha1(CASE WHEN length(sn) > 200 THEN regexp_replace(substr(sn, 1,
   WHEN length(x) > 520 THEN regexp_replace(substr(x, 1, 520), '[ ,;:]+$', '') || '...' ELSE x END AS summary,
  CASE WHEN doc_id % 2 = 0 THEN cited ELSE rtrim(cited) || CASE WHEN true THEN ' ' ELSE '' END END AS cited FROM n"""
 
-QUERIES = {f.__name__: f for f in (document_names, display_texts)}
+def _searched(spark, sf):
+    """Five records a document as a search may give them: its title with fewer words or more, other years, the venue in other forms."""
+    d = _named(spark, sf).withColumn("w", F.filter(F.split("title", " "), lambda v: v != ""))
+    rank = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank")
+    d = d.select("*", rank)
+    n = F.col("doc_id") + F.col("rank")
+    cut = F.when(F.pmod(n, F.lit(4)) == 0, F.slice("w", 2, 30)).when(F.pmod(n, F.lit(4)) == 1, F.concat("w", F.array(F.lit("more")))).when(F.pmod(n, F.lit(4)) == 2, F.reverse("w")).otherwise(F.col("w"))
+    year = (F.col("year").cast("int") + F.pmod(n, F.lit(3)) - 1).cast("string")
+    venue = F.when(F.pmod(n, F.lit(3)) == 0, F.upper("venue")).when(F.pmod(n, F.lit(3)) == 1, F.col("head")).otherwise(F.regexp_replace("venue", "of|on", ""))
+    doi = F.when(F.pmod(F.col("doc_id") * 5 + F.col("rank"), F.lit(23)) == 0, F.concat(F.lit("10.1/"), F.col("doc_id").cast("string"))).otherwise("")
+    return d.select("doc_id", "rank", F.array_join(cut, " ").alias("title"), year.alias("year"), venue.alias("venue"), doi.alias("doi"), F.array(F.regexp_extract("head", "^([A-Za-z]+)", 1)).alias("authors"))
+
+
+def title_records(spark, sf):
+    """The record that fits each document's title, year and venue, of those a search gave (needs the sequence ratio)."""
+    n = F.pmod("doc_id", F.lit(3))
+    wanted = _named(spark, sf).select(F.col("doc_id").alias("want_id"), "title", F.when(n == 0, F.col("year")).otherwise("").alias("year"), F.when(n == 1, F.col("venue")).otherwise("").alias("venue"), F.concat(F.lit("10.1/"), F.col("doc_id").cast("string")).alias("doi"))
+    return X.best_by_title(wanted, _searched(spark, sf).withColumnRenamed("doc_id", "want_id"), title_only=True)
+
+
+def text_records(spark, sf):
+    """The record that fits each document's reference text best (needs the sequence ratio)."""
+    wanted = _named(spark, sf).select(F.col("doc_id").alias("want_id"), F.concat("head", F.lit(", "), "title", F.lit(", "), "venue", F.lit(", "), "year").alias("raw"))
+    found = _searched(spark, sf).select(F.col("doc_id").alias("want_id"), "rank", F.concat_ws(" ", F.element_at("authors", 1), "title", "venue", "year").alias("text"), "year", "authors", "doi")
+    return X.best_by_text(wanted, found)
+
+
+QUERIES = {f.__name__: f for f in (document_names, display_texts, title_records, text_records)}
 ORACLE_SQL = {"document_names": NAMES_SQL, "display_texts": DISPLAY_SQL}

@@ -5,6 +5,7 @@ import re
 from difflib import SequenceMatcher
 
 from marginalia.operators import references as X
+from marginalia.plans import naming
 
 
 def key(s):
@@ -87,3 +88,82 @@ def test_match_rows_against_all_pairs(spark):
     assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
     assert all((v[2] is None) == (want[k][2] is None) and (v[2] is None or abs(v[2] - want[k][2]) < 1e-5) for k, v in got.items())
     assert {v[1] for v in got.values()} == {"order", "number", "loose", "content"} or {v[1] for v in got.values()} >= {"order", "number", "content"}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def similar(a, b, w):
+    x, y = key(a), key(b)
+    if not x or not y:
+        return 0.0
+    p, q = set(x.split()), set(y.split())
+    return w * SequenceMatcher(None, x, y).ratio() + (1 - w) * len(p & q) / len(p | q)
+
+
+def venue(a, b):
+    x, y = key(a), key(b)
+    if not x or not y:
+        return 0.0
+    if x == y:
+        return 1.0
+    if x in y or y in x:
+        return 0.92
+    p, q = (key(re.sub("([a-z])([A-Z])", r"\1 \2", v).replace("&", " and ")).split() for v in (a, b))
+    s, t = ("".join(w[:4] for w in v) for v in (p, q))
+    if s and t and (s in t or t in s):
+        return 0.96
+    if p and [w[0] for w in p] == [w[0] for w in q]:
+        return 0.94
+    return similar(a, b, 0.72)
+
+
+def test_records_of_titles_against_all_candidates(spark):
+    docs = {r["doc_id"]: r for r in naming._named(spark, SF).collect()}
+    found = {}
+    for r in naming._searched(spark, SF).collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    want = {}
+    for d, doc in docs.items():
+        title, year, place = doc["title"], doc["year"] if d % 3 == 0 else "", doc["venue"] if d % 3 == 1 else ""
+        best = None
+        for c in sorted(found[d], key=lambda c: c["rank"]):
+            t, same, fit = similar(title, c["title"], 0.72), year == c["year"] and year != "", venue(place, c["venue"]) if place else 0.0
+            s = round(t + (0 if not year else 0.06 if same else -0.10) + (0.05 * (2 * fit - 1) if place else 0), 9)
+            by_doi = c["doi"] == f"10.1/{d}" and (not title or t >= 0.80)
+            if best is None or (by_doi, s, fit, same) > best[:4]:
+                best = (by_doi, s, fit, same, t, c["rank"])
+        by_doi, s, fit, same, t, rank = best
+        gate = same if year else fit >= 0.90 if place else t >= 0.94 and s >= 0.96
+        if by_doi or (title and gate and s >= 0.90 and t >= 0.88):
+            want[d] = (rank, "doi" if by_doi else "title", round(max(0.97, t) if by_doi else min(max(s, 0), 1), 4))
+    got = {r["want_id"]: (r["rank"], r["method"], r["score"]) for r in naming.title_records(spark, SF).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()} and all(abs(v[2] - want[k][2]) <= 1.01e-4 for k, v in got.items())
+    assert {v[1] for v in got.values()} == {"doi", "title"} and 20 < len(got) < len(docs)
+
+
+def test_records_of_texts_against_all_candidates(spark):
+    docs = {r["doc_id"]: r for r in naming._named(spark, SF).collect()}
+    found = {}
+    for r in naming._searched(spark, SF).collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    want = {}
+    for d, doc in docs.items():
+        raw = f"{doc['head']}, {doc['title']}, {doc['venue']}, {doc['year']}"
+        if not (24 <= len(raw) <= 420 and len(re.findall("[A-Za-z]{3,}", raw)) >= 4):
+            continue
+        words = re.findall("[A-Za-z]+", re.sub(r"\s+", " ", raw).strip(" ").split(",")[0])
+        author = max(words, key=len).lower() if words else ""
+        year, best = int(re.findall(r"(?:19|20)\d{2}", raw)[-1]), None
+        for c in sorted(found[d], key=lambda c: c["rank"]):
+            text = " ".join([c["authors"][0], c["title"], c["venue"], c["year"]])
+            gap, names = abs(int(c["year"]) - year), [a.lower() for a in c["authors"]]
+            s = similar(raw, text, 0.64) + (0.18 if gap == 0 else 0.06 if gap == 1 else -0.12) + ((0.14 if author in names else -0.08) if author else 0) + (0.03 if c["doi"] else 0)
+            s = round(min(max(s, 0), 1), 9)
+            if best is None or s > best[0]:
+                best = (s, gap == 0, author in names, c["rank"])
+        s, same_year, same_author, rank = best
+        if s >= 0.62 and (same_year or s >= 0.72) and (not author or same_author or s >= 0.74):
+            want[d] = (rank, round(s, 4))
+    got = {r["want_id"]: (r["rank"], r["score"]) for r in naming.text_records(spark, SF).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(v[1] - want[k][1]) <= 1.01e-4 for k, v in got.items()) and len(got) > 20
