@@ -100,3 +100,32 @@ def reindex_hint(files: DataFrame, indexed: DataFrame, sources: DataFrame) -> Da
     return out.withColumn("behind", (F.col("newer") > 0) | (F.col("orphans") > 0))
 
 
+
+
+#: The line that begins an abstract, its least and most characters, and what leads an extract.
+ABSTRACT_LINE = "(?i)^\\s*#{1,6}\\s*abstract\\b|^\\s*(?:abstract|摘要)\\s*$"
+ABSTRACT_CHARS = (120, 4000)
+LEADS = {"strength_limits": "the paper describes this trade-off", "discussion_only": "the paper states"}
+
+
+def abstracts(md: DataFrame) -> DataFrame:
+    """md: doc_id, pos, line.  The abstract of each document: what stands behind its heading (or a line of that word) up to the next heading, if that is long enough; without such a
+    line the first long enough text line ahead of the second heading."""
+    own = Window.partitionBy("doc_id")
+    rows = md.withColumns({"begun": F.min(F.when(F.col("line").rlike(ABSTRACT_LINE), F.col("pos"))).over(own), "head": F.col("line").rlike("^\\s*#{1,6}\\s+")})
+    rows = rows.withColumns({"stop": F.min(F.when(F.col("head") & (F.col("pos") > F.col("begun") + 1), F.col("pos"))).over(own), "heads": F.sum(F.col("head").cast("int")).over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))})
+    inside = (F.col("pos") > F.col("begun")) & (F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
+    named = rows.where(inside).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]), "\n").alias("text"))
+    named = named.select("doc_id", F.substring(F.regexp_replace("text", "^\\s+|\\s+$", ""), 1, ABSTRACT_CHARS[1]).alias("abstract"), F.lit(True).alias("named"))
+    long = rows.where(F.col("begun").isNull() & ~F.col("head") & (F.col("heads") < 2) & (F.length(F.trim("line")) >= ABSTRACT_CHARS[0]))
+    first = long.groupBy("doc_id").agg(F.min(F.struct("pos", F.substring(F.trim("line"), 1, ABSTRACT_CHARS[1]).alias("abstract")))["abstract"].alias("abstract")).withColumn("named", F.lit(False))
+    return named.unionByName(first).where(F.length("abstract") >= ABSTRACT_CHARS[0])
+
+
+def broad_extracts(targeted: DataFrame, family: Column, boxes: Column) -> DataFrame:
+    """targeted: doc_id, prompt, block_id, heading, text, place.  The best block for prompts about strengths and limits, a discussion or a box, with a line that says where it stands."""
+    leaf = F.coalesce(F.nullif(F.try_element_at(F.split("heading", " / "), F.lit(-1)), F.lit("")), F.lit("target section"))
+    lead = F.when((family == "box_only") & (F.size(boxes) > 0), F.concat(F.lit("From Box "), boxes[0].cast("string"), F.lit(", the paper states:\n> "), F.col("text")))
+    for name, words in LEADS.items():
+        lead = lead.when(family == name, F.concat(F.lit("From the "), leaf, F.lit(f" section, {words}:\n> "), F.col("text")))
+    return targeted.where("place = 1").select("doc_id", "block_id", lead.alias("answer")).where("answer is not null")

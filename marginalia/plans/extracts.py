@@ -9,6 +9,7 @@ from ..operators import indices as I
 from ..operators import selection as S
 from .common import PROMPTS, prompts, table
 from .indices import FIGURES, RICH, blocks
+from .markdown import LINES
 from .selection import _CITES, TARGETED, _pick, _rich, _targets, _wanted
 
 _WORDS = [" hadamard patterns, psnr of a spad", " snapshot camera system, tv solver", " training loss on a dataset", " lidar application, dark count, perovskite", " limitation; references"]
@@ -78,5 +79,43 @@ def reindex_hints(spark, sf):
 HINT_SQL = """WITH e AS (SELECT event_id % 900 AS stem, max(event_id % 450) AS at0 FROM events GROUP BY 1), j AS (SELECT d.doc_id, e.at0, d.doc_id IN (SELECT doc_id FROM labels) AS src FROM documents d LEFT JOIN e ON e.stem = d.doc_id)
 SELECT count(*) AS files, count(*) FILTER (WHERE at0 IS NULL OR doc_id > at0) AS newer, count(*) FILTER (WHERE NOT src) AS orphans, count(*) FILTER (WHERE at0 IS NULL OR doc_id > at0) > 0 OR count(*) FILTER (WHERE NOT src) > 0 AS behind FROM j"""
 
-QUERIES = {f.__name__: f for f in (hit_aspects, exact_answers, reindex_hints)}
-ORACLE_SQL = {"hit_aspects": ASPECT_SQL, "exact_answers": EXACT_SQL, "reindex_hints": HINT_SQL}
+def _titled(spark, sf):
+    """Markdown of which some have an abstract: under a heading, behind a line of that word, or not at all."""
+    from ..operators import markdown as M
+
+    md = M.synthetic_lines(table(spark, sf, "documents"))
+    k = F.pmod("doc_id", F.lit(4))
+    line = F.when((F.col("pos") == 2) & (k == 0), "## Abstract").when((F.col("pos") == 1) & (k == 1), " ABSTRACT ").when((F.col("pos") == 4) & (k == 2), "摘要").otherwise(F.col("line"))
+    return md.withColumn("line", line)
+
+
+def document_abstracts(spark, sf):
+    return E.abstracts(_titled(spark, sf)).select("doc_id", F.sha1("abstract").alias("sha1"), F.length("abstract").alias("chars"), "named")
+
+
+ABSTRACT_SQL = f"""WITH {LINES}, x AS (SELECT doc_id, pos, CASE WHEN pos = 2 AND doc_id % 4 = 0 THEN '## Abstract' WHEN pos = 1 AND doc_id % 4 = 1 THEN ' ABSTRACT ' WHEN pos = 4 AND doc_id % 4 = 2 THEN '摘要' ELSE line END AS line FROM md),
+b AS (SELECT *, min(pos) FILTER (WHERE regexp_matches(line, '{E.ABSTRACT_LINE}')) OVER (PARTITION BY doc_id) AS begun, regexp_matches(line, '^\\s*#{{1,6}}\\s+') AS hd FROM x), c AS (SELECT *, min(pos) FILTER (WHERE hd AND pos > begun + 1) OVER (PARTITION BY doc_id) AS stop, sum(hd::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS heads FROM b),
+n AS (SELECT doc_id, substr(regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\\s+|\\s+$', '', 'g'), 1, {E.ABSTRACT_CHARS[1]}) AS abstract, true AS named FROM c WHERE pos > begun AND (stop IS NULL OR pos < stop) GROUP BY 1),
+f AS (SELECT doc_id, substr(arg_min(trim(line), pos), 1, {E.ABSTRACT_CHARS[1]}) AS abstract, false AS named FROM c WHERE begun IS NULL AND NOT hd AND heads < 2 AND length(trim(line)) >= {E.ABSTRACT_CHARS[0]} GROUP BY 1)
+SELECT doc_id, sha1(abstract) AS sha1, length(abstract)::INT AS chars, named FROM (SELECT * FROM n UNION ALL SELECT * FROM f) WHERE length(abstract) >= {E.ABSTRACT_CHARS[0]}"""
+
+
+def broad_answers(spark, sf):
+    """Extracts for prompts about strengths and limits, discussions and boxes."""
+    from ..operators.intents import box_numbers
+    from ..operators.prompts import prompt_family
+
+    w = _wanted(spark, sf).select("doc_id", F.concat("prompt", _pick(_BROAD, F.col("doc_id"))).alias("prompt"))
+    made = S.targeted_blocks(_rich(spark, sf), w)
+    return E.broad_extracts(made, prompt_family("prompt"), box_numbers("prompt")).select("doc_id", "block_id", F.sha1("answer").alias("sha1"))
+
+
+_BROAD = [" strengths and limits", " discussion section", " box 3", ""]
+_BROAD_TARGETED = TARGETED.replace("[conv_id % 6 + 1] AS prompt FROM pr WHERE turn = 0", f"[conv_id % 6 + 1] || {_L(_BROAD)}[conv_id % {len(_BROAD)} + 1] AS prompt FROM pr WHERE turn = 0", 1)
+BROAD_SQL = f"""WITH {_BROAD_TARGETED}, m AS (SELECT * FROM t6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, order_index) = 1),
+o AS (SELECT *, coalesce(nullif(string_split(heading, ' / ')[-1], ''), 'target section') AS lf, regexp_extract_all(lower(prompt), '\\bbox\\s*(\\d{{1,3}})\\b', 1) AS bo FROM m),
+a AS (SELECT doc_id, block_id, CASE WHEN family = 'box_only' AND len(bo) > 0 THEN 'From Box ' || bo[1]::INT || ', the paper states:' || chr(10) || '> ' || text WHEN family = 'strength_limits' THEN 'From the ' || lf || ' section, the paper describes this trade-off:' || chr(10) || '> ' || text WHEN family = 'discussion_only' THEN 'From the ' || lf || ' section, the paper states:' || chr(10) || '> ' || text END AS answer FROM o)
+SELECT doc_id, block_id, sha1(answer) AS sha1 FROM a WHERE answer IS NOT NULL"""
+
+QUERIES = {f.__name__: f for f in (hit_aspects, exact_answers, document_abstracts, broad_answers, reindex_hints)}
+ORACLE_SQL = {"hit_aspects": ASPECT_SQL, "exact_answers": EXACT_SQL, "document_abstracts": ABSTRACT_SQL, "broad_answers": BROAD_SQL, "reindex_hints": HINT_SQL}
