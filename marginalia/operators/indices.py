@@ -152,13 +152,15 @@ def match_blocks(segments: DataFrame, blocks: DataFrame, k: int = 3) -> DataFram
     seg = segments.select("doc_id", "seg_no", "segment", "heading", "prefer_kind", F.col("number").alias("wanted"), equation_signal("segment").alias("q_eq"), text.match_tokens("segment").alias("q_words"))
     mark = lambda c, p: F.transform(c, lambda t: F.concat(F.lit(p), t))
     only = lambda c, *v: F.when(c, F.array(*[F.lit(x) for x in v])).otherwise(F.array().cast("array<string>"))
-    seg = seg.withColumn("key", F.explode(F.array_distinct(F.concat(mark(F.col("q_words"), "w:"), mark(text.match_tokens("heading"), "h:"), F.array(F.concat(F.lit("n:"), "wanted")), only(eq, "any"), F.array(F.lit("formula"))))))
+    seg_keys = F.array_distinct(F.concat(mark(F.col("q_words"), "w:"), mark(text.match_tokens("heading"), "h:"), F.array(F.concat(F.lit("n:"), "wanted")), only(eq, "any"), F.array(F.lit("formula"))))
     rows = blocks.select("doc_id", "block_id", "order_index", "kind", "is_caption", "number", F.col("line").alias("text"), F.col("heading_path").alias("b_heading"))
     rows = rows.withColumns({"b_eq": equation_signal("text"), "b_words": text.match_tokens("text")})
     mentioned = F.transform(F.regexp_extract_all("text", F.lit("\\d{1,3}"), F.lit(0)), lambda n: F.concat(F.lit("n:"), n.cast("int")))
-    rows = rows.withColumn("key", F.explode(F.array_distinct(F.concat(mark(F.col("b_words"), "w:"), mark(text.match_tokens("b_heading"), "h:"), mentioned, F.array(F.concat(F.lit("n:"), "number")), only(F.col("b_eq"), "formula"), F.array(F.lit("any"))))))
-    wide = ["segment", "heading", "prefer_kind", "wanted", "q_eq", "q_words", "kind", "is_caption", "number", "text", "b_heading", "b_eq", "b_words"]
-    pairs = seg.join(rows, ["doc_id", "key"]).groupBy("doc_id", "seg_no", "block_id", "order_index").agg(*[F.first(c).alias(c) for c in wide])
+    row_keys = F.array_distinct(F.concat(mark(F.col("b_words"), "w:"), mark(text.match_tokens("b_heading"), "h:"), mentioned, F.array(F.concat(F.lit("n:"), "number")), only(F.col("b_eq"), "formula"), F.array(F.lit("any"))))
+    # Pairs of ids alone are made distinct; the texts join them afterwards.
+    keyed = lambda df, name, keys: df.select("doc_id", name, F.explode(keys).alias("key"))
+    pairs = keyed(seg, "seg_no", seg_keys).join(keyed(rows, "block_id", row_keys), ["doc_id", "key"]).select("doc_id", "seg_no", "block_id").distinct()
+    pairs = pairs.join(seg, ["doc_id", "seg_no"]).join(rows, ["doc_id", "block_id"])
     query, body = text.match_text("segment"), text.match_text("text")
     head = F.substring(query, 1, 72)
     plus = lambda c, v: F.when(c, v).otherwise(0.0)
