@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..sources.shared import cut
+from ..sources.shared import kept
 
 K1, B, NEGATIVE = 1.5, 0.75, 0.25
 #: Rows up to which a side of a join is broadcast.
@@ -24,7 +24,7 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def corpus(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, toks and dl of all rows, tokenised once and kept in the shared folder: statistics, lengths and frequencies are all read from it."""
-    return cut(with_tokens(docs.select(key, text), text).select(key, "toks", F.size("toks").alias("dl")))
+    return kept(with_tokens(docs.select(key, text), text).select(key, "toks", F.size("toks").alias("dl")), "corpus")
 
 
 def term_statistics(tokenised: DataFrame, key: str) -> DataFrame:
