@@ -10,7 +10,7 @@ sum of its sources'.  All documents are in the sketches, apart by whether the ba
 A measure's upper bound lies `stretch` times the distance of two quantiles of its own group (MEASURES) beyond the higher one, for the
 length of words a lower bound likewise below the lower one; no value is fixed.  Where a
 group's quantiles nearly coincide, the distance is a 32nd of its median and one, so that equal texts don't reject all others; guarded() tells how
-often (in none of the 80 groups of the test tables).  A source with fewer than ENOUGH documents in a language uses the language's sketch,
+often (at sf0.1 in 20 of 400, all of them the length of words, whose quartiles lie within a bucket or two).  A source with fewer than ENOUGH documents in a language uses the language's sketch,
 such a language that of all documents.
 
 Null texts have no words; a null language or source counts as the empty one; a null doc_id and repeated rows stay; an empty table
