@@ -6,8 +6,8 @@ are large: from the longest on, each is matched with the longest large one that
 that no sequence gets more than two.  The rest, from the longest on, go to the fullest sequence
 that has room (best fit), and new sequences are opened only where nothing has room.  The plan is a short
 list of runs: so many pieces of one length, from a rank among that length on, go to consecutive
-sequences at one offset.  Spark ranks the pieces of each length (in parts, as one length may hold
-a large part of all pieces) and joins them with the runs.
+sequences at one offset.  Spark ranks the pieces of each length (in parts dealt out by a row number, as one length may hold
+a large part of all pieces, all of them equal) and joins them with the runs.
 
 Null and empty texts are pieces of one id (the end id).  Repeated rows are packed each for itself; a null
 doc_id stays null; an empty table gives an empty result; other columns are not read.
@@ -126,23 +126,24 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces and the columns sequence_id and offset; it needs doc_id, piece, start, ids_crc32 and length, none above capacity."""
     spark = pieces.sparkSession
-    pieces = cut(pieces)
+    columns = pieces.columns
+    pieces = cut(pieces.withColumn("row", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = spark.createDataFrame(plan(counts, capacity), _RUN)
     # At most `capacity` rows, as the counts.
     most = max(1, min(PART_ROWS, -(-sum(counts.values()) // PARTS)))
     parts = F.broadcast(spark.createDataFrame([(k, -(-n // most)) for k, n in counts.items()], "length long, parts long"))
-    salted = pieces.join(parts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "parts").cast("int"))
+    salted = pieces.join(parts, "length").withColumn("salt", F.pmod(F.xxhash64("row"), "parts").cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1)
     ranked = ranked.join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
     # The runs are bounded by the capacity: a few for each length.
     runs = F.broadcast(runs.withColumnRenamed("length", "of"))
     placed = ranked.join(runs, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("from_rank") + F.col("n")))
     j = F.col("rank") - F.col("from_rank")
     return placed.select(
-        *[F.col(c) for c in pieces.columns],
+        *[F.col(c) for c in columns],
         (F.col("first_sequence") + F.floor(j / F.col("each"))).cast("long").alias("sequence_id"),
         (F.col("at") + F.pmod(j, F.col("each")) * F.col("length")).cast("long").alias("offset"),
     )

@@ -11,13 +11,14 @@ Kinds and what is checked of them:
 - ip: IPv4 addresses with numbers up to 255;
 - date: real days, in numbers (also before the time of a timestamp) or with an English month in full or of three letters; the
   century stays.  Times of day and dates in words of other languages are left as they are;
-- secret: 32 to 64 hexadecimal digits of both letters and numerals, and keys with one of the PREFIXES.  Other secrets have no
-  form to know them by and are left.
+- secret: 32 or more hexadecimal digits of both letters and numerals, and keys with one of the PREFIXES, of any length.  Tokens and blocks of other
+  forms (JSON web tokens, PEM) are left, as are secrets without a form to know them by.
 
 A value is read into a number below the size of its format, permuted there (a pseudonym is again valid: check digits are
 computed anew, dates stay dates), and written with the separators, length and letter case it had.  The permutation depends on the
 key and the kind alone, so that equal values get equal pseudonyms in all documents, however they are separated, and
-different values different ones; with the key, reveal() undoes it.
+different values different ones; with the key, reveal() undoes it.  A value of more than LONG letters and digits goes through the same kind of network
+symbol by symbol, half against half; a key of more than 64 bytes is hashed to 64 first.
 
 The time is linear in the length of a text, also in one word of megabytes.  Null texts stay null, empty ones empty; repeated rows are treated alike; an empty table gives an empty result; all
 other columns stay as they are (with counts, columns of the names of the counts are replaced).
@@ -30,7 +31,7 @@ from calendar import monthrange
 from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
-from hashlib import blake2b
+from hashlib import blake2b, shake_256
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ from .storage import documents
 from .words import with_columns
 
 ROUNDS = 10
+#: Values of more letters and digits aren't read into one number, whose arithmetic would take the square of their length.
+LONG = 128
 #: The key of the registered query; in production it comes from the caller's key store.
 EXAMPLE_KEY = b"marginalia example key"
 
@@ -64,7 +67,7 @@ PATTERN = re.compile(
     rf"""
     (?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{{2,}})
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))
-  | (?P<secret>(?<![A-Za-z0-9])[0-9A-Fa-f]{{32,64}}(?![A-Za-z0-9])|(?<![A-Za-z0-9_-])(?:{"|".join(PREFIXES)})[A-Za-z0-9_-]{{16,250}}(?![A-Za-z0-9_-]))
+  | (?P<secret>(?<![A-Za-z0-9])[0-9A-Fa-f]{{32,}}+(?![A-Za-z0-9])|(?<![A-Za-z0-9_-])(?:{"|".join(PREFIXES)})[A-Za-z0-9_-]{{16,}}+)
   | (?P<card>(?<![0-9A-Za-z])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?![0-9A-Za-z]))
   | (?P<phone>(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{3}}\)[ ]?|(?<![0-9A-Za-z])[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9A-Za-z])
       |(?<![0-9A-Za-z+])\+[1-9][0-9]{{0,14}}(?:[ .-]?\(?[0-9]{{1,6}}\)?){{0,6}}(?![0-9A-Za-z]|[/.:-][0-9]))
@@ -77,10 +80,14 @@ PATTERN = re.compile(
 )
 
 
+def _short(key: bytes) -> bytes:
+    return key if len(key) <= 64 else blake2b(key).digest()
+
+
 def _draw(key: bytes, kind: str, turn: int, half: int, bits: int) -> int:
     """A keyed number of so many bits."""
     data = b"%s|%d|%d|" % (kind.encode(), turn, bits) + half.to_bytes(bits // 8 + 1, "big")
-    out = b"".join(blake2b(data, key=key[:64], salt=n.to_bytes(4, "big")).digest() for n in range(bits // 512 + 1))
+    out = b"".join(blake2b(data, key=_short(key), salt=n.to_bytes(4, "big")).digest() for n in range(bits // 512 + 1))
     return int.from_bytes(out, "big") & ((1 << bits) - 1)
 
 
@@ -102,6 +109,42 @@ def permute(value: int, size: int, key: bytes, kind: str, back: bool = False) ->
             return value
 
 
+def permute_symbols(values: list[int], bases: list[int], key: bytes, kind: str, back: bool = False) -> list[int]:
+    """The same for many symbols, each below its base: either half is moved in turn by a keyed stream of the other, in linear time."""
+    v, b = np.array(values, dtype=np.int64), np.array(bases, dtype=np.int64)
+    middle = len(v) // 2
+    halves = (slice(0, middle), slice(middle, len(v)))
+    secret = blake2b(kind.encode(), key=_short(key)).digest()
+    for turn in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        moved, by = halves[turn % 2], halves[1 - turn % 2]
+        stream = shake_256(secret + b"%d|%d|" % (turn, len(v)) + v[by].astype("u1").tobytes()).digest(8 * len(v[moved]))
+        step = (np.frombuffer(stream, dtype="<u8") % b[moved].astype(np.uint64)).astype(np.int64)
+        v[moved] = (v[moved] - step if back else v[moved] + step) % b[moved]
+    return v.tolist()
+
+
+class _Turn:
+    """The permutation of a kind, for one number or for many symbols."""
+
+    def __init__(self, kind: str, key: bytes, back: bool):
+        self.kind, self.key, self.back = kind, key, back
+
+    def __call__(self, value: int, size: int, form: str = "") -> int:
+        return permute(value, size, self.key, self.kind + form, self.back)
+
+    def symbols(self, values: list[int], bases: list[int]) -> list[int]:
+        if len(values) > LONG:
+            return permute_symbols(values, bases, self.key, self.kind, self.back)
+        size, value = 1, 0
+        for v, base in zip(values, bases, strict=True):
+            size, value = size * base, value * base + v
+        value, out = self(value, size), []
+        for base in reversed(bases):
+            value, r = divmod(value, base)
+            out.append(r)
+        return out[::-1]
+
+
 def _luhn(digits: str) -> str:
     """The check digit behind some digits."""
     total = 0
@@ -117,19 +160,12 @@ def _refill(template: str, symbols: str) -> str:
     return "".join(next(source) if c.isascii() and c.isalnum() else c for c in template)
 
 
-def _mixed(text: str, turn: Callable[[int, int], int]) -> str:
+def _mixed(text: str, turn: _Turn) -> str:
     """Letters stay letters of their case and digits digits; the rest stays."""
     bases = [(10, "0") if c.isdigit() else (26, "a") for c in text if c.isascii() and c.isalnum()]
     symbols = [c for c in text.lower() if c.isascii() and c.isalnum()]
-    size, value = 1, 0
-    for (base, first), c in zip(bases, symbols, strict=True):
-        size, value = size * base, value * base + ord(c) - ord(first)
-    value = turn(value, size)
-    out = []
-    for base, first in reversed(bases):
-        value, r = divmod(value, base)
-        out.append(chr(ord(first) + r))
-    made = _refill(text, "".join(reversed(out)))
+    moved = turn.symbols([ord(c) - ord(first) for (_, first), c in zip(bases, symbols, strict=True)], [n for n, _ in bases])
+    made = _refill(text, "".join(chr(ord(first) + r) for (_, first), r in zip(bases, moved, strict=True)))
     return "".join(m.upper() if c.isupper() else m for m, c in zip(made, text, strict=True))
 
 
@@ -264,25 +300,22 @@ def _secret(text, turn):
         return None
     if text not in (text.lower(), text.upper()):
         return _by_class(text, turn, (6, "abcdef"))
-    made = f"{turn(int(text, 16), 16 ** len(text)):0{len(text)}x}"
+    made = "".join(f"{v:x}" for v in turn.symbols([int(c, 16) for c in text], [16] * len(text)))
     return made.upper() if text.upper() == text else made
 
 
-def _by_class(text: str, turn, letters: tuple[int, str]) -> str:
+def _by_class(text: str, turn: _Turn, letters: tuple[int, str]) -> str:
     """Digits stay digits, and letters letters of their case; marks stay."""
     n, alphabet = letters
-    size, value = 1, 0
+    symbols = [c for c in text if c.isalnum()]
+    moved = iter(turn.symbols([int(c) if c.isdigit() else alphabet.index(c.lower()) for c in symbols], [10 if c.isdigit() else n for c in symbols]))
+    out = []
     for c in text:
         if c.isalnum():
-            base = 10 if c.isdigit() else n
-            size, value = size * base, value * base + (int(c) if c.isdigit() else alphabet.index(c.lower()))
-    value, out = turn(value, size), []
-    for c in reversed(text):
-        if c.isalnum():
-            value, r = divmod(value, 10 if c.isdigit() else n)
+            r = next(moved)
             c = str(r) if c.isdigit() else alphabet[r].upper() if c.isupper() else alphabet[r]
         out.append(c)
-    return "".join(reversed(out))
+    return "".join(out)
 
 
 _WRITE = {"email": _email, "card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date, "secret": _secret}
@@ -291,7 +324,7 @@ _WRITE = {"email": _email, "card": _card, "iban": _iban, "ssn": _ssn, "phone": _
 def _changed(text: str, key: bytes, back: bool, found: dict[str, int]) -> str:
     def put(match: re.Match) -> str:
         kind = match.lastgroup
-        made = _WRITE[kind](match.group(), lambda value, size, form="": permute(value, size, key, kind + form, back))
+        made = _WRITE[kind](match.group(), _Turn(kind, key, back))
         if made is None:
             return match.group()
         found[kind] = found.get(kind, 0) + 1

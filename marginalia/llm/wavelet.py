@@ -186,14 +186,15 @@ def _put(folder: str, name: str, data: bytes) -> None:
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes shard-NNNNNN.wm files in ascending order of doc_id.  Returns per shard: shard, n_docs, n_tokens, start."""
+    """Writes shard-NNNNNN.wm files in ascending order of doc_id.  Returns per shard: shard, n_docs, n_tokens, start.
+    docs is read from files or a checkpoint, whose rows have the same numbers when a task is run again: equal rows are dealt out by them."""
     kind = docs.schema["doc_id"].dataType.typeName()
     if kind not in ("byte", "short", "integer", "long"):
         raise TypeError(f"doc_id must be an integer, not {kind}")  # the files hold 64-bit ids
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     n = max(1, -(-total // shard_bytes), -(-rows // SHARD_ROWS))
-    dealt = docs.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    dealt = docs.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n, "doc_id", F.xxhash64("text"), "row").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches):
         encode = encoder(public_path(vocabulary), END_ID, REMEMBERED).encode

@@ -140,17 +140,34 @@ def test_dates_are_permuted_within_century_and_spelling():
         assert [re.search(r"\d{4}", m).group()[:2] for m in made] == [re.search(r"\d{4}", d).group()[:2] for d in days]
 
 
-@pytest.mark.parametrize("word", ["a", "a@", "a.", "1", "+1", "a1-", "F", "12.", "sk-", "A1", "x@a."])
+@pytest.mark.parametrize("word", ["a", "a@", "a.", "1", "+1", "a1-", "F", "12.", "sk-", "A1", "x@a.", "key", "local part"])
 def test_one_long_word_takes_linear_time(word):
     from time import perf_counter
 
     def seconds(n):
-        text = (word * n)[:n]
+        text = {"key": "ghp_" + "a7" * (n // 2), "local part": "a7" * (n // 2) + "@ex.org"}.get(word, (word * n)[:n])
         return min((lambda t: (pii.pseudonymize(text, b"k"), perf_counter() - t)[1])(perf_counter()) for _ in range(2))
 
     assert seconds(400_000) < 12 * seconds(100_000) + 0.2
 
 
+@pytest.mark.parametrize("n", [129, 250, 251, 300, 5000])
+def test_long_values_are_replaced_whole_and_back(n):
+    for old in ("sk-" + ("aB3" * n)[:n], "ghp_" + "x" * n, ("0a9F" * n)[:n], ("c0ffee" * n)[:n], ("a.b7" * n)[:n] + "x@ex.org"):
+        made, found = pii.pseudonymize(f"see {old} here", b"k")
+        assert sum(found.values()) == 1 and pii.reveal(made, b"k") == f"see {old} here" and len(made) == len(old) + 9
+        assert sum(a == b for a, b in zip(made, f"see {old} here", strict=True)) < 0.5 * len(made)
+    nearly = [pii.pseudonymize("sk-" + "a" * n + c, b"k")[0] for c in "ab"]
+    assert sum(a == b for a, b in zip(*nearly, strict=True)) < 0.5 * n
+
+
+def test_long_keys_count_whole():
+    text = "a.b7c@ex.org 4111 1111 1111 1111"
+    keys = [b"k" * 64 + x for x in (b"", b"a", b"b", b"a" * 100)]
+    made = [pii.pseudonymize(text, k)[0] for k in keys]
+    assert len(set(made)) == 4 and [pii.reveal(m, k) for m, k in zip(made, keys, strict=True)] == [text] * 4
+
+
 def test_pii_of_all_documents_against_brute_force(spark):
     """All texts of the table: revealed they are the same, and wherever a value was, another valid one of its format is."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -221,6 +238,18 @@ def test_packing_in_parts(spark, monkeypatch):
         assert at <= 2048
 
 
+def test_equal_rows_are_ranked_in_parts(spark, monkeypatch):
+    """No part of thousands of equal rows is much above its limit."""
+    monkeypatch.setattr(packing, "PART_ROWS", 100)
+    seen, ranks = [], packing.F.row_number
+    docs = spark.createDataFrame([(None, None)] * 6000, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(packing.F, "row_number", lambda: seen.append(1) or ranks())
+    pieces = packing.pieces_of(docs).withColumn("row", packing.F.monotonically_increasing_id())
+    assert pieces.groupBy(packing.F.pmod(packing.F.xxhash64("row"), packing.F.lit(60))).count().agg({"count": "max"}).first()[0] < 200
+    got = packing.pack(packing.pieces_of(docs)).collect()
+    assert seen and len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) == 6000 and len({r["sequence_id"] for r in got}) == 3
+
+
 def test_plan_is_tight_and_whole():
     rng = np.random.default_rng(2)
     for counts in ({100: 1}, {1: 5000}, {2048: 3, 700: 5}, {1025: 4, 1023: 4, 683: 7, 682: 9}, dict(Counter(rng.integers(1, 2049, 5000).tolist())), dict(Counter((rng.gamma(2, 300, 20000).astype(int) % 2048 + 1).tolist()))):
@@ -518,6 +547,16 @@ def test_wavelet_shards_of_empty_texts_and_sums_over_blocks(spark, monkeypatch):
         wavelet.token_shards(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
+def test_equal_rows_go_to_shards_of_bounded_size(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(wavelet, "SHARD_ROWS", 1000)
+    docs = spark.createDataFrame([(None, "some text")] * 6000 + [(i, "other") for i in range(50)], "doc_id long, text string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/docs")
+    shards = wavelet.write_shards(spark.read.parquet(f"{tmp_path}/docs"), f"file://{tmp_path}/shards").collect()
+    assert sum(r["n_docs"] for r in shards) == 6050 and max(r["n_docs"] for r in shards) < 2000
+    got = sorted((r["start"], r["n_tokens"]) for r in wavelet.token_shards(spark.read.parquet(f"{tmp_path}/docs")).collect())
+    assert [a for a, _ in got] == [sum(n for _, n in got[:i]) for i in range(len(got))]
+
+
 # 9: SimHash
 
 
