@@ -6,9 +6,10 @@ single sentences of public licenses.  Before they are exploded, a document's gra
 template at all.  A gram at place p that stands at place t of a template votes for the diagonal p - t.
 
 A diagonal with all votes of a base phrase is that phrase word for word.  For the templates neighbouring diagonals are merged (words were left out
-or put in): into bands of BAND diagonals, in two series that are shifted by half a band, so that a copy that drifts by up to half a band lies whole in
-one and no merge drifts further.  A band is verified in the order of the document: votes that go on in the template are
-counted, others not.  With at least SHARE of the template's grams the document gets its label.
+or put in) wherever a document has enough of a template's grams at all: into bands of BAND diagonals and of four times as many again and again, until half a band is as
+wide as the template is long, and at least REACH.  Each width has two series that are shifted by half a band, so that a copy that drifts by up to half a band lies whole in
+one.  A band is verified in order: its longest chain of votes whose places ascend both in the document and in the template
+counts.  With at least SHARE of the template's grams the document gets its label.
 
 Null texts have no words; a null doc_id stays; repeated rows get a result each; an empty table gives an empty result; other columns are not read.
 """
@@ -24,6 +25,8 @@ from .storage import cut, documents
 #: Words of a gram of the base phrases and of the templates.
 K_BASE, K = 2, 3
 BAND = 8
+#: Half of a template's widest bands is at least so wide, and at least as wide as it has grams.
+REACH = 40
 SHARE = 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: All ASCII characters that are no letters or digits: they separate words.
@@ -39,6 +42,18 @@ def _grams() -> list[tuple[int, str, bool, int, int, str]]:
     return rows
 
 
+def series() -> list[tuple[int, int, int]]:
+    """template, width and shift of the series of bands of each template that isn't a base phrase."""
+    rows = []
+    for n, grams in sorted({(n, grams) for n, _, is_base, grams, *_ in _grams() if not is_base}):
+        width = BAND
+        rows += [(n, width, shift) for shift in (0, width // 2)]
+        while width < 2 * max(grams, REACH):
+            width *= 4
+            rows += [(n, width, shift) for shift in (0, width // 2)]
+    return rows
+
+
 def template_grams(spark: SparkSession) -> DataFrame:
     """template, label, is_base, grams (their number), t and template_gram: a row a place."""
     return spark.createDataFrame(_grams(), "template int, label string, is_base boolean, grams int, t int, template_gram string")
@@ -67,15 +82,28 @@ def votes(found: DataFrame) -> DataFrame:
 
 def spans(voted: DataFrame) -> DataFrame:
     """number, label, share, first and last word of the bands that pass."""
-    series = F.explode(F.array(F.lit(0), F.lit(BAND // 2))).alias("shift")
-    bands = voted.select("*", series).withColumn("band", F.floor((F.col("diagonal") + F.col("shift")) / BAND))
-    places = F.transform("ts", lambda t: F.struct((F.col("diagonal") + t).alias("p"), t.alias("t")))
-    merged = bands.groupBy("number", "template", "label", "grams", "shift", "band").agg(F.array_sort(F.flatten(F.collect_list(places))).alias("votes"))  # at most BAND times the grams
+    keys = ["number", "template", "label", "grams"]
+    own = voted.select(*keys, "diagonal", "ts")
+    likely = own.groupBy("number", "template", "grams").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("n")).where(F.col("n") >= SHARE * F.col("grams"))
+    fixed = F.broadcast(voted.sparkSession.createDataFrame(series(), "template int, width int, shift int"))  # a fixed table
+    bands = own.join(likely.select("number", "template"), ["number", "template"]).join(fixed, "template")
+    bands = bands.withColumn("band", F.floor((F.col("diagonal") + F.col("shift")) / F.col("width")))
+    places = F.transform("ts", lambda t: F.struct((F.col("diagonal") + t).alias("p"), (-t).alias("back")))
+    merged = bands.groupBy(*keys, "width", "shift", "band").agg(F.array_sort(F.flatten(F.collect_list(places))).alias("votes"))  # of one document
     merged = merged.where(F.size("votes") >= SHARE * F.col("grams"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("t"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    step = lambda s, v: F.when(v["t"] > s["t"], F.struct((s["n"] + 1).alias("n"), v["t"].alias("t"), F.coalesce(s["first"], v["p"]).alias("first"), v["p"].alias("last"))).otherwise(s)
-    verified = merged.withColumn("run", F.aggregate("votes", start, step)).withColumn("share", F.col("run.n") / F.col("grams"))
-    return verified.where(F.col("share") >= SHARE).select("number", "label", "share", F.col("run.first").alias("first"), (F.col("run.last") + (K - 1)).alias("last"))
+    # Ends of the chains of each length, the smallest place in the template that each length can end at; votes of one place come with falling places in the template.
+    start = F.expr("cast(array() as array<struct<t:int,first:int,last:int>>)")
+
+    def step(ends, v):
+        t, p = -v["back"], v["p"]
+        before = F.filter(ends, lambda e: e["t"] < t)
+        n = F.size(before)
+        first = F.when(n > 0, F.element_at(before, n)["first"]).otherwise(p)
+        return F.concat(before, F.array(F.struct(t.cast("int").alias("t"), first.cast("int").alias("first"), p.cast("int").alias("last"))), F.slice(ends, n + 2, F.size(ends)))
+
+    verified = merged.withColumn("ends", F.aggregate("votes", start, step)).withColumn("share", F.size("ends") / F.col("grams")).where(F.col("share") >= SHARE)
+    whole = F.element_at("ends", -1)
+    return verified.select("number", "label", "share", whole["first"].alias("first"), (whole["last"] + (K - 1)).alias("last"))
 
 
 def licenses(docs: DataFrame) -> DataFrame:
@@ -102,6 +130,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _VALUES = ", ".join(f"({n}, '{label}', {'true' if n < len(BASE) else 'false'}, '{phrase}')" for n, (label, phrase) in enumerate(phrases()))
+_SERIES = ", ".join(map(str, series()))
 OP7_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}') AS ws FROM documents),
@@ -115,12 +144,14 @@ base AS (
   SELECT r, label, p - t AS diagonal FROM g2 JOIN (SELECT *, ws[t + 1] || ' ' || ws[t + 2] AS gram FROM t2) USING (gram)
   GROUP BY r, template, label, grams, p - t HAVING count(*) = grams),
 vote AS (SELECT r, template, label, grams, p, t, p - t AS diagonal FROM g3 JOIN (SELECT *, ws[t + 1] || ' ' || ws[t + 2] || ' ' || ws[t + 3] AS gram FROM t3) USING (gram)),
-band AS (SELECT *, floor((diagonal + shift) / {BAND}) AS band FROM vote, (VALUES (0), ({BAND // 2})) s(shift)),
-forth AS (
-  SELECT r, template, label, grams, shift, band, t > coalesce(max(t) OVER (PARTITION BY r, template, shift, band ORDER BY p, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS goes_on FROM band),
-near AS (
-  SELECT r, label, count(*) FILTER (WHERE goes_on) / any_value(grams)::DOUBLE AS share FROM forth
-  GROUP BY r, template, label, shift, band HAVING count(*) FILTER (WHERE goes_on) / any_value(grams)::DOUBLE >= {SHARE}),
+likely AS (SELECT r, template FROM vote GROUP BY r, template, grams HAVING count(DISTINCT t) >= {SHARE} * grams),
+series(template, width, shift) AS (VALUES {_SERIES}),
+band AS (
+  SELECT r, template, label, grams, width, shift, floor((diagonal + shift) / width) AS band, list([t] ORDER BY p, t DESC) AS ts
+  FROM vote JOIN likely USING (r, template) JOIN series USING (template) GROUP BY ALL HAVING count(*) >= {SHARE} * grams),
+chain AS (
+  SELECT r, label, len(list_reduce(ts, lambda ends, v: list_concat(list_concat(list_filter(ends, lambda e: e < v[1]), v), ends[len(list_filter(ends, lambda e: e < v[1])) + 2:]))) / grams::DOUBLE AS share FROM band),
+near AS (SELECT r, label, share FROM chain WHERE share >= {SHARE}),
 lab AS (SELECT r, label, 1.0::DOUBLE AS share FROM base UNION ALL SELECT r, label, share FROM near),
 l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM lab GROUP BY r),
 b AS (SELECT r, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r)

@@ -436,21 +436,43 @@ MIT = max((t for label, t in license_texts.phrases() if label == "mit"), key=len
 
 
 def in_order(words, template, k=3):
-    """The best share of a template's grams that stand in a row of places, by brute force over all bands."""
+    """The best share of a template's grams that stand in order, by brute force over all bands of all widths."""
     where = {}
     for t in range(len(template) - k + 1):
         where.setdefault(tuple(template[t : t + k]), []).append(t)
-    votes = sorted((p, t) for p in range(len(words) - k + 1) for t in where.get(tuple(words[p : p + k]), []))
-    best = 0
-    for shift in (0, licenses.BAND // 2):
-        for band in {(p - t + shift) // licenses.BAND for p, t in votes}:
-            last = n = -1
-            n = 0
+    votes = sorted(((p, t) for p in range(len(words) - k + 1) for t in where.get(tuple(words[p : p + k]), [])), key=lambda v: (v[0], -v[1]))
+    grams = len(template) - k + 1
+    best, width = 0, licenses.BAND
+    while True:
+        for shift in (0, width // 2):
+            bands = {}
             for p, t in votes:
-                if (p - t + shift) // licenses.BAND == band and t > last:
-                    last, n = t, n + 1
-            best = max(best, n)
-    return best / (len(template) - k + 1)
+                bands.setdefault((p - t + shift) // width, []).append(t)
+            best = max([best, *map(longest_rise, bands.values())])
+        if width >= 2 * max(grams, licenses.REACH):
+            return best / grams
+        width *= 4
+
+
+def longest_rise(ts):
+    """Quadratic: the longest strictly rising subsequence."""
+    best = []
+    for i, t in enumerate(ts):
+        best.append(1 + max((b for b, u in zip(best, ts[:i], strict=True) if u < t), default=0))
+    return max(best, default=0)
+
+
+@pytest.mark.parametrize("n", [4, 9, 17, 40])
+def test_words_put_into_a_license_do_not_hide_it(spark, n):
+    templates = license_texts.phrases()[len(license_texts.BASE) :]
+    rows = []
+    for i, (_, phrase) in enumerate(templates):
+        words = phrase.split()
+        if len(words) - 2 >= 5:  # two grams are broken
+            for at in {len(words) // 2, len(words) // 3, len(words) - 4}:
+                rows.append((i, "pad " * 30 + " ".join(words[:at] + [f"put{k}" for k in range(n)] + words[at:]) + " tail" * 5))
+    got = licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows) and all(templates[r["doc_id"]][0] in r["labels"].split(",") for r in got)
 
 
 def test_license_spans_against_brute_force(spark):
