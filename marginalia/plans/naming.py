@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming as N
 from ..operators import references as X
+from ..operators import similarity
 from .common import table
 
 #: Forms around a document's first words, by which its name, venue and answer get their shape.
@@ -104,5 +105,11 @@ def text_records(spark, sf):
     return X.best_by_text(wanted, found)
 
 
-QUERIES = {f.__name__: f for f in (document_names, display_texts, title_records, text_records)}
+def nearest_names(spark, sf):
+    """For each document another one whose first line has the same name, else the most similar one of at least .9.  The ratio is beyond SQL; tests hold it against all pairs."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), similarity.name_key(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("name"))
+    return similarity.nearest_others(d).select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("other_id"), F.round("ratio", 6).alias("ratio"), "found")
+
+
+QUERIES = {f.__name__: f for f in (document_names, display_texts, title_records, text_records, nearest_names)}
 ORACLE_SQL = {"document_names": NAMES_SQL, "display_texts": DISPLAY_SQL}
