@@ -16,7 +16,7 @@ from ..functions.text import _c, citation_set
 NOISE_LINES = (
     "^ACM Trans\\. Graph\\., Vol\\.", "^Publication date:\\s+", "^ACM Transactions on Graphics\\b", "^Latest updates:\\s*", "^Check for updates\\s*$", "^RESEARCH-ARTICLE\\b", "^PDF Download\\b", "^Total Citations:", "^Total Downloads:",
     "^Citation in BibTeX format\\b", "^Open Access Support provided by:\\s*$", "^Contents lists available at\\s+ScienceDirect\\s*$", "^journal homepage:\\s+", "^A\\s+R\\s+T\\s+I\\s+C\\s+L\\s+E\\s+I\\s+N\\s+F\\s+O\\s*$", "^Article history\\s*$", "^Keywords:\\s*$",
-    "^Optics and Laser Technology\\s*$", "^Optics Express\\s*$", "^Vol\\.\\s*\\d+\\s*,\\s*No\\.\\s*\\d+\\s*\\|\\s*\\d+.*OPTICS EXPRESS.*$", "^[A-Z]\\.\\s*[A-Za-z\\-]+\\s+et al\\.\\s*$", "^[0-9():,;\\s]{8,}$", "^\\s*\\d+:\\d+\\s*$", "^\\s*-\\s*$",
+    "^Optics and Laser Technology\\s*$", "^Optics Express\\s*$", "^Vol\\.\\s*\\d+\\s*,\\s*No\\.\\s*\\d+\\s*\\|\\s*\\d+.*OPTICS EXPRESS.*$", "^[A-Z]\\.\\s*[A-Za-z\\-']+\\s+et al\\.\\s*$", "^[0-9():,;\\s]{8,}$", "^\\s*\\d+:\\d+\\s*$", "^\\s*-\\s*$",
     "^\\s*REVIEW\\s+ARTICLE\\s*$", "^\\s*(?:NATURAL|NATURE)\\s+PHOTONICS\\s*$",
 )
 UNREADABLE = "(?i)\\((?:incomplete\\s+visible|partially\\s+visible|not\\s+fully\\s+visible)\\)|\\b(?:unreadable|illegible)\\b"

@@ -142,25 +142,37 @@ def heading_overlap(a: Column, b: Column) -> Column:
     return F.when((a != "") & (b != ""), inside + scoring.geometric_overlap(text.match_tokens(a), text.match_tokens(b))).otherwise(0.0)
 
 
+def block_pairs(seg: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, seg_no and block_id of the segments and blocks of a document that could match: they share a word, of the heading or of the text, or the number that is sought; or either is a formula, whose letters
+    are compared; or the block may contain the segment's beginning, so that it has the longest of its words but the first and the last (whose ends may lie within a word of the block).  Segments of one or two words, which have no
+    such word, meet all blocks of their document."""
+    mark = lambda c, p: F.transform(c, lambda t: F.concat(F.lit(p), t))
+    only = lambda c, v: F.when(c, F.array(v)).otherwise(F.array().cast("array<string>"))
+    head = F.split(F.substring(text.match_text("segment"), 1, 72), " ")
+    inner = F.array_max(F.transform(F.slice(head, 2, F.greatest(F.size(head) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    sought = F.concat(F.lit("n:"), F.col("wanted").cast("string"))
+    seg_keys = F.concat(
+        mark("q_words", "w:"), mark(text.match_tokens("heading"), "h:"), only(F.col("wanted") > 0, sought), only(F.col("q_eq") | (inner.isNull() & (F.trim("segment") != "")), F.lit("any")), only(inner.isNotNull(), F.concat(F.lit("s:"), inner)), F.array(F.lit("formula")),
+    )
+    said = F.transform(F.regexp_extract_all("text", F.lit("\\d{1,3}"), F.lit(0)), lambda n: F.concat(F.lit("n:"), n.cast("int").cast("string")))
+    row_keys = F.concat(
+        mark("b_words", "w:"), mark(text.match_tokens("b_heading"), "h:"), said, only(F.col("number") > 0, F.concat(F.lit("n:"), F.col("number").cast("string"))), only(F.col("b_eq"), F.lit("formula")), mark(F.split(text.match_text("text"), " "), "s:"), F.array(F.lit("any")),
+    )
+    keyed = lambda df, name, keys: df.select("doc_id", name, F.explode(F.array_distinct(keys)).alias("key"))
+    return keyed(seg, "seg_no", seg_keys).join(keyed(rows, "block_id", row_keys), ["doc_id", "key"]).select("doc_id", "seg_no", "block_id").distinct()
+
+
 def match_blocks(segments: DataFrame, blocks: DataFrame, k: int = 3) -> DataFrame:
     """segments: doc_id, seg_no, segment, heading, prefer_kind and number (0: none).  blocks: numbered().  The k best blocks of its own document for
     each segment from a floor on, which depends on whether a number, a formula or text is sought.
 
-    Pairs are made where a word, the number or a formula on either side is shared: no other pair can reach a floor but by its heading, so words of the
-    heading count as shared words too."""
+    Pairs are made by block_pairs(): no other pair can reach a floor."""
     eq = F.col("q_eq")
     seg = segments.select("doc_id", "seg_no", "segment", "heading", "prefer_kind", F.col("number").alias("wanted"), equation_signal("segment").alias("q_eq"), text.match_tokens("segment").alias("q_words"))
-    mark = lambda c, p: F.transform(c, lambda t: F.concat(F.lit(p), t))
-    only = lambda c, *v: F.when(c, F.array(*[F.lit(x) for x in v])).otherwise(F.array().cast("array<string>"))
-    seg_keys = F.array_distinct(F.concat(mark(F.col("q_words"), "w:"), mark(text.match_tokens("heading"), "h:"), F.array(F.concat(F.lit("n:"), "wanted")), only(eq, "any"), F.array(F.lit("formula"))))
     rows = blocks.select("doc_id", "block_id", "order_index", "kind", "is_caption", "number", F.col("line").alias("text"), F.col("heading_path").alias("b_heading"))
     rows = rows.withColumns({"b_eq": equation_signal("text"), "b_words": text.match_tokens("text")})
-    mentioned = F.transform(F.regexp_extract_all("text", F.lit("\\d{1,3}"), F.lit(0)), lambda n: F.concat(F.lit("n:"), n.cast("int")))
-    row_keys = F.array_distinct(F.concat(mark(F.col("b_words"), "w:"), mark(text.match_tokens("b_heading"), "h:"), mentioned, F.array(F.concat(F.lit("n:"), "number")), only(F.col("b_eq"), "formula"), F.array(F.lit("any"))))
     # Pairs of ids alone are made distinct; the texts join them afterwards.
-    keyed = lambda df, name, keys: df.select("doc_id", name, F.explode(keys).alias("key"))
-    pairs = keyed(seg, "seg_no", seg_keys).join(keyed(rows, "block_id", row_keys), ["doc_id", "key"]).select("doc_id", "seg_no", "block_id").distinct()
-    pairs = pairs.join(seg, ["doc_id", "seg_no"]).join(rows, ["doc_id", "block_id"])
+    pairs = block_pairs(seg, rows).join(seg, ["doc_id", "seg_no"]).join(rows, ["doc_id", "block_id"])
     query, body = text.match_text("segment"), text.match_text("text")
     head = F.substring(query, 1, 72)
     plus = lambda c, v: F.when(c, v).otherwise(0.0)

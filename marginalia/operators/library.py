@@ -60,11 +60,28 @@ def tag_lists(tags: DataFrame, key: str = "doc_id") -> DataFrame:
     return tags.groupBy(key, "origin").agg(F.array_join(F.transform(ordered, lambda r: r["tag"]), ",").alias("tags"))
 
 
+#: So many phrases are looked for in each text; more are joined with the texts' runs of words.
+FEW_PHRASES = 200
+
+
+def phrase_hits(phrases: DataFrame, signals: DataFrame) -> DataFrame:
+    """doc_id, signal, weight, label and phrase, once for each signal whose text (normalised) has the phrase as whole words."""
+    signals = signals.where("text is not null")
+    if phrases.count() <= FEW_PHRASES:
+        stands = F.concat(F.lit(" "), "text", F.lit(" ")).contains(F.concat(F.lit(" "), "phrase", F.lit(" ")))
+        return signals.join(F.broadcast(phrases), stands).select("doc_id", "signal", "weight", "label", "phrase")  # its number is checked
+    longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0]
+    # A column of its own, so that a text is split once and not for each of its words.
+    said = signals.select("doc_id", "signal", "weight", F.split("text", " ").alias("said")).select("*", F.size("said").alias("n"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("said", i, k), " "))))
+    return said.select("doc_id", "signal", "weight", F.explode(F.array_distinct(runs)).alias("phrase")).join(phrases, "phrase").select("doc_id", "signal", "weight", "label", "phrase")
+
+
 def suggestions(phrases: DataFrame, signals: DataFrame, tags: DataFrame, floor: float = 1.8, most: int = 6) -> DataFrame:
-    """phrases: label, phrase (a small rule table).  signals: doc_id, signal, weight, text (normalised).  Labels whose phrases stand in
+    """phrases: label, phrase.  signals: doc_id, signal, weight, text (normalised).  Labels whose phrases stand in
     a document's signals, scored weight * (.9 + .4 (words - 1)), without those the user has already; the best few."""
     words = F.size(F.split("phrase", " "))
-    hit = signals.join(F.broadcast(phrases), F.concat(F.lit(" "), "text", F.lit(" ")).contains(F.concat(F.lit(" "), "phrase", F.lit(" "))))  # rules: a fixed table
+    hit = phrase_hits(phrases, signals)
     scored = hit.groupBy("doc_id", "label").agg(F.round(F.sum(F.col("weight") * (0.9 + 0.4 * (words - 1))), 6).alias("score")).where(F.col("score") >= floor)
     fresh = scored.join(tags.where("origin = 'user'").select("doc_id", F.lower("tag").alias("label")), ["doc_id", "label"], "left_anti")
     return fresh.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "label"))).where(F.col("place") <= most)

@@ -29,7 +29,7 @@ def noise_lines(spark, sf):
 
 
 _NOISE = "CASE pos % 19 " + " ".join(f"WHEN {n} THEN '{form}'" for n, form in NOISE.items()) + " ELSE line END"
-_PATTERN = "|".join(C.NOISE_LINES)
+_PATTERN = "|".join(C.NOISE_LINES).replace("'", "''")
 NOISE_SQL = f"""WITH raw AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)), l AS (SELECT doc_id, pos, {_NOISE} AS line FROM raw),
 f AS (SELECT *, regexp_matches(line, '^\\s*```') AS fe, trim(line) = '$$' AS mk, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS p FROM l), g AS (SELECT *, sum(fe::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS nf, sum((mk AND NOT fe)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS nm, trim(regexp_replace(p, '^#+\\s*', '')) AS b FROM f),
 k AS (SELECT * FROM g WHERE NOT (nf % 2 = 0 AND nm % 2 = 0 AND NOT fe AND NOT mk AND regexp_matches(line, '{C.UNREADABLE}')) AND NOT (p <> '' AND (regexp_matches(p, '{_PATTERN}') OR regexp_matches(b, '{_PATTERN}')))

@@ -218,3 +218,35 @@ def test_windows_and_duplicates_go_on_from_a_checkpoint(spark, tmp_path):
 def test_pages_budget(spark):
     hits = spark.createDataFrame([("q", 1, "a" * 7), ("q", 2, "b" * 7), ("q", 3, "c")], "query_id string, rank int, text string")
     assert [r["rank"] for r in R.within_budget(hits, 10).orderBy("rank").collect()] == [1]
+
+
+def test_blocks_without_a_common_word_are_no_pairs(spark):
+    """No word, number or formula in common, and no number sought: no pair, however many blocks; a block that contains the beginning within its words is one."""
+    from marginalia.operators import indices as I
+
+    seg = [(1, i, f"alpha{i} beta{i} gamma{i} delta{i}", "", "", 0, False, [f"alpha{i}", f"beta{i}", f"gamma{i}", f"delta{i}"]) for i in range(300)]
+    seg += [(1, 900, "ta0 middle0 ep", "", "", 0, False, ["ta0", "middle0", "ep"]), (1, 901, "lon", "", "", 0, False, ["lon"])]
+    rows = [(1, f"p{i}", i, "paragraph", False, 0, f"zeta{i} middle{i} epsilon{i}", "", False, [f"zeta{i}", f"middle{i}", f"epsilon{i}"]) for i in range(300)]
+    seg = spark.createDataFrame(seg, "doc_id long, seg_no int, segment string, heading string, prefer_kind string, wanted int, q_eq boolean, q_words array<string>")
+    rows = spark.createDataFrame(rows, "doc_id long, block_id string, order_index int, kind string, is_caption boolean, number int, text string, b_heading string, b_eq boolean, b_words array<string>")
+    got = {(r["seg_no"], r["block_id"]) for r in I.block_pairs(seg, rows).collect()}
+    assert {p for p in got if p[0] < 900} == set() and (900, "p0") in got and len({p for p in got if p[0] == 901}) == 300
+
+
+def test_names_of_authors_with_apostrophes_are_noise(spark):
+    from marginalia.operators import cleanup as C
+
+    lines = ["J. O'Neil et al.", "M. Smith-Jones et al.", "J. O'Neil et al. show that"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in lines], "x string").select(C.is_noise_line("x")).collect()] == [True, True, False]
+
+
+def test_phrases_are_found_alike_however_many(spark, monkeypatch):
+    from marginalia.operators import library as L
+
+    signals = spark.createDataFrame([(1, "head", 2.0, "in the light of it"), (1, "body", 1.0, "light of the in"), (2, "body", 1.0, ""), (3, "body", 1.0, None), (4, "body", 1.0, "the light the light")], "doc_id long, signal string, weight double, text string")
+    phrases = spark.createDataFrame([("a", "the light"), ("b", "light"), ("c", "in the light of it"), ("d", "ght of"), ("e", "it in")], "label string, phrase string")
+    found = []
+    for few in (200, 0):
+        monkeypatch.setattr(L, "FEW_PHRASES", few)
+        found.append(sorted(map(tuple, L.phrase_hits(phrases, signals).collect())))
+    assert found[0] == found[1] and [r[3] for r in found[0]] == ["b", "a", "b", "c", "a", "b"]
