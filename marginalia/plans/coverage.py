@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import coverage as C
 from ..operators import indices as I
+from ..operators import markdown as M
 from ..sources.shared import kept
 from .common import table
 from .indices import _MATCH, _SIGNAL, FIGURES, RICH, blocks
@@ -20,17 +21,24 @@ SHARED = 40
 def sources(spark, sf) -> DataFrame:
     """answer_id and doc_id: the smallest document that has a line of SHARED characters or more in common with a later one."""
     line = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    line = line.where(F.length("line") >= SHARED).select("doc_id", F.xxhash64("line").alias("h"), F.sha1("line").alias("line")).distinct()
-    first = line.groupBy("h", "line").agg(F.min("doc_id").alias("first"))
-    return line.join(first, ["h", "line"]).where("first < doc_id").groupBy(F.col("doc_id").alias("answer_id")).agg(F.min("first").alias("doc_id"))
+    line = line.where(F.length("line") >= SHARED).select("doc_id", F.unhex(F.md5("line")).alias("line")).distinct()
+    first = line.groupBy("line").agg(F.min("doc_id").alias("first"))
+    return line.join(first, "line").where("first < doc_id").groupBy(F.col("doc_id").alias("answer_id")).agg(F.min("first").alias("doc_id"))
 
 
-def claims(spark, sf) -> DataFrame:
+def _blocks(spark, sf, src: DataFrame, key: str) -> DataFrame:
+    """Numbered blocks of the documents that src names in a column; no others are read into a shuffle."""
+    docs = table(spark, sf, "documents").join(src.select(F.col(key).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return I.numbered(M.blocks(M.with_heading_path(M.rich_lines(docs))))
+
+
+def claims(spark, sf, src: DataFrame | None = None, theirs: DataFrame | None = None) -> DataFrame:
     """The lines of a document that has a source, as claims, with the first block of the source that has the same text."""
-    b = I.numbered(blocks(spark, sf))
-    ours = b.join(sources(spark, sf).withColumnRenamed("doc_id", "source_id"), F.col("doc_id") == F.col("answer_id"))
+    src = sources(spark, sf) if src is None else src
+    theirs = _blocks(spark, sf, src, "doc_id") if theirs is None else theirs
+    ours = _blocks(spark, sf, src, "answer_id").join(src.withColumnRenamed("doc_id", "source_id"), F.col("doc_id") == F.col("answer_id"))
     ours = ours.select("answer_id", F.col("order_index").alias("seg_no"), F.col("line").alias("segment"), "kind", F.col("heading_path").alias("heading"), F.col("source_id").alias("doc_id"), F.sha1(text.match_text("line")).alias("said"))
-    theirs = b.groupBy("doc_id", F.sha1(text.match_text("line")).alias("said")).agg(F.min_by("block_id", "order_index").alias("block_id"), F.min("order_index").alias("order_index"))
+    theirs = theirs.groupBy("doc_id", F.sha1(text.match_text("line")).alias("said")).agg(F.min_by("block_id", "order_index").alias("block_id"), F.min("order_index").alias("order_index"))
     out = ours.join(theirs, ["doc_id", "said"], "left").drop("said")
     typed = C.claim_types(out.withColumn("mode", F.when(F.col("block_id").isNotNull(), "direct").otherwise("synthesis")))
     return typed.withColumn("mode", F.when(F.col("claim_type").isin(*C.MARKED), "direct").otherwise(F.col("mode")))
@@ -54,8 +62,10 @@ def quote_bindings(spark, sf):
 
 
 def contract(spark, sf) -> DataFrame:
-    """The contract of all claims.  Claims, blocks and bindings are used several times and kept as tables."""
-    c, n = kept(claims(spark, sf), "claims"), kept(I.numbered(blocks(spark, sf)), "blocks")
+    """The contract of all claims.  Claims, blocks of sources and bindings are used several times and kept as tables."""
+    src = kept(sources(spark, sf), "sources")
+    n = kept(_blocks(spark, sf, src, "doc_id"), "blocks")
+    c = kept(claims(spark, sf, src, n), "claims")
     b = n.drop("anchor_id", "is_caption", "number")
     bound = kept(C.bound_claims(c, n, BY, C.equation_bindings(c, I.equations(b), BY), C.figure_bindings(c, n, I.figures(b), BY), C.quote_bindings(c, n, BY)), "bound")
     agree = (F.col("number") > 0) & (F.col("number") == F.col("block_number"))
