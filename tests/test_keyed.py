@@ -3,7 +3,9 @@
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,66 @@ def test_late_events_are_left_out(spark, tmp_path):
     frame(spark, late + [(9, START + 9 * DAY, 99_999, "start", 0, 0.0)]).write.mode("append").parquet(f"{tmp_path}/in")
     got = K.applied(stream(spark, f"{tmp_path}/in"), K.Runs(), f"file://{tmp_path}/out")
     assert ordered(r.asDict() for r in got.where("key <> 9").collect()) == ordered(plain(K.Runs, rows))
+
+
+class CountedStore:
+    """A store in memory that counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.rows, self.stored, self.timers = 0, [], None, set()
+
+    def getListState(self, *a):
+        return self
+
+    def getValueState(self, *a):
+        outer = self
+
+        class Value:
+            def get(self):
+                outer.calls += 1
+                return outer.stored
+
+            def exists(self):
+                outer.calls += 1
+                return outer.stored is not None
+
+            def update(self, value):
+                outer.calls += 1
+                outer.stored = value
+
+        return Value()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def get(self):
+        self.calls += 1
+        return list(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+
+@pytest.mark.parametrize("passed", [12, 30])
+def test_calls_to_the_store_do_not_grow_with_the_slices_of_a_key(passed):
+    """30 days of a key in one batch: what the watermark has passed is applied in one call, what it has not stays."""
+    rows = [r for r in events(K.Runs, days=30) if r[0] == 0]
+    frame = pd.DataFrame([(int(r[1].timestamp() * 1e6), *r[2:]) for r in rows], columns=["at", "id", "op", "mark", "value"])
+    store, machine, got = CountedStore(), K.Runs(), []
+    machine.init(store)
+    machine.handleInputRows((0,), iter([frame[:50], frame[50:]]), None)
+    watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: int((START + passed * DAY).timestamp() * 1000))
+    while due := [t for t in store.timers if t <= watermark.getCurrentWatermarkInMs()]:
+        store.timers.remove(min(due))
+        for out in machine.handleExpiredTimer((0,), watermark, SimpleNamespace(getExpiryTimeInMs=lambda: min(due))):
+            got += out.to_dict("records")
+    want = [r for r in plain(K.Runs, rows) if r["slice_end"] <= (START + passed * DAY).replace(tzinfo=None)]
+    assert ordered(r | {"slice_end": datetime.fromtimestamp(r["slice_end"] / 1000, timezone.utc).replace(tzinfo=None)} for r in got) == ordered(want)
+    assert len(got) > 10 and store.calls <= 8 and len(store.timers) == (passed < 30)
