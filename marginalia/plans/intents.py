@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import intents as N
@@ -67,9 +69,18 @@ def anchor_hints(spark, sf):
 
 
 _KINDS = " ".join(f"WHEN coalesce(n{i}, 0) > 0 THEN {{'kind': '{kind}', 'number': n{i}}}" for i, (kind, _) in enumerate(N.ANCHORS))
-_GROUPS = ", ".join(f"nullif(trim(regexp_extract(text, '{p}', 1)), '') AS g{i}" for i, (_, p) in enumerate(N.ANCHORS))
+#: DuckDB's \\b knows ASCII letters alone ("figure Ciónquebo" would have the number Ci); these stand for the border of a word in any script, as Spark and the reference have it.
+_NO_WORD = "[^\\p{L}\\p{Nd}\\p{Mn}_]"
+
+
+def _bordered(p: str) -> str:
+    head, rest = ("(?i)", p[4:]) if p.startswith("(?i)") else ("", p)
+    return head + re.sub("^\\\\b", lambda _: f"(?:^|{_NO_WORD})", rest).replace("\\b", f"(?:{_NO_WORD}|$)")
+
+
+_GROUPS = ", ".join(f"nullif(trim(regexp_extract(text, '{_bordered(p)}', 1)), '') AS g{i}" for i, (_, p) in enumerate(N.ANCHORS))
 _NUMBERS = ", ".join(f"{_number_sql(f'g{i}')} AS n{i}" for i in range(len(N.ANCHORS)))
-_FORMS = "CASE kind " + " ".join(f"WHEN '{k}' THEN '(?i){'|'.join(v)}'" for k, v in N.NUMBERED.items()) + " END"
+_FORMS = "CASE kind " + " ".join(f"WHEN '{k}' THEN '(?i){'|'.join(_bordered(x.replace('N', '#')) for x in v)}'" for k, v in N.NUMBERED.items()) + " END"
 _LABELS = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{'|'.join(v)}'" for k, v in N.LABELS.items()) + " END"
 _WANT = lambda t: f"regexp_matches({_MATCH('prompt')}, '{N.WANTED[t]}')"
 _HAS = lambda t: f"regexp_matches({_MATCH('text')}, '{N.SHOWN[t]}')"
@@ -77,12 +88,13 @@ _BONUS = " + ".join(
     [f"CASE WHEN {_WANT(t)} THEN CASE WHEN {_HAS(t)} THEN {b} ELSE {N.MISSING.get(t, 0.0)} END ELSE 0 END" for t, b in N.BONUS.items()]
     + [f"CASE WHEN {_WANT(t)} AND {_HAS(r)} AND NOT {_HAS(t)} THEN {m} ELSE 0 END" for t, r, m in N.RIVALS]
 )
+#: A form may begin with the bracket or backslash that ended the one before it, so these stand twice where forms are counted.
 ANCHOR_SQL = f"""WITH {PROMPTS}, g AS (SELECT *, {_GROUPS} FROM pr WHERE turn = 0), n AS (SELECT conv_id, text, {_NUMBERS} FROM g), a AS (SELECT conv_id, text AS prompt, CASE {_KINDS} END AS a FROM n),
 b AS (SELECT p.conv_id, p.turn, p.text, a.prompt, a.a.kind AS kind, a.a.number AS number FROM pr p JOIN a USING (conv_id)),
-f AS (SELECT *, replace({_FORMS}, 'N', number::VARCHAR) AS form, {_LABELS} AS label FROM b)
+f AS (SELECT *, replace({_FORMS}, '#', number::VARCHAR) AS form, {_LABELS} AS label, regexp_replace(text, '([(（\\\\])', '\\1\\1', 'g') AS twice FROM b)
 SELECT conv_id, turn, kind, number::INT AS number, round(CASE WHEN kind IS NOT NULL AND text <> '' THEN CASE WHEN regexp_matches(lower(text), form) THEN 12 ELSE 0 END + CASE WHEN regexp_matches(lower(text), label) THEN 2 ELSE 0 END
   + CASE WHEN contains(lower(text), number::VARCHAR) THEN 1.2 ELSE 0 END ELSE 0 END::DOUBLE, 4) AS anchor_bonus,
- CASE WHEN len(regexp_extract_all(text, form)) > 0 THEN 40 + 12 * len(regexp_extract_all(text, form)) + CASE WHEN regexp_matches(ltrim(lower(text)), '^(?:fig\\.|figure|图|table|表|equation|theorem|lemma|definition|proposition|corollary|定理|引理|定义|命题|推论)') THEN 8 ELSE 0 END END::DOUBLE AS hits,
+ CASE WHEN len(regexp_extract_all(twice, form)) > 0 THEN 40 + 12 * len(regexp_extract_all(twice, form)) + CASE WHEN regexp_matches(ltrim(lower(text)), '^(?:fig\\.|figure|图|table|表|equation|theorem|lemma|definition|proposition|corollary|定理|引理|定义|命题|推论)') THEN 8 ELSE 0 END END::DOUBLE AS hits,
  round(({_BONUS})::DOUBLE, 4) AS term_bonus FROM f"""
 
 
