@@ -70,12 +70,12 @@ def anchor_hints(spark, sf):
 
 _KINDS = " ".join(f"WHEN coalesce(n{i}, 0) > 0 THEN {{'kind': '{kind}', 'number': n{i}}}" for i, (kind, _) in enumerate(N.ANCHORS))
 #: DuckDB's \\b knows ASCII letters alone ("figure Ciónquebo" would have the number Ci); these stand for the border of a word in any script, as Spark and the reference have it.
-_NO_WORD = "[^\\p{L}\\p{Nd}\\p{Mn}_]"
+NO_WORD = "[^\\p{L}\\p{Nd}\\p{Mn}_]"
 
 
 def _bordered(p: str) -> str:
     head, rest = ("(?i)", p[4:]) if p.startswith("(?i)") else ("", p)
-    return head + re.sub("^\\\\b", lambda _: f"(?:^|{_NO_WORD})", rest).replace("\\b", f"(?:{_NO_WORD}|$)")
+    return head + re.sub("^\\\\b", lambda _: f"(?:^|{NO_WORD})", rest).replace("\\b", f"(?:{NO_WORD}|$)")
 
 
 _GROUPS = ", ".join(f"nullif(trim(regexp_extract(text, '{_bordered(p)}', 1)), '') AS g{i}" for i, (_, p) in enumerate(N.ANCHORS))

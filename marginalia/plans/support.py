@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import prompts as P
 from ..operators import support as S
 from .common import table
+from .intents import NO_WORD
 
 BY = ["conv_id", "turn"]
 #: Cards of an answer.
@@ -117,11 +118,20 @@ r AS (SELECT conv_id, turn, 0::BIGINT AS i, NULL::BIGINT AS pos, NULL::BIGINT AS
 assigned AS (SELECT conv_id, turn, pos, slot, score FROM r WHERE slot IS NOT NULL)"""
 ASSIGNMENT_SQL = f"WITH RECURSIVE {_ASSIGNED} SELECT conv_id, turn, pos::INT AS pos, slot::INT AS slot, score FROM assigned"
 
+#: Whether a line names panels (selection.panel_letters); claims about panels have no lines here, so that for every other claim a slot fits less.
+_LETTER = f"(?i)(?:^|{NO_WORD})[a-z](?:{NO_WORD}|$)"
+_LETTERS = "(" + " OR ".join([
+    *[f"regexp_matches(m.line, '{p}')" for p in (
+        f"(?i)(?:^|{NO_WORD})[a-z]\\s*/\\s*[a-z](?:{NO_WORD}|$)", f"(?i)(?:^|{NO_WORD})panels?\\s+[a-g](?:\\s*(?:[/,&-]|\\band\\b)\\s*[a-g])*(?:[^a-z]|$)", "(?i)\\([a-g](?:\\s*[/,&-]\\s*[a-g])*\\)",
+        "(?m)(?:^|[.;:]\\s*)[A-Ga-g]\\s+[A-Z]", "(?im)(?:^|[.;:]\\s*)[a-z]\\s*,",
+    )],
+    f"len(list_filter(regexp_extract_all(m.line, '(?i)panels?\\s*\\(([^)]+)\\)', 1), lambda g: regexp_matches(g, '{_LETTER}'))) > 0",
+]) + ")"
 RESOLUTION_SQL = rf"""WITH RECURSIVE {_ASSIGNED},
 m AS (SELECT a.conv_id, a.turn, a.pos, s.slot, s.support_id, s.doc_idx, s.cite_policy, lc.own, lc.line FROM assigned a JOIN slots s USING (conv_id, turn, slot) JOIN lc USING (conv_id, turn, pos)),
-fit AS (SELECT m.conv_id, m.turn, m.pos, o.slot, o.support_id, o.cite_policy, list_intersect(m.own, o.cues) AS shared, len(m.own) AS n_own, o.claim_type = 'method_detail' AND regexp_matches(m.line, '{S.CONTEXT_METHOD}') AS fits, o.figure_like AND NOT regexp_matches(m.line, '{S.FIGURE_WORD}') AS away
+fit AS (SELECT m.conv_id, m.turn, m.pos, o.slot, o.support_id, o.cite_policy, list_intersect(m.own, o.cues) AS shared, len(m.own) AS n_own, o.claim_type = 'method_detail' AND regexp_matches(m.line, '{S.CONTEXT_METHOD}') AS fits, o.figure_like AND NOT regexp_matches(m.line, '{S.FIGURE_WORD}') AS away, {_LETTERS} AS letters
   FROM m JOIN slots o ON o.conv_id = m.conv_id AND o.turn = m.turn AND o.doc_idx = m.doc_idx WHERE contains(m.support_id, '-S')),
-fs AS (SELECT *, round((len(shared) + CASE WHEN len(list_intersect(shared, {_STRONG})) > 0 THEN 0.45 ELSE 0 END + CASE WHEN fits THEN 0.3 ELSE 0 END - CASE WHEN away THEN 1.15 ELSE 0 END)::DOUBLE, 6) AS score FROM fit),
+fs AS (SELECT *, round((len(shared) + CASE WHEN len(list_intersect(shared, {_STRONG})) > 0 THEN 0.45 ELSE 0 END + CASE WHEN fits THEN 0.3 ELSE 0 END - CASE WHEN letters THEN 0.65 WHEN away THEN 1.15 ELSE 0 END)::DOUBLE, 6) AS score FROM fit),
 chosen AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY conv_id, turn, pos ORDER BY score DESC, slot) = 1)
 SELECT conv_id, turn, pos::INT AS pos, n::INT AS n, support_id, slot::INT AS slot, score, NULL::INT AS num, CASE cite_policy WHEN 'locate_only' THEN 'locate_only' ELSE 'no_ref' END AS mode, '' AS replacement
 FROM (SELECT conv_id, turn, pos, 0 AS n, support_id, slot, NULL::DOUBLE AS score, cite_policy FROM m UNION ALL SELECT conv_id, turn, pos, 1, support_id, slot, score, cite_policy FROM chosen)"""
