@@ -136,9 +136,13 @@ def critical_fact(x: Column | str) -> Column:
     """How much a sentence states a fact that an answer must get right: length, figures, names, formulas, and words of the field."""
     x = text._c(x)
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text.strip_inline(x), "\\[\\d{1,3}(?:\\s*[-,–—]\\s*\\d{1,3})*\\]", " "), "\\(\\s*\\d{1,3}(?:\\s*[-,–—]\\s*\\d{1,3})*\\s*\\)", " "), "\\s+", " "))
-    n = F.length(plain)
-    terms = [_if(n >= 18, 0.12), _if(n >= 32, 0.12), _if(n >= 56, 0.08), _if(plain.rlike("\\d"), 0.08), _if(plain.rlike("[A-Z][A-Za-z0-9+-]{1,}"), 0.08), _if(equation_signal(plain), 0.14), _if(text.equation_number(plain) > 0, 0.12), _if(plain.rlike(FIGURE_CLAIM), 0.12), _if(F.lower(plain).rlike(EXPERIMENT_PROMPT), 0.10), _if(F.lower(plain).rlike(METHOD_PROMPT), 0.08), _if(plain.rlike(CRITICAL), 0.14)]
-    return F.when(plain == "", 0.0).otherwise(reduce(add, terms))
+
+    def scored(plain: Column) -> Column:
+        n = F.length(plain)
+        terms = [_if(n >= 18, 0.12), _if(n >= 32, 0.12), _if(n >= 56, 0.08), _if(plain.rlike("\\d"), 0.08), _if(plain.rlike("[A-Z][A-Za-z0-9+-]{1,}"), 0.08), _if(equation_signal(plain), 0.14), _if(text.equation_number(plain) > 0, 0.12), _if(plain.rlike(FIGURE_CLAIM), 0.12), _if(F.lower(plain).rlike(EXPERIMENT_PROMPT), 0.10), _if(F.lower(plain).rlike(METHOD_PROMPT), 0.08), _if(plain.rlike(CRITICAL), 0.14)]
+        return F.when(plain == "", 0.0).otherwise(reduce(add, terms))
+
+    return F.transform(F.array(plain), scored)[0]  # the argument of a lambda is computed once, a column where it is used
 
 
 def atom_score(atoms: DataFrame) -> DataFrame:
