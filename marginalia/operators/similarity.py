@@ -1,13 +1,16 @@
 """Joins by the matching-blocks ratio of names, exact at any floor from LEAST_FLOOR on.
 
-A ratio of r means that at least r times half the two lengths are matched in order, so all else are deletions and insertions.  A deletion breaks at most Q of a name's runs of Q characters and an insertion
-at most Q - 1 (counted with their repetitions).  Hence two such names share all but a known number of runs, and the rarest run they share is among that many and one of the rarest runs of each: names meet only by
-these.  What meets is held against the lengths and the characters, and then compared.  No name meets all others, whatever the number of names; a run that many names
-have is late in the order, and equal names are one.  Null and empty names meet none.
+Names meet in tiles: all names of neighbouring lengths against one another, as a ratio bounds how far two lengths may differ.  Of the pairs of a tile numpy tells by counts of characters, then of runs of two, which
+can reach the floor: a ratio of r means that at least r times half the two lengths are matched, in blocks of which any two have something unmatched between them, and a block of b characters holds b - 1 runs of two.
+In names of 200 characters and more difflib starts blocks only at rare characters and at the very beginning, so there are few blocks and most long runs must be shared too.  Only what is left is compared by difflib.
+The pairs that are counted grow with the square of the number of different names; a tile takes nanoseconds a pair and a bounded number of names.  Equal names are one.  Null and empty names meet none.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +19,18 @@ from pyspark.sql import types as T
 from ..functions import scoring, text
 from ..sources.shared import cut
 
-#: Characters of a run.
+#: Characters of a run of _runs(), which the joins no longer use: long names share too many of their rarest runs.
 Q = 2
-#: Below it short names may share no run at all.
+#: Below it the counts tell little.
 LEAST_FLOOR = 0.82
+#: Names of one side of a tile, and their characters.
+TILE, TILE_CHARACTERS = 16_384, 6_000_000
+#: How much longer than its shortest name the longest of a tile may be.
+STEP = 1.23
+#: Buckets of characters and of runs of two, and names of one side that are counted at once.
+KINDS, PAIRS, ROWS, COLUMNS = 128, 256, 64, 4096
+#: Characters of a long run, and from where on difflib leaves out the frequent ones.
+RUN, FREQUENT_FROM = 8, 200
 NAME_FLOOR, TIER_FLOOR = 0.9, 0.88
 #: The weights of a venue's similarity, what an equal acronym and a nearly equal query add, and from where on a query is nearly equal.
 RATIO_WEIGHT, WORD_WEIGHT = 0.68, 0.32
@@ -72,19 +83,145 @@ def ratio_from(floor: float):
     return ratio
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, floor: float = NAME_FLOOR) -> DataFrame:
-    """left_id, right_id and ratio of all pairs of different names with at least that ratio.  left, right: id and name, each name once."""
+class _Names:
+    """The names of one side of a tile in the order of their lengths, with the counts of their characters and of their runs of two."""
+
+    def __init__(self, ids, names):
+        order = sorted(range(len(names)), key=lambda i: len(names[i]))
+        self.ids, self.names = [ids[i] for i in order], [names[i] for i in order]
+        self.size = np.array([len(x) for x in self.names], dtype=np.int64)
+        self.codes = np.frombuffer("".join(self.names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        self.first = np.append(0, np.cumsum(self.size))
+        of = np.repeat(np.arange(len(names)), self.size)
+        self.kind = np.dtype(np.uint8 if self.size[-1] < 256 else np.uint16 if self.size[-1] < 65536 else np.uint32)
+        count = lambda rows, keys, width: np.bincount(rows * width + keys, minlength=len(names) * width).reshape(len(names), width)
+        single = count(of, (self.codes % np.uint64(KINDS)).astype(np.int64), KINDS)
+        inside = of[1:] == of[:-1]  # no run goes from one name to the next
+        self.single, self.double = single.astype(self.kind), count(of[:-1][inside], self._hashes(self.codes, 2, 64 - 8)[inside], PAIRS).astype(self.kind)
+        self.blocks = self._blocks(single, np.maximum.reduceat(self.codes, self.first[:-1]) >= KINDS)
+        self.runs = {}
+
+    @staticmethod
+    def _hashes(codes, width, shift):
+        if len(codes) < width:
+            return np.zeros(0, dtype=np.int64)
+        h = np.zeros(len(codes) - width + 1, dtype=np.uint64)
+        for k in range(width):
+            h = (h + codes[k : len(codes) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(shift)).astype(np.int64)
+
+    def _blocks(self, single, wide):
+        """How many matching blocks another name may have with each as the second: all but one at the beginning hold a character that is rare in it."""
+        out = np.where(single <= (self.size // 100 + 1)[:, None], single, 0).sum(axis=1) + 1
+        for i in np.flatnonzero(wide):  # buckets of several characters don't tell which are rare
+            times = np.unique(self.codes[self.first[i] : self.first[i + 1]], return_counts=True)[1]
+            out[i] = times[times <= self.size[i] // 100 + 1].sum() + 1
+        return np.where(self.size < FREQUENT_FROM, self.size, out)
+
+    def long_runs(self, i):
+        if i not in self.runs:
+            self.runs[i] = np.sort(self._hashes(self.codes[self.first[i] : self.first[i + 1]], RUN, 1))
+        return self.runs[i]
+
+
+def _promising(a: _Names, b: _Names, floor: float):
+    """Rows of a and of b whose counts of characters and of runs of two allow the floor, the ratio that the characters allow and how many long runs must be shared."""
+    for i in range(0, len(a.ids), ROWS):
+        for j in range(0, len(b.ids), COLUMNS):
+            n, m = a.size[i : i + ROWS], b.size[j : j + COLUMNS]
+            if min(n[-1], m[-1]) * (2 - floor) < max(n[0], m[0]) * floor - 1e-9:
+                continue
+            # A common count is at most the lesser of the two lengths, so the type that holds it will do.
+            kind = min(a.kind if n[-1] > 255 else np.dtype(np.uint8), b.kind if m[-1] > 255 else np.dtype(np.uint8), key=lambda t: t.itemsize)
+            top = np.iinfo(kind).max
+            x, y = np.minimum(a.single[i : i + ROWS], top).astype(kind), np.ascontiguousarray(np.minimum(b.single[j : j + COLUMNS], top).astype(kind).T)
+            common, part = np.zeros((len(n), len(m)), dtype=kind), np.empty((len(n), len(m)), dtype=kind)
+            for k in np.flatnonzero(x.any(axis=0) & y.any(axis=1)):
+                np.minimum(x[:, k, None], y[k], out=part)
+                common += part
+            least = np.ceil(np.add.outer(n, m) * (floor / 2) - 1e-6)
+            r, c = np.nonzero(common >= least)
+            for s in range(0, len(r), 4096):
+                p, q = r[s : s + 4096], c[s : s + 4096]
+                both, need = n[p] + m[q], least[p, q]
+                shared = np.minimum(a.double[i + p], b.double[j + q]).sum(axis=1, dtype=np.int64)
+                few = np.minimum(b.blocks[j + q], both - 2 * need + 1)
+                fits = shared >= need - few
+                p, q = p[fits], q[fits]
+                yield from zip((i + p).tolist(), (j + q).tolist(), (2 * common[p, q].astype(np.int64) / both[fits]).tolist(), (need - (RUN - 1) * few)[fits].tolist(), strict=True)
+
+
+def _tile(a: _Names, b: _Names, floor: float, best: bool):
+    """left_id, right_id and ratio of the pairs of a tile that reach the floor; of each left name the best one alone, if that is wanted."""
+    from difflib import SequenceMatcher
+
+    candidates: dict[int, list] = {}
+    for i, j, most, least in _promising(a, b, floor):
+        if least > 0:
+            own, other = a.long_runs(i), b.long_runs(j)
+            place = np.minimum(np.searchsorted(other, own), len(other) - 1)
+            if (other[place] == own).sum() < least:
+                continue
+        if a.names[i] != b.names[j]:
+            candidates.setdefault(i, []).append((-most, b.ids[j], j))
+    out, matcher, last = [], SequenceMatcher(None), None
+    if best:
+        for i, own in candidates.items():
+            top = None
+            for most, right, j in sorted(own):
+                if top and (-most < top[0] or (-most == top[0] and right > top[1])):
+                    break  # what follows can't be better
+                matcher.set_seqs(a.names[i], b.names[j])
+                value = matcher.ratio()
+                if value >= floor and (top is None or (-value, right) < (-top[0], top[1])):
+                    top = (value, right)
+            if top:
+                out.append((a.ids[i], top[1], top[0]))
+        return out
+    for j, i in sorted((j, i) for i, own in candidates.items() for _, _, j in own):
+        if j != last:
+            matcher.set_seq2(b.names[j])  # what it knows of the second name is kept
+            last = j
+        matcher.set_seq1(a.names[i])
+        value = matcher.ratio()
+        if value >= floor:
+            out.append((a.ids[i], b.ids[j], value))
+    return out
+
+
+def _tiled(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """names with the length class and the part of it that each falls into, and the number of parts of the classes (a few hundred rows at most)."""
+    classed = names.withColumn("of", F.floor(F.log(F.length("name").cast("double")) / math.log(STEP)).cast("int"))
+    parts = classed.groupBy("of").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.length("name").cast("long")) / TILE_CHARACTERS)).cast("int").alias("parts"))
+    return classed, cut(parts)
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, floor: float = NAME_FLOOR, best: bool = False) -> DataFrame:
+    """left_id, right_id and ratio of all pairs of different names with at least that ratio.  left, right: id and name, each name once.  best: of each left name those that may be its best one alone."""
     if floor < LEAST_FLOOR:
         raise ValueError(f"the floor must be at least {LEAST_FLOOR}")
     left, right = (t.where("name <> ''").select("id", "name") for t in (left, right))
-    a, b = cut(_runs(left.where(F.length("name") >= Q))), cut(_runs(right.where(F.length("name") >= Q)))
-    frequency = a.select("run").union(b.select("run")).groupBy("run").agg(F.count("*").alias("often"))
-    x = _rarest(a, frequency, floor).select(F.col("id").alias("left_id"), F.col("n").alias("left_n"), "run")
-    y = _rarest(b, frequency, floor).select(F.col("id").alias("right_id"), F.col("n").alias("right_n"), "run")
-    near = (F.least("left_n", "right_n") * (2 - floor) >= F.greatest("left_n", "right_n") * floor - 1e-9)
-    pairs = x.join(y, "run").where(near).select("left_id", "right_id").distinct()
-    named = pairs.join(left.select(F.col("id").alias("left_id"), F.col("name").alias("left_name")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("name").alias("right_name")), "right_id")
-    return named.where("left_name <> right_name").withColumn("ratio", ratio_from(floor)("left_name", "right_name")).where("ratio > 0").select("left_id", "right_id", "ratio")
+    (a, parts_a), (b, parts_b) = _tiled(left), _tiled(right)
+    reach = math.ceil(math.log((2 - floor) / floor) / math.log(STEP) + 1e-9)  # classes between two names of similar lengths
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    far = lambda own, other: F.abs(F.col(own) - F.col(other)) <= reach
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own_a, own_b = parts_a.toDF("of", "own"), parts_b.toDF("of", "own")
+    # Each name goes to all tiles of its part: as many as the other side has parts of similar lengths.
+    x = a.join(F.broadcast(own_a), "of").join(F.broadcast(parts_b.toDF("to", "parts")), far("of", "to")).select("id", "name", F.col("of").alias("x"), F.col("to").alias("y"), part("own").alias("u"), every("parts").alias("v"))
+    y = b.join(F.broadcast(own_b), "of").join(F.broadcast(parts_a.toDF("to", "parts")), far("of", "to")).select("id", "name", F.col("to").alias("x"), F.col("of").alias("y"), every("parts").alias("u"), part("own").alias("v")).toDF("other_id", "other_name", "other_x", "other_y", "other_u", "other_v")
+
+    def tile(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(one) and len(other):
+            found = _tile(_Names(one["id"].tolist(), one["name"].tolist()), _Names(other["other_id"].tolist(), other["other_name"].tolist()), floor, best)
+        return pd.DataFrame({"left_id": pd.Series([r[0] for r in found], dtype="int64"), "right_id": pd.Series([r[1] for r in found], dtype="int64"), "ratio": pd.Series([r[2] for r in found], dtype="float64")})
+
+    keys, other_keys = ("x", "y", "u", "v"), ("other_x", "other_y", "other_u", "other_v")
+    # A set number, as tiles take much longer than their bytes let the optimizer think.
+    n = 8 * left.sparkSession.sparkContext.defaultParallelism
+    return x.repartition(n, *keys).groupBy(*keys).cogroup(y.repartition(n, *other_keys).groupBy(*other_keys)).applyInPandas(tile, "left_id long, right_id long, ratio double")
 
 
 def best_names(left: DataFrame, right: DataFrame, floor: float = NAME_FLOOR) -> DataFrame:
@@ -94,20 +231,20 @@ def best_names(left: DataFrame, right: DataFrame, floor: float = NAME_FLOOR) ->
     classes = right.where("name <> ''").groupBy("name").agg(F.min("id").alias("id"))
     equal = of.join(classes, "name").select("left_id", F.col("id").alias("right_id"), F.lit(1.0).alias("ratio"), F.lit("equal").alias("found"))
     rest = of.join(classes.select("name"), "name", "left_anti").groupBy("name").agg(F.min("left_id").alias("id"))
-    best = similar_pairs(rest, classes, floor).groupBy("left_id").agg(F.max(F.struct("ratio", (-F.col("right_id")).alias("less"))).alias("b")).select(F.col("left_id").alias("id"), (-F.col("b.less")).alias("right_id"), F.col("b.ratio").alias("ratio"))
+    best = similar_pairs(rest, classes, floor, best=True).groupBy("left_id").agg(F.max(F.struct("ratio", (-F.col("right_id")).alias("less"))).alias("b")).select(F.col("left_id").alias("id"), (-F.col("b.less")).alias("right_id"), F.col("b.ratio").alias("ratio"))
     similar = best.join(rest, "id").join(of, "name").select("left_id", "right_id", "ratio", F.lit("similar").alias("found"))
     return equal.unionByName(similar)
 
 
 def nearest_others(names: DataFrame, floor: float = NAME_FLOOR) -> DataFrame:
     """best_names() of a table (id, name) with itself: another row of the same name, else the one with the most similar name."""
-    names = names.where("name <> ''").select("id", "name")
+    names = cut(names.where("name <> ''").select("id", "name"))
     first = names.groupBy("name").agg(F.min("id").alias("id"))
     second = names.join(first.withColumnRenamed("id", "first"), "name").where("id <> first").groupBy("name").agg(F.min("id").alias("second"))
     pair = first.join(second, "name")
     equal = names.join(pair.withColumnRenamed("id", "first"), "name").select(F.col("id").alias("left_id"), F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("right_id"), F.lit(1.0).alias("ratio"), F.lit("equal").alias("found"))
     alone = first.join(second.select("name"), "name", "left_anti").select("id", "name")
-    best = similar_pairs(alone, first.select("id", "name"), floor).groupBy("left_id").agg(F.max(F.struct("ratio", (-F.col("right_id")).alias("less"))).alias("b"))
+    best = similar_pairs(alone, first.select("id", "name"), floor, best=True).groupBy("left_id").agg(F.max(F.struct("ratio", (-F.col("right_id")).alias("less"))).alias("b"))
     return equal.unionByName(best.select("left_id", (-F.col("b.less")).alias("right_id"), F.col("b.ratio").alias("ratio"), F.lit("similar").alias("found")))
 
 

@@ -107,7 +107,7 @@ def text_records(spark, sf):
 
 def nearest_names(spark, sf):
     """For each document another one whose first line has the same name, else the most similar one of at least .9.  The ratio is beyond SQL; tests hold it against all pairs."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), similarity.name_key(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("name"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), similarity.name_key(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)).alias("name"))
     return similarity.nearest_others(d).select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("other_id"), F.round("ratio", 6).alias("ratio"), "found")
 
 
