@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
+from ..sources.shared import cut
 from .prompts import is_promising_reference
 
 
@@ -62,9 +63,9 @@ LENIENT = {"year": 0.10, "near": 0.04, "other_year": 0.0, "author": 0.08, "other
 CONTENT_FLOOR, NUMBER_FLOOR = 0.63, 0.56
 
 
-def row_score(raw: Column, row_text: Column, row_doi: Column, row_year: Column, row_author: Column, weights: dict[str, float]) -> Column:
-    """How well a row of a source's reference list fits a raw entry: 1 for the same DOI, else similarity of texts with year, author and DOI; null for a row without text."""
-    a, b = text.title_key(raw), text.title_key(row_text)
+def row_score(raw: Column, row_text: Column, row_doi: Column, row_year: Column, row_author: Column, weights: dict[str, float], keys: tuple[Column, Column] | None = None) -> Column:
+    """How well a row of a source's reference list fits a raw entry: 1 for the same DOI, else similarity of texts with year, author and DOI; null for a row without text.  keys: the title keys of both texts, where they are known."""
+    a, b = keys or (text.title_key(raw), text.title_key(row_text))
     words = lambda x: F.array_remove(F.split(x, " "), "")
     similar = F.when((a != "") & (b != ""), 0.68 * scoring.sequence_ratio(a, b) + 0.32 * scoring.jaccard(F.array_distinct(words(a)), F.array_distinct(words(b)))).otherwise(0.0)
     year, own = row_year.try_cast("int"), text.last_year(raw)
@@ -76,6 +77,14 @@ def row_score(raw: Column, row_text: Column, row_doi: Column, row_year: Column,
     return F.when(F.lower(row_doi) == text.doi_like(raw), 1.0).when(F.coalesce(row_text, F.lit("")) != "", scoring.clamp(score, 0, 1))
 
 
+def _scored(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """pairs with score.  Equal pairs of texts go to one task, which compares them once; keys are made once a pair."""
+    tasks = 8 * pairs.sparkSession.sparkContext.defaultParallelism  # a set number, as a pair takes longer than its bytes let the optimizer think
+    keyed = pairs.withColumns({"_a": text.title_key("raw"), "_b": text.title_key("row_text")}).repartition(tasks, "_a", "_b")
+    fields = [F.col(c) for c in ("raw", "row_text", "doi", "year", "author")]
+    return keyed.withColumn("score", row_score(*fields, weights, (F.col("_a"), F.col("_b")))).drop("_a", "_b")
+
+
 def order_rules(refs: DataFrame, rows: DataFrame) -> DataFrame:
     """refs: doc_id, num, raw.  rows: doc_id, pos (from 1), text, doi, year, author.  Per document: exact, prefix and loose, whether its entries may be
     mapped to the rows by their numbers.  The numbers count only if a sample of up to eight of them fits; with fewer than four, or fewer than three that
@@ -89,7 +98,7 @@ def order_rules(refs: DataFrame, rows: DataFrame) -> DataFrame:
     listed = rows.select(F.col("doc_id").alias("_doc"), "pos", F.col("text").alias("row_text"), "doi", "year", "author")
     scored = sampled.join(listed, (F.col("doc_id") == F.col("_doc")) & (F.col("num") == F.col("pos")))
     tells = (F.regexp_count(F.regexp_replace("row_text", text.DOI, " "), F.lit("[A-Za-z\\x{4e00}-\\x{9fff}]{2,}")) >= 4) | ((F.coalesce("doi", F.lit("")) != "") & text.doi_like("raw").isNotNull())
-    scored = scored.where(tells).withColumn("score", row_score(F.col("raw"), F.col("row_text"), F.col("doi"), F.col("year"), F.col("author"), STRICT)).where("score is not null")
+    scored = _scored(scored.where(tells), STRICT).where("score is not null")
     fits = scored.groupBy("doc_id").agg(F.count("*").alias("k"), F.count_if(F.col("score") >= 0.66).alias("strong"), F.count_if(F.col("score") >= 0.56).alias("ok"), F.avg("score").alias("mean"))
     enough = (F.col("ok") >= F.greatest(F.lit(3), F.ceil(F.col("k") * 0.60 - 0.001))) & (F.col("strong") >= F.greatest(F.lit(2), F.ceil(F.col("k") * 0.30 - 0.001))) & (F.col("mean") >= 0.58)
     aligned = fits.select("doc_id", ((F.col("k") < 3) | enough).alias("aligned"))
@@ -109,13 +118,12 @@ def match_rows(refs: DataFrame, rows: DataFrame) -> DataFrame:
     rules = order_rules(refs, rows)
     listed = rows.select(F.col("doc_id").alias("_doc"), "pos", F.col("text").alias("row_text"), "doi", "year", "author")
     at = refs.join(rules, "doc_id").join(listed, (F.col("doc_id") == F.col("_doc")) & (F.col("num") == F.col("pos")), "left")
-    fields = [F.col(c) for c in ("raw", "row_text", "doi", "year", "author")]
-    at = at.withColumn("score", F.round(row_score(*fields, LENIENT), 6))
+    at = _scored(at, LENIENT).withColumn("score", F.round("score", 6))
     ordered = F.col("exact") | (F.col("prefix") & (F.col("num") <= F.col("rows")))
     method = F.when(F.col("pos").isNull(), None).when(ordered, "order").when(F.col("score") >= NUMBER_FLOOR, "number").when(F.col("loose"), "loose")
-    at = at.withColumn("method", method)
+    at = cut(at.select("doc_id", "num", "pos", method.alias("method"), "score", F.when(method.isNull(), F.col("raw")).alias("raw")))
     rest = at.where("method is null").select("doc_id", "num", "raw").join(listed, F.col("doc_id") == F.col("_doc"))
-    rest = rest.withColumn("score", F.round(row_score(*fields, STRICT), 6)).where(F.col("score") >= CONTENT_FLOOR)
+    rest = _scored(rest, STRICT).withColumn("score", F.round("score", 6)).where(F.col("score") >= CONTENT_FLOOR)
     first = F.row_number().over(Window.partitionBy("doc_id", "num").orderBy(F.desc("score"), "pos"))
     found = rest.withColumn("_n", first).where("_n = 1").withColumn("method", F.lit("content"))
     columns = ["doc_id", "num", "pos", "method", "score"]
