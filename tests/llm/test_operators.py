@@ -5,7 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marginalia.llm import compaction, decontamination, license_texts, licenses, packing, pii, quality, simhash, substrings, toxicity, wavelet
@@ -429,6 +431,44 @@ def test_toxicity_of_odd_rows(spark):
     assert got.where("doc_id is null and held_out").count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    docs, labels = _toxic_tables(spark)
+    wanted = {i for i in range(240) if zlib.crc32(str(i).encode()) % 3 != 1}
+    flat = lambda m: np.append(toxicity._flat(m), m.shift)
+    whole = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "SAMPLE", {0: 30, 1: 20})
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20_000)
+    assert np.array_equal(flat(toxicity.fit(docs.repartition(7), labels)), flat(whole))  # neither sizes of samples nor the layout count
+    last = toxicity.labelled_rows(docs, labels).where("not back").collect()[-1]["text"]
+    changed = docs.withColumn("text", F.when(F.col("text") == last, F.lit("other words")).otherwise(F.col("text")))
+    assert not np.array_equal(flat(toxicity.fit(changed, labels)), flat(whole))
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 20_000)
+    rows = toxicity.labelled_rows(docs, labels)
+    assert rows.count() == len(wanted) and rows.select("shard").distinct().count() > 1
+    held = toxicity.toxicity(docs, labels).where("held_out").collect()
+    assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held) >= 0.95 * len(held)
+
+
+def test_shares_of_buckets_are_of_whole_texts(spark, monkeypatch):
+    texts = ["a b c", "c " * 50, None, "", "x" * 40 + " a", "d a"]
+    rows = spark.createDataFrame([(0, t or "", 1) for t in texts], "shard long, text string, toxic int").coalesce(1)
+    plain = np.zeros(toxicity.BUCKETS + 1)
+    for t in texts:
+        plain[np.unique(toxicity.features(pa.array([t], pa.string()))[0])] += 1
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 16)
+    parts = [(owner.tolist(), part.to_pylist()) for owner, part in toxicity._parts(pa.array(texts, pa.string()))]
+    assert ["".join(t or "" for o, p in parts for i, t in zip(o, p, strict=True) if i == k) for k in range(len(texts))] == [t or "" for t in texts]
+    assert max(len(p[0] or "") for o, p in parts if len(p) == 1) == 42 and len(parts) > 8
+    assert np.allclose(toxicity._shares(rows, 1) * len(texts), plain, atol=1e-5)
+
+
+def test_a_score_is_of_its_text_alone(spark):
+    model = toxicity._begin([np.zeros(toxicity.BUCKETS + 1)] * 2, [5, 5])
+    model.trained = True
+    texts = ["", "vile", "rotten vile words", None, "a b", "c d e f"]
+    assert np.allclose(model.scores(pa.array(texts)), [model.scores(pa.array([t], pa.string()))[0] for t in texts], atol=1e-6)
+
+
 # 7: licenses
 
 
