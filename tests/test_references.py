@@ -191,3 +191,28 @@ def test_equal_pairs_are_scored_in_one_task_and_compared_once(spark):
     scored = references._scored(spark.createDataFrame(rows, "doc_id long, raw string, row_text string, doi string, year string, author string").repartition(4), references.STRICT)
     tasks = scored.withColumn("task", F.spark_partition_id()).groupBy("raw", "row_text").agg(F.countDistinct("task").alias("tasks"), F.countDistinct("score").alias("scores"), F.count("*").alias("n")).collect()
     assert len(tasks) == 6 and {(t["tasks"], t["scores"], t["n"]) for t in tasks} == {(1, 1, 10)}
+
+
+def test_ratio_of_short_strings_is_difflibs():
+    from marginalia.functions import scoring
+
+    r = random.Random(5)
+    for letters in ("ab", "abc d", "abcdefgh 中😀"):
+        for _ in range(400):
+            x, y = ("".join(r.choice(letters) for _ in range(r.randint(0, n))) for n in (300, 190))
+            if x or y:
+                assert 2.0 * scoring._matched(x, y) / (len(x) + len(y)) == SequenceMatcher(None, x, y).ratio()
+    for n in (199, 200, 260):  # from 200 characters on difflib leaves out the frequent ones
+        x, y = ("".join(r.choice("abcdefgh ijk") for _ in range(n)) for _ in range(2))
+        assert scoring.ratio_of(x, y) == SequenceMatcher(None, x, y).ratio()
+
+
+def test_names_come_from_the_first_words_alone(spark, tmp_path):
+    texts = [None, "", "12 \n 3", "One", "one, two-three\nfour 5 six中seven", " ".join(f"w{chr(97 + i)}{i}" for i in range(26)), "x " * 18 + "last", "--a" * 19 + "!", "z" * 5000 + " y"]
+    spark.createDataFrame([(i, "s", "en", t) for i, t in enumerate(texts)], "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    named = naming._named(spark, tmp_path)
+    for r in named.collect():
+        words = re.findall("[A-Za-z]+", texts[r["doc_id"]] or "")
+        assert (r["head"], r["title"]) == (" ".join(words[:3]), " ".join(words[3:19]))
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(regexp_extract(" in plan.replace("coalesce(", "")  # the whole text isn't searched for each use
