@@ -190,7 +190,11 @@ BIBLIOGRAPHIC_FLOOR, YEAR_FLOOR, AUTHOR_FLOOR = 0.62, 0.72, 0.74
 
 def similarity(a: Column, b: Column, weight: float) -> Column:
     """weight * sequence ratio + (1 - weight) * Jaccard of two titles in normal form."""
-    x, y = text.title_key(a), text.title_key(b)
+    return key_similarity(text.title_key(a), text.title_key(b), weight)
+
+
+def key_similarity(x: Column, y: Column, weight: float) -> Column:
+    """similarity() of normal forms."""
     words = lambda v: F.array_distinct(F.array_remove(F.split(v, " "), ""))
     return F.when((x != "") & (y != ""), weight * scoring.sequence_ratio(x, y) + (1 - weight) * scoring.jaccard(words(x), words(y))).otherwise(0.0)
 
@@ -209,9 +213,9 @@ def best_by_title(wanted: DataFrame, candidates: DataFrame, least: float = 0.90,
     """wanted: want_id, title, year, venue, doi (empty where unknown).  candidates: want_id, rank, title, year, venue, doi (what a search gave for it).  The record of each: that of its DOI where the titles agree,
     else the best by title with year and venue, ties by venue, then year, then rank, if it passes the gates: a known year must match, else a known venue must fit, else the
     title alone must (if that is allowed)."""
-    pairs = candidates.select("want_id", "rank", *[F.col(c).alias(f"c_{c}") for c in ("title", "year", "venue", "doi")]).join(wanted, "want_id")
+    pairs = candidates.select("want_id", "rank", *[F.col(c).alias(f"c_{c}") for c in ("title", "year", "venue", "doi")], text.title_key("title").alias("c_key")).join(wanted.withColumn("key", text.title_key("title")), "want_id")
     known_year, known_venue = F.col("year") != "", F.col("venue") != ""
-    pairs = pairs.withColumns({"similar": similarity(F.col("title"), F.col("c_title"), 0.72), "same_year": known_year & (F.col("year") == F.col("c_year")), "fit": F.when(known_venue, venue_similarity(F.col("venue"), F.col("c_venue"))).otherwise(0.0)})
+    pairs = pairs.withColumns({"similar": key_similarity(F.col("key"), F.col("c_key"), 0.72), "same_year": known_year & (F.col("year") == F.col("c_year")), "fit": F.when(known_venue, venue_similarity(F.col("venue"), F.col("c_venue"))).otherwise(0.0)})
     score = F.col("similar") + F.when(~known_year, 0.0).when(F.col("same_year"), 0.06).otherwise(-0.10) + F.when(known_venue, 0.05 * (2 * F.col("fit") - 1)).otherwise(0.0)
     pairs = pairs.withColumn("score", F.round(score, 9))
     doi = (F.col("doi") != "") & (F.lower("doi") == F.lower("c_doi")) & ((F.col("title") == "") | (F.col("similar") >= 0.80))
@@ -227,13 +231,13 @@ def best_by_title(wanted: DataFrame, candidates: DataFrame, least: float = 0.90,
 def best_by_text(wanted: DataFrame, candidates: DataFrame, least: float = BIBLIOGRAPHIC_FLOOR) -> DataFrame:
     """wanted: want_id, raw.  candidates: want_id, rank, text, year, authors (family names), doi.  The best record of each raw reference by its whole text with year, first author
     and a DOI, the first of equals; another year or author needs a higher score."""
-    raw = wanted.where(is_promising_reference("raw")).select("want_id", "raw", text.last_year("raw").alias("year"), F.coalesce(text.first_author(text.clean_reference("raw")), F.lit("")).alias("author"))
-    pairs = candidates.select("want_id", "rank", "text", F.col("year").try_cast("int").alias("c_year"), F.transform("authors", lambda v: F.lower(v)).alias("authors"), F.col("doi").alias("c_doi")).join(raw, "want_id")
+    raw = wanted.where(is_promising_reference("raw")).select("want_id", text.title_key("raw").alias("key"), text.last_year("raw").alias("year"), F.coalesce(text.first_author(text.clean_reference("raw")), F.lit("")).alias("author"))
+    pairs = candidates.select("want_id", "rank", text.title_key("text").alias("c_key"), F.col("year").try_cast("int").alias("c_year"), F.transform("authors", lambda v: F.lower(v)).alias("authors"), F.col("doi").alias("c_doi")).join(raw, "want_id")
     gap = F.abs(F.col("year") - F.col("c_year"))
     same_year, same_author = F.coalesce(gap == 0, F.lit(False)), F.array_contains("authors", F.col("author"))
     by_year = F.when(F.col("year").isNull(), 0.0).when(gap == 0, 0.18).when(gap <= 1, 0.06).otherwise(-0.12)
     by_author = F.when(F.col("author") == "", 0.0).when(same_author, 0.14).otherwise(-0.08)
-    similar = similarity(F.col("raw"), F.col("text"), 0.64)
+    similar = key_similarity(F.col("key"), F.col("c_key"), 0.64)
     scored = pairs.withColumn("similar", similar).withColumn("score", F.round(scoring.clamp(F.col("similar") + by_year + by_author + F.when(F.coalesce("c_doi", F.lit("")) != "", 0.03).otherwise(0.0), 0, 1), 9))
     best = scored.withColumn("_n", F.row_number().over(Window.partitionBy("want_id").orderBy(F.desc("score"), "rank"))).where("_n = 1")
     kept = (F.col("score") >= least) & (F.col("year").isNull() | same_year | (F.col("score") >= YEAR_FLOOR)) & ((F.col("author") == "") | same_author | (F.col("score") >= AUTHOR_FLOOR))
