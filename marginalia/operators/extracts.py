@@ -76,9 +76,9 @@ def exact_panels(wanted: DataFrame, figure: DataFrame) -> DataFrame:
 
 def exact_citations(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
     """The block that best answers what is cited for a prompt's topic, with its numbers; none where no block with citations scores above 0."""
-    rows = blocks.select("doc_id", "block_id", "order_index", F.col("heading_path").alias("heading"), _clean("line", 1200).alias("body")).join(wanted, "doc_id").withColumn("refs", text.inline_citations("body")).where(F.size("refs") > 0)
-    rows = rows.withColumn("score", citation_signal(F.col("prompt"), F.col("heading"), F.col("body"))).where("score > 0")
-    best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "order_index"))).where("_n = 1")
+    rows = blocks.select("doc_id", "block_id", "order_index", F.col("heading_path").alias("heading"), _clean("line", 1200).alias("body")).where(F.col("body").contains("[")).join(wanted, "doc_id").withColumn("refs", text.inline_citations("body")).where(F.size("refs") > 0)
+    rows = rows.withColumn("score", citation_signal(F.col("prompt"), F.col("heading"), F.col("body")))
+    best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "order_index"))).where("_n = 1 and score > 0")
     label = F.array_join(F.transform(F.slice("refs", 1, 4), lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), ", ")
     where = F.when(F.col("heading") != "", F.concat(F.lit("This is stated in "), "heading", F.lit(":"))).otherwise("This is stated explicitly in the paper:")
     return best.select("doc_id", F.concat(F.lit("The paper cites "), label, F.lit(" for this point.\n"), where, F.lit("\n> "), "body").alias("answer"), "block_id")

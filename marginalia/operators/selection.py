@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -60,18 +61,27 @@ def _if(condition: Column, weight) -> Column:
     return F.when(condition, weight).otherwise(0.0)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def citation_signal(prompt: Column, heading: Column, body: Column) -> Column:
     """How much a fragment answers what is cited for a prompt's topic: its topic words in text and heading, citations beside them, words of attribution, and no list of references."""
     topics = F.filter(cue_tokens(prompt), lambda t: ~t.isin(*CITE_STOP))
     swap = {"sampling": "sensing", "sensing": "sampling"}
-    topics = F.array_distinct(F.concat(topics, F.filter(F.array(*[F.when(F.array_contains(topics, a), b) for a, b in swap.items()]), lambda t: t.isNotNull())))
+    topics = _once(topics, lambda ts: F.array_distinct(F.concat(ts, F.filter(F.array(*[F.when(F.array_contains(ts, a), b) for a, b in swap.items()]), lambda t: t.isNotNull()))))
     low, leaf = F.lower(F.trim(body)), F.lower(F.when(heading.contains(" / "), F.substr(heading, F.instr(heading, " / ") + 3)).otherwise(heading))
-    in_text = F.size(F.filter(topics, lambda t: low.contains(t)))
-    in_heading = F.size(F.filter(topics, lambda t: ~low.contains(t) & leaf.contains(t)))
     cites = F.size(text.inline_citations(body)) > 0
     listed = F.arrays_overlap(section_targets(heading), F.array(F.lit("references"))) | F.trim(body).rlike("(?i)^(?:references\\b|\\[\\d{1,4}\\])")
-    score = F.least(F.lit(12.0), 3.2 * in_text) + F.least(F.lit(2.4), 0.8 * in_heading) + _if(cites, F.when(in_text == 0, -6.0).when(in_text >= 2, 10.0).otherwise(4.0))
-    return score + _if(body.rlike(ATTRIBUTION), F.when(cites, 8.0).otherwise(3.0)) + _if(listed, F.when(prompt.rlike(REFERENCE_LIST), 2.0).otherwise(-5.0))
+    within = lambda v: F.struct(F.size(F.filter(v["topics"], lambda t: v["low"].contains(t))).alias("in_text"), F.size(F.filter(v["topics"], lambda t: ~v["low"].contains(t) & v["leaf"].contains(t))).alias("in_heading"), v["cites"].alias("cites"))
+
+    def points(v: Column) -> Column:
+        score = F.least(F.lit(12.0), 3.2 * v["in_text"]) + F.least(F.lit(2.4), 0.8 * v["in_heading"]) + _if(v["cites"], F.when(v["in_text"] == 0, -6.0).when(v["in_text"] >= 2, 10.0).otherwise(4.0))
+        return score + _if(body.rlike(ATTRIBUTION), F.when(v["cites"], 8.0).otherwise(3.0))
+
+    known = _once(F.struct(topics.alias("topics"), low.alias("low"), leaf.alias("leaf"), cites.alias("cites")), lambda v: _once(within(v), points))
+    return known + _if(listed, F.when(prompt.rlike(REFERENCE_LIST), 2.0).otherwise(-5.0))
 
 
 def title_only(body: Column) -> Column:
