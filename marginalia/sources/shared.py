@@ -9,6 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python workers in bytes; by itself only their rows are, and a row may hold a whole text."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir.  Where that is unset, a temporary folder on a single machine, and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
