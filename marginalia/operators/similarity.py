@@ -1,14 +1,16 @@
 """Joins by the matching-blocks ratio of names, exact at any floor from LEAST_FLOOR on.
 
-Names meet in tiles: all names of neighbouring lengths against one another, as a ratio bounds how far two lengths may differ.  Of the pairs of a tile numpy tells by counts of characters, then of runs of two, which
-can reach the floor: a ratio of r means that at least r times half the two lengths are matched, in blocks of which any two have something unmatched between them, and a block of b characters holds b - 1 runs of two.
-In names of 200 characters and more difflib starts blocks only at rare characters and at the very beginning, so there are few blocks and most long runs must be shared too.  Only what is left is compared by difflib.
-The pairs that are counted grow with the square of the number of different names; a tile takes nanoseconds a pair and a bounded number of names.  Equal names are one.  Null and empty names meet none.
+Names meet in tiles: all names of neighbouring lengths against one another, as a ratio bounds how far two lengths may differ.  A ratio of r means that at least r times half the two lengths are matched, in blocks of
+which any two have something unmatched between them.  In names of 200 characters and more difflib starts blocks only at rare characters and at the very beginning, so there are few blocks, and the longest of them has
+many characters: such names meet only where they have a run of that length in common, found by the least hashes of their windows.  Of the others numpy counts the characters of all pairs of a tile.  What may reach the
+floor by its characters, then by its runs of three (or, of long names, of eight) and of two, as a block of b characters holds b - 1 runs of two, is compared as difflib does, as far as it can still reach what is sought.
+The pairs of shorter names that are counted grow with the square of their number; a tile takes nanoseconds a pair and a bounded number of names.  Equal names are one.  Null and empty names meet none.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -27,10 +29,17 @@ LEAST_FLOOR = 0.82
 TILE, TILE_CHARACTERS = 16_384, 6_000_000
 #: How much longer than its shortest name the longest of a tile may be.
 STEP = 1.23
-#: Buckets of characters and of runs of two, and names of one side that are counted at once.
-KINDS, PAIRS, ROWS, COLUMNS = 128, 256, 64, 4096
+#: Buckets of characters and of runs of two, and names of either side that are counted at once (so few that their counts stay in the cache).
+KINDS, PAIRS, ROWS, COLUMNS = 128, 256, 64, 1024
+#: Buckets of numbered runs of three, of which names are known by bits.
+TRIPLES = 8192
 #: Characters of a long run, and from where on difflib leaves out the frequent ones.
-RUN, FREQUENT_FROM = 8, 200
+RUN, FREQUENT_FROM = 8, scoring.FREQUENT_FROM
+#: Characters of a common run by which long names meet, with the hashes of its parts of which the least is kept; and meetings that are held at once.
+COMMON, MEETINGS = ((24, 9), (16, 6), (12, 4)), 1 << 22
+#: An odd number and its inverse, for the hashes of runs of any length.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
 NAME_FLOOR, TIER_FLOOR = 0.9, 0.88
 #: The weights of a venue's similarity, what an equal acronym and a nearly equal query add, and from where on a query is nearly equal.
 RATIO_WEIGHT, WORD_WEIGHT = 0.68, 0.32
@@ -83,33 +92,93 @@ def ratio_from(floor: float):
     return ratio
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class _Names:
-    """The names of one side of a tile in the order of their lengths, with the counts of their characters and of their runs of two."""
+    """The names of one side of a tile in the order of their lengths, with the counts of their characters."""
 
     def __init__(self, ids, names):
         order = sorted(range(len(names)), key=lambda i: len(names[i]))
         self.ids, self.names = [ids[i] for i in order], [names[i] for i in order]
         self.size = np.array([len(x) for x in self.names], dtype=np.int64)
-        self.codes = np.frombuffer("".join(self.names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        self.codes = np.frombuffer("".join(self.names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         self.first = np.append(0, np.cumsum(self.size))
-        of = np.repeat(np.arange(len(names)), self.size)
         self.kind = np.dtype(np.uint8 if self.size[-1] < 256 else np.uint16 if self.size[-1] < 65536 else np.uint32)
-        count = lambda rows, keys, width: np.bincount(rows * width + keys, minlength=len(names) * width).reshape(len(names), width)
-        single = count(of, (self.codes % np.uint64(KINDS)).astype(np.int64), KINDS)
-        inside = of[1:] == of[:-1]  # no run goes from one name to the next
-        self.single, self.double = single.astype(self.kind), count(of[:-1][inside], self._hashes(self.codes, 2, 64 - 8)[inside], PAIRS).astype(self.kind)
+        single = self._counted(np.repeat(np.arange(len(names)), self.size), self.codes % KINDS, KINDS)
+        self.single = single.astype(self.kind)
         self.blocks = self._blocks(single, np.maximum.reduceat(self.codes, self.first[:-1]) >= KINDS)
         self.runs = {}
 
+    def _counted(self, rows, keys, width):
+        return np.bincount(rows * width + keys.astype(np.int64), minlength=len(self.names) * width).reshape(len(self.names), width)
+
+    def _within(self, width):
+        """The name of each run of `width` characters, and which runs of all characters lie within a name."""
+        of = np.repeat(np.arange(len(self.names)), self.size)
+        inside = of[width - 1 :] == of[: max(0, len(of) - width + 1)]
+        return of[: len(inside)][inside], inside
+
     @staticmethod
     def _hashes(codes, width, shift):
         if len(codes) < width:
-            return np.zeros(0, dtype=np.int64)
+            return np.zeros(0, dtype=np.uint64)
         h = np.zeros(len(codes) - width + 1, dtype=np.uint64)
         for k in range(width):
-            h = (h + codes[k : len(codes) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h + codes[k : len(codes) - width + 1 + k]) * np.uint64(FACTOR)
             h ^= h >> np.uint64(29)
-        return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(shift)).astype(np.int64)
+        return h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(shift)
+
+    @cached_property
+    def double(self):
+        """Counts of the runs of two."""
+        of, inside = self._within(2)
+        return self._counted(of, self._hashes(self.codes, 2, 64 - 8)[inside], PAIRS).astype(self.kind)
+
+    @cached_property
+    def triple(self):
+        """Bits of the runs of three, the same one numbered, and how many are set."""
+        of, inside = self._within(3)
+        runs = np.sort(of.astype(np.uint64) << np.uint64(40) | self._hashes(self.codes, 3, 24)[inside])
+        start = np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else np.zeros(0, dtype=np.int64)
+        number = np.arange(len(runs)) - np.repeat(start, np.diff(np.append(start, len(runs))))
+        bucket = (runs + number.astype(np.uint64) * np.uint64(FACTOR) & np.uint64((1 << 40) - 1)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - TRIPLES.bit_length() + 1)
+        code = _distinct(((runs >> np.uint64(40)) * np.uint64(TRIPLES) + bucket).astype(np.int64))
+        bits, at = np.zeros(len(self.names) * TRIPLES // 8, dtype=np.uint8), code >> 3
+        if len(code):
+            new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            bits[at[new]] = np.add.reduceat(1 << (code & 7), new)
+        return bits.view(np.uint64).reshape(len(self.names), -1), np.bincount(code // TRIPLES, minlength=len(self.names))
+
+    @cached_property
+    def _powers(self):
+        powers = lambda x: np.cumprod(np.append(np.uint64(1), np.full(len(self.codes), x, dtype=np.uint64)))
+        return np.append(np.uint64(0), np.cumsum((self.codes + np.uint64(1)) * powers(FACTOR)[:-1])), powers(INVERSE)
+
+    def _sums(self, start, end, width):
+        """Of each run of `width` characters of a stretch the sum of its characters times powers of FACTOR."""
+        sums, inverse = self._powers
+        last = max(start, end - width + 1)
+        return (sums[start + width : last + width] - sums[start:last]) * inverse[start:last]
+
+    def least_hashes(self, common, window):
+        """Of each run of `common` characters the least hash of its `window` parts, with its name; names that have the run in common have the hash in common."""
+        of, inside = self._within(common)
+        if not len(of):
+            return np.zeros(0, dtype=np.uint64), of
+        h = self._sums(0, len(self.codes), common - window + 1)
+        for shift in (29, 32):
+            h ^= h >> np.uint64(shift)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+        reach = 1
+        while reach < window:
+            step = min(reach, window - reach)
+            h, reach = np.minimum(h[:-step], h[step:]), reach + step
+        h = h[inside]
+        new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))
+        return h[new], of[new]
 
     def _blocks(self, single, wide):
         """How many matching blocks another name may have with each as the second: all but one at the beginning hold a character that is rare in it."""
@@ -121,41 +190,96 @@ class _Names:
 
     def long_runs(self, i):
         if i not in self.runs:
-            self.runs[i] = np.sort(self._hashes(self.codes[self.first[i] : self.first[i + 1]], RUN, 1))
+            self.runs[i] = np.sort(self._sums(self.first[i], self.first[i + 1], RUN))
         return self.runs[i]
 
 
+def _common_runs(a: _Names, b: _Names, floor: float):
+    """For each of b how long a run (of COMMON) it must share with a name of a that reaches the floor; 0 where it need not share any."""
+    shortest = np.maximum(a.size[0], b.size * (floor / (2 - floor)))
+    longest = np.ceil((shortest + b.size) * (floor / 2) - 1e-6) / b.blocks  # so many characters has the longest block at least
+    out = np.zeros(len(b.ids), dtype=np.int64)
+    for common, _ in reversed(COMMON):
+        out[(longest >= common) & (b.size >= FREQUENT_FROM)] = common
+    return out
+
+
+def _meeting(a: _Names, b: _Names, columns, common: int, window: int):
+    """Rows of a and of b (of `columns`) with a common run, each pair once."""
+    value, row = a.least_hashes(common, window)
+    order = np.argsort(value)
+    value, row = value[order], row[order]
+    sought, column = b.least_hashes(common, window)
+    wanted = np.zeros(len(b.ids), dtype=bool)
+    wanted[columns] = True
+    sought, column = sought[wanted[column]], column[wanted[column]]
+    at = np.searchsorted(value, sought)
+    times = np.searchsorted(value, sought, side="right") - at
+    met = times > 0
+    at, times, column = at[met], times[met], column[met]
+    ends = np.flatnonzero(np.append(column[1:] != column[:-1], True)) + 1 if len(column) else []
+    total, start = np.append(0, np.cumsum(times)), 0
+    for k, end in enumerate(ends):
+        if k + 1 < len(ends) and total[ends[k + 1]] - total[start] <= MEETINGS:
+            continue  # the next name has room in this slice
+        n = times[start:end]
+        inside = np.arange(n.sum()) - np.repeat(total[start:end] - total[start], n)
+        code = _distinct(np.repeat(column[start:end], n) * len(a.ids) + row[np.repeat(at[start:end], n) + inside])
+        yield code % len(a.ids), code // len(a.ids)
+        start = end
+
+
+def _counted_pairs(a: _Names, b: _Names, columns, floor: float):
+    """Rows of a and of b (of `columns`) whose counts of characters allow the floor."""
+    edge = np.searchsorted(b.size[columns], 256)
+    for part in (columns[:edge], columns[edge:]):  # short names apart, as their counts take a byte
+        for j in range(0, len(part), COLUMNS):
+            own = part[j : j + COLUMNS]
+            m = b.size[own]
+            low, high = np.searchsorted(a.size, m[0] * (floor / (2 - floor)) - 1e-6), np.searchsorted(a.size, m[-1] * ((2 - floor) / floor) + 1e-6, side="right")
+            for i in range(low, high, ROWS):
+                n = a.size[i : min(i + ROWS, high)]
+                # A common count is at most the lesser of the two lengths, so the type that holds it will do.
+                kind = min(a.kind if n[-1] > 255 else np.dtype(np.uint8), b.kind if m[-1] > 255 else np.dtype(np.uint8), key=lambda t: t.itemsize)
+                top = np.iinfo(kind).max
+                x, y = np.minimum(a.single[i : i + len(n)], top).astype(kind), np.ascontiguousarray(np.minimum(b.single[own], top).astype(kind).T)
+                common, part_ = np.zeros((len(n), len(m)), dtype=kind), np.empty((len(n), len(m)), dtype=kind)
+                for k in np.flatnonzero(x.any(axis=0) & y.any(axis=1)):
+                    np.minimum(x[:, k, None], y[k], out=part_)
+                    common += part_
+                r, c = np.nonzero(common >= np.ceil(np.add.outer(n, m) * (floor / 2) - 1e-6))
+                yield i + r, own[c]
+
+
 def _promising(a: _Names, b: _Names, floor: float):
-    """Rows of a and of b whose counts of characters and of runs of two allow the floor, the ratio that the characters allow and how many long runs must be shared."""
-    for i in range(0, len(a.ids), ROWS):
-        for j in range(0, len(b.ids), COLUMNS):
-            n, m = a.size[i : i + ROWS], b.size[j : j + COLUMNS]
-            if min(n[-1], m[-1]) * (2 - floor) < max(n[0], m[0]) * floor - 1e-9:
-                continue
-            # A common count is at most the lesser of the two lengths, so the type that holds it will do.
-            kind = min(a.kind if n[-1] > 255 else np.dtype(np.uint8), b.kind if m[-1] > 255 else np.dtype(np.uint8), key=lambda t: t.itemsize)
-            top = np.iinfo(kind).max
-            x, y = np.minimum(a.single[i : i + ROWS], top).astype(kind), np.ascontiguousarray(np.minimum(b.single[j : j + COLUMNS], top).astype(kind).T)
-            common, part = np.zeros((len(n), len(m)), dtype=kind), np.empty((len(n), len(m)), dtype=kind)
-            for k in np.flatnonzero(x.any(axis=0) & y.any(axis=1)):
-                np.minimum(x[:, k, None], y[k], out=part)
-                common += part
-            least = np.ceil(np.add.outer(n, m) * (floor / 2) - 1e-6)
-            r, c = np.nonzero(common >= least)
-            for s in range(0, len(r), 4096):
-                p, q = r[s : s + 4096], c[s : s + 4096]
-                both, need = n[p] + m[q], least[p, q]
-                shared = np.minimum(a.double[i + p], b.double[j + q]).sum(axis=1, dtype=np.int64)
-                few = np.minimum(b.blocks[j + q], both - 2 * need + 1)
-                fits = shared >= need - few
-                p, q = p[fits], q[fits]
-                yield from zip((i + p).tolist(), (j + q).tolist(), (2 * common[p, q].astype(np.int64) / both[fits]).tolist(), (need - (RUN - 1) * few)[fits].tolist(), strict=True)
+    """Rows of a and of b whose lengths, characters and runs allow the floor, the ratio that the characters allow and how many long runs must be shared."""
+    kinds = np.flatnonzero(a.single.any(axis=0) & b.single.any(axis=0))
+    x, y = a.single[:, kinds], b.single[:, kinds]
+    shared = _common_runs(a, b, floor)
+    met = [_counted_pairs(a, b, np.flatnonzero(shared == 0), floor)] + [_meeting(a, b, np.flatnonzero(shared == common), common, window) for common, window in COMMON if (shared == common).any()]
+    for pairs in met:
+        for i, j in pairs:
+            for s in range(0, len(i), 4096):
+                p, q = i[s : s + 4096], j[s : s + 4096]
+                common, both = np.minimum(x[p], y[q]).sum(axis=1, dtype=np.int64), a.size[p] + b.size[q]
+                need = np.ceil(both * (floor / 2) - 1e-6)
+                few = np.minimum(b.blocks[q], both - 2 * need + 1)
+                fits = common >= need
+                p, q, common, both, need, few = (v[fits] for v in (p, q, common, both, need, few))
+                if len(p) and b.size[q].min() < FREQUENT_FROM:
+                    (bits, own), (others, other) = a.triple, b.triple
+                    triples = np.bitwise_count(bits[p] & others[q]).sum(axis=1, dtype=np.int64)
+                    # A run that isn't shared takes a bucket of its own at most.
+                    least = need - 2 * few + np.maximum(own[p] - np.maximum(a.size[p] - 2, 0), other[q] - np.maximum(b.size[q] - 2, 0))
+                    fits = triples >= least
+                    p, q, common, both, need, few = (v[fits] for v in (p, q, common, both, need, few))
+                if len(p):
+                    fits = np.minimum(a.double[p], b.double[q]).sum(axis=1, dtype=np.int64) >= need - few
+                    yield from zip(p[fits].tolist(), q[fits].tolist(), (2 * common / both)[fits].tolist(), (need - (RUN - 1) * few)[fits].tolist(), strict=True)
 
 
 def _tile(a: _Names, b: _Names, floor: float, best: bool):
     """left_id, right_id and ratio of the pairs of a tile that reach the floor; of each left name the best one alone, if that is wanted."""
-    from difflib import SequenceMatcher
-
     candidates: dict[int, list] = {}
     for i, j, most, least in _promising(a, b, floor):
         if least > 0:
@@ -165,26 +289,21 @@ def _tile(a: _Names, b: _Names, floor: float, best: bool):
                 continue
         if a.names[i] != b.names[j]:
             candidates.setdefault(i, []).append((-most, b.ids[j], j))
-    out, matcher, last = [], SequenceMatcher(None), None
+    out = []
     if best:
         for i, own in candidates.items():
             top = None
             for most, right, j in sorted(own):
                 if top and (-most < top[0] or (-most == top[0] and right > top[1])):
                     break  # what follows can't be better
-                matcher.set_seqs(a.names[i], b.names[j])
-                value = matcher.ratio()
+                value = scoring.matching_ratio(a.names[i], b.names[j], max(floor, top[0]) if top else floor)
                 if value >= floor and (top is None or (-value, right) < (-top[0], top[1])):
                     top = (value, right)
             if top:
                 out.append((a.ids[i], top[1], top[0]))
         return out
     for j, i in sorted((j, i) for i, own in candidates.items() for _, _, j in own):
-        if j != last:
-            matcher.set_seq2(b.names[j])  # what it knows of the second name is kept
-            last = j
-        matcher.set_seq1(a.names[i])
-        value = matcher.ratio()
+        value = scoring.matching_ratio(a.names[i], b.names[j], floor)
         if value >= floor:
             out.append((a.ids[i], b.ids[j], value))
     return out
