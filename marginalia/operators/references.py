@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..sources.shared import cut
+from ..sources.shared import cut, kept
 from .prompts import is_promising_reference
 
 
@@ -63,42 +63,76 @@ LENIENT = {"year": 0.10, "near": 0.04, "other_year": 0.0, "author": 0.08, "other
 CONTENT_FLOOR, NUMBER_FLOOR = 0.63, 0.56
 
 
-def row_score(raw: Column, row_text: Column, row_doi: Column, row_year: Column, row_author: Column, weights: dict[str, float], keys: tuple[Column, Column] | None = None) -> Column:
-    """How well a row of a source's reference list fits a raw entry: 1 for the same DOI, else similarity of texts with year, author and DOI; null for a row without text.  keys: the title keys of both texts, where they are known."""
-    a, b = keys or (text.title_key(raw), text.title_key(row_text))
+def row_score(raw: Column, row_text: Column, row_doi: Column, row_year: Column, row_author: Column, weights: dict[str, float], known: dict[str, Column] | None = None) -> Column:
+    """How well a row of a source's reference list fits a raw entry: 1 for the same DOI, else similarity of texts with year, author and DOI; null for a row without text.  known: what raw_fields() and the title key of
+    the row's text say, where it is at hand."""
+    own = known or {**raw_fields(raw), "row_key": text.title_key(row_text)}
+    a, b = own["key"], own["row_key"]
     words = lambda x: F.array_remove(F.split(x, " "), "")
     similar = F.when((a != "") & (b != ""), 0.68 * scoring.sequence_ratio(a, b) + 0.32 * scoring.jaccard(F.array_distinct(words(a)), F.array_distinct(words(b)))).otherwise(0.0)
-    year, own = row_year.try_cast("int"), text.last_year(raw)
-    gap = F.abs(year - own)
-    by_year = F.when(own.isNull(), 0.0).when(gap == 0, weights["year"]).when(gap <= 1, weights["near"]).otherwise(-weights["other_year"])
-    author = text.first_author(text.clean_reference(raw))
+    gap = F.abs(row_year.try_cast("int") - own["own_year"])
+    by_year = F.when(own["own_year"].isNull(), 0.0).when(gap == 0, weights["year"]).when(gap <= 1, weights["near"]).otherwise(-weights["other_year"])
+    author = own["own_author"]
     by_author = F.when(F.coalesce(author, F.lit("")) == "", 0.0).when(F.lower(row_author).contains(author), weights["author"]).otherwise(-weights["other_author"])
     score = similar + by_year + by_author + F.when(F.coalesce(row_doi, F.lit("")) != "", weights["doi"]).otherwise(0.0)
-    return F.when(F.lower(row_doi) == text.doi_like(raw), 1.0).when(F.coalesce(row_text, F.lit("")) != "", scoring.clamp(score, 0, 1))
+    return F.when(F.lower(row_doi) == own["own_doi"], 1.0).when(F.coalesce(row_text, F.lit("")) != "", scoring.clamp(score, 0, 1))
+
+
+def raw_fields(raw: Column) -> dict[str, Column]:
+    return {"key": text.title_key(raw), "own_year": text.last_year(raw), "own_author": text.first_author(text.clean_reference(raw)), "own_doi": text.doi_like(raw)}
 
 
 def _scored(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """pairs with score.  Equal pairs of texts go to one task, which compares them once; keys are made once a pair."""
+    """pairs with score.  Equal pairs of texts go to one task, which compares them once; what is found in a text is taken from the pair, where it is there."""
     tasks = 8 * pairs.sparkSession.sparkContext.defaultParallelism  # a set number, as a pair takes longer than its bytes let the optimizer think
-    keyed = pairs.withColumns({"_a": text.title_key("raw"), "_b": text.title_key("row_text")}).repartition(tasks, "_a", "_b")
+    found = {**raw_fields(F.col("raw")), "row_key": text.title_key("row_text")}
+    new = [c for c in found if c not in pairs.columns]
+    keyed = pairs.withColumns({c: found[c] for c in new}).repartition(tasks, "key", "row_key")
     fields = [F.col(c) for c in ("raw", "row_text", "doi", "year", "author")]
-    return keyed.withColumn("score", row_score(*fields, weights, (F.col("_a"), F.col("_b")))).drop("_a", "_b")
+    return keyed.withColumn("score", row_score(*fields, weights, {c: F.col(c) for c in found})).drop(*new)
+
+
+class _Lists:
+    """Entries and rows with ids of their contents in place of these, and each content once with what is found in it: entries and rows of many documents that say the same are read and compared once."""
+
+    def __init__(self, refs: DataFrame, rows: DataFrame):
+        content = lambda *c: F.unhex(F.md5(F.to_json(F.struct(*c))))
+        fields = ["row_text", "doi", "year", "author"]
+        refs = kept(refs.select("doc_id", "num", "raw", content("raw").alias("raw_id")), "entries")
+        rows = kept(rows.withColumnRenamed("text", "row_text").select("doc_id", "pos", *fields, content(*fields).alias("row_id")), "rows")
+        self.refs, self.rows = refs.select("doc_id", "num", "raw_id"), rows.select("doc_id", "pos", "row_id")
+        entry = refs.groupBy("raw_id").agg(F.any_value("raw").alias("raw"))
+        row = rows.groupBy("row_id").agg(*[F.any_value(c).alias(c) for c in fields])
+        telling = F.regexp_count(F.regexp_replace("row_text", text.DOI, " "), F.lit("[A-Za-z\\x{4e00}-\\x{9fff}]{2,}")) >= 4
+        self.entries = cut(entry.withColumns({**raw_fields(F.col("raw")), "blank": F.trim("raw") == ""}))
+        self.sources = cut(row.withColumns({"row_key": text.title_key("row_text"), "telling": telling}))
+
+    def scored(self, pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
+        """pairs (with raw_id and row_id) with score and whether the pair tells anything; contents are compared once a pair of them."""
+        once = pairs.select("raw_id", "row_id").where("row_id is not null").distinct().join(self.entries, "raw_id").join(self.sources, "row_id")
+        tells = F.col("telling") | ((F.coalesce("doi", F.lit("")) != "") & F.col("own_doi").isNotNull())
+        return pairs.join(cut(_scored(once, weights).select("raw_id", "row_id", "score", tells.alias("tells"))), ["raw_id", "row_id"], "left")
 
 
 def order_rules(refs: DataFrame, rows: DataFrame) -> DataFrame:
     """refs: doc_id, num, raw.  rows: doc_id, pos (from 1), text, doi, year, author.  Per document: exact, prefix and loose, whether its entries may be
     mapped to the rows by their numbers.  The numbers count only if a sample of up to eight of them fits; with fewer than four, or fewer than three that
     say anything, they do."""
+    return _rules(_Lists(refs, rows))
+
+
+def _rules(lists: _Lists) -> DataFrame:
+    refs, rows = lists.refs, lists.rows
     lengths = rows.groupBy("doc_id").agg(F.max("pos").alias("rows"))
     own = refs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("num")).alias("nums")).join(lengths, "doc_id")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("num")) - 1
-    there = refs.join(lengths, "doc_id").where((F.col("num") <= F.col("rows")) & (F.trim("raw") != "")).withColumns({"i": place, "n": F.count("*").over(Window.partitionBy("doc_id"))})
+    said = refs.join(lists.entries.where("not blank").select("raw_id"), "raw_id")
+    there = said.join(lengths, "doc_id").where(F.col("num") <= F.col("rows")).withColumns({"i": place, "n": F.count("*").over(Window.partitionBy("doc_id"))})
     half = F.floor(F.col("n") / 2)
     sampled = there.where((F.col("n") >= 4) & (F.col("i").isin(0, 1, 2) | F.col("i").isin(half, half - 1, F.col("n") - 1, F.col("n") - 2, F.col("n") - 3)))
-    listed = rows.select(F.col("doc_id").alias("_doc"), "pos", F.col("text").alias("row_text"), "doi", "year", "author")
-    scored = sampled.join(listed, (F.col("doc_id") == F.col("_doc")) & (F.col("num") == F.col("pos")))
-    tells = (F.regexp_count(F.regexp_replace("row_text", text.DOI, " "), F.lit("[A-Za-z\\x{4e00}-\\x{9fff}]{2,}")) >= 4) | ((F.coalesce("doi", F.lit("")) != "") & text.doi_like("raw").isNotNull())
-    scored = _scored(scored.where(tells), STRICT).where("score is not null")
+    listed = rows.select(F.col("doc_id").alias("_doc"), "pos", "row_id")
+    scored = sampled.join(listed, (F.col("doc_id") == F.col("_doc")) & (F.col("num") == F.col("pos"))).select("doc_id", "raw_id", "row_id")
+    scored = lists.scored(scored, STRICT).where("tells and score is not null")
     fits = scored.groupBy("doc_id").agg(F.count("*").alias("k"), F.count_if(F.col("score") >= 0.66).alias("strong"), F.count_if(F.col("score") >= 0.56).alias("ok"), F.avg("score").alias("mean"))
     enough = (F.col("ok") >= F.greatest(F.lit(3), F.ceil(F.col("k") * 0.60 - 0.001))) & (F.col("strong") >= F.greatest(F.lit(2), F.ceil(F.col("k") * 0.30 - 0.001))) & (F.col("mean") >= 0.58)
     aligned = fits.select("doc_id", ((F.col("k") < 3) | enough).alias("aligned"))
@@ -115,17 +149,17 @@ def match_rows(refs: DataFrame, rows: DataFrame) -> DataFrame:
 
     What is left for content is compared with all rows of its own document.  Their number is bounded: without_outliers() leaves at most 500 entries, and a list of
     references is as long; documents are never compared with one another."""
-    rules = order_rules(refs, rows)
-    listed = rows.select(F.col("doc_id").alias("_doc"), "pos", F.col("text").alias("row_text"), "doi", "year", "author")
-    at = refs.join(rules, "doc_id").join(listed, (F.col("doc_id") == F.col("_doc")) & (F.col("num") == F.col("pos")), "left")
-    at = _scored(at, LENIENT).withColumn("score", F.round("score", 6))
+    lists = _Lists(refs, rows)
+    listed = lists.rows.select(F.col("doc_id").alias("_doc"), "pos", "row_id")
+    at = lists.refs.join(_rules(lists), "doc_id").join(listed, (F.col("doc_id") == F.col("_doc")) & (F.col("num") == F.col("pos")), "left").drop("_doc")
+    at = lists.scored(at, LENIENT).withColumn("score", F.round("score", 6))
     ordered = F.col("exact") | (F.col("prefix") & (F.col("num") <= F.col("rows")))
     method = F.when(F.col("pos").isNull(), None).when(ordered, "order").when(F.col("score") >= NUMBER_FLOOR, "number").when(F.col("loose"), "loose")
-    at = cut(at.select("doc_id", "num", "pos", method.alias("method"), "score", F.when(method.isNull(), F.col("raw")).alias("raw")))
-    rest = at.where("method is null").select("doc_id", "num", "raw").join(listed, F.col("doc_id") == F.col("_doc"))
-    rest = _scored(rest, STRICT).withColumn("score", F.round("score", 6)).where(F.col("score") >= CONTENT_FLOOR)
-    first = F.row_number().over(Window.partitionBy("doc_id", "num").orderBy(F.desc("score"), "pos"))
-    found = rest.withColumn("_n", first).where("_n = 1").withColumn("method", F.lit("content"))
+    at = cut(at.select("doc_id", "num", "pos", method.alias("method"), "score", F.when(method.isNull(), F.col("raw_id")).alias("raw_id")))
+    rest = at.where("method is null").select("doc_id", "num", "raw_id").join(listed, F.col("doc_id") == F.col("_doc")).drop("_doc")
+    rest = lists.scored(rest, STRICT).withColumn("score", F.round("score", 6)).where(F.col("score") >= CONTENT_FLOOR)
+    best = rest.groupBy("doc_id", "num").agg(F.max(F.struct("score", (-F.col("pos")).alias("less"))).alias("b"))
+    found = best.select("doc_id", "num", (-F.col("b.less")).alias("pos"), F.lit("content").alias("method"), F.col("b.score").alias("score"))
     columns = ["doc_id", "num", "pos", "method", "score"]
     return at.where("method is not null").select(columns).unionByName(found.select(columns))
 
